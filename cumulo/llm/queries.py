@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, packing, quality, toxicity
+from . import bpe, langid, minhash, packing, quality, toxicity
 from .common import read_table
 
 
@@ -18,6 +18,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(read_table(spark, sf_dir, "documents"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_toxicity, op5_langid, op6_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_bpe, op3_toxicity, op4_minhash, op5_langid, op6_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
