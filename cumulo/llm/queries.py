@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, minhash, packing, quality, secret_scan, toxicity
+from . import ann, bpe, langid, minhash, ogg, packing, quality, secret_scan, toxicity, warc
 from .common import read_table
 
 
@@ -34,13 +34,25 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
+def op8_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.read_media(ogg.write_media(read_table(spark, sf_dir, "documents")))
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search_table(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_toxicity, op4_minhash, op5_langid, op6_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_toxicity, op4_minhash, op5_langid, op6_packing, op7_warc, op8_ogg, op9_ann, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": secret_scan.oracle_sql()}
+    return {"op2_secrets": secret_scan.oracle_sql(), "op7_warc": warc.oracle_sql()}
