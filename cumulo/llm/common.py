@@ -80,6 +80,18 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of df, with all their columns, whose value in `column` the function from make() keeps. No rows move between tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps = make()
+        for batch in batches:
+            for piece in slices(batch):
+                yield piece.filter(pa.array(keeps(piece.column(column).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece has some SLICE_CHARS bytes, or one row."""
     if not batch.num_rows:

@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TokenMemo, fold, held_out, map_rows, order_key, padded
+from .common import TokenMemo, fold, held_out, keep_rows, map_rows, order_key, padded
 
 #: Documents a language, and characters in all, that the probabilities are learned from.
 PER_LANGUAGE, SAMPLE_CHARS, LANGUAGES = 300, 8_000_000, 1000
@@ -22,6 +22,8 @@ PER_LANGUAGE, SAMPLE_CHARS, LANGUAGES = 300, 8_000_000, 1000
 LONGEST = 8
 START = "▁"
 FOLDS, OUT = 3, 1
+#: Posterior below which a filter rejects a document.
+LEAST_SCORE = 0.5
 #: Probability of a character that no piece covers, and weight of the pooled probabilities.
 UNKNOWN, POOLED = 1e-6, 1e-3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -152,7 +154,11 @@ def fit(sample: list[tuple[str, str]], path: str, rounds: int = 4) -> tuple[list
 def draw_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
     """At most per_language texts a language, max_chars in all, chosen by ids alone off the held-out fold."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != OUT)).select("doc_id", "lang")
-    first = Window.partitionBy("lang").orderBy(order_key(F.col("doc_id")), "doc_id")
+    key = order_key(F.col("doc_id"))
+    # Thinned by each language's count first, so that the ranking sees a few times per_language rows of each.
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_size")).orderBy(F.desc("_size"), "lang").limit(LANGUAGES)
+    known = known.join(F.broadcast(sizes), "lang").where(F.pmod(key, F.lit(1_000_000)) * F.col("_size") < 3_000_000 * per_language)
+    first = Window.partitionBy("lang").orderBy(key, "doc_id")
     chosen = known.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language).select("doc_id", F.col("lang").alias("_lang"))
     # per_language * LANGUAGES small rows at most: a proven bound for the broadcast.
     chosen = chosen.dropDuplicates(["doc_id"]).limit(per_language * LANGUAGES)
@@ -167,6 +173,28 @@ def draw_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: in
     return kept
 
 
+def scorer(model: tuple[list[str], np.ndarray], path: str):
+    """A function from texts to their languages and scores."""
+    langs, table = model
+    found = pieces(path)
+    memo = TokenMemo(lambda words: np.concatenate([log_likelihoods(words, found, table), np.ones((len(words), 1))], axis=1), len(langs) + 1)
+
+    def judge(texts: list[str | None]) -> tuple[list[str], list[float]]:
+        names, scores = [], []
+        for row in memo.totals([t or "" for t in texts]):
+            if not langs or not row[-1]:
+                names.append("und")
+                scores.append(0.0)
+                continue
+            weights = np.exp(row[:-1] - row[:-1].max())
+            best = int(weights.argmax())
+            names.append(langs[best])
+            scores.append(float(weights[best] / weights.sum()))
+        return names, scores
+
+    return judge
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | None = None) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs.
 
@@ -175,33 +203,28 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | No
     to the language first by name. A null id stays; repeated rows give repeated rows.
     """
     path = path or default_vocabulary()
-    langs, table = model
 
     def make():
-        found = pieces(path)
+        judge = scorer(model, path)
+        return lambda cols: (cols[0], *judge(cols[1]))
+
+    return map_rows(docs, ["doc_id", "text"], "doc_id long, lang_pred string, score double", make)
 
-        def figures(words):
-            return np.concatenate([log_likelihoods(words, found, table), np.ones((len(words), 1))], axis=1)
 
-        memo = TokenMemo(figures, len(langs) + 1)
+def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs, with all their columns, that have letters and whose language is found with a score of `least` or more."""
+    model, path = fit(draw_sample(docs), default_vocabulary()), default_vocabulary()
 
-        def step(cols):
-            totals = memo.totals([t or "" for t in cols[1]])
-            names, scores = [], []
-            for row in totals:
-                if not langs or not row[-1]:
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                weights = np.exp(row[:-1] - row[:-1].max())
-                best = int(weights.argmax())
-                names.append(langs[best])
-                scores.append(float(weights[best] / weights.sum()))
-            return cols[0], names, scores
+    def make():
+        judge = scorer(model, path)
 
-        return step
+        def keeps(texts):
+            names, scores = judge(texts)
+            return [n != "und" and s >= least for n, s in zip(names, scores, strict=True)]
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id long, lang_pred string, score double", make)
+        return keeps
+
+    return keep_rows(docs, "text", make)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, slices
@@ -326,3 +326,15 @@ def link(docs: DataFrame) -> DataFrame:
     out = described.select("doc_id", "n_shingles", "digest").join(nodes.select("digest", "node"), "digest", "left").join(components, "node", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("label", "node", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of docs, with all its columns, for each component: that of its least doc_id.
+
+    Of rows that share this id one stays, by the hash of its text; rows with a null id all stay.
+    """
+    told = link(docs).where("kept").select("doc_id").distinct()
+    held = docs.join(told, "doc_id", "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    held = held.withColumn("_turn", F.row_number().over(first)).where("_turn = 1").drop("_turn")
+    return held.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, map_rows
+from .common import held_out, keep_rows, labelled_sample, map_rows
 
 #: Documents of each class and characters in all that are learned from.
 PER_CLASS, SAMPLE_CHARS = 700, 5_000_000
@@ -109,6 +109,13 @@ def fit(sample: list[tuple[str, int]], epochs: int = 10, batch: int = 48, rate:
     return net
 
 
+def probabilities(net: Network, tables: np.ndarray, texts: list[str | None]) -> np.ndarray:
+    rows = [chunked((t or "").encode()) for t in texts]
+    sizes = np.array([len(r) for r in rows])
+    logits = np.add.reduceat(net.logits(np.concatenate(rows), tables), np.cumsum(sizes) - sizes) / sizes
+    return 1 / (1 + np.exp(-np.clip(logits.astype(float), -500, 500)))
+
+
 def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted for each row of docs.
 
@@ -120,10 +127,7 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFr
         tables = net.tables()
 
         def step(cols):
-            rows = [chunked((t or "").encode()) for t in cols[1]]
-            sizes = np.array([len(r) for r in rows])
-            logits = np.add.reduceat(net.logits(np.concatenate(rows), tables), np.cumsum(sizes) - sizes) / sizes
-            scores = 1 / (1 + np.exp(-np.clip(logits.astype(float), -500, 500)))
+            scores = probabilities(net, tables, cols[1])
             return cols[0], scores.tolist(), (scores >= threshold).astype(int).tolist()
 
         return step
@@ -131,7 +135,21 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFr
     return map_rows(docs, ["doc_id", "text"], "doc_id long, score double, predicted int", make)
 
 
+def fit_on(docs: DataFrame, labels: DataFrame) -> Network:
+    return fit(labelled_sample(docs, labels, "quality", FOLDS, OUT, PER_CLASS, SAMPLE_CHARS))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that a network fitted on them and their labels does not reject."""
+    net = fit_on(docs, labels)
+
+    def make():
+        tables = net.tables()
+        return lambda texts: (probabilities(net, tables, texts) >= threshold).tolist()
+
+    return keep_rows(docs, "text", make)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learns from the labels' `quality` and scores all of docs: doc_id, held_out, score, predicted."""
-    net = fit(labelled_sample(docs, labels, "quality", FOLDS, OUT, PER_CLASS, SAMPLE_CHARS))
-    return score(docs, net).select("doc_id", held_out(F.col("doc_id"), FOLDS, OUT).alias("held_out"), "score", "predicted")
+    return score(docs, fit_on(docs, labels)).select("doc_id", held_out(F.col("doc_id"), FOLDS, OUT).alias("held_out"), "score", "predicted")

@@ -53,43 +53,54 @@ def _kind() -> Column:
     )
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked, linked for each row of docs.
+OWNER = ["_id", "_key"]
 
-    spans lists kind:start:end of all findings by start, then kind, in code points, end exclusive;
-    linked those of weak parts that complementary ones confirm. Null and empty texts have none. A null
-    id stays; repeated rows give repeated rows; columns besides doc_id and text are not read.
-    """
-    text = F.coalesce("text", F.lit(""))
-    found = docs.select("doc_id", text.alias("text")).select("doc_id", "text", *(_hits(F.col("text"), p, g).alias(f"_{f}") for f, (p, g) in FAMILIES.items()))
-    any_hit = F.coalesce(*(F.col(f"_{f}.gap")[0] for f in FAMILIES))
-    # Rows with findings are known by their id and a digest of the text; those of one key are alike.
-    found = checkpointed(found.select("doc_id", F.when(any_hit.isNotNull(), F.sha2("text", 256)).alias("_key"), *(f"_{f}" for f in FAMILIES)))
-    hit, none = found.where(F.col("_key").isNotNull()), found.where(F.col("_key").isNull())
-
-    hit = hit.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    owner = ["_id", "_key"]
-    alike = hit.dropDuplicates(owner)
+
+def _owner(docs: DataFrame) -> DataFrame:
+    """Adds what a document's parts are known by, its id and a digest of its text; rows of one key are alike."""
+    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+def linked_spans(hit: DataFrame) -> DataFrame:
+    """_id, _key and _spans, the findings in order, from rows with the columns of _hits() for each family."""
+    alike = hit.dropDuplicates(OWNER)
     families = F.array(*(F.struct(F.lit(f).alias("family"), F.col(f"_{f}").alias("hits")) for f in FAMILIES))
-    rows = alike.select(*owner, F.explode(families).alias("_f")).where(F.col("_f.hits").isNotNull())
-    rows = rows.select(*owner, F.col("_f.family").alias("family"), F.posexplode("_f.hits").alias("at", "_h")).select(*owner, "family", "at", "_h.*")
+    rows = alike.select(*OWNER, F.explode(families).alias("_f")).where(F.col("_f.hits").isNotNull())
+    rows = rows.select(*OWNER, F.col("_f.family").alias("family"), F.posexplode("_f.hits").alias("at", "_h")).select(*OWNER, "family", "at", "_h.*")
 
-    in_turn = Window.partitionBy(*owner, "family").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    in_turn = Window.partitionBy(*OWNER, "family").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("size")).over(in_turn)
     parts = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).withColumn("kind", _kind()).where(F.col("kind").isNotNull())
 
-    near = Window.partitionBy(*owner).orderBy("start").rangeBetween(-REACH, REACH)
+    near = Window.partitionBy(*OWNER).orderBy("start").rangeBetween(-REACH, REACH)
     is_secret = F.max(F.col("kind").isin("assign", "hex", "short", "digest")).over(near)
     is_identifier = F.max(F.col("kind").isin("access", "user")).over(near)
     weak = F.when(F.col("kind").isin("short", "digest"), is_identifier).when(F.col("kind") == "user", is_secret).when(F.col("kind") == "endpoint", is_secret & is_identifier)
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    span = F.struct("start", order.alias("order"), "end", "kind")
     told = parts.withColumn("_ok", F.coalesce(weak, F.lit(True))).where("_ok")
-    listed = told.groupBy(*owner).agg(F.array_sort(F.collect_list(span)).alias("_spans"))
-    hit = hit.select("doc_id", *owner).join(listed, owner, "left").select("doc_id", "_spans")
+    return told.groupBy(*OWNER).agg(F.array_sort(F.collect_list(F.struct("start", order.alias("order"), "end", "kind"))).alias("_spans"))
+
+
+def _with_hits(docs: DataFrame) -> DataFrame:
+    return docs.select("*", *(_hits(F.coalesce("text", F.lit("")), p, g).alias(f"_{f}") for f, (p, g) in FAMILIES.items()))
+
 
-    out = hit.unionByName(none.select("doc_id", F.lit(None).cast(hit.schema["_spans"].dataType).alias("_spans")))
-    spans = F.coalesce("_spans", F.array().cast(hit.schema["_spans"].dataType))
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked, linked for each row of docs.
+
+    spans lists kind:start:end of all findings by start, then kind, in code points, end exclusive;
+    linked those of weak parts that complementary ones confirm. Null and empty texts have none. A null
+    id stays; repeated rows give repeated rows; columns besides doc_id and text are not read.
+    """
+    found = _with_hits(_owner(docs.select("doc_id", "text"))).drop("text")
+    any_hit = F.coalesce(*(F.col(f"_{f}.gap")[0] for f in FAMILIES)).isNotNull()
+    found = checkpointed(found.withColumn("_any", any_hit).withColumn("_key", F.when(F.col("_any"), F.col("_key"))))
+    hit = found.where("_any")
+    hit = hit.select("doc_id", *OWNER).join(linked_spans(hit), OWNER, "left").select("doc_id", "_spans")
+    kind = hit.schema["_spans"].dataType
+
+    out = hit.unionByName(found.where("not _any").select("doc_id", F.lit(None).cast(kind).alias("_spans")))
+    spans = F.coalesce("_spans", F.array().cast(kind))
     base, extra = F.filter(spans, lambda s: s["order"] <= 3), F.filter(spans, lambda s: s["order"] > 3)
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
     text_of = lambda these: F.array_join(F.transform(these, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -99,6 +110,34 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
+def redact(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, findings in the text replaced by [kind].
+
+    Findings that overlap become one, under the first one's kind. n_chars, where docs has it, follows
+    a text that changes; all else stays as it is, null texts too. Only rows in which a pattern
+    matches are joined with their findings; the others pass by.
+    """
+    columns = docs.columns
+    text = F.coalesce("text", F.lit(""))
+    matches = text.rlike("|".join(f"(?:{p})" for p, _ in FAMILIES.values()))
+    hit = _owner(docs.where(matches))
+    listed = linked_spans(checkpointed(_with_hits(hit.select("doc_id", "text", *OWNER)).drop("text", "doc_id")))
+    joined = hit.join(listed, OWNER, "left")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def take(done, span):
+        piece = F.substring(F.col("text"), (done["at"] + 1).cast("int"), (span["start"] - done["at"]).cast("int"))
+        onward = F.struct(span["end"].alias("at"), F.concat(done["out"], piece, F.lit("["), span["kind"], F.lit("]")).alias("out"))
+        within = F.struct(F.greatest(done["at"], span["end"]).alias("at"), done["out"].alias("out"))
+        return F.when(span["start"] >= done["at"], onward).otherwise(within)
+
+    new = F.aggregate("_spans", start, take, lambda done: F.concat(done["out"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.char_length("text"))))
+    joined = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), new).otherwise(F.col("text")))
+    if "n_chars" in columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return docs.where(~matches).unionByName(joined.select(*columns))
+
+
 def _sql_quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
