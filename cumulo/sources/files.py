@@ -44,6 +44,11 @@ def write_bytes(uri: str, data: bytes) -> None:
         file.write(data)
 
 
+def file_name(shape: str) -> str:
+    """A name without slashes or percent signs, different for different shapes."""
+    return quote(shape, safe="").replace("~", "%7E").replace("%", "~")
+
+
 def stem(path: str) -> str:
     return re.sub(r"\.[^.]*$", "", path.rpartition("/")[2])
 
@@ -143,7 +148,7 @@ class _Writer(DataSourceArrowWriter):
         def put():
             if held:
                 table = pa.Table.from_batches(held)
-                write_bytes(f"{self.folder}/{quote(str(shape), safe='')}.ply", ply_bytes({c: table.column(c).to_numpy().astype(np.float64) for c in self.names}))
+                write_bytes(f"{self.folder}/{file_name(str(shape))}.ply", ply_bytes({c: table.column(c).to_numpy().astype(np.float64) for c in self.names}))
 
         for batch in batches:
             ids = batch.column("shape_id").to_pylist()
