@@ -81,7 +81,7 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, size: float | None = None,
     """Rows of queries (as_queries) with their k nearest of refs (as_refs): d2 and rank from 1 besides all columns of both.
 
     Fewer rows where a shape has fewer references. Shapes of more than DIRECT_PAIRS pairs go over the
-    grid, whose first cells are `size` wide (by default such that they hold some k references).
+    grid, whose first cells are `size` wide (by default such that the 27 cells around a query hold some 3 k references).
     """
     counts = queries.groupBy("shape_id").agg(F.count(F.lit(1)).alias("_q")).join(refs.groupBy("shape_id").agg(F.count(F.lit(1)).alias("_r")), "shape_id")
     most, largest = counts.agg(F.max(F.col("_q") * F.col("_r")), F.max("_r")).first()
@@ -89,7 +89,7 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, size: float | None = None,
         return direct(queries, refs, k, metric)
     if size is None:
         span = refs.agg(*(F.max(f"r{a}") - F.min(f"r{a}") for a in AXES)).first()
-        size = max(max(span) * (2.0 * k / largest) ** (1 / 3), 1e-9)
+        size = max(max(span) * (k / (9.0 * largest)) ** (1 / 3), 1e-9)
     return grid(queries, refs, k, size)
 
 
