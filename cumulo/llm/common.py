@@ -39,7 +39,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
 
     The sample is chosen from ids and labels alone, so only its own texts are read out; both the
     number of rows and the sum of their characters (max_chars) are bounded, whatever the tables hold.
-    Texts over max_chars / 20 are passed over. Null ids, labels and texts take no part.
+    Texts over max_chars / 100 are passed over, so what is collected is bounded before it is. Null ids, labels and texts take no part.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id"), parts) != out))
     chosen = None
@@ -48,7 +48,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
         part = part.dropDuplicates(["doc_id"]).orderBy(order_key(F.col("doc_id")), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * per_class rows of two numbers: a proven bound for the broadcast.
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars // 20))
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars // 100))
     rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(order_key(F.col("doc_id")), "doc_id", "text").limit(2 * per_class).collect()
     kept, chars = [], 0
     for row in rows:

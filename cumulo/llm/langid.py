@@ -162,7 +162,7 @@ def draw_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: in
     chosen = known.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language).select("doc_id", F.col("lang").alias("_lang"))
     # per_language * LANGUAGES small rows at most: a proven bound for the broadcast.
     chosen = chosen.dropDuplicates(["doc_id"]).limit(per_language * LANGUAGES)
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars // 20))
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars // 100))
     rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(order_key(F.col("doc_id")), "doc_id", "text").select("text", "_lang").limit(per_language * 10).collect()
     kept, chars = [], 0
     for text, lang in rows:

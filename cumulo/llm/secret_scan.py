@@ -20,8 +20,9 @@ REACH = 200
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
-USER = r"""(?i:user(?:_?name)?|login|client_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}|[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"""
+USER = r"""(?i:user(?:_?name)?|login|client_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}|[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"""
 ENDPOINT = r"https?://[A-Za-z0-9.-]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
+# Repeated groups are bounded: the engine recurses on them, and a long text must not exhaust its stack.
 #: Family: its pattern, and the group whose length decides.
 FAMILIES = {"assign": (ASSIGN, 2), "access": (ACCESS, 0), "hex": (HEX, 0), "user": (USER, 0), "endpoint": (ENDPOINT, 0)}
 #: Kinds in the order of equal starts; the first three are the base.
