@@ -36,3 +36,11 @@ def estimate(points: DataFrame, k: int = 64) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(normal[:, i])) for i in range(3))], names=["shape_id", "point_id", "nx", "ny", "nz"])
 
     return covariances(points, k).mapInArrow(run, "shape_id string, point_id long, nx double, ny double, nz double")
+
+
+def oriented(points: DataFrame, k: int = 64, steepest_deg: float = 85.0) -> DataFrame:
+    """points with normals estimated from k neighbours and turned to the sensor; those seen at a grazing angle are dropped."""
+    from .affine import face_sensor
+
+    found = estimate(points.select("shape_id", "point_id", "x", "y", "z"), k)
+    return face_sensor(points.drop("nx", "ny", "nz").join(found, ["shape_id", "point_id"]), steepest_deg).select(*points.columns)

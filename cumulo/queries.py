@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import vec
 from .functions.vec import Vec
-from .operators import affine, crop, knn, metrics, mixing, normals, report, sampling, sdf, volume
+from .operators import affine, crop, knn, mesh, metrics, mixing, normals, report, sampling, sdf, volume
 from .sources import views
 
 #: Common table expressions of the views, by name, each with those that it needs.
@@ -675,3 +675,61 @@ def run_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unpack_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = spark.sql("SELECT X'A010' AS packed")
     return packed.select(F.posexplode(mixing.unpack_bits(F.col("packed"), 12)).alias("i", "bit")).select(F.col("i").cast("long").alias("i"), "bit")
+
+
+# --- meshes, files, batches and names ------------------------------------------------------------------------------
+
+
+def _triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three points with neighbouring ids are a face; all are one shape."""
+    points = views.small_cloud(spark, sf_dir).withColumn("face_id", F.floor(F.col("point_id") / 3)).withColumn("corner", F.pmod("point_id", F.lit(3)))
+    take = lambda k, a: F.max(F.when(F.col("corner") == k, F.col(a)))
+    faces = points.groupBy("face_id").agg(*(take(k, a).alias(f"{c}{a}") for k, c in enumerate("abc") for a in "xyz"))
+    return faces.where("cx is not null").withColumn("shape_id", F.lit("all"))
+
+
+_TRIANGLES = "SELECT 'all' AS shape_id, point_id // 3 AS face_id, " + ", ".join(f"max({a}) FILTER (WHERE point_id % 3 = {k}) AS {c}{a}" for k, c in enumerate("pqr") for a in _AXES) + " FROM small_cloud GROUP BY ALL HAVING rx IS NOT NULL"
+_U3, _V3 = ({a: f"({c}{a} - p{a})" for a in _AXES} for c in "qr")
+_CROSS = {"x": f"{_U3['y']} * {_V3['z']} - {_U3['z']} * {_V3['y']}", "y": f"{_U3['z']} * {_V3['x']} - {_U3['x']} * {_V3['z']}", "z": f"{_U3['x']} * {_V3['y']} - {_U3['y']} * {_V3['x']}"}
+_AREA = f"sqrt({' + '.join(f'({c}) * ({c})' for c in _CROSS.values())}) / 2"
+
+
+@_query(_with("small_cloud", triangles=_TRIANGLES, sized=f"SELECT *, {_AREA} AS area, coalesce(sum({_AREA}) OVER (ORDER BY face_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM triangles",
+    drawn=f"SELECT 'all' AS shape_id, draw::INT AS draw, {_u(0, 'mesh', chr(39) + 'all' + chr(39), 'draw')} * (SELECT sum(area) FROM sized) AS place, sqrt({_u(0, 'mesh.r', chr(39) + 'all' + chr(39), 'draw')}) AS r, {_u(0, 'mesh.t', chr(39) + 'all' + chr(39), 'draw')} AS t FROM range(500) AS g(draw)",
+    body=f"SELECT d.shape_id, draw, face_id, {', '.join(_r(f'p{a} * (1 - r) + q{a} * (r * (1 - t)) + r{a} * (r * t)', a) for a in _AXES)} FROM drawn d JOIN sized s ON place >= start AND place < start + area"))
+def mesh_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(mesh.sample(_triangles(spark, sf_dir), 500))
+
+
+@_query(_with("small_cloud", triangles=_TRIANGLES, body=f"SELECT shape_id, face_id, {_r(_AREA, 'area')}, {', '.join(_r(f'({c}) / ({_AREA} * 2)', f'n{a}') for a, c in _CROSS.items())} FROM triangles"))
+def mesh_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(mesh.areas(_triangles(spark, sf_dir)))
+
+
+@_query(_with("small_cloud", body=f"SELECT {', '.join(_r(c, c) for c in ('x', 'y', 'z', 'nx', 'ny', 'nz', 'sx', 'sy', 'sz', 'r', 'g', 'b'))} FROM small_cloud"))
+def ply_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes written as ply files under the shared folder and read back, one file a task."""
+    import uuid
+
+    from .sources import files
+
+    folder = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir', 'file:///tmp/checkpoints').rstrip('/')}/ply-{uuid.uuid4().hex}"
+    files.write_ply(views.small_cloud(spark, sf_dir), folder)
+    return _out(files.read_points(spark, "ply", files.list_files(folder, ".ply")).select("x", "y", "z", "nx", "ny", "nz", "sx", "sy", "sz", "r", "g", "b"))
+
+
+@_query("SELECT (o_orderkey // 64)::BIGINT AS batch_idx, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS items FROM orders GROUP BY 1")
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = views.mix(spark, sf_dir).select(F.col("item").alias("idx"), "item")
+    return mixing.in_batches(items, 64).select("batch_idx", F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"))
+
+
+@_query("""SELECT page_id, lpad(page_id::VARCHAR, 6, '0') AS padded, regexp_extract(url, '([^/]+?)(?:\\.[^./]*)?$', 1) AS stem, split_part(url, '/', 3) AS host, regexp_matches(url, 'example\\.(com|org)') AS chosen,
+    starts_with(url, 'https://') AND ends_with(url, '5') AS listed, concat_ws('+', split_part(url, '/', 3), split_part(url, '/', 4)) AS shown FROM pages""")
+def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as reports and manifests need them: padded numbers, stems, parts of paths, predicates."""
+    part = lambda i: F.split_part("url", F.lit("/"), F.lit(i))
+    return views.table(spark, sf_dir, "pages").select(
+        "page_id", F.lpad(F.col("page_id").cast("string"), 6, "0").alias("padded"), F.regexp_extract("url", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem"), part(3).alias("host"), F.col("url").rlike(r"example\.(com|org)").alias("chosen"),
+        (F.col("url").startswith("https://") & F.col("url").endswith("5")).alias("listed"), F.concat_ws("+", part(3), part(4)).alias("shown"),
+    )

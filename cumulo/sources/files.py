@@ -236,3 +236,11 @@ def empty_geometry(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 #: Sources by the name that configurations use; never evaluated from text.
 SOURCES = {kind: (lambda spark, paths, kind=kind, **more: read_points(spark, kind, paths, **more)) for kind in DECODERS}
+
+
+def list_files(folder: str, suffix: str) -> list[str]:
+    """URIs of the files in a folder, by name."""
+    fs, path = filesystems.FileSystem.from_uri(folder)
+    scheme = folder[: folder.index(path)] if path in folder else ""
+    found = fs.get_file_info(filesystems.FileSelector(path, allow_not_found=True))
+    return sorted(f"{scheme}{f.path}" for f in found if f.path.endswith(suffix))

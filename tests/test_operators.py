@@ -140,3 +140,21 @@ def test_empty_inputs(spark):
     none = cloud(spark, [])
     for made in (crop.crop_box(none, (0, 0, 0), (1, 1, 1)), sampling.resize(none, 5), affine.bound_scale(none, 1, 2), sampling.voxels(none, 0.1), knn.knn(knn.as_queries(none), knn.as_refs(none), 3)):
         assert made.count() == 0
+
+
+def test_mesh_samples_follow_area(spark):
+    from cumulo.operators import mesh
+
+    vertices = spark.createDataFrame([("a", 0, 0.0, 0.0, 0.0), ("a", 1, 1.0, 0.0, 0.0), ("a", 2, 0.0, 1.0, 0.0), ("a", 3, 9.0, 0.0, 0.0)], "shape_id string, vertex_id long, x double, y double, z double")
+    faces = spark.createDataFrame([("a", 0, 0, 1, 2), ("a", 1, 1, 3, 2), ("a", 2, 1, 1, 2)], "shape_id string, face_id long, a long, b long, c long")
+    triangles = mesh.from_tables(vertices, faces)
+    assert {r.face_id: r.area for r in mesh.areas(triangles).collect()} == {0: 0.5, 1: 4.0, 2: 0.0}
+    rows = mesh.sample(triangles, 900).collect()
+    share = sum(r.face_id == 1 for r in rows) / 900
+    assert len(rows) == 900 and abs(share - 8 / 9) < 0.05 and all(r.z == 0 and r.x >= 0 and r.y >= 0 and r.x / 9 + r.y <= 1 + 1e-12 for r in rows)
+
+
+def test_normals_face_the_sensor(spark):
+    plane = cloud(spark, [("a", i * 6 + j, (i / 5, j / 5, 0)) for i in range(6) for j in range(6)])
+    below = plane.withColumn("sz", F.lit(-5.0))
+    assert {round(r.nz) for r in normals.oriented(plane, 9).collect()} == {1} and {round(r.nz) for r in normals.oriented(below, 9).collect()} == {-1}
