@@ -25,6 +25,8 @@ LEAST_REVISIT = 0
 #: Bytes of payload of an archive, bytes of records that its dictionary is built from, and the dictionary's size.
 ARCHIVE_BYTES, TRAIN_BYTES, DICT_BYTES = 64_000_000, 512_000, 16_384
 LEVEL = 3
+#: Tasks that read archives at most; beyond that many archives, a task reads several in turn.
+MOST_TASKS = 100_000
 DATE = "2000-01-01T00:00:00Z"
 #: Fixed values of the format: the skippable frame that holds a dictionary.
 SKIPPABLE = 0x184D2A5D
@@ -177,7 +179,9 @@ def read_archives(listed: DataFrame) -> DataFrame:
                     rows = [parse(record) for record in frames(file.read())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return listed.repartition("path").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # The list is tiny, so a number is given: else the adaptive plan would have one task read all archives.
+    tasks = min(max(1, listed.count()), MOST_TASKS)
+    return listed.repartition(tasks).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
