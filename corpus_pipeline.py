@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from cumulo.llm import langid, minhash, packing, quality, secret_scan
 from cumulo.llm.common import read_table, shared_dir
 
+#: Near duplicates share this many percent of their word shingles; op4_minhash has a threshold of its own.
+NEAR_PERCENT = 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality network, fitted on the labels of docs, does not reject."""
@@ -20,7 +23,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near duplicates."""
-    return minhash.representatives(docs)
+    return minhash.representatives(docs, NEAR_PERCENT)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from .common import checkpointed, slices
 
 WORDS = 5
-#: Links need 100 * intersection >= PERCENT * union.
+#: Links need 100 * intersection >= percent * union; this is the percent of op4_minhash.
 PERCENT = 85
-#: At similarity 0.85, 25 bands of 5 miss a pair with probability 4e-7.
-BANDS, ROWS = 25, 5
+#: Bands at PERCENT, and hash functions a band; hashes() has the number for other thresholds. Bands miss a pair with
+#: probability BAND_MISS at most: 4e-7 at similarity 0.85 with 25 bands, 1e-7 at 0.80 with 40.
+BANDS, ROWS, BAND_MISS = 25, 5, 5e-7
 HASHES = BANDS * ROWS
 #: Positions compared before each posterior bound is looked up, and the chosen miss probability.
 BATCH, MISS = 25, 1e-6
@@ -39,6 +40,23 @@ _SYMBOL = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64)
+
+
+@functools.cache
+def hashes(percent: int = PERCENT) -> int:
+    """Hash functions, in whole bands and batches, whose bands miss a pair at the threshold with probability BAND_MISS at most."""
+    bands = np.log(BAND_MISS) / np.log1p(-((percent / 100) ** ROWS)) if percent < 100 else 1
+    return int(np.ceil(bands * ROWS / BATCH)) * BATCH
+
+
+@functools.cache
+def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and offsets of the first `count` hash functions, as columns."""
+    more = np.random.default_rng(21).integers(1, 1 << 63, (max(0, count - HASHES), 2), dtype=np.uint64)
+    a, b = np.concatenate([_A, more[:, 0] | np.uint64(1)]), np.concatenate([_B, more[:, 1]])
+    return a[:count, None], b[:count, None]
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -73,18 +91,19 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """The least value of each hash function over a set that isn't empty."""
-    least = np.full(HASHES, 0xFFFFFFFF, np.uint64)
+def signature(found: np.ndarray, count: int = HASHES) -> np.ndarray:
+    """The least value of each of `count` hash functions over a set that isn't empty."""
+    a, b = _functions(count)
+    least = np.full(count, 0xFFFFFFFF, np.uint64)
     for start in range(0, len(found), 4096):
-        values = (found[None, start : start + 4096] * _A[:, None] + _B[:, None]) >> np.uint64(32)
+        values = (found[None, start : start + 4096] * a + b) >> np.uint64(32)
         least = np.minimum(least, values.min(axis=1))
     return least
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    mixed = (_mix(least).reshape(BANDS, ROWS) * _PLACE[:ROWS]).sum(axis=1, dtype=np.uint64)
-    return _mix(mixed + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    mixed = (_mix(least).reshape(-1, ROWS) * _PLACE[:ROWS]).sum(axis=1, dtype=np.uint64)
+    return _mix(mixed + np.arange(len(mixed), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 @functools.cache
@@ -95,7 +114,7 @@ def least_agreement(percent: int = PERCENT, miss: float = MISS) -> dict[int, int
     """
     grid = (np.arange(20_000) + 0.5) / 20_000
     out = {}
-    for k in range(BATCH, HASHES + 1, BATCH):
+    for k in range(BATCH, hashes(percent) + 1, BATCH):
         for m in range(k + 1):
             log = m * np.log(grid) + (k - m) * np.log1p(-grid)
             density = np.exp(log - log.max())
@@ -174,7 +193,7 @@ def _edges(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64))], schema=_EDGES)
 
 
-def describe(docs: DataFrame) -> DataFrame:
+def describe(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, digest of the set, signature (a byte a hash function) and bands of each row of docs."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
@@ -184,7 +203,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 cols = [[] for _ in range(4)]
                 for text in piece.column(1).to_pylist():
                     found = shingles(text)
-                    least = signature(found) if len(found) else None
+                    least = signature(found, hashes(percent)) if len(found) else None
                     row = (len(found), None, None, None) if least is None else (len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), (least & np.uint64(255)).astype(np.uint8).tobytes(), band_keys(least))
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
@@ -202,8 +221,8 @@ def tiled(rows: DataFrame, tiles, key: str, node: str) -> DataFrame:
     return rows.withColumn("i", F.least("tile", "_other")).withColumn("j", F.greatest("tile", "_other")).drop("_other", "_tiles")
 
 
-def survivors(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b): a spanning forest, for each bucket, of the candidates that the sequential test keeps."""
+def survivors(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Edges (a, b): a spanning forest, for each bucket, of the candidates that the sequential test keeps; percent as in describe()."""
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = keyed.join(sizes, "key").join(nodes.select("node", "signature", "n_shingles"), "node")
@@ -212,17 +231,17 @@ def survivors(nodes: DataFrame) -> DataFrame:
     groups = ["key", "i", "j"]
 
     def run(batches):
-        bounds = least_agreement()
+        bounds = least_agreement(percent)
         for table in _runs(batches, groups):
             edges = _bounds(table, groups)
             node, n = table.column("node").to_numpy(), table.column("n_shingles").to_numpy()
             tile, i, j = (table.column(c).to_numpy() for c in ("tile", "i", "j"))
-            marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, HASHES)
+            marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, hashes(percent))
             start, size = edges[:-1], np.diff(edges)
             # Buckets of two, most of all, are compared side by side.
             p = start[(size == 2) & (i[start] == j[start])]
             a, b, agree = p, p + 1, np.zeros(len(p), np.int64)
-            keep = 100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])
+            keep = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
             a, b, agree = a[keep], b[keep], agree[keep]
             for k, bound in bounds.items():
                 agree = agree + (marks[a, k - BATCH : k] == marks[b, k - BATCH : k]).sum(axis=1)
@@ -235,7 +254,7 @@ def survivors(nodes: DataFrame) -> DataFrame:
                 own, counts, ids = marks[s : s + m], n[s : s + m], node[s : s + m]
 
                 def linked(row, rows, own=own, counts=counts):
-                    near = np.flatnonzero(100 * np.minimum(counts[row], counts[rows]) >= PERCENT * np.maximum(counts[row], counts[rows]))
+                    near = np.flatnonzero(100 * np.minimum(counts[row], counts[rows]) >= percent * np.maximum(counts[row], counts[rows]))
                     return near[surviving(own[row], own[rows[near]], bounds)]
 
                 found = forest(m, linked, None if i[s] == j[s] else tile[s : s + m])
@@ -248,7 +267,7 @@ def survivors(nodes: DataFrame) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
-def verified(clusters: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(clusters: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b): a spanning forest of the links within clusters (node, label, n_shingles), on full sets."""
     sums = clusters.groupBy("label").agg(F.sum("n_shingles").alias("_all"))
     rows = docs.select(F.col("doc_id").alias("node"), "text").join(clusters, "node").join(sums, "label")
@@ -278,7 +297,7 @@ def verified(clusters: DataFrame, docs: DataFrame) -> DataFrame:
                     else:
                         both = np.array([mark[flat[starts[r] : starts[r] + sizes[r]]].sum() for r in rows])
                     mark[own] = 0
-                    return 100 * both >= PERCENT * (sizes[row] + sizes[rows] - both)
+                    return 100 * both >= percent * (sizes[row] + sizes[rows] - both)
 
                 for x, y in forest(e - s, linked, None if i[s] == j[s] else tile[s:e]):
                     out_a.append(node[s + x])
@@ -311,29 +330,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs.
+def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs, linked from a similarity of percent / 100 on.
 
     Documents without words are linked with nothing. Repeated rows give repeated rows that are alike;
     each row is judged by its own text. A row with a null id has a null component_id and kept. Columns
     besides doc_id and text are not read.
     """
-    described = checkpointed(describe(docs))
+    described = checkpointed(describe(docs, percent))
     told = described.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     nodes = checkpointed(told.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("bands").alias("bands"), F.max("n_shingles").alias("n_shingles")))
-    clusters = connected_components(survivors(nodes)).join(nodes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")), "node")
-    components = connected_components(verified(checkpointed(clusters), docs))
+    clusters = connected_components(survivors(nodes, percent)).join(nodes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")), "node")
+    components = connected_components(verified(checkpointed(clusters), docs, percent))
     out = described.select("doc_id", "n_shingles", "digest").join(nodes.select("digest", "node"), "digest", "left").join(components, "node", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("label", "node", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of docs, with all its columns, for each component: that of its least doc_id.
 
     Of rows that share this id one stays, by the hash of its text; rows with a null id all stay.
     """
-    told = link(docs).where("kept").select("doc_id").distinct()
+    told = link(docs, percent).where("kept").select("doc_id").distinct()
     held = docs.join(told, "doc_id", "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     held = held.withColumn("_turn", F.row_number().over(first)).where("_turn = 1").drop("_turn")

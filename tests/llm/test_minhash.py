@@ -118,3 +118,16 @@ def test_components(spark):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
     assert got == {k: v for k, v in label.items() if any(k in e and e[0] != e[1] for e in edges)}
+
+
+def test_lower_threshold(spark):
+    assert M.hashes(85) == M.HASHES and M.hashes(80) == 200 and (1 - 0.8**M.ROWS) ** (M.hashes(80) // M.ROWS) < M.BAND_MISS
+    # Nine words changed at the end: 87 of 105 shingles are shared.
+    docs = {}
+    for i in range(40):
+        words = [f"w{i}_{j}" for j in range(100)]
+        docs[2 * i], docs[2 * i + 1] = " ".join(words), " ".join(words[:91] + [f"c{i}_{j}" for j in range(9)])
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.component_id for r in M.link(table, 80).collect()} == set(range(0, 80, 2))
+    assert {r.component_id for r in M.link(table).collect()} == set(docs)
+    assert {r.doc_id for r in M.representatives(table, 80).collect()} == set(range(0, 80, 2))

@@ -25,3 +25,9 @@ def test_pipeline_is_its_stages(spark):
 @pytest.mark.parametrize("n", range(1, 11))
 def test_every_operator_has_a_query(n):
     assert sum(name.startswith(f"op{n}_") for name in __spark_entry__.queries()) == 1
+
+
+def test_near_duplicates_from_80_percent_go(spark):
+    words = [f"w{j}" for j in range(100)]
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(words[:91] + list("abcdefghi")))], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, DATA).collect()] == [0]
