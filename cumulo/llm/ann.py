@@ -2,12 +2,14 @@
 
 A pseudo-random rotation - three rounds of random signs and a fast Hadamard transform - turns each
 vector, and the nearest signed axis is its bucket. There are TABLES rotations; a query looks into the
-PROBES buckets of each whose axes are nearest to it. Candidates of a bucket are ranked by their exact
+probes() buckets of each whose axes are nearest to it. Candidates of a bucket are ranked by their exact
 inner products in the task that holds the bucket, and a query's best of all buckets are merged.
+A query that met fewer than k candidates goes on to all buckets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +17,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TABLES, PROBES, NEAREST = 5, 30, 20
+from .common import checkpointed
+
+#: Tables, least number and share of a table's buckets that are probed, and neighbours.
+TABLES, PROBES, SHARE, NEAREST = 5, 30, 30 / 128, 20
 #: Rows of a bucket that one task compares with the queries at once; larger ones are split.
 BUCKET_ROWS = 8192
 SEED = 11
+#: More buckets than any table has.
+EVERY = 1 << 40
+#: A near vector lies about LEAN * sqrt(2 ln(2 * width) / width) standard deviations nearer to a query's axes than chance.
+LEAN = 2.6
+
+
+def probes(width: int) -> int:
+    """Buckets of a table to look into for vectors padded to `width`: about one in two of the near ones is met in each.
+
+    The wider the vectors, the less an axis tells, so the share of buckets rises from SHARE towards a half.
+    """
+    lean = LEAN * math.sqrt(2 * math.log(2 * width) / width)
+    return max(PROBES, math.ceil(2 * width * max(SHARE, math.erfc(lean / math.sqrt(2)) / 2)))
+
+
+def padded_width(dim: int) -> int:
+    return 1 << (dim - 1).bit_length()
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -33,7 +55,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 def axes(vectors: np.ndarray, table: int, most: int) -> np.ndarray:
     """The signed axes nearest to each vector after a table's rotation, nearest first: 2 * axis, and 1 more if negative."""
-    width = 1 << max(0, (vectors.shape[1] - 1).bit_length())
+    width = padded_width(vectors.shape[1])
     x = np.zeros((len(vectors), width))
     x[:, : vectors.shape[1]] = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
     for turn in range(3):
@@ -47,8 +69,10 @@ def axes(vectors: np.ndarray, table: int, most: int) -> np.ndarray:
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, axis=1), axis=1, kind="stable"), axis=1)
 
 
-def _keys(rows: DataFrame, most: int, tables: int) -> DataFrame:
-    """Each row (id, vec, dim) once for each of its buckets, as (id, vec, dim, bucket); bucket holds the table too."""
+def _keys(rows: DataFrame, most: int | None, tables: int) -> DataFrame:
+    """Each row (id, vec, dim) once for each of its buckets, as (id, vec, dim, bucket); bucket holds the table too.
+
+    There are `most` buckets a table, or by the dimension if that is None."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -58,7 +82,8 @@ def _keys(rows: DataFrame, most: int, tables: int) -> DataFrame:
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 x = np.array([vectors[i] for i in at])
-                found = np.concatenate([axes(x, t, most) + t * 4 * (1 << int(dim - 1).bit_length()) for t in range(tables)], axis=1)
+                width = padded_width(int(dim))
+                found = np.concatenate([axes(x, t, most or probes(width)) + t * 4 * width for t in range(tables)], axis=1)
                 for i, row in zip(at, found, strict=True):
                     buckets[i] = row
             yield pa.RecordBatch.from_arrays([ids, batch.column(1), batch.column(2), pa.array(buckets, pa.list_(pa.int64()))], names=["id", "vec", "dim", "buckets"])
@@ -83,18 +108,31 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull() & fine).withColumn("dim", F.size("vec"))
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int = NEAREST, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def nearest(base: DataFrame, queries: DataFrame, k: int = NEAREST, tables: int = TABLES, probes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found among base, by inner product in double precision.
 
     base and queries have (id, vec, dim) as from usable(). A query's own id is no candidate; ties go
     to smaller ids; vectors of another dimension are none either. Repeated rows of an id are one
-    candidate for each different vector. A query of which no bucket holds anything has no rows.
+    candidate for each different vector. A query has fewer than k rows only where there are fewer
+    candidates. `probes` is the number of buckets a table; without it, it follows from the dimension.
     """
-    keyed = _keys(base.dropDuplicates(["id", "vec"]), 1, tables)
+    base, queries = base.dropDuplicates(["id", "vec"]), queries.dropDuplicates(["id", "vec"])
+    found = checkpointed(_probed(base, queries, k, tables, probes))
+    whole = found.where(F.col("rank") == k).select("query_id")
+    short = queries.join(whole.withColumnRenamed("query_id", "id"), "id", "left_anti")
+    if short.isEmpty():
+        return found
+    # All buckets of one table hold every row once.
+    return found.join(whole, "query_id", "left_semi").unionByName(_probed(base, short, k, 1, EVERY))
+
+
+def _probed(base: DataFrame, queries: DataFrame, k: int, tables: int, probes: int | None) -> DataFrame:
+    """nearest() among what the probed buckets hold."""
+    keyed = _keys(base, 1, tables)
     # A bucket that holds very many rows is split; queries go to each of its splits.
     splits = keyed.groupBy("dim", "bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).cast("int").alias("splits"))
     many = splits.where("splits > 1")
-    asked = _keys(queries.dropDuplicates(["id", "vec"]), probes, tables).join(splits, ["dim", "bucket"])
+    asked = _keys(queries, probes, tables).join(splits, ["dim", "bucket"])
     asked = asked.withColumn("split", F.explode(F.expr("sequence(0, splits - 1)"))).drop("splits").withColumn("asks", F.lit(1))
     keyed = keyed.join(many, ["dim", "bucket"], "left")
     keyed = keyed.withColumn("split", F.expr("cast(pmod(xxhash64(id), coalesce(splits, 1)) as int)")).drop("splits").withColumn("asks", F.lit(0))

@@ -53,3 +53,28 @@ def test_odd_vectors(spark):
     table = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int")
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search_table(table).collect()] == [(0, 1, 1, 1.0)]
     assert ann.search_table(table.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("dim", [128, 256])
+def test_recall_of_wide_vectors(dim):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(8000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    score = x[:50] @ x.T
+    score[np.arange(50), np.arange(50)] = -9
+    best = np.argsort(-score, axis=1)[:, :20]
+    met = np.zeros(best.shape, bool)
+    for t in range(ann.TABLES):
+        bucket, asked = ann.axes(x, t, 1)[:, 0], ann.axes(x[:50], t, ann.probes(dim))
+        met |= (bucket[best][:, :, None] == asked[:, None, :]).any(axis=2)
+    assert met.mean() >= 0.93 and ann.probes(64) == 30
+
+
+def test_few_vectors_are_all_found(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(15)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search_table(table, 1).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [v for v, _ in best] for q, best in brute(rows, every=1).items()}
