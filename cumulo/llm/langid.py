@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from .common import TokenMemo, fold, held_out, keep_rows, map_rows, order_key, padded
 
-#: Documents a language, and characters in all, that the probabilities are learned from.
+#: Documents a language, characters in all, and languages, the most frequent first, that the probabilities are learned
+#: from. Languages share the characters equally.
 PER_LANGUAGE, SAMPLE_CHARS, LANGUAGES = 300, 8_000_000, 1000
+#: Of a text, its first SAMPLE_CHARS / TEXT_PART characters at most are learned from; letter runs in pieces of RUN_CHARS.
+TEXT_PART, RUN_CHARS = 100, 24
 #: Longest piece in characters, with the mark of a word's start.
 LONGEST = 8
 START = "▁"
@@ -133,7 +136,7 @@ def fit(sample: list[tuple[str, str]], path: str, rounds: int = 4) -> tuple[list
     found = pieces(path)
     by_lang: dict[str, Counter] = {}
     for text, lang in sample:
-        by_lang.setdefault(lang, Counter()).update(w for w in re.findall(r"[^\W\d_]+", text.lower()) if len(w) <= 24)
+        by_lang.setdefault(lang, Counter()).update(w[i : i + RUN_CHARS] for w in re.findall(r"[^\W\d_]+", text.lower()) for i in range(0, len(w), RUN_CHARS))
     langs = sorted(lang for lang, words in by_lang.items() if words)
     columns = []
     for lang in langs:
@@ -152,7 +155,11 @@ def fit(sample: list[tuple[str, str]], path: str, rounds: int = 4) -> tuple[list
 
 
 def draw_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """At most per_language texts a language, max_chars in all, chosen by ids alone off the held-out fold."""
+    """At most per_language texts a language, max_chars in all, chosen by ids alone off the held-out fold.
+
+    Each language has an equal share of the characters, whatever the others have: its texts in turn until
+    the share is used, the last of them cut there. Of a long text the beginning is taken.
+    """
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != OUT)).select("doc_id", "lang")
     key = order_key(F.col("doc_id"))
     # Thinned by each language's count first, so that the ranking sees a few times per_language rows of each.
@@ -161,23 +168,25 @@ def draw_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: in
     first = Window.partitionBy("lang").orderBy(key, "doc_id")
     chosen = known.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language).select("doc_id", F.col("lang").alias("_lang"))
     # per_language * LANGUAGES small rows at most: a proven bound for the broadcast.
-    chosen = chosen.dropDuplicates(["doc_id"]).limit(per_language * LANGUAGES)
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars // 100))
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(order_key(F.col("doc_id")), "doc_id", "text").select("text", "_lang").limit(per_language * 10).collect()
-    kept, chars = [], 0
-    for text, lang in rows:
-        chars += len(text)
-        if chars > max_chars:
-            break
-        kept.append((text, lang))
-    return kept
+    chosen = chosen.dropDuplicates(["doc_id"])
+    share = max(1, max_chars // max(1, sizes.count()))
+    texts = docs.select("doc_id", F.substring("text", 1, min(share, max_chars // TEXT_PART)).alias("text")).where(F.length("text") > 0)
+    rows = texts.join(F.broadcast(chosen), "doc_id")
+    in_turn = Window.partitionBy("_lang").orderBy(key, "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_end", F.sum(F.length("text")).over(in_turn)).withColumn("_n", F.count(F.lit(1)).over(in_turn))
+    rows = rows.withColumn("_left", share - F.col("_end") + F.length("text")).where((F.col("_left") > 0) & (F.col("_n") <= per_language))
+    # The shares bound what is collected: max_chars in all, and per_language rows of each language.
+    rows = rows.select(F.col("text").substr(F.lit(1), F.col("_left").cast("int")).alias("text"), "_lang", key.alias("_key"), "doc_id")
+    return [(text, lang) for text, lang, _, _ in sorted(rows.collect(), key=lambda r: (r["_key"], r["doc_id"], r["text"]))]
 
 
 def scorer(model: tuple[list[str], np.ndarray], path: str):
     """A function from texts to their languages and scores."""
     langs, table = model
     found = pieces(path)
-    memo = TokenMemo(lambda words: np.concatenate([log_likelihoods(words, found, table), np.ones((len(words), 1))], axis=1), len(langs) + 1)
+    # The memo holds fewer tokens where languages are many, for the same memory.
+    most = min(300_000, 12_000_000 // (len(langs) + 1))
+    memo = TokenMemo(lambda words: np.concatenate([log_likelihoods(words, found, table), np.ones((len(words), 1))], axis=1), len(langs) + 1, most)
 
     def judge(texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [], []

@@ -133,3 +133,19 @@ def test_filters_keep_whole_rows(spark, odd_docs, no_docs):
     assert quality.accepted(odd_docs, labels).schema.names == odd_docs.columns and quality.accepted(no_docs, labels).count() == 0
     kept = langid.accepted(odd_docs)
     assert kept.columns == odd_docs.columns and {r.doc_id for r in kept.collect()}.isdisjoint({0, 1, 2, 3})
+
+
+def test_language_sample_is_shared_equally(spark):
+    rows = [(100 * n + i, f"text {n} {i} " * 3, f"l{n:02}") for n in range(12) for i in range(100)]
+    rows += [(5000 + i, "rare words here", "rare") for i in range(4)] + [(6000 + i, "long " * 500, "long") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    for text, lang in langid.draw_sample(docs, per_language=20, max_chars=14 * 800):
+        seen.setdefault(lang, []).append(text)
+    assert len(seen) == 14 and all(len(seen[f"l{n:02}"]) == 20 for n in range(12))
+    assert all(sum(map(len, texts)) <= 800 for texts in seen.values()) and sum(map(len, seen["long"])) >= 112
+
+
+def test_long_letter_runs_are_learned():
+    langs, _ = langid.fit([("a" * 60, "one"), ("b" * 60, "two")], langid.default_vocabulary(), 1)
+    assert langs == ["one", "two"]
