@@ -4,7 +4,8 @@ Patterns give parts of credentials with their places: secrets and access identif
 themselves, and weak ones - short or undersized secrets, user names and mail addresses, endpoints -
 that count only where complementary parts stand within REACH code points in the same document: an
 identifier beside a secret, a weak secret beside an identifier, an endpoint beside both. The interval
-join of a document's parts runs over their sorted places, in a frame of REACH to either side.
+join of a document's parts runs over their sorted places. redact() measures from the end of one part to
+the start of the next; scan() from start to start, as oracle_sql() does.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Code points between the starts of parts that belong together.
+#: Code points between parts that belong together.
 REACH = 200
 #: The base patterns are fixed values; letters of an assignment's name stand in either case.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -62,8 +63,10 @@ def _owner(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
-def linked_spans(hit: DataFrame) -> DataFrame:
-    """_id, _key and _spans, the findings in order, from rows with the columns of _hits() for each family."""
+def linked_spans(hit: DataFrame, whole_parts: bool = False) -> DataFrame:
+    """_id, _key and _spans, the findings in order, from rows with the columns of _hits() for each family.
+
+    Parts are near each other by their starts; with whole_parts, by the gap between them, whatever their lengths."""
     alike = hit.dropDuplicates(OWNER)
     families = F.array(*(F.struct(F.lit(f).alias("family"), F.col(f"_{f}").alias("hits")) for f in FAMILIES))
     rows = alike.select(*OWNER, F.explode(families).alias("_f")).where(F.col("_f.hits").isNotNull())
@@ -74,8 +77,18 @@ def linked_spans(hit: DataFrame) -> DataFrame:
     parts = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).withColumn("kind", _kind()).where(F.col("kind").isNotNull())
 
     near = Window.partitionBy(*OWNER).orderBy("start").rangeBetween(-REACH, REACH)
-    is_secret = F.max(F.col("kind").isin("assign", "hex", "short", "digest")).over(near)
-    is_identifier = F.max(F.col("kind").isin("access", "user")).over(near)
+    # Of parts that start before this one the farthest end counts, of those that start after it the first start.
+    before = Window.partitionBy(*OWNER).orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*OWNER).orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
+
+    def beside(*kinds: str) -> Column:
+        of_kind = F.col("kind").isin(*kinds)
+        if not whole_parts:
+            return F.max(of_kind).over(near)
+        ends, starts = F.max(F.when(of_kind, F.col("end"))).over(before), F.min(F.when(of_kind, F.col("start"))).over(after)
+        return F.coalesce(ends >= F.col("start") - REACH, F.lit(False)) | F.coalesce(starts <= F.col("end") + REACH, F.lit(False))
+
+    is_secret, is_identifier = beside("assign", "hex", "short", "digest"), beside("access", "user")
     weak = F.when(F.col("kind").isin("short", "digest"), is_identifier).when(F.col("kind") == "user", is_secret).when(F.col("kind") == "endpoint", is_secret & is_identifier)
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     told = parts.withColumn("_ok", F.coalesce(weak, F.lit(True))).where("_ok")
@@ -122,7 +135,7 @@ def redact(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     matches = text.rlike("|".join(f"(?:{p})" for p, _ in FAMILIES.values()))
     hit = _owner(docs.where(matches))
-    listed = linked_spans(checkpointed(_with_hits(hit.select("doc_id", "text", *OWNER)).drop("text", "doc_id")))
+    listed = linked_spans(checkpointed(_with_hits(hit.select("doc_id", "text", *OWNER)).drop("text", "doc_id")), whole_parts=True)
     joined = hit.join(listed, OWNER, "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 

@@ -74,3 +74,11 @@ def test_redaction(spark, odd_docs, no_docs):
 def test_no_python_in_the_plan(spark, make):
     plan = make(docs_of(spark, TEXTS[:3]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_redaction_links_by_gaps(spark):
+    long, far = "token=" + "x" * 600, "\n" + " " * 201
+    texts = [long + "\nclient_id=abc https://h.example.org/", "user=" + "u" * 300 + " secret=pw12", long + far + "client_id=abc", "client_id=abc" + far + long, "client_id=abc" + far[:200] + long]
+    rows = {r.doc_id: r.text for r in S.redact(docs_of(spark, texts)).collect()}
+    assert rows[0] == "[assign]\n[user] [endpoint]/" and rows[1] == "[user] [short]"
+    assert rows[2] == "[assign]" + far + "client_id=abc" and rows[3] == "client_id=abc" + far + "[assign]" and rows[4] == "[user]" + far[:200] + "[assign]"
