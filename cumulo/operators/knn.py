@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import checkpointed
 from .crop import AXES
 
 #: Largest number of pairs of one shape that are compared directly.
@@ -46,9 +47,6 @@ def direct(queries: DataFrame, refs: DataFrame, k: int, metric: str = "l2") -> D
 
 def grid(queries: DataFrame, refs: DataFrame, k: int, size: float, rounds: int = 40) -> DataFrame:
     """knn() by cells of `size` and up. Each round's settled queries are written out, and only the others go on."""
-    session = queries.sparkSession
-    if session.sparkContext.getCheckpointDir() is None:
-        session.sparkContext.setCheckpointDir(session.sparkContext.getConf().get("spark.checkpoint.dir", "file:///tmp/checkpoints"))
     extent = refs.select(*(f"r{a}" for a in AXES)).unionByName(queries.select(*(F.col(f"q{a}").alias(f"r{a}") for a in AXES)))
     row = extent.agg(*(F.max(f"r{a}") - F.min(f"r{a}") for a in AXES)).first()
     widest = max((v for v in row if v is not None), default=0.0)
@@ -64,12 +62,12 @@ def grid(queries: DataFrame, refs: DataFrame, k: int, size: float, rounds: int =
         pairs = near.join(celled, ["shape_id", *CELLS]).drop(*CELLS).withColumn("d2", distance2())
         found = _nearest(pairs, k)
         if last:
-            done, left = found.checkpoint(eager=True), None
+            done, left = checkpointed(found), None
         else:
             whole = Window.partitionBy("shape_id", "query_id")
             found = found.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_far", F.max("d2").over(whole))
-            done = found.where((F.col("_n") == k) & (F.col("_far") < size * size)).drop("_n", "_far").checkpoint(eager=True)
-            left = left.join(done.select("shape_id", "query_id").distinct(), ["shape_id", "query_id"], "left_anti").checkpoint(eager=True)
+            done = checkpointed(found.where((F.col("_n") == k) & (F.col("_far") < size * size)).drop("_n", "_far"))
+            left = checkpointed(left.join(done.select("shape_id", "query_id").distinct(), ["shape_id", "query_id"], "left_anti"))
         settled = done if settled is None else settled.unionByName(done)
         if left is None or left.isEmpty():
             return settled

@@ -709,11 +709,9 @@ def mesh_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_with("small_cloud", body=f"SELECT {', '.join(_r(c, c) for c in ('x', 'y', 'z', 'nx', 'ny', 'nz', 'sx', 'sy', 'sz', 'r', 'g', 'b'))} FROM small_cloud"))
 def ply_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shapes written as ply files under the shared folder and read back, one file a task."""
-    import uuid
+    from .sources import files, storage
 
-    from .sources import files
-
-    folder = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir', 'file:///tmp/checkpoints').rstrip('/')}/ply-{uuid.uuid4().hex}"
+    folder = storage.shared_dir(spark, "ply")
     files.write_ply(views.small_cloud(spark, sf_dir), folder)
     return _out(files.read_points(spark, "ply", files.list_files(folder, ".ply")).select("x", "y", "z", "nx", "ny", "nz", "sx", "sy", "sz", "r", "g", "b"))
 

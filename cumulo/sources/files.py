@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .storage import arrow_uri, opened
+
 POINT_SCHEMA = "shape_id string, role string, point_id long, " + ", ".join(f"{p}{a} double" for p in ("", "n", "s") for a in "xyz") + ", r double, g double, b double"
 #: Arrays of an npz file, and the columns that they become. Fixed names.
 ARRAYS = {"points": "xyz", "xyz": "xyz", "normals": ("nx", "ny", "nz"), "normal": ("nx", "ny", "nz"), "sensor": ("sx", "sy", "sz"), "rgb": "rgb"}
@@ -32,13 +34,13 @@ PLY_TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int":
 
 
 def read_bytes(uri: str) -> bytes:
-    fs, path = filesystems.FileSystem.from_uri(uri)
+    fs, path = opened(uri)
     with fs.open_input_file(path) as file:
         return file.read()
 
 
 def write_bytes(uri: str, data: bytes) -> None:
-    fs, path = filesystems.FileSystem.from_uri(uri)
+    fs, path = opened(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     with fs.open_output_stream(path, compression=None) as file:
         file.write(data)
@@ -240,7 +242,8 @@ SOURCES = {kind: (lambda spark, paths, kind=kind, **more: read_points(spark, kin
 
 def list_files(folder: str, suffix: str) -> list[str]:
     """URIs of the files in a folder, by name."""
-    fs, path = filesystems.FileSystem.from_uri(folder)
+    folder = arrow_uri(folder)
+    fs, path = opened(folder)
     scheme = folder[: folder.index(path)] if path in folder else ""
     found = fs.get_file_info(filesystems.FileSelector(path, allow_not_found=True))
     return sorted(f"{scheme}{f.path}" for f in found if f.path.endswith(suffix))

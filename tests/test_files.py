@@ -67,3 +67,28 @@ def test_stream(spark, tmp_path):
     query = windowed_means(read_log(spark, str(tmp_path / "log"))).writeStream.outputMode("append").format("memory").queryName("means").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [(r.n, r["mean"]) for r in spark.table("means").collect()] == [(2, 2.0)]
+
+
+def test_shared_folders(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from cumulo.sources import storage
+
+    assert storage.shared_dir(spark, "x") != storage.shared_dir(spark, "x")
+    conf = SimpleNamespace(get=lambda key, default: default)
+    cluster = SimpleNamespace(master="spark://host:7077", getConf=lambda: conf, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+    with pytest.raises(ValueError):
+        storage.checkpoint_base(SimpleNamespace(sparkContext=cluster))
+    cluster.master = "local[2]"
+    assert storage.checkpoint_base(SimpleNamespace(sparkContext=cluster)) == storage.LOCAL_BASE
+    cluster.getConf = lambda: SimpleNamespace(get=lambda key, default: "s3a://bucket/work")
+    cluster.master = "yarn"
+    assert storage.checkpoint_base(SimpleNamespace(sparkContext=cluster)) == "s3a://bucket/work"
+
+
+def test_uris_of_hadoop_are_taken():
+    from cumulo.sources import storage
+
+    assert storage.arrow_uri("s3a://bucket/a/b") == "s3://bucket/a/b" and storage.arrow_uri("dbfs:/x/y") == "file:///dbfs/x/y"
+    assert storage.arrow_uri("file:/tmp/x") == "file:///tmp/x" and storage.arrow_uri("/tmp/x") == "/tmp/x" and storage.arrow_uri("hdfs://n/x") == "hdfs://n/x"
+    assert storage.opened("file:/tmp/x")[1] == "/tmp/x"
