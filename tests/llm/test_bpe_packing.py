@@ -99,3 +99,66 @@ def test_packing(spark, odd_docs, no_docs, library):
     assert packing.pack(no_docs).count() == 0
     with pytest.raises(ValueError):
         packing.pack(odd_docs, context=1000)
+
+
+def runs(rng):
+    """A text of long runs of one class, words, contractions, special tokens and letters of other scripts."""
+    out = []
+    for _ in range(rng.randrange(1, 8)):
+        n = rng.randrange(1, 400)
+        some = lambda chars, n=n: "".join(rng.choice(chars) for _ in range(n))
+        out.append(rng.choice([
+            rng.choice(" \n\t　\xa0") * n, some(" \n\t\r"), some("abcdefghetaoinsr"), rng.choice(["ha", "abc", "the", "x", "aab", "中", "中文", "はは"]) * n,
+            "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n)), some("0123456789"), some("=-.<>|!?*_"), "<|endoftext|>", "don't we'll it's 're",
+            rng.choice(["'s", "'ll", "'", "<|endof", "text|>", " ", "é", "²", "́", "½"]), " ".join(some("abcdefgh", 5) for _ in range(n // 4)),
+        ]))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("sizes", [(50, 100, 40), (300, 160, 60)])
+def test_runs_in_blocks(library, sizes):
+    rng, coder, chunks = random.Random(sizes[0]), bpe.Codec(PATH, *sizes), bpe.ChunkEncoder(PATH)
+    joined = 0
+    for _ in range(200):
+        text = runs(rng)
+        want = library.encode(text, add_special_tokens=False).ids
+        joined += bool(coder.long.search(text)) and coder._by_runs(text) is not None
+        assert ids_of(coder.encode(text)) == want
+        text *= rng.randrange(1, 12)
+        assert ids_of(chunks.encode(text)) == library.encode(text, add_special_tokens=False).ids
+    assert joined > 100
+
+
+LONG = {"spaces": " ", "newlines": "\n", "tabs": "\t", "letters": "ha", "ideographs": "中文字", "sentences": "中文字。", "digits": "12345"}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_long_runs_are_exact(library, kind):
+    words = " ".join(f"word{i}" for i in range(5000))
+    for text in (words + " " + LONG[kind] * 300_000 + "x " + words, LONG[kind] * 200_000):
+        want = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        chunks = bpe.ChunkEncoder(PATH)
+        assert chunks.encode(text) == want and chunks.codec.encode(text) == want and chunks.codec.decode(np.frombuffer(want, "<u4")).decode() == text
+
+
+def test_time_follows_length():
+    import time
+
+    took = {}
+    for n in (10**6, 10**7):
+        began = time.process_time()
+        for run in (" ", "x", "中"):
+            assert len(bpe.ChunkEncoder(PATH).encode(run * n)) and len(bpe.codec(PATH).encode(run * n))
+        took[n] = time.process_time() - began
+    assert took[10**7] < 30 * took[10**6] + 1
+
+
+def test_long_runs_in_tables(spark, library):
+    words = " ".join(f"word{i}" for i in range(5000))
+    texts = [run * n for run in (" ", "\n", "a", "中") for n in (1_000_000,)] + [words]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.digest_documents(docs).collect():
+        assert r.ids_sha256 == hashlib.sha256(np.array(library.encode(texts[r.doc_id], add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+    packed = packing.pack(docs).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in packed} == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
