@@ -14,15 +14,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TokenMemo, fold, held_out, keep_rows, map_rows, order_key, padded
+from .common import TokenMemo, first_rows, fold, held_out, keep_rows, map_rows, order_key, padded
 
 #: Documents a language, characters in all, and languages, the most frequent first, that the probabilities are learned
 #: from. Languages share the characters equally.
 PER_LANGUAGE, SAMPLE_CHARS, LANGUAGES = 300, 8_000_000, 1000
-#: Of a text, its first SAMPLE_CHARS / TEXT_PART characters at most are learned from; letter runs in pieces of RUN_CHARS.
-TEXT_PART, RUN_CHARS = 100, 24
-#: Longest piece in characters, with the mark of a word's start.
-LONGEST = 8
+#: Letter runs are learned from in pieces of RUN_CHARS.
+RUN_CHARS = 24
+#: Words of more letters are summed over in blocks, SEGMENT letters at a time.
+BLOCK, SEGMENT = 512, 131_072
 START = "▁"
 FOLDS, OUT = 3, 1
 #: Posterior below which a filter rejects a document.
@@ -44,10 +44,10 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = {model.id_to_piece(i) for i in range(model.get_piece_size())}
-        keep = sorted(p for p in pieces if 0 < len(p) <= LONGEST and p == p.lower() and (p == START or p.removeprefix(START).isalpha()))
+        keep = sorted(p for p in pieces if p and p == p.lower() and (p == START or p.removeprefix(START).isalpha()))
         hashes = np.array([self._hash(p) for p in keep], np.uint64)
         order = np.argsort(hashes)
-        self.hashes, self.n = hashes[order], len(keep)
+        self.hashes, self.n, self.longest = hashes[order], len(keep), max(map(len, keep))
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -60,7 +60,7 @@ class Pieces:
         """For each length, the index of the piece that starts at each column: n for an unknown character, n + 1 for none."""
         wide, out = codes.astype(np.uint64), []
         h = np.zeros_like(wide)
-        for length in range(1, min(LONGEST, codes.shape[1]) + 1):
+        for length in range(1, min(self.longest, codes.shape[1]) + 1):
             h = h[:, : codes.shape[1] - length + 1] * _BASE + wide[:, length - 1 :]
             at = np.minimum(np.searchsorted(self.hashes, h), self.n - 1)
             out.append(np.where(self.hashes[at] == h, at, self.n if length == 1 else self.n + 1))
@@ -80,30 +80,78 @@ def _groups(words: list[str]):
         yield np.flatnonzero(kind == k)
 
 
+def _step(window: list[np.ndarray], index: list[np.ndarray], end: int, table: np.ndarray) -> np.ndarray:
+    """Forward sums at column `end` from those before it, the latest last: by row, initial state and language."""
+    total = np.zeros_like(window[-1])
+    for length in range(1, min(len(index), end, len(window)) + 1):
+        piece = index[length - 1][:, end - length]
+        at = np.flatnonzero(piece < len(table) - 1)  # long pieces are rare
+        if len(at):
+            total[at] += window[-length][at] * table[piece[at]][:, None]
+    return total
+
+
+def _scaled(window: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The window over its latest sums' largest, and the logs of these."""
+    scale = window[-1].max(axis=1, keepdims=True)
+    scale[scale == 0] = 1
+    return [w / scale for w in window], np.log(scale[:, 0])
+
+
 def log_likelihoods(words: list[str], found: Pieces, table: np.ndarray) -> np.ndarray:
     """Log of the sum over all segmentations of each word, for each language (columns of table)."""
     out = np.zeros((len(words), table.shape[1]))
     for group in _groups(words):
+        if len(words[group[0]]) > 2 * BLOCK:
+            for i in group:
+                out[i] = _long_word(words[i], found, table)
+            continue
         codes, lengths = padded([START + words[i] for i in group])
         index = found.index(codes)
         logs = np.zeros((len(group), table.shape[1]))
-        window = [np.ones((len(group), table.shape[1]))]  # forward sums, the latest last
+        window = [np.ones((len(group), 1, table.shape[1]))]
         for end in range(1, codes.shape[1] + 1):
-            total = np.zeros_like(logs)
-            for length in range(1, min(LONGEST, end) + 1):
-                total += window[-length] * table[index[length - 1][:, end - length]]
-            window = [*window[-(LONGEST - 1) :], total]
-            if done := (lengths == end).any():
-                done = lengths == end
-                out[group[done]] = np.log(total[done]) + logs[done]
+            window = [*window[1 - found.longest :], _step(window, index, end, table)]
+            done = lengths == end
+            if done.any():
+                out[group[done]] = np.log(window[-1][done, 0]) + logs[done]
             if end % 8 == 0:
-                scale = total.copy()
-                scale[scale == 0] = 1
-                window = [w / scale for w in window]
-                logs += np.log(scale)
+                window, more = _scaled(window)
+                logs += more
     return out
 
 
+def _long_word(word: str, found: Pieces, table: np.ndarray) -> np.ndarray:
+    """log_likelihoods() of one word, in time that follows its length.
+
+    The last sums before a block give those at its end by a matrix. Blocks' matrices are worked out side by
+    side, and applied one after the other.
+    """
+    deep, langs = found.longest, table.shape[1]
+    codes = np.concatenate([np.zeros(deep, np.uint32), np.frombuffer((START + word).encode("utf-32-le"), np.uint32)])
+    state, logs, at = np.zeros((deep, langs)), np.zeros(langs), 0
+    state[0] = 1  # the latest sum first
+    while left := len(codes) - deep - at:
+        size = min(left, BLOCK)
+        rows = min(left, SEGMENT) // size
+        index = found.index(np.lib.stride_tricks.sliding_window_view(codes[at : at + rows * size + deep], size + deep)[::size])
+        window = [np.zeros((rows, deep, langs)) for _ in range(deep)]
+        for k in range(deep):
+            window[-1 - k][:, k] = 1
+        scales = np.zeros((rows, langs))
+        for end in range(deep + 1, deep + size + 1):
+            window = [*window[1:], _step(window, index, end, table)]
+            if end % 8 == 0:
+                window, more = _scaled(window)
+                scales += more
+        for row in range(rows):
+            state = np.stack([(w[row] * state).sum(axis=0) for w in reversed(window)])
+            largest = state.max(axis=0)
+            state, logs = state / largest, logs + scales[row] + np.log(largest)
+        at += rows * size
+    return np.log(state[0]) + logs
+
+
 def _expected(words: list[str], weights: np.ndarray, found: Pieces, p: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over all segmentations of the words."""
     counts = np.zeros(len(p))
@@ -113,16 +161,16 @@ def _expected(words: list[str], weights: np.ndarray, found: Pieces, p: np.ndarra
         ahead = np.zeros((width + 1, n))
         ahead[0] = 1
         for end in range(1, width + 1):
-            for length in range(1, min(LONGEST, end) + 1):
+            for length in range(1, min(found.longest, end) + 1):
                 ahead[end] += ahead[end - length] * p[index[length - 1][:, end - length]]
         back = np.zeros((width + 1, n))
         back[lengths, np.arange(n)] = 1
         for start in range(width - 1, -1, -1):
-            for length in range(1, min(LONGEST, width - start) + 1):
+            for length in range(1, min(found.longest, width - start) + 1):
                 back[start] += back[start + length] * p[index[length - 1][:, start]]
         share = weights[group] / back[0]
         for start in range(width):
-            for length in range(1, min(LONGEST, width - start) + 1):
+            for length in range(1, min(found.longest, width - start) + 1):
                 i = index[length - 1][:, start]
                 counts += np.bincount(i, ahead[start] * p[i] * back[start + length] * share, len(p))
     return counts
@@ -157,8 +205,8 @@ def fit(sample: list[tuple[str, str]], path: str, rounds: int = 4) -> tuple[list
 def draw_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
     """At most per_language texts a language, max_chars in all, chosen by ids alone off the held-out fold.
 
-    Each language has an equal share of the characters, whatever the others have: its texts in turn until
-    the share is used, the last of them cut there. Of a long text the beginning is taken.
+    Each language has an equal share of the characters, whatever the others have: its texts, whole and of
+    any length, in turn until the share is used; the last of them is cut there.
     """
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != OUT)).select("doc_id", "lang")
     key = order_key(F.col("doc_id"))
@@ -170,14 +218,9 @@ def draw_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: in
     # per_language * LANGUAGES small rows at most: a proven bound for the broadcast.
     chosen = chosen.dropDuplicates(["doc_id"])
     share = max(1, max_chars // max(1, sizes.count()))
-    texts = docs.select("doc_id", F.substring("text", 1, min(share, max_chars // TEXT_PART)).alias("text")).where(F.length("text") > 0)
-    rows = texts.join(F.broadcast(chosen), "doc_id")
-    in_turn = Window.partitionBy("_lang").orderBy(key, "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_end", F.sum(F.length("text")).over(in_turn)).withColumn("_n", F.count(F.lit(1)).over(in_turn))
-    rows = rows.withColumn("_left", share - F.col("_end") + F.length("text")).where((F.col("_left") > 0) & (F.col("_n") <= per_language))
-    # The shares bound what is collected: max_chars in all, and per_language rows of each language.
-    rows = rows.select(F.col("text").substr(F.lit(1), F.col("_left").cast("int")).alias("text"), "_lang", key.alias("_key"), "doc_id")
-    return [(text, lang) for text, lang, _, _ in sorted(rows.collect(), key=lambda r: (r["_key"], r["doc_id"], r["text"]))]
+    texts = docs.select("doc_id", F.substring("text", 1, share).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = first_rows(texts, "_lang", per_language, share).collect()
+    return [(r["text"], r["_lang"]) for r in sorted(rows, key=lambda r: (r["_turn"], r["_lang"]))]
 
 
 def scorer(model: tuple[list[str], np.ndarray], path: str):
