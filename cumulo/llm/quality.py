@@ -19,6 +19,8 @@ PER_CLASS, SAMPLE_CHARS = 700, 5_000_000
 CHUNK, STEP = 512, 448
 SPAN, STRIDE, FILTERS, WIDTH = 8, 4, 16, 6
 FOLDS, OUT, THRESHOLD = 5, 0, 0.3
+#: Chunks whose responses are worked out at once.
+SLICE = 256
 #: Stands beyond a document's end.
 PAD = 256
 
@@ -47,18 +49,19 @@ class Network:
     def pooled(self, rows: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Largest response of each filter in each chunk, and where it stands."""
         places = (CHUNK - SPAN) // STRIDE + 1
-        total = np.zeros((len(rows), places, FILTERS), np.float32)
-        for j in range(SPAN):
-            total += tables[j][rows[:, j : j + STRIDE * (places - 1) + 1 : STRIDE]]
-        at = total.argmax(axis=1)
-        return np.take_along_axis(total, at[:, None], axis=1)[:, 0], at
+        top, at = np.zeros((len(rows), FILTERS), np.float32), np.zeros((len(rows), FILTERS), np.int64)
+        for start in range(0, len(rows), SLICE):
+            some = rows[start : start + SLICE]
+            total = np.zeros((len(some), places, FILTERS), np.float32)
+            for j in range(SPAN):
+                total += tables[j][some[:, j : j + STRIDE * (places - 1) + 1 : STRIDE]]
+            best = total.argmax(axis=1)
+            at[start : start + SLICE] = best
+            top[start : start + SLICE] = np.take_along_axis(total, best[:, None], axis=1)[:, 0]
+        return top, at
 
     def logits(self, rows: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        out = []
-        for start in range(0, len(rows), 256):
-            top, _ = self.pooled(rows[start : start + 256], tables)
-            out.append(np.tanh(top + self.shift) @ self.layer + self.bias)
-        return np.concatenate(out)
+        return np.tanh(self.pooled(rows, tables)[0] + self.shift) @ self.layer + self.bias
 
 
 def fit(sample: list[tuple[str, int]], epochs: int = 10, batch: int = 48, rate: float = 0.01, seed: int = 3) -> Network:
@@ -75,7 +78,6 @@ def fit(sample: list[tuple[str, int]], epochs: int = 10, batch: int = 48, rate:
     raw += [r[at : at + n] for r, (at, n) in zip(raw, cuts, strict=True)]
     y = np.concatenate([y, y])
     rows = [chunked(r) for r in raw]
-    rows = [r if len(r) <= 64 else r[np.linspace(0, len(r) - 1, 64).astype(int)] for r in rows]
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     names = ["embed", "filters", "shift", "layer", "bias"]
     first, second = ({n: np.zeros_like(getattr(net, n)) for n in names} for _ in range(2))
