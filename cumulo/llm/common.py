@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import checkpoint_base, checkpointed, shared_dir  # noqa: F401
+
 #: Text handed to one vectorised step inside a task, in characters.
 SLICE_CHARS = 2_000_000
 
@@ -35,11 +36,11 @@ def order_key(*cols):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, out: int, per_class: int, max_chars: int) -> list[tuple[str, int]]:
-    """At most per_class whole texts of each class of `label`, off the held-out fold, as (text, class).
+    """Texts of each class of `label`, off the held-out fold, as (text, class): per_class rows and max_chars / 2 characters at most.
 
-    The sample is chosen from ids and labels alone, so only its own texts are read out; both the
-    number of rows and the sum of their characters (max_chars) are bounded, whatever the tables hold.
-    Texts over max_chars / 100 are passed over, so what is collected is bounded before it is. Null ids, labels and texts take no part.
+    Rows are chosen from ids and labels alone and taken whole, of any length, in a reproducible order
+    until the class has used up its characters; the last one is cut there. Both bounds hold before
+    anything is collected. Null ids, labels and texts take no part.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id"), parts) != out))
     chosen = None
@@ -48,15 +49,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
         part = part.dropDuplicates(["doc_id"]).orderBy(order_key(F.col("doc_id")), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * per_class rows of two numbers: a proven bound for the broadcast.
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars // 100))
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(order_key(F.col("doc_id")), "doc_id", "text").limit(2 * per_class).collect()
-    kept, chars = [], 0
-    for row in rows:
-        chars += len(row["text"])
-        if chars > max_chars:
-            break
-        kept.append((row["text"], row["_class"]))
-    return kept
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    rows = first_rows(texts, "_class", per_class, max_chars // 2).collect()
+    return [(row["text"], row["_class"]) for row in sorted(rows, key=lambda r: (r["_turn"], r["_class"]))]
+
+
+def first_rows(texts: DataFrame, group: str, most: int, chars: int) -> DataFrame:
+    """Of each group the rows (doc_id, text) first in order_key(), `most` rows and `chars` characters at most; _turn is a row's place.
+
+    The row that uses up the characters is cut there; empty texts take no part.
+    """
+    order = Window.partitionBy(group).orderBy(order_key(F.col("doc_id")), "doc_id", F.xxhash64("text"), "text")
+    rows = texts.where(F.length("text") > 0).withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= most)
+    before = F.sum(F.length("text")).over(Window.partitionBy(group).orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_left", chars - F.coalesce(before, F.lit(0).cast("long"))).where("_left > 0")
+    return rows.withColumn("text", F.col("text").substr(F.lit(1), F.least(F.col("_left"), F.length("text")).cast("int"))).drop("_left")
 
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[list[list]], list[list]]]) -> DataFrame:
@@ -103,30 +110,53 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W_](?:.*[^\W_])?", re.DOTALL)
+
+
+def letter_runs(token: str) -> list[str]:
+    """The runs of letters of a white-space token."""
+    return _LETTERS.findall(token)
+
+
+def words_and_runs(token: str) -> list[str]:
+    """A white-space token without the signs at its ends, and its runs of letters where it isn't one."""
+    found, runs = _WORD.search(token), letter_runs(token)
+    return runs if found is None or runs == [found.group()] else [found.group(), *runs]
+
+
+class _Places(dict):
+    def __missing__(self, token: str) -> int:
+        return -1
 
 
 class TokenMemo:
-    """Scores of white-space tokens, worked out once a worker and kept up to a number of tokens.
+    """Scores of white-space tokens; those of up to LONGEST characters are worked out once a worker and kept, up to a number.
 
-    `score` maps a list of lower-case letter runs to an array with one row of figures for each; a
-    token's figures are the sums over its letter runs, and those of a token without letters are 0.
+    `words` gives a lower-case token's words, and `score` maps a list of words to an array with one row
+    of figures for each; a token's figures are the sums over its words, 0 without any.
     """
 
-    def __init__(self, score: Callable[[list[str]], np.ndarray], width: int, most: int = 300_000):
-        self.score, self.width, self.most = score, width, most
-        self.rows: dict[str, int] = {}
+    LONGEST = 64
+
+    def __init__(self, score: Callable[[list[str]], np.ndarray], width: int, most: int = 300_000, words: Callable[[str], list[str]] = letter_runs):
+        self.score, self.width, self.most, self.words = score, width, most, words
+        self.rows = _Places()
         self.values = np.zeros((1024, width))
         self.filled = 0
 
-    def _add(self, tokens: list[str]) -> None:
-        runs, owner = [], []
+    def _figures(self, tokens: list[str]) -> np.ndarray:
+        words, owner = [], []
         for i, token in enumerate(tokens):
-            for run in _LETTERS.findall(token):
-                runs.append(run)
+            for word in self.words(token):
+                words.append(word)
                 owner.append(i)
-        add = np.zeros((len(tokens), self.width))
-        if runs:
-            np.add.at(add, np.array(owner), self.score(runs))
+        out = np.zeros((len(tokens), self.width))
+        if words:
+            np.add.at(out, np.array(owner), self.score(words))
+        return out
+
+    def _keep(self, tokens: list[str]) -> None:
+        add = self._figures(tokens)
         while self.filled + len(tokens) > len(self.values):
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
         self.values[self.filled : self.filled + len(tokens)] = add
@@ -136,16 +166,21 @@ class TokenMemo:
     def totals(self, texts: list[str]) -> np.ndarray:
         """One row of sums for each text."""
         if self.filled > self.most:
-            self.rows, self.values, self.filled = {}, np.zeros((1024, self.width)), 0
+            self.rows, self.values, self.filled = _Places(), np.zeros((1024, self.width)), 0
         split = [t.lower().split() for t in texts]
-        missing = set().union(*split) - self.rows.keys()
+        missing = [t for t in set().union(*split) - self.rows.keys() if len(t) <= self.LONGEST]
         if missing:
-            self._add(list(missing))
-        get = self.rows.__getitem__
+            self._keep(missing)
+        place = self.rows.__getitem__
         out = np.zeros((len(texts), self.width))
         for i, tokens in enumerate(split):
             if tokens:
-                out[i] = self.values[np.fromiter(map(get, tokens), np.int64, len(tokens))].sum(axis=0)
+                at = np.fromiter(map(place, tokens), np.int64, len(tokens))
+                kept = at >= 0
+                if kept.all():
+                    out[i] = self.values[at].sum(axis=0)
+                else:
+                    out[i] = self.values[at[kept]].sum(axis=0) + self._figures([t for t in tokens if len(t) > self.LONGEST]).sum(axis=0)
         return out
 
 
@@ -157,25 +192,3 @@ def padded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((len(words), width), np.uint32)
     out[np.arange(width) < lengths[:, None]] = codes
     return out, lengths
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, as a URI all executors see; set to a local one only where it is unset."""
-    base = checkpoint_base(spark)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpoint_base(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/checkpoints"
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(base)
-    return base
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read from it from now on."""
-    checkpoint_base(df.sparkSession)
-    return df.checkpoint(eager=True)

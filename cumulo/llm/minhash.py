@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices
+from ..sources.storage import checkpointed
+from .common import slices
 
 WORDS = 5
 #: Links need 100 * intersection >= percent * union; this is the percent of op4_minhash.

@@ -1,61 +1,77 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A text is the bag of the character n-grams of its words, marks of the words' ends included. The
-mean of the n-grams' embeddings goes through a linear layer and a softmax of two classes; embeddings
+A text is the bag of the character n-grams of its words, marks of the words' ends included: of runs of
+letters, and of tokens with digits or signs inside, which stand for letters in some spellings. The mean of the n-grams' embeddings goes through a linear layer and a softmax of two classes; embeddings
 and layer are learned together. A misspelt or inflected word shares most n-grams with those seen.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenMemo, held_out, labelled_sample, map_rows, padded
+from .common import TokenMemo, held_out, words_and_runs, labelled_sample, map_rows
 
 #: Documents of each class and characters in all that are learned from.
 PER_CLASS, SAMPLE_CHARS = 1200, 10_000_000
 GRAMS = (3, 4, 5, 6)
 BITS, WIDTH = 17, 2
+#: Places of n-grams that are worked out at once.
+STEP = 500_000
 FOLDS, OUT, THRESHOLD = 3, 1, 0.7
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of the words, and the word that each belongs to."""
-    codes, lengths = padded([f"<{w}>" for w in words])
-    wide = codes.astype(np.uint64)
-    h = np.zeros_like(wide)
-    buckets, owners = [], []
-    for n in range(1, min(max(GRAMS), codes.shape[1]) + 1):
-        h = h[:, : codes.shape[1] - n + 1] * _BASE + wide[:, n - 1 :]
-        if n in GRAMS:
-            inside = np.arange(h.shape[1]) <= (lengths - n)[:, None]
-            mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            buckets.append((mixed >> np.uint64(64 - BITS))[inside].astype(np.int64))
-            owners.append(np.nonzero(inside)[0])
-    if not buckets:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(buckets), np.concatenate(owners)
+def grams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the words' n-grams and the word that each belongs to, for STEP places at a time: memory doesn't follow a word's length."""
+    marked = [f"<{w}>" for w in words]
+    ends = np.cumsum(np.fromiter(map(len, marked), np.int64, len(marked)))
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+    for start in range(0, len(codes), STEP):
+        wide = codes[start : start + STEP + max(GRAMS) - 1].astype(np.uint64)
+        at = np.arange(start, min(start + STEP, len(codes)))
+        owners = np.searchsorted(ends, at, side="right")
+        room = ends[owners] - at
+        h = np.zeros_like(wide)
+        for n in range(1, max(GRAMS) + 1):
+            h = h[: len(wide) - n + 1] * _BASE + wide[n - 1 :]
+            if n in GRAMS:
+                inside = np.flatnonzero(room >= n)
+                mixed = h[inside]
+                mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                yield (mixed >> np.uint64(64 - BITS)).astype(np.int64), owners[inside]
+
+
+def gram_sums(words: list[str], table: np.ndarray) -> np.ndarray:
+    """For each word the sum of its n-grams' weights, and their number."""
+    out = np.zeros((len(words), 2))
+    for buckets, owners in grams(words):
+        if len(owners):
+            first = owners[0]
+            n = owners[-1] - first + 1
+            out[first : first + n, 0] += np.bincount(owners - first, table[buckets], n)
+            out[first : first + n, 1] += np.bincount(owners - first, minlength=n)
+    return out
 
 
 def _bags(texts: list[str]):
     """Rows, buckets and shares of the texts' bags."""
-    import re
-    from collections import Counter
-
     rows, cols, shares = [], [], []
     for i, text in enumerate(texts):
-        counts = Counter(re.findall(r"[^\W\d_]+", text.lower()))
+        counts = Counter(w for token in text.lower().split() for w in words_and_runs(token))
         if not counts:
             continue
-        buckets, owners = gram_buckets(list(counts))
-        weight = np.array(list(counts.values()), float)[owners]
-        unique, where = np.unique(buckets, return_inverse=True)
-        sums = np.bincount(where, weight, len(unique))
+        weight, sums = np.array(list(counts.values()), float), np.zeros(1 << BITS)
+        for buckets, owners in grams(list(counts)):
+            sums += np.bincount(buckets, weight[owners], 1 << BITS)
+        unique = np.flatnonzero(sums)
         rows.append(np.full(len(unique), i))
         cols.append(unique)
-        shares.append(sums / max(1.0, sums.sum()))
+        shares.append(sums[unique] / max(1.0, sums.sum()))
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(shares)
@@ -75,7 +91,9 @@ def fit(sample: list[tuple[str, int]], steps: int = 120, sparsity: float = 0.007
     rows, cols, shares = _bags([t for t, _ in sample])
     keep = np.bincount(cols, minlength=1 << BITS)[cols] >= min(least_docs, max(2, n // 20))
     rows, cols, shares = rows[keep], cols[keep], shares[keep]
-    used, where = np.unique(cols, return_inverse=True)
+    order = np.argsort(cols, kind="stable")
+    rows, cols, shares = rows[order], cols[order], shares[order]
+    used, first, where = np.unique(cols, return_index=True, return_inverse=True)
     # Embeddings are learned in units of an n-gram's usual share, which for frequent ones is large.
     unit = 1 / np.sqrt(np.bincount(where, shares**2, len(used)) / n + 1e-12)
     value = shares * unit[where]
@@ -85,10 +103,11 @@ def fit(sample: list[tuple[str, int]], steps: int = 120, sparsity: float = 0.007
     layer /= np.linalg.norm(layer[:, 1] - layer[:, 0])
 
     def spread(grad):
-        return np.stack([np.bincount(where, value * grad[rows, k], len(used)) for k in range(grad.shape[1])], axis=1)
+        return np.stack([np.add.reduceat(value * np.take(grad[:, k].copy(), rows), first) if len(first) else np.zeros(0) for k in range(grad.shape[1])], axis=1)
 
     def means(embed):
-        return np.stack([np.bincount(rows, value * embed[where, k], n) for k in range(embed.shape[1])], axis=1)
+        at = np.flatnonzero(np.take(embed.any(axis=1), where))  # most embeddings are zero
+        return np.stack([np.bincount(rows[at], value[at] * np.take(embed[:, k].copy(), where[at]), n) for k in range(embed.shape[1])], axis=1)
 
     direction, steepest = rng.normal(size=(len(used), 1)), 1.0
     for _ in range(8):  # the loss's greatest curvature gives the length of a step
@@ -120,17 +139,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
     """doc_id, score, predicted for each row of docs.
 
     The mean over a text's n-grams of embedding times layer is the sum of their weights over their
-    number. Null, empty and letterless texts have the score of the bias alone. A null id stays;
+    number. Null and empty texts, and those without letters and digits, have the score of the bias alone. A null id stays;
     repeated rows give repeated rows; columns besides doc_id and text are not read.
     """
     table, bias = model
 
     def make():
-        def figures(words):
-            buckets, owners = gram_buckets(words)
-            return np.stack([np.bincount(owners, table[buckets], len(words)), np.bincount(owners, minlength=len(words))], axis=1)
-
-        memo = TokenMemo(figures, 2)
+        memo = TokenMemo(lambda words: gram_sums(words, table), 2, words=words_and_runs)
 
         def step(cols):
             totals = memo.totals([t or "" for t in cols[1]])

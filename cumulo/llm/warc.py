@@ -13,12 +13,11 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs as filesystems
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_dir
+from ..sources.storage import checkpointed, opened, shared_dir
 
 #: Payloads of fewer bytes are always stored.
 LEAST_REVISIT = 0
@@ -105,7 +104,7 @@ def write_archives(planned: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         task = TaskContext.get()
-        fs, root = filesystems.FileSystem.from_uri(folder)
+        fs, root = opened(folder)
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         out, pending = [], next(rows, None)
         while pending is not None:
@@ -174,7 +173,7 @@ def read_archives(listed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                fs, at = filesystems.FileSystem.from_uri(path)
+                fs, at = opened(path)
                 with fs.open_input_file(at) as file:
                     rows = [parse(record) for record in frames(file.read())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)

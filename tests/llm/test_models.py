@@ -37,7 +37,8 @@ def test_sample_is_bounded_and_off_the_held_out_fold(spark):
 
 def test_toxicity_held_out(spark):
     rows = judged(toxicity.classify(table(spark, "documents"), table(spark, "labels")), table(spark, "labels"), "toxic")
-    clean = [r.predicted for r, y in rows if not y]
+    clean, toxic = ([r.predicted for r, y in rows if y == c] for c in (0, 1))
+    assert toxic and sum(toxic) >= 0.6 * len(toxic)
     assert rows and sum(clean) <= 0.1 * len(clean) and all((r.score >= 0.7) == bool(r.predicted) for r, _ in rows)
 
 
@@ -46,10 +47,45 @@ def test_toxicity_learns_misspellings():
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
     text = lambda bad: " ".join([word() for _ in range(60)] + (["zzqxwv" + str(rng.choice(["", "er", "ing"]))] * 2 if bad else []))
     table_, bias = toxicity.fit([(text(i % 2), i % 2) for i in range(300)])
-    logit = lambda t: (lambda b: table_[b].sum() / len(b))(np.concatenate([np.repeat(toxicity.gram_buckets([w])[0], 1) for w in t.split()])) + bias
-    unseen = [logit(" ".join(word() for _ in range(60)) + " zzqxwvish zzqxwvot") for _ in range(20)]
+
+
+    def logit(text):
+        total, n = toxicity.gram_sums([w for t in text.split() for w in common.words_and_runs(t)], table_).sum(axis=0)
+        return total / n + bias
+
     clean = [logit(" ".join(word() for _ in range(60))) for _ in range(20)]
-    assert np.median(unseen) > 0 > np.median(clean)
+    for seen in ("zzqxwvish zzqxwvot", "zzqxwv0 zzqxwv! z.zqxwv", "zzqx1wv zzqxw-v zzq3xwver"):
+        assert np.median([logit(" ".join(word() for _ in range(60)) + " " + seen) for _ in range(20)]) > 0 > np.median(clean)
+
+
+def test_grams_are_brute_force(monkeypatch):
+    monkeypatch.setattr(toxicity, "STEP", 7)
+    table_ = np.random.default_rng(5).normal(size=1 << toxicity.BITS)
+    words = ["a", "st0pid", "x" * 40, "é", "日本語のテキスト"]
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * int(toxicity._BASE) + ord(c)) & (1 << 64) - 1
+        return ((h ^ h >> 29) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1) >> 64 - toxicity.BITS
+
+    for word, (total, n) in zip(words, toxicity.gram_sums(words, table_), strict=True):
+        marked = f"<{word}>"
+        every = [bucket(marked[i : i + k]) for k in toxicity.GRAMS for i in range(len(marked) - k + 1)]
+        assert n == len(every) and total == pytest.approx(sum(table_[b] for b in every))
+
+
+def test_memory_does_not_follow_the_longest_word():
+    import tracemalloc
+
+    memo = common.TokenMemo(lambda words: toxicity.gram_sums(words, np.ones(1 << toxicity.BITS)), 2, words=common.words_and_runs)
+    text = " ".join(f"word{i}" for i in range(5000)) + " " + "ab" * 1_500_000
+    tracemalloc.start()
+    total, n = memo.totals([text])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == n > 12_000_000 - 100 and peak < 400_000_000
+    assert len(memo.rows) == 5000 and (memo.totals([text])[0] == [total, n]).all()
 
 
 def test_one_class_or_no_labels(spark, odd_docs, no_docs):
@@ -95,7 +131,7 @@ def brute_likelihood(word, found, p):
         if at == len(word):
             total += prob
             return
-        for n in range(1, min(langid.LONGEST, len(word) - at) + 1):
+        for n in range(1, min(found.longest, len(word) - at) + 1):
             i = hashes.get(found._hash(word[at : at + n]), found.n if n == 1 else None)
             if i is not None:
                 walk(at + n, prob * p[i])
@@ -115,6 +151,37 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(langid.log_likelihoods(["ab" * 500], found, p)).all()
 
 
+def test_blocks_of_long_words(monkeypatch):
+    found = langid.pieces(langid.default_vocabulary())
+    langs, p = langid.fit([("the cat and the international dog " * 5, "en"), ("der hund und die verantwortung " * 5, "de")], langid.default_vocabulary())
+    assert found.longest > 8
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), 700)), "international" * 40, "é中" * 300, "ab" * 129]
+    whole = langid.log_likelihoods(words, found, p)
+    monkeypatch.setattr(langid, "BLOCK", 20)
+    monkeypatch.setattr(langid, "SEGMENT", 300)
+    assert langid.log_likelihoods(words, found, p) == pytest.approx(whole, rel=1e-12)
+
+
+def test_very_long_texts_are_scored_and_learned(spark):
+    """Runs and texts far longer than any other, among ordinary ones, in each of the models."""
+    rows = [(i, "some good words here " * 20, "en", i % 2) for i in range(40)] + [(100, "x" * 1_000_000, "en", 1), (101, "the word and " * 80_000, "en", 0), (102, "中" * 300_000, "zh", 1), (103, " " * 1_000_000, "en", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").withColumn("quality", common.F.col("toxic"))
+    labels = docs.select("doc_id", "toxic", "quality")
+    for out in (toxicity.classify(docs, labels), quality.classify(docs, labels), langid.identify(docs)):
+        assert {r.doc_id for r in out.collect()} == {r[0] for r in rows}
+    sample = common.labelled_sample(docs, labels, "toxic", 3, 1, 1000, 10**7)
+    assert {len(t) for t, _ in sample} & {1_000_000, 1_040_000, 300_000}
+
+
+def test_sample_ends_with_its_characters(spark):
+    rows = [(i, "y" * 1000, 1) for i in range(60)] + [(100 + i, "n" * 10, 0) for i in range(60)] + [(7, "another text of this id", 1)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    sample = common.labelled_sample(docs, docs.select("doc_id", "toxic"), "toxic", 3, 1, 30, 20_500)
+    assert sum(len(t) for t, c in sample if c) == 10_250 and sum(c == 0 for _, c in sample) == 30
+    assert sample == common.labelled_sample(docs.repartition(7), docs.select("doc_id", "toxic"), "toxic", 3, 1, 30, 20_500)
+
+
 def test_language_held_out(spark):
     docs = table(spark, "documents")
     rows = judged(langid.identify(docs), docs, "lang")
