@@ -66,6 +66,25 @@ def first_rows(texts: DataFrame, group: str, most: int, chars: int) -> DataFrame
     return rows.withColumn("text", F.col("text").substr(F.lit(1), F.least(F.col("_left"), F.length("text")).cast("int"))).drop("_left")
 
 
+#: Keys that hold more than 1 / HOT_KEYS of the rows of a join are hot; there are fewer of them than this.
+HOT_KEYS = 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with `table`, which has one row for each key; `count` tells how many of the `total` rows have it.
+
+    The rows of hot keys stay where they are: what table says of those keys, HOT_KEYS rows at most, is
+    broadcast. So no task gets more than a small part of all rows, whatever the keys. Both sides are read twice.
+    """
+    more = [c for c in table.columns if c not in (key, count)]
+    is_hot = F.col(count) * HOT_KEYS > max(total, 1)
+    hot = table.where(is_hot).select(key, F.struct(*more).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    held = marked.where(F.col("_hot").isNotNull()).select(*rows.columns, "_hot.*")
+    rest = marked.where(F.col("_hot").isNull()).drop("_hot").join(table.where(~is_hot).select(key, *more), key, how)
+    return held.unionByName(rest.select(*rows.columns, *more))
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[list[list]], list[list]]]) -> DataFrame:
     """Map batches of rows to batches of rows inside tasks.
 

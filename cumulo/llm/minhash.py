@@ -8,6 +8,8 @@
 3. Survivors that hang together are verified on full sets; clusters beyond TILE_SHINGLES are cut
    into tiles and each pair of tiles is a task's work. Again a spanning forest of links comes out.
 4. Connected components of the links, by star contraction.
+
+Joins on keys that many rows may share - buckets, clusters, hubs, sets of copies - go through join_hot().
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import checkpointed
-from .common import slices
+from .common import join_hot, slices
 
 WORDS = 5
 #: Links need 100 * intersection >= percent * union; this is the percent of op4_minhash.
@@ -194,26 +196,31 @@ def _edges(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64))], schema=_EDGES)
 
 
+def _mark():
+    """Tells rows of one doc_id apart by their texts."""
+    return F.xxhash64("text")
+
+
 def describe(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, signature (a byte a hash function) and bands of each row of docs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, mark (a hash of the text), n_shingles, digest of the set, signature (a byte a hash function) and bands of each row of docs."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             for piece in slices(batch):
                 cols = [[] for _ in range(4)]
-                for text in piece.column(1).to_pylist():
+                for text in piece.column(2).to_pylist():
                     found = shingles(text)
                     least = signature(found, hashes(percent)) if len(found) else None
                     row = (len(found), None, None, None) if least is None else (len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), (least & np.uint64(255)).astype(np.uint8).tobytes(), band_keys(least))
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True))], schema=schema)
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[2:], strict=True))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), _mark().alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n_shingles long, digest binary, signature binary, bands array<long>")
 
 
-def tiled(rows: DataFrame, tiles, key: str, node: str) -> DataFrame:
+def tiled(rows: DataFrame, tiles, node: str) -> DataFrame:
     """Each row once for every pair of tiles that its tile is part of, as columns i <= j and its own tile.
 
     With one tile that is the row itself; the pairs of tiles together compare all rows of a key."""
@@ -225,9 +232,9 @@ def tiled(rows: DataFrame, tiles, key: str, node: str) -> DataFrame:
 def survivors(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b): a spanning forest, for each bucket, of the candidates that the sequential test keeps; percent as in describe()."""
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = keyed.join(sizes, "key").join(nodes.select("node", "signature", "n_shingles"), "node")
-    members = tiled(members, F.ceil(F.col("size") / BUCKET_TILE), "key", "node").select("key", "i", "j", "tile", "node", "signature", "n_shingles")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("tiles", F.ceil(F.col("size") / BUCKET_TILE))
+    members = join_hot(keyed, sizes, "key", "size", nodes.count() * (hashes(percent) // ROWS))
+    members = tiled(members.join(nodes.select("node", "signature", "n_shingles"), "node"), F.col("tiles"), "node").select("key", "i", "j", "tile", "node", "signature", "n_shingles")
     members = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     groups = ["key", "i", "j"]
 
@@ -269,10 +276,15 @@ def survivors(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def verified(clusters: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Edges (a, b): a spanning forest of the links within clusters (node, label, n_shingles), on full sets."""
-    sums = clusters.groupBy("label").agg(F.sum("n_shingles").alias("_all"))
-    rows = docs.select(F.col("doc_id").alias("node"), "text").join(clusters, "node").join(sums, "label")
-    rows = tiled(rows, F.ceil(F.col("_all") / TILE_SHINGLES), "label", "node").select("label", "i", "j", "tile", "node", "text")
+    """Edges (a, b): a spanning forest of the links within clusters, on full sets.
+
+    Clusters are (node, label, n_shingles, doc_id, mark); the last two name the row of docs that holds a node's text.
+    """
+    sums = clusters.groupBy("label").agg(F.ceil(F.sum("n_shingles") / TILE_SHINGLES).alias("tiles"), F.count(F.lit(1)).alias("size"))
+    placed = join_hot(clusters.select("node", "label", "doc_id", "mark"), sums, "label", "size", clusters.count())
+    # Rows that are alike meet where they are joined; one of each goes on.
+    rows = docs.select("doc_id", _mark().alias("mark"), "text").join(placed, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    rows = tiled(rows, F.col("tiles"), "node").select("label", "i", "j", "tile", "node", "text")
     rows = rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "node")
     groups = ["label", "i", "j"]
 
@@ -313,48 +325,72 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Star contraction: each node's larger neighbours, then its smaller ones, are hung on the least of
     them, until nothing changes. No node's neighbours are ever gathered: only their minimum is, and a
-    hub's rows join with one row, which the adaptive plan can split. Every round is checkpointed.
+    hub's rows meet it without being moved. Every round is checkpointed.
     """
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             break
         before = state
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_hot(both, least, "u", "n", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = checkpointed(large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_hot(large, least, "u", "n", large.count()).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def _linked(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, mark, n_shingles, component (its number; null without words) and component_id of each row of docs."""
+    described = checkpointed(describe(docs, percent))
+    told = described.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    nodes = told.groupBy("digest").agg(
+        F.min(F.struct("doc_id", "mark")).alias("row"), F.first("signature").alias("signature"), F.first("bands").alias("bands"),
+        F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies"),
+    )
+    # Rows of one id may differ in text, so nodes have numbers of their own; written out, they stay the same.
+    nodes = checkpointed(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "row.*", "signature", "bands", "n_shingles", "copies"))
+    clusters = connected_components(survivors(nodes, percent)).join(nodes.select("node", "doc_id", "mark", "n_shingles"), "node")
+    components = connected_components(verified(checkpointed(clusters), docs, percent))
+    named = checkpointed(components.join(nodes.select("node", "doc_id"), "node"))
+    least = named.groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
+    named = join_hot(named.drop("doc_id"), least, "label", "size", named.count())
+    sets = nodes.select("node", "digest", "doc_id", "copies").join(named, "node", "left")
+    sets = sets.select("digest", "copies", F.coalesce("label", "node").alias("component"), F.coalesce("least", "doc_id").alias("component_id"))
+    rows = described.select("doc_id", "mark", "n_shingles", "digest")
+    with_words = join_hot(rows.where(F.col("digest").isNotNull()), sets, "digest", "copies", told.count(), "left").drop("digest")
+    without = rows.where(F.col("digest").isNull()).select("doc_id", "mark", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return with_words.unionByName(without)
+
+
 def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs, linked from a similarity of percent / 100 on.
 
-    Documents without words are linked with nothing. Repeated rows give repeated rows that are alike;
-    each row is judged by its own text. A row with a null id has a null component_id and kept. Columns
-    besides doc_id and text are not read.
+    Documents without words are linked with nothing. Repeated rows give repeated rows that are alike; each
+    row is judged by its own text, also where several have one id. A row with a null id is linked with
+    nothing and has a null component_id and kept. Columns besides doc_id and text are not read.
     """
-    described = checkpointed(describe(docs, percent))
-    told = described.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    nodes = checkpointed(told.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("bands").alias("bands"), F.max("n_shingles").alias("n_shingles")))
-    clusters = connected_components(survivors(nodes, percent)).join(nodes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")), "node")
-    components = connected_components(verified(checkpointed(clusters), docs, percent))
-    out = described.select("doc_id", "n_shingles", "digest").join(nodes.select("digest", "node"), "digest", "left").join(components, "node", "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("label", "node", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    return _linked(docs, percent).select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of docs, with all its columns, for each component: that of its least doc_id.
 
-    Of rows that share this id one stays, by the hash of its text; rows with a null id all stay.
+    Of a component's rows with this id, that whose text has the least hash stays; of rows with the same id
+    and text one. Rows of one id whose texts are not linked are judged each by itself. Rows with a null id
+    all stay. No column of docs, whatever its name, is touched.
     """
-    told = link(docs, percent).where("kept").select("doc_id").distinct()
-    held = docs.join(told, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    held = held.withColumn("_turn", F.row_number().over(first)).where("_turn = 1").drop("_turn")
-    return held.unionByName(docs.where(F.col("doc_id").isNull()))
+    linked = _linked(docs, percent).where(F.col("doc_id").isNotNull())
+    first = linked.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("_row")).select("_row.*")
+    stay = first.unionByName(linked.where(F.col("component").isNull()).select("doc_id", "mark").distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"))
+    # All columns that can be hashed choose among rows of one id and text.
+    hashed = F.xxhash64(*(F.col("row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    once = rows.where(F.col("doc_id").isNotNull()).withColumn("_turn", F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy(hashed))).where("_turn = 1")
+    held = once.join(stay, ["doc_id", "mark"], "left_semi")
+    return held.select("row.*").unionByName(rows.where(F.col("doc_id").isNull()).select("row.*"))

@@ -7,11 +7,15 @@ TEXTS = [
 ]
 
 
+#: Columns of a caller's that operators may have names of their own for.
+CLASHES = ["score", "_id", "_key", "_spans", "_turn", "_tiles", "_hot", "_any", "_left", "_class", "node", "label", "digest", "mark", "row", "component", "kept", "ids", "bucket", "a.b", "hit"]
+
+
 @pytest.fixture
 def odd_docs(spark):
-    rows = [(i, t, "en", "src0", 0 if t is None else len(t), "clash") for i, t in enumerate(TEXTS)]
-    rows += [rows[4], rows[4], (None, "no id here at all", "en", None, 3, None)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    rows = [(i, t, "en", "src0", 0 if t is None else len(t), *(f"{i} {c}" for c in CLASHES)) for i, t in enumerate(TEXTS)]
+    rows += [rows[4], rows[4], (None, "no id here at all", "en", None, 3, *(None for _ in CLASHES))]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES))
 
 
 @pytest.fixture

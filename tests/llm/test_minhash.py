@@ -131,3 +131,33 @@ def test_lower_threshold(spark):
     assert {r.component_id for r in M.link(table, 80).collect()} == set(range(0, 80, 2))
     assert {r.component_id for r in M.link(table).collect()} == set(docs)
     assert {r.doc_id for r in M.representatives(table, 80).collect()} == set(range(0, 80, 2))
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """Rows, not ids, are judged: the unique text of an id stays where another row of that id is a copy."""
+    first, unique, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    near = first.replace("a59", "z")
+    rows = [(3, first), (5, near), (5, unique), (5, other), (5, unique), (9, unique), (None, first)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in M.link(docs).collect())
+    assert told == sorted([(3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (5, 5, True), (9, 5, False), (0, 0, None)])
+    assert sorted((r.doc_id or 0, r.text) for r in M.representatives(docs).collect()) == sorted([(0, first), (3, first), (5, unique), (5, other)])
+
+
+def test_representatives_keep_columns(spark, odd_docs):
+    want = {r.doc_id: r for r in odd_docs.collect()}
+    for r in M.representatives(odd_docs).collect():
+        assert r == want[r.doc_id]
+
+
+def test_hot_keys_do_not_move(spark, monkeypatch):
+    from cumulo.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 10)
+    rows = spark.createDataFrame([(1 if i % 2 else i, i) for i in range(100)], "k long, v long")
+    table = rows.groupBy("k").count().withColumn("double", common.F.col("k") * 2)
+    for how in ("inner", "left"):
+        got = common.join_hot(rows, table.where("k < 90"), "k", "count", 100, how)
+        assert sorted((r.k, r.v, r.double) for r in got.collect() if r.double is not None) == sorted((r.k, r.v, r.k * 2) for r in rows.collect() if r.k < 90)
+        assert got.count() == (100 if how == "left" else 95)
+    check(spark, texts(3, n=8))
