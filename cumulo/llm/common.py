@@ -113,9 +113,10 @@ def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], li
         keeps = make()
         for batch in batches:
             for piece in slices(batch):
-                yield piece.filter(pa.array(keeps(piece.column(column).to_pylist()), pa.bool_()))
+                yield piece.filter(pa.array(keeps(piece.column(0).field(column).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    whole = df.select(F.struct("*").alias("row"))  # so that names don't matter
+    return whole.mapInArrow(run, whole.schema).select("row.*")
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -65,7 +65,9 @@ def test_redaction(spark, odd_docs, no_docs):
         assert not base_spans(text)
     odd = S.redact(odd_docs)
     assert odd.columns == odd_docs.columns and odd.count() == odd_docs.count()
-    whole = {r.doc_id: r for r in odd.collect()}
+    whole, was = ({r.doc_id: r for r in d.collect()} for d in (odd, odd_docs))
+    for i, r in whole.items():
+        assert {c: v for c, v in r.asDict().items() if c not in ("text", "n_chars")} == {c: v for c, v in was[i].asDict().items() if c not in ("text", "n_chars")}
     assert whole[0].text is None and whole[11].n_chars == len(whole[11].text) and "AKIA" not in whole[11].text
     assert S.redact(no_docs).count() == 0 and S.scan(no_docs).count() == 0
 
@@ -76,9 +78,22 @@ def test_no_python_in_the_plan(spark, make):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_copies_are_looked_at_once(spark, monkeypatch):
+    from cumulo.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    text = "user=bob password=pw12"
+    docs = spark.createDataFrame([(None if i % 2 else i, text) for i in range(20)] + [(100, "token=abcdefgh1"), (101, text + ".")], "doc_id long, text string")
+    rows = S.scan(docs).collect()
+    assert len(rows) == 22 and sum(r.spans == "user:0:8,short:9:22" for r in rows) == 20
+    assert sorted(r.text for r in S.redact(docs).collect()) == sorted(["[user] [short]"] * 21 + ["[assign]"])
+
+
 def test_redaction_links_by_gaps(spark):
     long, far = "token=" + "x" * 600, "\n" + " " * 201
     texts = [long + "\nclient_id=abc https://h.example.org/", "user=" + "u" * 300 + " secret=pw12", long + far + "client_id=abc", "client_id=abc" + far + long, "client_id=abc" + far[:200] + long]
     rows = {r.doc_id: r.text for r in S.redact(docs_of(spark, texts)).collect()}
     assert rows[0] == "[assign]\n[user] [endpoint]/" and rows[1] == "[user] [short]"
+    spans = {r.doc_id: r.spans for r in S.scan(docs_of(spark, texts)).collect()}
+    assert spans[0] == "assign:0:606,user:607:620,endpoint:621:642" and spans[1] == "user:0:305,short:306:317" and spans[2] == "assign:0:606"
     assert rows[2] == "[assign]" + far + "client_id=abc" and rows[3] == "client_id=abc" + far + "[assign]" and rows[4] == "[user]" + far[:200] + "[assign]"
