@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cumulo.llm import langid, minhash, packing, quality, secret_scan
-from cumulo.llm.common import read_table, shared_dir
+from cumulo.llm.common import read_table
+from cumulo.sources.storage import shared_dir
 
 #: Near duplicates share this many percent of their word shingles; op4_minhash has a threshold of its own.
 NEAR_PERCENT = 80
