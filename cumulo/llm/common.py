@@ -10,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import checkpoint_base, checkpointed, shared_dir  # noqa: F401
-
 #: Text handed to one vectorised step inside a task, in characters.
 SLICE_CHARS = 2_000_000
 
