@@ -27,8 +27,8 @@ TABLES, NEAREST = 2, 20
 SAMPLE_ROWS, SAMPLE_FLOATS, SAMPLE_QUERIES, AIM = 20_000, 4_000_000, 200, 0.97
 #: Dimensions with fewer sampled rows have probes() buckets, whose share is LEAST at least; the others no fewer than FEWEST.
 LEAST_ROWS, LEAST, FEWEST = 400, 0.5, 4
-#: Numbers of a part's vectors, about; larger buckets are split.
-PART_FLOATS = 1_000_000
+#: Numbers of a part's vectors at most, about, and parts a table and rows of a part at least where there are few rows; larger buckets are split.
+PART_FLOATS, PARTS, PART_ROWS = 1_000_000, 16, 1000
 #: Buckets whose sizes are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_BUCKETS = 100_000
 SEED = 11
@@ -165,9 +165,11 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = NEAREST, tables: int =
     return found.join(whole, "query_id", "left_semi").unionByName(_probed(base, short, k, 1, 1 << 40))
 
 
-def _parts(keyed: DataFrame) -> DataFrame:
+def _parts(keyed: DataFrame, tables: int) -> DataFrame:
     """dim, bucket, part, splits: small buckets share a part, large ones are split over some."""
-    sizes = keyed.groupBy("dim", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("rows", F.greatest(F.lit(1), F.floor(F.lit(PART_FLOATS) / F.col("dim"))))
+    fair = F.sum("n").over(Window.partitionBy("dim")) / (PARTS * tables)
+    rows = F.least(F.lit(PART_FLOATS) / F.col("dim"), F.greatest(F.lit(PART_ROWS), fair))
+    sizes = keyed.groupBy("dim", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("rows", F.greatest(F.lit(1), F.floor(rows)))
     before = F.sum("n").over(Window.partitionBy("dim").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     return sizes.select("dim", "bucket", F.floor(F.coalesce(before, F.lit(0)) / F.col("rows")).alias("part"), F.ceil(F.col("n") / F.col("rows")).cast("int").alias("splits"))
 
@@ -175,7 +177,7 @@ def _parts(keyed: DataFrame) -> DataFrame:
 def _probed(base: DataFrame, queries: DataFrame, k: int, tables: int, probes: dict[int, int] | int) -> DataFrame:
     """nearest() among what the probed buckets hold."""
     keyed = _keys(base, 1, tables).withColumn("bucket", F.explode("buckets"))
-    parts = checkpointed(_parts(keyed.select("dim", "bucket")))
+    parts = checkpointed(_parts(keyed.select("dim", "bucket"), tables))
     if parts.count() <= BROADCAST_BUCKETS:
         parts = F.broadcast(parts)
     split = F.expr("part + pmod(xxhash64(id), splits)")
