@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rng
 from ..functions.vec import Vec
 from .crop import AXES, bounds
+from .ranks import with_group
 
 Matrix = Sequence[Sequence[float]]
 
@@ -27,7 +28,7 @@ def scale_fixed(points: DataFrame, factor: float) -> DataFrame:
 
 
 def _with_bounds(points: DataFrame, frame: DataFrame | None) -> DataFrame:
-    return points.join(bounds(points if frame is None else frame), "shape_id")
+    return with_group(points, bounds(points if frame is None else frame), "shape_id")
 
 
 def _middle() -> Vec:

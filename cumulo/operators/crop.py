@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..functions.vec import Vec
+from ..sources.storage import checkpointed
+from .ranks import with_group
 
 AXES = ("x", "y", "z")
 
@@ -57,22 +60,25 @@ def random_boxes(points: DataFrame, min_l: float, max_l: float, low_ratio: float
         side = F.least(rng.between(F.lit(min_l), F.lit(max_l), seed, f"crop.side.{a}", "shape_id", "proposal"), high - low)
         start = F.least(F.greatest(centre - side / 2.0, low), high - side)
         box = box.withColumn(f"low_{a}", start).withColumn(f"high_{a}", start + side)
-    box = box.select("shape_id", "proposal", *(f"low_{a}" for a in AXES), *(f"high_{a}" for a in AXES))
-    inside = F.lit(True)
-    for a in AXES:
-        inside = inside & (F.col(a) > F.col(f"low_{a}")) & (F.col(a) < F.col(f"high_{a}"))
-    # Counts are summed up before the shuffle; only (shape, proposal) pairs move.
-    counts = points.join(box, "shape_id").groupBy("shape_id", "proposal").agg(F.sum(inside.cast("long")).alias("_in"), F.count(F.lit(1)).alias("_all"))
-    counts = counts.withColumn("ratio", F.col("_in") / F.col("_all"))
-    best = Window.partitionBy("shape_id").orderBy((F.col("ratio") < low_ratio).cast("int"), F.when(F.col("ratio") < low_ratio, -F.col("ratio")).otherwise(0.0), "proposal")
-    picked = counts.withColumn("_turn", F.row_number().over(best)).where("_turn = 1").select("shape_id", "proposal", "ratio")
-    return picked.join(box, ["shape_id", "proposal"])
+    sides = [*(f"low_{a}" for a in AXES), *(f"high_{a}" for a in AXES)]
+    boxes = checkpointed(box.groupBy("shape_id").agg(F.array_sort(F.collect_list(F.struct("proposal", *sides))).alias("_boxes")))
+
+    def inside(box):
+        return functools.reduce(lambda x, y: x & y, ((F.col(a) > box[f"low_{a}"]) & (F.col(a) < box[f"high_{a}"]) for a in AXES))
+
+    # A point meets all of its shape's proposals in one row, and a row of counts a shape is all that moves.
+    counts = with_group(points.select("shape_id", *AXES), boxes, "shape_id").groupBy("shape_id").agg(
+        F.array(*(F.sum(inside(F.col("_boxes")[i]).cast("long")) for i in range(tries))).alias("_in"), F.count(F.lit(1)).alias("_all")
+    ).join(boxes, "shape_id")
+    ratio = lambda b: F.col("_in")[b["proposal"]] / F.col("_all")
+    told = F.transform("_boxes", lambda b: F.struct((ratio(b) < low_ratio).alias("short"), F.when(ratio(b) < low_ratio, -ratio(b)).otherwise(0.0).alias("worse"), b["proposal"].alias("proposal"), ratio(b).alias("ratio"), *(b[s].alias(s) for s in sides)))
+    return counts.select("shape_id", F.array_min(told).alias("_best")).select("shape_id", *(F.col("_best")[c].alias(c) for c in ("proposal", "ratio", *sides)))
 
 
 def crop_random(points: DataFrame, min_l: float, max_l: float, low_ratio: float, seed: int = 0) -> DataFrame:
     """Points strictly inside their shape's random box; a shape whose boxes are all empty loses all its points."""
     box = random_boxes(points, min_l, max_l, low_ratio, seed)
-    joined = points.join(box, "shape_id")
+    joined = with_group(points, box, "shape_id")
     for a in AXES:
         joined = joined.where((F.col(a) > F.col(f"low_{a}")) & (F.col(a) < F.col(f"high_{a}")))
     return joined.select(*points.columns)
@@ -82,7 +88,7 @@ def radius_filter(points: DataFrame, radius: float) -> DataFrame:
     """Points nearer than radius to the middle of their shape's bounds."""
     box = bounds(points)
     mid = Vec(*((F.col(f"min_{a}") + F.col(f"max_{a}")) / 2.0 for a in AXES))
-    return points.join(box, "shape_id").where((Vec.of() - mid).norm() < radius).select(*points.columns)
+    return with_group(points, box, "shape_id").where((Vec.of() - mid).norm() < radius).select(*points.columns)
 
 
 def empty_shapes(points: DataFrame, shapes: DataFrame, least: int = 64) -> DataFrame:

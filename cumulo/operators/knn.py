@@ -45,7 +45,7 @@ def direct(queries: DataFrame, refs: DataFrame, k: int, metric: str = "l2") -> D
     return _nearest(queries.join(refs, "shape_id").withColumn("d2", distance2(metric)), k)
 
 
-def grid(queries: DataFrame, refs: DataFrame, k: int, size: float, rounds: int = 40) -> DataFrame:
+def grid(queries: DataFrame, refs: DataFrame, k: int, size: float, metric: str = "l2", rounds: int = 40) -> DataFrame:
     """knn() by cells of `size` and up. Each round's settled queries are written out, and only the others go on."""
     extent = refs.select(*(f"r{a}" for a in AXES)).unionByName(queries.select(*(F.col(f"q{a}").alias(f"r{a}") for a in AXES)))
     row = extent.agg(*(F.max(f"r{a}") - F.min(f"r{a}") for a in AXES)).first()
@@ -59,14 +59,14 @@ def grid(queries: DataFrame, refs: DataFrame, k: int, size: float, rounds: int =
             celled = celled.withColumn(c, F.floor(F.col(f"r{a}") / size))
             at = F.floor(F.col(f"q{a}") / size)
             near = near.withColumn(c, F.explode(F.sequence(at - 1, at + 1)))
-        pairs = near.join(celled, ["shape_id", *CELLS]).drop(*CELLS).withColumn("d2", distance2())
+        pairs = near.join(celled, ["shape_id", *CELLS]).drop(*CELLS).withColumn("d2", distance2(metric))
         found = _nearest(pairs, k)
         if last:
             done, left = checkpointed(found), None
         else:
             whole = Window.partitionBy("shape_id", "query_id")
             found = found.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_far", F.max("d2").over(whole))
-            done = checkpointed(found.where((F.col("_n") == k) & (F.col("_far") < size * size)).drop("_n", "_far"))
+            done = checkpointed(found.where((F.col("_n") == k) & (F.col("_far") < (size * size if metric == "l2" else size))).drop("_n", "_far"))
             left = checkpointed(left.join(done.select("shape_id", "query_id").distinct(), ["shape_id", "query_id"], "left_anti"))
         settled = done if settled is None else settled.unionByName(done)
         if left is None or left.isEmpty():
@@ -83,12 +83,12 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, size: float | None = None,
     """
     counts = queries.groupBy("shape_id").agg(F.count(F.lit(1)).alias("_q")).join(refs.groupBy("shape_id").agg(F.count(F.lit(1)).alias("_r")), "shape_id")
     most, largest = counts.agg(F.max(F.col("_q") * F.col("_r")), F.max("_r")).first()
-    if metric != "l2" or (most or 0) <= DIRECT_PAIRS:
+    if (most or 0) <= DIRECT_PAIRS:
         return direct(queries, refs, k, metric)
     if size is None:
         span = refs.agg(*(F.max(f"r{a}") - F.min(f"r{a}") for a in AXES)).first()
         size = max(max(span) * (k / (9.0 * largest)) ** (1 / 3), 1e-9)
-    return grid(queries, refs, k, size)
+    return grid(queries, refs, k, size, metric)
 
 
 def radius(queries: DataFrame, refs: DataFrame, r: float, most: int) -> DataFrame:

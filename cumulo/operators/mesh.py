@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..functions.vec import Vec
+from ..sources.storage import checkpointed
+from .ranks import running_sum, with_group
 
 
 def from_tables(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -35,18 +37,18 @@ def areas(triangles: DataFrame) -> DataFrame:
 def sample(triangles: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n points of each shape, uniform by area: shape_id, draw, face_id, x, y, z.
 
-    Faces lie one after the other by area, and draws fall between them: one sort of both gives each
-    draw the last face that starts before it. Shapes without area have none.
+    Faces lie one after the other by area, and draws fall between them. Both are keyed by stretches of a
+    face's mean area, of which a face covers as many as it has area for. Shapes without area have none.
     """
-    sized = triangles.withColumn("_area", _normal().norm() / 2.0)
-    before = Window.partitionBy("shape_id").orderBy("face_id").rowsBetween(Window.unboundedPreceding, -1)
-    sized = sized.withColumn("_at", F.coalesce(F.sum("_area").over(before), F.lit(0.0))).where("_area > 0")
-    whole = sized.groupBy("shape_id").agg(F.max(F.col("_at") + F.col("_area")).alias("_all"))
-    draws = whole.select("shape_id", "_all", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
-    draws = draws.select("shape_id", (rng.uniform(seed, "mesh", "shape_id", "draw") * F.col("_all")).alias("_at"), "draw", F.lit(None).cast("long").alias("face_id"))
-    both = sized.select("shape_id", "_at", F.lit(None).cast("int").alias("draw"), "face_id").unionByName(draws)
-    upto = Window.partitionBy("shape_id").orderBy("_at", F.col("draw").asc_nulls_first(), "face_id").rowsBetween(Window.unboundedPreceding, 0)
-    picks = both.withColumn("face_id", F.last("face_id", ignorenulls=True).over(upto)).where("draw is not null").select("shape_id", "draw", "face_id")
+    sized = triangles.select("shape_id", "face_id", (_normal().norm() / 2.0).alias("_area")).where("_area > 0")
+    sized = checkpointed(running_sum(sized, ["shape_id"], ["face_id"], "_area", "_at").withColumn("_end", F.col("_at") + F.col("_area")))
+    whole = sized.groupBy("shape_id").agg(F.max("_end").alias("_all"), (F.max("_end") / F.count(F.lit(1))).alias("_wide"), F.max_by("face_id", "_end").alias("_last"))
+    stretch = lambda at: F.floor(F.col(at) / F.col("_wide"))
+    faces = with_group(sized, whole.select("shape_id", "_wide"), "shape_id").withColumn("_key", F.explode(F.sequence(stretch("_at"), stretch("_end"))))
+    draws = whole.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_draw", rng.uniform(seed, "mesh", "shape_id", "draw") * F.col("_all"))
+    met = draws.withColumn("_key", stretch("_draw")).join(faces.select("shape_id", "_key", "face_id", "_at", "_end"), ["shape_id", "_key"], "left").where("_draw >= _at and _draw < _end")
+    # Sums of areas may differ in their last bits between blocks: a draw that falls between two faces goes to the later one.
+    picks = met.groupBy("shape_id", "draw").agg(F.max("face_id").alias("face_id"))
     root = F.sqrt(rng.uniform(seed, "mesh.r", "shape_id", "draw"))
     turn = rng.uniform(seed, "mesh.t", "shape_id", "draw")
     a, b, c = (Vec.of(corner) for corner in "abc")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from .ranks import by_digest, by_value, with_group
 
 
 def available(wanted: list[str], columns: list[str]) -> list[str]:
@@ -22,9 +23,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 def split_manifest(manifest: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     """split: train for the first int(n * ratio) items of each group in a random order, val for the others."""
-    order = Window.partitionBy("grp").orderBy(rng.digest(seed, "split", "grp", "item"), "item")
-    size = F.count(F.lit(1)).over(Window.partitionBy("grp"))
-    rows = manifest.withColumn("ord", F.row_number().over(order)).withColumn("_n", size)
+    sizes = manifest.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
+    rows = with_group(by_digest(manifest, ["grp"], rng.digest(seed, "split", "grp", "item"), "item", "ord"), sizes, "grp")
     return rows.withColumn("split", F.when(F.col("ord") <= F.floor(F.col("_n") * ratio), "train").otherwise("val")).drop("_n")
 
 
@@ -41,9 +41,8 @@ def mix_sources(items: DataFrame, shares: dict[str, float]) -> DataFrame:
 
 def mix_epoch(items: DataFrame, shares: dict[str, float], epoch: int) -> DataFrame:
     """idx, source, item: what an epoch shows. A source's window of logical items rolls on by its length each epoch, around its end."""
-    place = Window.partitionBy("source").orderBy("item")
-    rows = items.withColumn("_at", F.row_number().over(place) - 1).join(mix_sources(items, shares), "source")
-    turn = F.pmod(F.col("_at") - F.lit(epoch) * F.col("logical"), F.col("physical"))
+    rows = with_group(by_value(items, ["source"], ["item"], "_at"), mix_sources(items, shares), "source")
+    turn = F.pmod(F.col("_at") - 1 - F.lit(epoch) * F.col("logical"), F.col("physical"))
     return rows.where(turn < F.col("logical")).select((F.col("first") + turn).alias("idx"), "source", "item")
 
 
@@ -61,11 +60,10 @@ def focus(grammar: str, column: str = "batch_idx") -> Column:
 def substitute_missing(manifest: DataFrame, missing: DataFrame, seed: int = 0) -> DataFrame:
     """read: the item itself, or for missing ones an item of the same group, drawn from all that are there."""
     there = manifest.join(missing.select("grp", "item"), ["grp", "item"], "left_anti")
-    order = Window.partitionBy("grp").orderBy("item")
-    there = there.select("grp", "item").withColumn("_rank", F.row_number().over(order))
+    there = by_value(there.select("grp", "item"), ["grp"], ["item"], "_rank")
     sizes = there.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
-    lost = manifest.join(missing.select("grp", "item"), ["grp", "item"], "left_semi").join(sizes, "grp")
-    lost = lost.withColumn("_rank", (F.floor(rng.uniform(seed, "substitute", "grp", "item") * F.col("_n")) + 1).cast("int"))
+    lost = manifest.join(missing.select("grp", "item"), ["grp", "item"], "left_semi")
+    lost = with_group(lost, sizes, "grp").withColumn("_rank", F.floor(rng.uniform(seed, "substitute", "grp", "item") * F.col("_n")) + 1)
     found = lost.join(there.withColumnRenamed("item", "read"), ["grp", "_rank"]).select("grp", "item", "read")
     return there.select("grp", "item", F.col("item").alias("read")).unionByName(found)
 

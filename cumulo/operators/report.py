@@ -6,11 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Columns that wide() makes at most of its own accord.
+MOST_NAMES = 1000
+
+
 def summary(log: DataFrame) -> DataFrame:
     """name, n, mean of values that are there."""
     return log.groupBy("name").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
 
 
+def _before(blocks: DataFrame, keys: list[str], value: str, total, fan: int = 10_000) -> DataFrame:
+    """blocks (keys, _block, value) with _before, `total` of value over the blocks before each; `fan` blocks are taken together first."""
+    outer = blocks.withColumn("_outer", F.floor(F.col("_block") / fan))
+    earlier = total(F.col("_some")).over(Window.partitionBy(*keys).orderBy("_outer").rowsBetween(Window.unboundedPreceding, -1))
+    tops = outer.groupBy(*keys, "_outer").agg(total(F.col(value)).alias("_some")).withColumn("_top", earlier).drop("_some")
+    inner = total(F.col(value)).over(Window.partitionBy(*keys, "_outer").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    return outer.withColumn("_inner", inner).join(tops, [*keys, "_outer"]).drop("_outer", value)
+
+
 def best_so_far(log: DataFrame, block: int = 10_000) -> DataFrame:
     """best: the least value of its name up to each step.
 
@@ -19,25 +32,26 @@ def best_so_far(log: DataFrame, block: int = 10_000) -> DataFrame:
     """
     keyed = log.withColumn("_block", F.floor(F.col("step") / block))
     minima = keyed.groupBy("name", "_block").agg(F.min("value").alias("_least"))
-    earlier = F.min("_least").over(Window.partitionBy("name").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     within = F.min("value").over(Window.partitionBy("name", "_block").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
-    rows = keyed.withColumn("_within", within).join(minima.withColumn("_before", earlier).drop("_least"), ["name", "_block"])
-    return rows.select("step", "name", "value", F.least("_within", "_before").alias("best"))
+    rows = keyed.withColumn("_within", within).join(_before(minima, ["name"], "_least", F.min), ["name", "_block"])
+    return rows.select("step", "name", "value", F.least("_within", "_inner", "_top").alias("best"))
 
 
 def running_failures(steps: DataFrame, failed, block: int = 10_000) -> DataFrame:
     """failures: how many steps up to each one failed, by blocks of ids as in best_so_far()."""
     keyed = steps.withColumn("_f", failed.cast("long")).withColumn("_block", F.floor(F.col("step") / block))
     sums = keyed.groupBy("_block").agg(F.sum("_f").alias("_sum"))
-    earlier = F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     within = F.sum("_f").over(Window.partitionBy("_block").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
-    rows = keyed.withColumn("_within", within).join(sums.withColumn("_before", earlier).drop("_sum"), "_block")
-    return rows.select("step", (F.col("_within") + F.col("_before")).alias("failures"))
+    rows = keyed.withColumn("_within", within).join(_before(sums, [], "_sum", F.sum), "_block")
+    return rows.select("step", sum((F.coalesce(c, F.lit(0)) for c in ("_inner", "_top")), F.col("_within")).alias("failures"))
 
 
 def wide(log: DataFrame, keys: list[str], names: list[str] | None = None) -> DataFrame:
     """A column for each metric, by name; names that there are none of stay empty."""
-    names = names or sorted(r[0] for r in log.select("name").distinct().limit(1000).collect())
+    if names is None:
+        names = sorted(r[0] for r in log.select("name").distinct().limit(MOST_NAMES + 1).collect())
+        if len(names) > MOST_NAMES:
+            raise ValueError(f"more than {MOST_NAMES} metrics: name those that columns are wanted for")
     return log.groupBy(*keys).pivot("name", names).agg(F.avg("value"))
 
 

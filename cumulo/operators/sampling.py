@@ -9,24 +9,24 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..functions.vec import Vec, cell, cell_by_remainder
-from .affine import scale_fixed
 from .crop import AXES
+from .ranks import by_digest, with_group
 
 
 def ranked(points: DataFrame, seed: int, op: str) -> DataFrame:
     """rank: the place of each point in its shape's random order, from 1."""
-    order = Window.partitionBy("shape_id").orderBy(rng.digest(seed, op, "shape_id", "point_id"), "point_id")
-    return points.withColumn("rank", F.row_number().over(order))
+    return by_digest(points, ["shape_id"], rng.digest(seed, op, "shape_id", "point_id"), "point_id", "rank")
 
 
 def subsample(points: DataFrame, most: int, seed: int = 0) -> DataFrame:
     """At most `most` points of each shape, drawn without replacement. The limit is applied before rows move, too."""
-    return ranked(points, seed, "subsample").where(F.col("rank") <= most).drop("rank")
+    order = Window.partitionBy("shape_id").orderBy(rng.digest(seed, "subsample", "shape_id", "point_id"), "point_id")
+    return points.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
 
 
 def _drawn(points: DataFrame, draws: DataFrame, seed: int, op: str, counts: DataFrame) -> DataFrame:
     """Points for draws (shape_id, draw) with replacement: each picks one of the shape's n points."""
-    picks = draws.join(counts, "shape_id").withColumn("rank", (F.floor(rng.uniform(seed, op, "shape_id", "draw") * F.col("n")) + 1).cast("int")).drop("n")
+    picks = with_group(draws, counts, "shape_id").withColumn("rank", F.floor(rng.uniform(seed, op, "shape_id", "draw") * F.col("n")) + 1).drop("n")
     return picks.join(ranked(points, seed, f"{op}.order"), ["shape_id", "rank"]).drop("rank")
 
 
@@ -71,8 +71,8 @@ def outliers(points: DataFrame, ratio: float, seed: int = 0, reach: float = 0.55
     if not ratio:
         return points
     counts = _counts(points)
-    picks = _numbers(counts, F.floor(F.col("n") * ratio)).join(counts, "shape_id")
-    picks = picks.select("shape_id", (F.floor(rng.uniform(seed, "outlier", "shape_id", "draw") * F.col("n")) + 1).cast("int").alias("rank")).distinct().withColumn("_out", F.lit(True))
+    picks = with_group(_numbers(counts, F.floor(F.col("n") * ratio)), counts, "shape_id")
+    picks = picks.select("shape_id", (F.floor(rng.uniform(seed, "outlier", "shape_id", "draw") * F.col("n")) + 1).alias("rank")).distinct().withColumn("_out", F.lit(True))
     rows = ranked(points, seed, "outlier.order").join(picks, ["shape_id", "rank"], "left")
     draw = lambda name: rng.uniform(seed, f"outlier.{name}", "shape_id", "point_id")
     height, turn = draw("h") * 2.0 - 1.0, draw("t") * (2.0 * math.pi)
@@ -101,7 +101,7 @@ def density_rescale(points: DataFrame, size: float, low: float, high: float, see
     """Scaled by sqrt(density / target), the target drawn for each shape from [low, high]."""
     target = rng.between(F.lit(low), F.lit(high), seed, "density", "shape_id")
     factors = density(points, size).select("shape_id", F.sqrt(F.col("density") / target).alias("_factor"))
-    rows = points.join(factors, "shape_id")
+    rows = with_group(points, factors, "shape_id")
     return rows.withColumns({n: F.col(n) * F.col("_factor") for p in ("", "s") for n in (f"{p}{a}" for a in AXES) if n in points.columns}).select(*points.columns)
 
 
@@ -110,7 +110,7 @@ def density_subsample(points: DataFrame, size: float, low: float, high: float, s
     now = F.col("density")
     target = rng.between(F.least(now, F.lit(low)), F.least(now, F.lit(high)), seed, "density", "shape_id")
     sizes = density(points, size).select("shape_id", F.bround(F.col("n") / now * target).cast("long").alias("_most"))
-    return ranked(points, seed, "subsample").join(sizes, "shape_id").where(F.col("rank") <= F.col("_most")).select(*points.columns)
+    return with_group(ranked(points, seed, "subsample"), sizes, "shape_id").where(F.col("rank") <= F.col("_most")).select(*points.columns)
 
 
 def band_samples(points: DataFrame, n: int, spread: float, seed: int = 0) -> DataFrame:
@@ -126,7 +126,7 @@ def surface_subsample(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
     counts = _counts(points)
     many = counts.where(F.col("n") > n)
     drawn = _drawn(points, _numbers(many, F.lit(n)), seed, "surface", counts)
-    rest = points.join(many.select("shape_id"), "shape_id", "left_anti").withColumn("draw", F.col("point_id"))
+    rest = with_group(points, many.select("shape_id"), "shape_id", how="left_anti").withColumn("draw", F.col("point_id"))
     return drawn.unionByName(rest) if n > 0 else points.withColumn("draw", F.col("point_id"))
 
 
@@ -153,7 +153,3 @@ def schedule(steps: DataFrame, start: float, end: float, seed: int = 0) -> DataF
     """p rises from 0 to 1 between the steps start and end; taken: a draw below it."""
     p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("step") - start) / (end - start)))
     return steps.withColumn("p", p).withColumn("taken", rng.uniform(seed, "schedule", "step") < p)
-
-
-def scaled_to(points: DataFrame, factor: float) -> DataFrame:
-    return scale_fixed(points, factor)

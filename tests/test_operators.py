@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from cumulo.operators import affine, crop, knn, metrics, mixing, normals, sampling, sdf, volume
+from cumulo.operators import affine, crop, knn, metrics, mixing, normals, report, sampling, sdf, volume
 from cumulo.plans.planner import compose, interpolate, merge_configs, plan
 from pyspark.sql import functions as F
 
@@ -158,3 +158,50 @@ def test_normals_face_the_sensor(spark):
     plane = cloud(spark, [("a", i * 6 + j, (i / 5, j / 5, 0)) for i in range(6) for j in range(6)])
     below = plane.withColumn("sz", F.lit(-5.0))
     assert {round(r.nz) for r in normals.oriented(plane, 9).collect()} == {1} and {round(r.nz) for r in normals.oriented(below, 9).collect()} == {-1}
+
+
+def test_places_without_whole_groups(spark):
+    from cumulo.operators import ranks
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("g"), F.pmod(F.col("id") * 7919, F.lit(3001)).alias("v"), (F.col("id") % 5 / 4.0).alias("w"))
+    by = {}
+    for r in rows.collect():
+        by.setdefault(r.g, []).append((r.v, r.w))
+    got = {(r.g, r.v): r["rank"] for r in ranks.by_value(rows, ["g"], ["v"], "rank").collect()}
+    summed = {(r.g, r.v): r.s for r in ranks.running_sum(rows, ["g"], ["v"], "w", "s").collect()}
+    hashed = {(r.g, r.v): r["rank"] for r in ranks.by_digest(rows, ["g"], F.md5(F.col("v").cast("string")), "v", "rank").collect()}
+    for g, values in by.items():
+        total = 0.0
+        for i, (v, w) in enumerate(sorted(values), 1):
+            assert got[g, v] == i and summed[g, v] == pytest.approx(total)
+            total += w
+        import hashlib
+
+        order = sorted((v for v, _ in values), key=lambda v: (hashlib.md5(str(v).encode()).hexdigest(), v))
+        assert [hashed[g, v] for v in order] == list(range(1, len(order) + 1))
+
+
+def test_side_tables_beyond_the_broadcast(spark, monkeypatch):
+    from cumulo.operators import ranks
+
+    rows, table = spark.range(20).selectExpr("id % 4 as g", "id"), spark.range(3).selectExpr("id as g", "id * 10 as t")
+    want = sorted((i % 4, i, i % 4 * 10) for i in range(20) if i % 4 < 3)
+    for most in (0, 100):
+        monkeypatch.setattr(ranks, "SMALL_ROWS", most)
+        assert sorted(map(tuple, ranks.with_group(rows, table, "g").collect())) == want
+
+
+def test_failures_and_best_over_many_blocks(spark):
+    log = spark.range(500).selectExpr("id as step", "'m' as name", "cast(abs(250 - id) as double) as value")
+    best = {r.step: r.best for r in report._before(log.selectExpr("name", "step as _block", "value"), ["name"], "value", F.min, 20).selectExpr("_block as step", "least(_inner, _top) as best").collect()}
+    assert best[0] is None and all(best[i] == min(abs(250 - j) for j in range(i)) for i in range(1, 500))
+    fails = {r.step: r.failures for r in report.running_failures(log, log["value"] < 100, block=7).collect()}
+    assert all(fails[i] == sum(abs(250 - j) < 100 for j in range(i + 1)) for i in range(500))
+
+
+def test_l1_over_the_grid(spark, monkeypatch):
+    q, r = scatter(spark, 40, 1), scatter(spark, 60, 2)
+    plain = knn.knn(knn.as_queries(q), knn.as_refs(r), 3, metric="l1").select("shape_id", "query_id", "rank", "ref_id").collect()
+    monkeypatch.setattr(knn, "DIRECT_PAIRS", 0)
+    assert set(map(tuple, knn.knn(knn.as_queries(q), knn.as_refs(r), 3, metric="l1").select("shape_id", "query_id", "rank", "ref_id").collect())) == set(map(tuple, plain))
