@@ -5,8 +5,10 @@
 2. Nodes that share a band key are candidates. Inside a bucket, signatures are compared a batch of
    positions at a time, and a pair is dropped once the posterior probability that its similarity
    reaches the threshold is below MISS. Buckets emit a spanning forest of what survives, not pairs.
-3. Survivors that hang together are verified on full sets; clusters beyond TILE_SHINGLES are cut
-   into tiles and each pair of tiles is a task's work. Again a spanning forest of links comes out.
+3. Survivors are verified on full sets, each first against its least candidate alone, so that the work on a
+   large group of near copies grows with it and is dealt over tasks. What hangs together by these links
+   is a class. In clusters of survivors that are not one class yet, rows of different classes are compared;
+   clusters beyond TILE_SHINGLES are cut into tiles and each pair of tiles is a task's work.
 4. Connected components of the links, by star contraction.
 
 Joins on keys that many rows may share - buckets, clusters, hubs, sets of copies - go through join_hot().
@@ -35,8 +37,9 @@ BANDS, ROWS, BAND_MISS = 25, 5, 5e-7
 HASHES = BANDS * ROWS
 #: Positions compared before each posterior bound is looked up, and the chosen miss probability.
 BATCH, MISS = 25, 1e-6
-#: Rows of a bucket, and shingles of a cluster, that one task compares with each other at once.
-BUCKET_TILE, TILE_SHINGLES = 2048, 400_000
+#: Rows of a bucket, and shingles of a cluster, that one task compares with each other at once; rows that are verified
+#: against one candidate at once.
+BUCKET_TILE, TILE_SHINGLES, PARTNERS = 2048, 400_000, 256
 
 _rng = np.random.default_rng(20)
 _SYMBOL = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -160,6 +163,26 @@ def forest(n: int, linked, side: np.ndarray | None = None) -> list[tuple[int, in
     return edges
 
 
+def class_forest(classes: np.ndarray, linked) -> list[tuple[int, int]]:
+    """Links between rows of different classes that join what hangs together; rows of one class do already.
+
+    linked(row, rows) gives a row's partners among rows. What a link reaches is reached with its whole class.
+    """
+    left, edges = np.arange(len(classes)), []
+    while len(left):
+        inside = classes[left] == classes[left[0]]
+        todo, left = left[inside].tolist(), left[~inside]
+        while todo and len(left):
+            row = todo.pop()
+            found = left[linked(row, left)]
+            if len(found):
+                edges += [(row, other) for other in found.tolist()]
+                reached = np.isin(classes[left], classes[found])
+                todo.extend(left[reached].tolist())
+                left = left[~reached]
+    return edges
+
+
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of whole groups, from batches sorted by keys: each ends where a group ends."""
     held: list[pa.RecordBatch] = []
@@ -275,47 +298,81 @@ def survivors(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
-def verified(clusters: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Edges (a, b): a spanning forest of the links within clusters, on full sets.
+def _similar(sets: list[np.ndarray], percent: int):
+    """linked(row, rows): which of rows have enough of their shingles in common with a row."""
+    sizes = np.array([len(x) for x in sets])
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(names), np.int64)
 
-    Clusters are (node, label, n_shingles, doc_id, mark); the last two name the row of docs that holds a node's text.
+    def linked(row, rows):
+        own = flat[starts[row] : starts[row] + sizes[row]]
+        mark[own] = 1
+        # All rows are counted at once while most are open, and one by one later.
+        if len(rows) * 4 > len(sizes):
+            both = np.add.reduceat(mark[flat], starts)[rows]
+        else:
+            both = np.array([mark[flat[starts[r] : starts[r] + sizes[r]]].sum() for r in rows])
+        mark[own] = 0
+        return 100 * both >= percent * (sizes[row] + sizes[rows] - both)
+
+    return linked
+
+
+def with_candidates(texts: DataFrame, candidates: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Edges (a, b): of texts (node, text), those linked with the least of their candidates (edges a, b).
+
+    A node that is the least candidate of very many is read once for each PARTNERS of them.
     """
-    sums = clusters.groupBy("label").agg(F.ceil(F.sum("n_shingles") / TILE_SHINGLES).alias("tiles"), F.count(F.lit(1)).alias("size"))
-    placed = join_hot(clusters.select("node", "label", "doc_id", "mark"), sums, "label", "size", clusters.count())
-    # Rows that are alike meet where they are joined; one of each goes on.
-    rows = docs.select("doc_id", _mark().alias("mark"), "text").join(placed, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
-    rows = tiled(rows, F.col("tiles"), "node").select("label", "i", "j", "tile", "node", "text")
-    rows = rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "node")
+    least = candidates.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("to")).where("node <> to").groupBy("node").agg(F.min("to").alias("to"))
+    least = checkpointed(least)
+    splits = least.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("splits"), F.count(F.lit(1)).alias("size"))
+    dealt = join_hot(least, splits, "to", "size", least.count()).withColumn("split", F.expr("cast(pmod(xxhash64(node), splits) as int)"))
+    partners = texts.select("node", "text").join(dealt.select("node", "to", "split"), "node").withColumn("lead", F.lit(0))
+    leads = texts.select(F.col("node").alias("to"), "text").join(splits.select("to", F.explode(F.expr("sequence(0, splits - 1)")).alias("split")), "to")
+    columns, groups = ["to", "split", "node", "text"], ["to", "split"]
+    rows = partners.select(*columns).unionByName(leads.withColumn("node", F.col("to")).select(*columns))
+    rows = rows.repartition(*groups).sortWithinPartitions(*groups, "node")  # the lead is the least of all
+
+    def run(batches):
+        for table in _runs(batches, groups):
+            edges = _bounds(table, groups)
+            node, out_a, out_b = table.column("node").to_numpy(), [], []
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                sets = [shingles(t) for t in table.column("text").slice(s, e - s).to_pylist()]
+                near = np.flatnonzero(_similar(sets, percent)(0, np.arange(1, e - s))) + 1
+                out_a.append(np.full(len(near), node[s]))
+                out_b.append(node[s + near])
+            yield _edges(np.concatenate(out_a), np.concatenate(out_b))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def between_classes(texts: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame | None:
+    """Edges (a, b) that join the classes (node, label) of linked texts within clusters (texts: node, label, n_shingles, text).
+
+    None if each cluster is one class.
+    """
+    rows = texts.select("node", "label", "n_shingles").join(classes.select("node", F.col("label").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    rows = checkpointed(rows)
+    clusters = rows.groupBy("label").agg(F.ceil(F.sum("n_shingles") / TILE_SHINGLES).alias("tiles"), F.count(F.lit(1)).alias("size"), F.min("class").alias("_low"), F.max("class").alias("_high"))
+    clusters = checkpointed(clusters.where("_low <> _high").drop("_low", "_high"))
+    if clusters.isEmpty():
+        return None
+    rows = join_hot(rows.drop("n_shingles"), clusters, "label", "size", rows.count()).join(texts.select("node", "text"), "node")
+    rows = tiled(rows, F.col("tiles"), "node").select("label", "i", "j", "node", "class", "text")
     groups = ["label", "i", "j"]
+    rows = rows.repartition(*groups).sortWithinPartitions(*groups, "node")
 
     def run(batches):
         for table in _runs(batches, groups):
             edges = _bounds(table, groups)
-            node = table.column("node").to_numpy()
-            tile, i, j = (table.column(c).to_numpy() for c in ("tile", "i", "j"))
-            out_a, out_b = [], []
+            node, kind = table.column("node").to_numpy(), table.column("class").to_numpy()
+            out = []
             for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 sets = [shingles(t) for t in table.column("text").slice(s, e - s).to_pylist()]
-                sizes = np.array([len(x) for x in sets])
-                names, flat = np.unique(np.concatenate(sets), return_inverse=True)
-                starts = np.cumsum(sizes) - sizes
-                mark = np.zeros(len(names), np.int64)
-
-                def linked(row, rows, sizes=sizes, starts=starts, flat=flat, mark=mark):
-                    own = flat[starts[row] : starts[row] + sizes[row]]
-                    mark[own] = 1
-                    # All rows are counted at once while most are open, and one by one later.
-                    if len(rows) * 4 > len(sizes):
-                        both = np.add.reduceat(mark[flat], starts)[rows]
-                    else:
-                        both = np.array([mark[flat[starts[r] : starts[r] + sizes[r]]].sum() for r in rows])
-                    mark[own] = 0
-                    return 100 * both >= percent * (sizes[row] + sizes[rows] - both)
-
-                for x, y in forest(e - s, linked, None if i[s] == j[s] else tile[s:e]):
-                    out_a.append(node[s + x])
-                    out_b.append(node[s + y])
-            yield _edges(out_a, out_b)
+                out += [(node[s + x], node[s + y]) for x, y in class_forest(kind[s:e], _similar(sets, percent))]
+            yield _edges([a for a, _ in out], [b for _, b in out])
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -354,8 +411,16 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     )
     # Rows of one id may differ in text, so nodes have numbers of their own; written out, they stay the same.
     nodes = checkpointed(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "row.*", "signature", "bands", "n_shingles", "copies"))
-    clusters = connected_components(survivors(nodes, percent)).join(nodes.select("node", "doc_id", "mark", "n_shingles"), "node")
-    components = connected_components(verified(checkpointed(clusters), docs, percent))
+    candidates = checkpointed(survivors(nodes, percent))
+    clusters = connected_components(candidates).join(nodes.select("node", "doc_id", "mark", "n_shingles"), "node")
+    # Rows that are alike meet where they are joined; one of each goes on.
+    texts = docs.select("doc_id", _mark().alias("mark"), "text").join(clusters, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    texts = checkpointed(texts.select("node", "label", "n_shingles", "text"))
+    links = checkpointed(with_candidates(texts, candidates, percent))
+    components = connected_components(links)
+    more = between_classes(texts, components, percent)
+    if more is not None:
+        components = connected_components(links.unionByName(more))
     named = checkpointed(components.join(nodes.select("node", "doc_id"), "node"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
     named = join_hot(named.drop("doc_id"), least, "label", "size", named.count())
