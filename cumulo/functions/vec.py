@@ -95,6 +95,11 @@ def frac(value) -> Column:
     return _column(value) - F.floor(_column(value))
 
 
+def fmod(value, by) -> Column:
+    """The remainder with the sign of the value, as a division that is cut off leaves it."""
+    return _column(value) % _column(by)
+
+
 def sign(value) -> Column:
     """1 above 0, else -1: 0 counts as negative."""
     return F.when(_column(value) > 0, 1.0).otherwise(-1.0)

@@ -50,6 +50,11 @@ def iou(occupancy: DataFrame) -> DataFrame:
     return occupancy.groupBy("shape_id").agg((F.sum(both) / (F.sum(either) + 1e-6)).alias("iou"))
 
 
+def measure(rows: DataFrame, names: list[str]) -> dict[str, DataFrame]:
+    """What the measures of these names, of those in MEASURES, say of rows: measures of one's own are added there."""
+    return {name: MEASURES[name](rows) for name in names}
+
+
 def point_stats(points: DataFrame) -> DataFrame:
     """Mean, least and largest of each coordinate."""
     return points.groupBy("shape_id").agg(*(f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))))
@@ -90,3 +95,7 @@ def total_loss(losses: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Weighted sum by step of rows (step, name, value); NaN counts as 0, names without a weight as weight 0."""
     weight = F.coalesce(F.create_map(*(F.lit(v) for kv in weights.items() for v in kv))[F.col("name")], F.lit(0.0))
     return losses.groupBy("step").agg(F.sum(weight * F.nanvl(F.col("value"), F.lit(0.0))).alias("total"))
+
+
+#: Measures and losses by name, each a function from rows to rows.
+MEASURES = {"point_stats": point_stats, "sharpness": sharpness_loss, "surface": surface_loss, "structure": structure_loss, "occupancy_iou": iou}

@@ -31,8 +31,10 @@ def split_manifest(manifest: DataFrame, ratio: float, seed: int = 0) -> DataFram
 def mix_sources(items: DataFrame, shares: dict[str, float]) -> DataFrame:
     """source, physical, logical, first: each source's items, int(items * share) of them, and where it starts in the mixture.
 
-    One row a source; sources without a share are taken whole.
+    One row a source; sources without a share are taken whole. A mixture is no source of another.
     """
+    if "logical" in items.columns:
+        raise ValueError("mixtures can't be nested: mix the sources themselves")
     share = F.coalesce(F.create_map(*(F.lit(v) for kv in shares.items() for v in kv))[F.col("source")], F.lit(1.0)) if shares else F.lit(1.0)
     sizes = items.groupBy("source").agg(F.count(F.lit(1)).alias("physical")).withColumn("logical", F.floor(F.col("physical") * share))
     before = F.sum("logical").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1))
@@ -73,13 +75,41 @@ def in_batches(items: DataFrame, size: int) -> DataFrame:
     return items.groupBy(F.floor(F.col("idx") / size).alias("batch_idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "item"))), lambda s: s["item"]).alias("items"))
 
 
+def ordered(items: DataFrame, shuffled: bool, seed: int = 0) -> DataFrame:
+    """items (item) with idx from 0: in a seeded random order where that is wanted, by item otherwise."""
+    rows = items.withColumn("_all", F.lit(0))
+    placed = by_digest(rows, ["_all"], rng.digest(seed, "order", "item"), "item", "idx") if shuffled else by_value(rows, ["_all"], ["item"], "idx")
+    return placed.withColumn("idx", F.col("idx") - 1).drop("_all")
+
+
+def fields(feature: str | None) -> list[str]:
+    """Columns that a model with this feature mode reads; `normal` and `sensor` add theirs."""
+    more = {"normal": ["nx", "ny", "nz"], "sensor": ["sx", "sy", "sz"]}.get(feature or "", [])
+    return ["shape_id", "point_id", "x", "y", "z", *more]
+
+
+def run_parts(path: Column) -> Column:
+    """user, project, run and ckpt of `user/project/run:ckpt`; ckpt is null without a colon."""
+    part = lambda i: F.regexp_extract(path, r"^([^/]+)/([^/]+)/([^:]+)(?::(.*))?$", i)
+    return F.struct(part(1).alias("user"), part(2).alias("project"), part(3).alias("run"), F.when(path.contains(":"), part(4)).alias("ckpt"))
+
+
 def run_name(overrides: Column) -> Column:
-    """A short name from `key=value` overrides: initials of the key's parts and the value, booleans as 0 and 1, by key, joined by `-`; a later one of a key wins."""
-    pair = F.transform(overrides, lambda o: F.split(o, "=", 2))
-    last = F.map_from_arrays(F.array_distinct(F.transform(pair, lambda p: p[0])), F.transform(F.array_distinct(F.transform(pair, lambda p: p[0])), lambda k: F.element_at(F.filter(pair, lambda p: p[0] == k), -1)[1]))
-    initials = lambda k: F.array_join(F.transform(F.split(k, "_"), lambda w: F.substring(w, 1, 1)), "")
+    """A short name from `key=value` overrides: short keys with values, by short key, joined by `-`; a later one of a short key wins.
+
+    A short key has the initials of the words of each dotted part of the key, with a dot before the last
+    part alone; true and false are 1 and 0, and a value ends at a second `=`.
+    """
+    initials = lambda part: F.array_join(F.transform(F.filter(F.split(part, "_"), lambda w: w != ""), lambda w: F.substring(w, 1, 1)), "")
+
+    def short(key):
+        parts = F.transform(F.split(key, r"\."), initials)
+        return F.concat(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 2, F.lit(0))), ""), F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), "."))
+
     value = lambda v: F.when(F.lower(v) == "true", "1").when(F.lower(v) == "false", "0").otherwise(v)
-    return F.array_join(F.transform(F.array_sort(F.map_keys(last)), lambda k: F.concat(initials(k), value(last[k]))), "-")
+    told = F.transform(overrides, lambda o: F.struct(short(F.split(o, "=")[0]).alias("key"), value(F.split(o, "=")[1]).alias("value")))
+    keys = F.array_sort(F.array_distinct(F.transform(told, lambda t: t["key"])))
+    return F.array_join(F.transform(keys, lambda k: F.concat(k, F.element_at(F.filter(told, lambda t: t["key"] == k), -1)["value"])), "-")
 
 
 def unpack_bits(packed: Column, n: int) -> Column:

@@ -15,6 +15,13 @@ def summary(log: DataFrame) -> DataFrame:
     return log.groupBy("name").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
 
 
+def summary_lines(log: DataFrame) -> DataFrame:
+    """name, n, shown: the mean of a metric whose first value, by step, is a number, otherwise NOT-NUMERIC; values are strings."""
+    number = F.expr("try_cast(value as double)")
+    told = log.where(F.col("value").isNotNull()).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min_by(number.isNotNull(), "step").alias("_number"), F.avg(number).alias("_mean"))
+    return told.select("name", "n", F.when(F.col("_number"), F.col("_mean").cast("string")).otherwise("NOT-NUMERIC").alias("shown"))
+
+
 def _before(blocks: DataFrame, keys: list[str], value: str, total, fan: int = 10_000) -> DataFrame:
     """blocks (keys, _block, value) with _before, `total` of value over the blocks before each; `fan` blocks are taken together first."""
     outer = blocks.withColumn("_outer", F.floor(F.col("_block") / fan))
@@ -61,6 +68,11 @@ def result_rows(frame: DataFrame, header: list[str]) -> DataFrame:
     return frame.select(F.col("`batch-idx`").cast("string").alias("batch-idx"), *(c.alias(n) for c, n in zip(columns, header, strict=True)))
 
 
+def write_results(frame: DataFrame, header: list[str], folder: str) -> None:
+    """result_rows() as csv files in a folder, each with the header, whose columns don't change from batch to batch."""
+    result_rows(frame, header).write.option("header", True).csv(folder)
+
+
 def learning_rate(steps: DataFrame, initial: float, multiplier: float, every: float, least: float, batch: int = 1) -> DataFrame:
     """rate: a staircase that falls by multiplier every so many samples, down to `least`."""
     stairs = F.pow(F.lit(multiplier), F.floor(F.col("step") * batch / every))

@@ -12,8 +12,22 @@ from ..functions.vec import Vec
 from .knn import as_queries, as_refs, knn, spacing
 
 
+#: Columns that queries and oriented points must have, as doubles or floats.
+NEEDED = {"queries": ("x", "y", "z"), "refs": ("x", "y", "z", "nx", "ny", "nz")}
+
+
+def checked(queries: DataFrame, refs: DataFrame) -> None:
+    """Raises ValueError, before any work, where a column is missing or holds no real numbers."""
+    for name, df in (("queries", queries), ("refs", refs)):
+        types = dict(df.dtypes)
+        for column in NEEDED[name]:
+            if types.get(column) not in ("double", "float"):
+                raise ValueError(f"{name}.{column} must be a double or float, not {types.get(column, 'missing')}")
+
+
 def _neighbours(queries: DataFrame, refs: DataFrame, k: int, adaptive: int) -> DataFrame:
     """Rows of queries with their k nearest oriented points: d2, rank, dot (normal times ray), std and the ray."""
+    checked(queries, refs)
     oriented = as_refs(refs, "nx", "ny", "nz")
     found = knn(as_queries(queries), oriented, k)
     if adaptive:

@@ -7,6 +7,8 @@ operators that do nothing are left out.
 from __future__ import annotations
 
 import functools
+import json
+import posixpath
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -84,6 +86,47 @@ def merge_configs(*configs: dict) -> dict:
     return out
 
 
+def load_config(text_of: Callable[[str], dict], path: str, overrides: Sequence[str] = ()) -> dict:
+    """The configuration at `path` over those it includes, with `a.b=value` overrides put in and ${} and {_name} resolved.
+
+    text_of(path) gives a configuration's dictionary. `include_configs` are paths from the folder of the one that names
+    them. Entries whose names start with an underscore are templates: `{_name}` in a string stands for their value.
+    """
+
+    def whole(at: str, above: tuple[str, ...] = ()) -> dict:
+        if at in above:
+            raise ValueError(f"{at} includes itself")
+        own = dict(text_of(at))
+        folder = at.rpartition("/")[0]
+        included = [whole(posixpath.normpath(posixpath.join(folder, p)), (*above, at)) for p in own.pop("include_configs", [])]
+        return merge_configs(*included, own)
+
+    config = whole(path)
+    for override in overrides:
+        key, _, value = override.partition("=")
+        nested: dict = {}
+        functools.reduce(lambda node, part: node.setdefault(part, {}), key.split(".")[:-1], nested)[key.split(".")[-1]] = _parsed(value)
+        config = merge_configs(config, nested)
+    names = {k: v for k, v in config.items() if k.startswith("_") and isinstance(v, str)}
+
+    def named(value):
+        if isinstance(value, dict):
+            return {k: named(v) for k, v in value.items()}
+        if isinstance(value, list):
+            return [named(v) for v in value]
+        return functools.reduce(lambda text, name: text.replace("{" + name + "}", names[name]), names, value) if isinstance(value, str) else value
+
+    return interpolate(named(config))
+
+
+def _parsed(value: str):
+    """A number, a truth value or null as JSON has them, anything else as it is."""
+    try:
+        return json.loads(value)
+    except ValueError:
+        return {"True": True, "False": False, "None": None}.get(value, value)
+
+
 def interpolate(config: dict) -> dict:
     """${path.to.key} in string values replaced by what stands there."""
 

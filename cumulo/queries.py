@@ -665,16 +665,29 @@ def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(views.small_cloud(spark, sf_dir).select("point_id", *(c.alias(k) for k, c in out.items())))
 
 
-@_query("SELECT 'bs16-lr0.1-us1' AS name UNION ALL SELECT '' UNION ALL SELECT 'vs0.2'")
+@_query("""WITH told AS (SELECT c_custkey AS id, [('batch_size', (c_custkey % 5)::VARCHAR), ('beta', (c_custkey % 2)::VARCHAR || '=z'), ('big_step', (c_custkey % 7)::VARCHAR), ('use_sdf', CASE WHEN c_custkey % 3 = 0 THEN 'True' ELSE 'FALSE' END),
+        ('model.net.voxel_size', c_mktsegment), ('model.__lr', '0.' || c_nationkey)] AS pairs FROM customer),
+    each AS (SELECT id, unnest(range(len(pairs))) AS pos, unnest(pairs) AS pair FROM told WHERE id % 4 <> 0),
+    short AS (SELECT id, pos, CASE pair[1] WHEN 'batch_size' THEN 'bs' WHEN 'beta' THEN 'b' WHEN 'big_step' THEN 'bs' WHEN 'use_sdf' THEN 'us' WHEN 'model.net.voxel_size' THEN 'mn.vs' ELSE 'm.l' END AS key,
+        CASE lower(split_part(pair[2], '=', 1)) WHEN 'true' THEN '1' WHEN 'false' THEN '0' ELSE split_part(pair[2], '=', 1) END AS value FROM each),
+    latest AS (SELECT id, key, arg_max(value, pos) AS value FROM short GROUP BY id, key)
+    SELECT c_custkey AS id, coalesce(string_agg(key || value, '-' ORDER BY key), '') AS name FROM customer LEFT JOIN latest ON id = c_custkey GROUP BY c_custkey""")
 def run_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(["learning_rate=0.1", "batch_size=16", "use_sdf=true"],), ([],), (["voxel_size=0.1", "voxel_size=0.2"],)], "overrides array<string>")
-    return rows.select(mixing.run_name(F.col("overrides")).alias("name"))
+    """Names of made-up runs, one a customer; every fourth has no overrides. Of two keys that are short for the same the later one counts."""
+    text = lambda c: F.col(c).cast("string")
+    pairs = F.array(
+        F.concat(F.lit("batch_size="), (F.col("c_custkey") % 5).cast("string")), F.concat(F.lit("beta="), (F.col("c_custkey") % 2).cast("string"), F.lit("=z")), F.concat(F.lit("big_step="), (F.col("c_custkey") % 7).cast("string")),
+        F.concat(F.lit("use_sdf="), F.when(F.col("c_custkey") % 3 == 0, "True").otherwise("FALSE")), F.concat(F.lit("model.net.voxel_size="), F.col("c_mktsegment")), F.concat(F.lit("model.__lr=0."), text("c_nationkey")),
+    )
+    overrides = F.when(F.col("c_custkey") % 4 == 0, F.array().cast("array<string>")).otherwise(pairs)
+    return views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), mixing.run_name(overrides).alias("name"))
 
 
-@_query("SELECT i, i IN (0, 2, 11) AS bit FROM range(12) AS g(i)")
+@_query("SELECT o_orderkey AS id, i, (('0x' || substr(md5(o_orderkey::VARCHAR), 1 + (i // 4)::INT, 1))::INT >> (3 - i % 4)::INT) & 1 = 1 AS bit FROM orders, range(12) AS g(i)")
 def unpack_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = spark.sql("SELECT X'A010' AS packed")
-    return packed.select(F.posexplode(mixing.unpack_bits(F.col("packed"), 12)).alias("i", "bit")).select(F.col("i").cast("long").alias("i"), "bit")
+    """The first twelve bits of each order's digest."""
+    rows = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.unhex(F.md5(F.col("o_orderkey").cast("string"))).alias("packed"))
+    return rows.select("id", F.posexplode(mixing.unpack_bits(F.col("packed"), 12)).alias("i", "bit")).select("id", F.col("i").cast("long").alias("i"), "bit")
 
 
 # --- meshes, files, batches and names ------------------------------------------------------------------------------
@@ -716,6 +729,78 @@ def ply_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(files.read_points(spark, "ply", files.list_files(folder, ".ply")).select("x", "y", "z", "nx", "ny", "nz", "sx", "sy", "sz", "r", "g", "b"))
 
 
+@_query(_with("small_cloud", body=f"SELECT shape_id, {', '.join(_r(c, c) for c in ('x', 'y', 'z', 'nx', 'ny', 'nz', 'sx', 'sy', 'sz', 'r', 'g', 'b'))} FROM small_cloud"))
+def npz_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes written as npz files under the shared folder and read back under their names."""
+    from .sources import files, storage
+
+    cloud, folder = views.small_cloud(spark, sf_dir), storage.shared_dir(spark, "npz")
+    files.write_npz(cloud, folder)
+    names = {files.file_name(r[0]): r[0] for r in cloud.select("shape_id").distinct().collect()}  # a name a file, as the list of files has them
+    paths = files.list_files(folder, ".npz")
+    return _out(files.read_points(spark, "npz", paths, names=[names[files.stem(p)] for p in paths]).select("shape_id", "x", "y", "z", "nx", "ny", "nz", "sx", "sy", "sz", "r", "g", "b"))
+
+
+@_query(_with("volume", body=f"SELECT shape_id, i::INT AS i, j::INT AS j, k::INT AS k, {_r('val')}, 0.0::DOUBLE AS min_x, 1.0::DOUBLE AS max_z FROM volume"))
+def geometry_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes written beside points in geometry files under the shared folder, and read back."""
+    from .sources import files, storage
+
+    folder = storage.shared_dir(spark, "geometry")
+    cells = views.volume(spark, sf_dir).select("*", *(F.lit(v).alias(f"{side}_{a}") for side, v in (("min", 0.0), ("max", 1.0)) for a in "xyz"))
+    points = cells.select("shape_id", (F.col("i") * 256 + F.col("j") * 16 + F.col("k")).cast("long").alias("point_id"), *((F.col(n) / 16.0).alias(a) for a, n in zip("xyz", "ijk", strict=True)))
+    files.write_npz(points, folder, cells)
+    return _out(files.read_volumes(spark, files.list_files(folder, ".npz")).select("shape_id", "i", "j", "k", "val", "min_x", "max_z"))
+
+
+@_query("SELECT event_id::VARCHAR AS \"batch-idx\", coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END, '-') AS name, '-' AS absent FROM events")
+def results_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of result_rows written as csv files under the shared folder, and read back."""
+    from .sources import storage
+
+    folder = storage.shared_dir(spark, "results")
+    frame = views.metric_log(spark, sf_dir).select(F.col("step").alias("batch-idx"), F.when(F.col("step") % 3 == 0, None).otherwise(F.col("name")).alias("name"), F.col("value").alias("later"))
+    report.write_results(frame, ["name", "absent"], folder)
+    return spark.read.option("header", True).csv(folder)
+
+
+@_query("SELECT (row_number() OVER (ORDER BY md5(concat_ws('|', '0', 'order', c_name)), c_name) - 1)::BIGINT AS idx, c_name AS item FROM customer")
+def item_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.ordered(views.manifest(spark, sf_dir).select("item"), shuffled=True).select(F.col("idx").cast("long").alias("idx"), "item")
+
+
+@_query("SELECT event_type AS name, count(*) AS n, CASE WHEN arg_min(event_id % 2, event_id) = 0 THEN 'NOT-NUMERIC' ELSE 'number' END AS shown FROM events WHERE event_id % 5 <> 0 GROUP BY 1")
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics whose first value is a word have no mean; what the mean of the others is, log_summary has."""
+    log = views.metric_log(spark, sf_dir).select("step", "name", F.when(F.col("step") % 5 == 0, None).when(F.col("step") % 2 == 0, "word").otherwise(F.col("value").cast("string")).alias("value"))
+    told = report.summary_lines(log)
+    return told.select("name", "n", F.when(F.col("shown") == "NOT-NUMERIC", F.col("shown")).otherwise("number").alias("shown"))
+
+
+@_query(_with("small_cloud", body=f"SELECT shape_id, point_id, {_r('0.6', 'nx')}, {_r('0.0', 'ny')}, {_r('0.8', 'nz')} FROM small_cloud"))
+def normals_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normals of points that lie in planes of one direction, as normals_pca finds them."""
+    cloud = views.small_cloud(spark, sf_dir).select("shape_id", "point_id", F.col("x"), F.col("y"), (F.length("shape_id") / 10.0 - F.col("x") * 0.75).alias("z"))
+    return _out(normals.estimate(cloud, 16))
+
+
+_SCENE_DENSITY = {
+    "sizes2": "SELECT shape_id, count(*) AS n FROM big_cloud GROUP BY shape_id", "cells": _CELLS(0.1, "big_cloud"),
+    "dense": "SELECT shape_id, n, n / c AS density FROM sizes2 JOIN (SELECT shape_id, count(*) AS c FROM cells GROUP BY 1) USING (shape_id)",
+}
+
+
+@_query(_with("big_cloud", **_SCENE_DENSITY, body=f"SELECT shape_id, point_id, {', '.join(_r(f'{a} * sqrt(density / (1.0 + 1.0 * {_u(0, 'density', 'shape_id')}))', a) for a in _AXES)} FROM big_cloud JOIN dense USING (shape_id)"))
+def density_rescale_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(sampling.density_rescale(views.big_cloud(spark, sf_dir), 0.1, 1.0, 2.0).select("shape_id", "point_id", "x", "y", "z"))
+
+
+@_query(_with("big_cloud", **_SCENE_DENSITY, ranked=_ranked("subsample", "big_cloud"), body=f"""SELECT shape_id, point_id FROM ranked JOIN dense USING (shape_id)
+    WHERE rank <= round_even(n / density * (least(density, 20.0) + (least(density, 30.0) - least(density, 20.0)) * {_u(0, 'density', 'shape_id')}), 0)::BIGINT"""))
+def density_subsample_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.density_subsample(views.big_cloud(spark, sf_dir), 0.1, 20.0, 30.0).select("shape_id", "point_id")
+
+
 @_query("SELECT (o_orderkey // 64)::BIGINT AS batch_idx, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS items FROM orders GROUP BY 1")
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = views.mix(spark, sf_dir).select(F.col("item").alias("idx"), "item")

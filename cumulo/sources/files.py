@@ -22,11 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..operators.mixing import unpack_bits
 from .storage import arrow_uri, opened
 
 POINT_SCHEMA = "shape_id string, role string, point_id long, " + ", ".join(f"{p}{a} double" for p in ("", "n", "s") for a in "xyz") + ", r double, g double, b double"
 #: Arrays of an npz file, and the columns that they become. Fixed names.
 ARRAYS = {"points": "xyz", "xyz": "xyz", "normals": ("nx", "ny", "nz"), "normal": ("nx", "ny", "nz"), "sensor": ("sx", "sy", "sz"), "rgb": "rgb"}
+#: Arrays of an npz file that is written. Fixed names.
+WRITTEN = {"xyz": ("x", "y", "z"), "normal": ("nx", "ny", "nz"), "sensor": ("sx", "sy", "sz"), "rgb": ("r", "g", "b")}
 #: Properties of a ply file under other names than the columns'. Fixed names.
 PROPERTIES = {"sensor_x": "sx", "sensor_y": "sy", "sensor_z": "sz", "red": "r", "green": "g", "blue": "b"}
 #: Types of ply properties. Fixed names.
@@ -116,7 +119,52 @@ def las_columns(data: bytes, wanted: set[str]) -> dict[str, np.ndarray]:
     return {a: raw[:, i] * scale[i] + shift[i] for i, a in enumerate("xyz") if a in wanted}
 
 
+def volume_columns(data: bytes, wanted: set[str]) -> dict[str, np.ndarray]:
+    """Cells of the volume of a geometry file, with its bounds; cells that hold no number are unknown and left out."""
+    with np.load(io.BytesIO(data), allow_pickle=False) as file:
+        cells, low, high = file["volume"].astype(np.float64), file["volume_min"], file["volume_max"]
+    at = np.nonzero(~np.isnan(cells))
+    out = {"val": cells[at]} | {name: index.astype(np.int32) for name, index in zip("ijk", at, strict=True)}
+    out |= {f"{side}_{a}": np.full(len(at[0]), float(v)) for side, corner in (("min", low), ("max", high)) for a, v in zip("xyz", corner, strict=True)}
+    return {c: v for c, v in out.items() if c in wanted}
+
+
+def npz_bytes(columns: dict[str, np.ndarray]) -> bytes:
+    """A compressed npz file of the columns' arrays: points by name, and the volume of rows that have i, j, k and val."""
+    here = ~np.isnan(columns["x"])
+    arrays = {name: np.stack([columns[c][here] for c in parts], axis=1) for name, parts in WRITTEN.items() if all(c in columns for c in parts)}
+    if "val" in columns and not here.all():
+        cell = ~here
+        at = [columns[c][cell].astype(np.int64) for c in "ijk"]
+        grid = np.full([int(a.max()) + 1 for a in at], np.nan)
+        grid[tuple(at)] = columns["val"][cell]
+        arrays |= {"volume": grid, **{f"volume_{side}": np.array([columns[f"{side}_{a}"][cell][0] for a in "xyz"]) for side in ("min", "max")}}
+    out = io.BytesIO()
+    np.savez_compressed(out, **arrays)
+    return out.getvalue()
+
+
+def obj_columns(data: bytes, wanted: set[str]) -> dict[str, np.ndarray]:
+    """Corners of the faces of an OBJ file; faces of more corners become fans, and corners count back from the end if negative."""
+    vertices, faces = [], []
+    for line in data.decode(errors="replace").splitlines():
+        word = line.split()
+        if word[:1] == ["v"]:
+            vertices.append([float(v) for v in word[1:4]])
+        elif word[:1] == ["f"]:
+            corner = [int(c.split("/")[0]) for c in word[1:]]
+            corner = [c - 1 if c > 0 else len(vertices) + c for c in corner]
+            faces += [(corner[0], b, c) for b, c in zip(corner[1:], corner[2:], strict=False)]
+    at = np.array(vertices, np.float64).reshape(-1, 3)[np.array(faces, np.int64).reshape(-1, 3)]
+    return {f"{c}{a}": at[:, i, k] for i, c in enumerate("abc") for k, a in enumerate("xyz") if f"{c}{a}" in wanted}
+
+
 DECODERS = {"npz": npz_columns, "ply": ply_columns, "las": las_columns}
+#: Sources that aren't points: their reader and schema. Rows are numbered by point_id and face_id.
+VOLUME_SCHEMA = "shape_id string, i int, j int, k int, val double, " + ", ".join(f"{side}_{a} double" for side in ("min", "max") for a in "xyz")
+MESH_SCHEMA = "shape_id string, face_id long, " + ", ".join(f"{c}{a} double" for c in "abc" for a in "xyz")
+OTHERS = {"volume_npz": (volume_columns, VOLUME_SCHEMA), "mesh_obj": (obj_columns, MESH_SCHEMA)}
+ENCODERS = {"ply": ply_bytes, "npz": npz_bytes}
 
 
 class _Reader(DataSourceReader):
@@ -124,24 +172,28 @@ class _Reader(DataSourceReader):
         self.schema, self.options, self.decode = schema, options, decode
 
     def partitions(self):
-        paths = sorted(filter(None, (p.strip() for p in self.options.get("paths", self.options.get("path", "")).split("\n"))))
-        return [InputPartition(p) for p in paths] or [InputPartition(None)]
+        paths = [p.strip() for p in self.options.get("paths", self.options.get("path", "")).split("\n") if p.strip()]
+        names = self.options.get("names", "").split("\n") if self.options.get("names") else map(stem, paths)
+        return [InputPartition(pair) for pair in sorted(zip(paths, names, strict=True))] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition.value is None:
             return
         names = self.schema.fieldNames()
-        columns = self.decode(read_bytes(partition.value), set(names))
+        path, shape = partition.value
+        columns = self.decode(read_bytes(path), set(names))
         n = len(next(iter(columns.values()), []))
-        fixed = {"shape_id": pa.array([self.options.get("shape") or stem(partition.value)] * n), "role": pa.array([self.options.get("role", "input")] * n), "point_id": pa.array(np.arange(n, dtype=np.int64))}
-        arrays = [fixed[c] if c in fixed else pa.array(columns[c], pa.float64()) if c in columns else pa.nulls(n, pa.float64()) for c in names]
+        number = pa.array(np.arange(n, dtype=np.int64))
+        fixed = {"shape_id": pa.array([self.options.get("shape") or shape] * n, pa.string()), "role": pa.array([self.options.get("role", "input")] * n, pa.string()), "point_id": number, "face_id": number}
+        arrays = [fixed[c] if c in fixed else pa.array(columns[c]) if c in columns else pa.nulls(n, pa.float64()) for c in names]
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 class _Writer(DataSourceArrowWriter):
-    """One ply file for each task's rows of a shape: rows must be partitioned and sorted by shape_id."""
+    """One file for each task's rows of a shape: rows must be partitioned and sorted by shape_id."""
 
-    def __init__(self, schema: StructType, options):
+    def __init__(self, schema: StructType, options, kind: str):
+        self.kind = kind
         self.folder, self.names = options["path"].rstrip("/"), [f.name for f in schema if f.name not in ("shape_id", "role", "point_id")]
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
@@ -150,7 +202,8 @@ class _Writer(DataSourceArrowWriter):
         def put():
             if held:
                 table = pa.Table.from_batches(held)
-                write_bytes(f"{self.folder}/{file_name(str(shape))}.ply", ply_bytes({c: table.column(c).to_numpy().astype(np.float64) for c in self.names}))
+                columns = {c: table.column(c).to_numpy().astype(np.float64) for c in self.names}
+                write_bytes(f"{self.folder}/{file_name(str(shape))}.{self.kind}", ENCODERS[self.kind](columns))
 
         for batch in batches:
             ids = batch.column("shape_id").to_pylist()
@@ -180,23 +233,67 @@ def _source(kind: str) -> type[DataSource]:
             return _Reader(schema, self.options, DECODERS[kind])
 
         def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-            if kind != "ply":
-                raise ValueError("only ply can be written")
-            return _Writer(schema, self.options)
+            if kind not in ENCODERS:
+                raise ValueError(f"{kind} can't be written")
+            return _Writer(schema, self.options, kind)
 
     return Points
 
 
+def _other(name_: str) -> type[DataSource]:
+    class Rows(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name_
+
+        def schema(self) -> str:
+            return OTHERS[name_][1]
+
+        def reader(self, schema: StructType) -> DataSourceReader:
+            return _Reader(schema, self.options, OTHERS[name_][0])
+
+    return Rows
+
+
 def register(spark: SparkSession) -> None:
     for kind in DECODERS:
         spark.dataSource.register(_source(kind))
+    for name in OTHERS:
+        spark.dataSource.register(_other(name))
 
 
-def read_points(spark: SparkSession, kind: str, paths: list[str], role: str = "input", columns: list[str] | None = None) -> DataFrame:
-    """Points of the files at `paths`, one task a file. Only `columns`, all by default, are taken from them."""
+def _load(spark: SparkSession, source: str, schema: str, paths: list[str], names: list[str] | None, role: str = "input") -> DataFrame:
     register(spark)
+    reader = spark.read.format(source).schema(schema).option("paths", "\n".join(paths)).option("role", role)
+    return (reader.option("names", "\n".join(names)) if names else reader).load()
+
+
+def read_volumes(spark: SparkSession, paths: list[str], names: list[str] | None = None) -> DataFrame:
+    """Cells of the volumes of geometry files, with the volume's bounds in each row."""
+    return _load(spark, "volume_npz", VOLUME_SCHEMA, paths, names)
+
+
+def read_meshes(spark: SparkSession, paths: list[str], names: list[str] | None = None) -> DataFrame:
+    """Triangles of OBJ files, as mesh.sample() takes them."""
+    return _load(spark, "mesh_obj", MESH_SCHEMA, paths, names)
+
+
+def read_points(spark: SparkSession, kind: str, paths: list[str], role: str = "input", columns: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
+    """Points of the files at `paths`, one task a file; shapes are called `names`, or as the files are. Only `columns`, all by default, are taken."""
     schema = POINT_SCHEMA if columns is None else ", ".join(c for c in POINT_SCHEMA.split(", ") if c.split()[0] in columns)
-    return spark.read.format(f"points_{kind}").schema(schema).option("paths", "\n".join(paths)).option("role", role).load()
+    return _load(spark, f"points_{kind}", schema, paths, names, role)
+
+
+def with_colours(points: DataFrame, colours: DataFrame) -> DataFrame:
+    """points with the colours of a side table (shape_id, point_id, r, g, b), such as read from files that hold nothing else."""
+    return points.drop("r", "g", "b").join(colours.select("shape_id", "point_id", "r", "g", "b"), ["shape_id", "point_id"], "left").select(*points.columns)
+
+
+def write_npz(points: DataFrame, folder: str, volume: DataFrame | None = None) -> None:
+    """An npz file for each shape: its points and, of `volume` (as from read_volumes()), its cells and bounds."""
+    register(points.sparkSession)
+    rows = points if volume is None else points.unionByName(volume, allowMissingColumns=True)
+    rows.repartition("shape_id").sortWithinPartitions("shape_id", "point_id").write.format("points_npz").mode("append").save(folder)
 
 
 def write_ply(points: DataFrame, folder: str) -> None:
@@ -220,9 +317,9 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def occupancy_samples(spark: SparkSession, points: DataFrame, packed: bytes) -> DataFrame:
     """points (point_id, ...) with occ, the bit of their place in `packed`, the high bit of each byte first."""
-    bits = np.unpackbits(np.frombuffer(packed, np.uint8))
-    rows = spark.createDataFrame([(i, bool(b)) for i, b in enumerate(bits)], "point_id long, occ boolean")
-    return points.join(rows, "point_id")
+    one = spark.createDataFrame([(bytearray(packed),)], "packed binary")
+    bits = one.select(F.posexplode(unpack_bits(F.col("packed"), 8 * len(packed))).alias("point_id", "occ"))
+    return points.join(bits.withColumn("point_id", F.col("point_id").cast("long")), "point_id")
 
 
 def dummy_occupancy(spark: SparkSession, n: int = 32) -> DataFrame:
@@ -240,6 +337,21 @@ def empty_geometry(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 SOURCES = {kind: (lambda spark, paths, kind=kind, **more: read_points(spark, kind, paths, **more)) for kind in DECODERS}
 
 
+def list_regions(folder: str, scenes: list[str]) -> list[tuple[str, str]]:
+    """(scene, region) for the folders in each scene's folder, by name within the scenes' order."""
+    fs, path = opened(folder)
+    out = []
+    for scene in scenes:
+        found = fs.get_file_info(filesystems.FileSelector(f"{path.rstrip('/')}/{scene}", allow_not_found=True))
+        out += [(scene, f.base_name) for f in sorted(found, key=lambda f: f.base_name)]
+    return out
+
+
+def record_folder(base: str, dataset: str, name: str) -> str:
+    """Where a run's results go: a folder for the data set, in it one for the run."""
+    return f"{base.rstrip('/')}/{dataset}/{name}"
+
+
 def list_files(folder: str, suffix: str) -> list[str]:
     """URIs of the files in a folder, by name."""
     folder = arrow_uri(folder)

@@ -92,3 +92,51 @@ def test_uris_of_hadoop_are_taken():
     assert storage.arrow_uri("s3a://bucket/a/b") == "s3://bucket/a/b" and storage.arrow_uri("dbfs:/x/y") == "file:///dbfs/x/y"
     assert storage.arrow_uri("file:/tmp/x") == "file:///tmp/x" and storage.arrow_uri("/tmp/x") == "/tmp/x" and storage.arrow_uri("hdfs://n/x") == "hdfs://n/x"
     assert storage.opened("file:/tmp/x")[1] == "/tmp/x"
+
+
+def test_obj_meshes(spark, tmp_path):
+    (tmp_path / "box.obj").write_text("# a square and a triangle\nv 0 0 0\nv 1 0 0\nvn 0 0 1\nv 1 1 0\nv 0 1 0\nf 1/1/1 2//1 3 4\nf -4 -3 -1\n")
+    rows = files.read_meshes(spark, [f"file://{tmp_path}/box.obj"]).orderBy("face_id").collect()
+    assert [(r.shape_id, r.face_id, r.ax, r.ay, r.bx, r.by, r.cx, r.cy) for r in rows] == [("box", 0, 0, 0, 1, 0, 1, 1), ("box", 1, 0, 0, 1, 1, 0, 1), ("box", 2, 0, 0, 1, 0, 0, 1)]
+    (tmp_path / "none.obj").write_text("")
+    assert files.read_meshes(spark, [f"file://{tmp_path}/none.obj"]).count() == 0
+
+
+def test_geometry_with_volume(spark, tmp_path):
+    grid = np.array([[[1.0, np.nan]], [[-2.0, 3.0]]])
+    with open(tmp_path / "g.npz", "wb") as f:
+        np.savez_compressed(f, xyz=np.zeros((2, 3)), normal=np.ones((2, 3)), volume=grid, volume_min=np.array([0.0, 0, 0]), volume_max=np.array([1.0, 2, 3]))
+    path = [f"file://{tmp_path}/g.npz"]
+    cells = files.read_volumes(spark, path)
+    assert sorted((r.i, r.j, r.k, r.val, r.max_y) for r in cells.collect()) == [(0, 0, 0, 1.0, 2.0), (1, 0, 0, -2.0, 2.0), (1, 0, 1, 3.0, 2.0)]
+    points = files.read_points(spark, "npz", path)
+    files.write_npz(points, f"file://{tmp_path}/out", cells)
+    back = [f"file://{tmp_path}/out/g.npz"]
+    assert sorted(map(tuple, files.read_volumes(spark, back).collect())) == sorted(map(tuple, cells.collect()))
+    assert files.read_points(spark, "npz", back).select("x", "nx").collect() == points.select("x", "nx").collect()
+
+
+def test_side_colours_and_names(spark, tmp_path):
+    for model in ("a", "b"):
+        (tmp_path / model).mkdir()
+        np.savez(tmp_path / model / "pointcloud.npz", points=np.full((2, 3), ord(model)), normals=np.zeros((2, 3)))
+        np.savez(tmp_path / model / "color.npz", rgb=np.full((2, 3), ord(model) / 200))
+    paths = lambda name: [f"file://{tmp_path}/{m}/{name}.npz" for m in "ab"]
+    names = ["cat/a", "cat/b"]
+    points, colours = files.read_points(spark, "npz", paths("pointcloud"), names=names), files.read_points(spark, "npz", paths("color"), columns=["shape_id", "point_id", "r", "g", "b"], names=names)
+    rows = files.with_colours(points, colours).collect()
+    assert len(rows) == 4 and all(r.r == r.x / 200 and r.shape_id == f"cat/{chr(int(r.x))}" for r in rows)
+
+
+def test_regions_and_folders(tmp_path):
+    for name in ("s1/r2", "s1/r1", "s0/r9", "s2/r0"):
+        (tmp_path / name).mkdir(parents=True)
+    assert files.list_regions(f"file://{tmp_path}", ["s1", "s0", "none"]) == [("s1", "r1"), ("s1", "r2"), ("s0", "r9")]
+    assert files.record_folder("s3://b/x/", "set", "run") == "s3://b/x/set/run"
+
+
+def test_occupancy_by_columns(spark):
+    packed = bytes([0b10100000, 0b00010000])
+    points = spark.range(14).selectExpr("id as point_id", "cast(id as double) as x")
+    rows = files.occupancy_samples(spark, points, packed).orderBy("point_id").collect()
+    assert [r.point_id for r in rows if r.occ] == [0, 2, 11] and len(rows) == 14

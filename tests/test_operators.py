@@ -205,3 +205,35 @@ def test_l1_over_the_grid(spark, monkeypatch):
     plain = knn.knn(knn.as_queries(q), knn.as_refs(r), 3, metric="l1").select("shape_id", "query_id", "rank", "ref_id").collect()
     monkeypatch.setattr(knn, "DIRECT_PAIRS", 0)
     assert set(map(tuple, knn.knn(knn.as_queries(q), knn.as_refs(r), 3, metric="l1").select("shape_id", "query_id", "rank", "ref_id").collect())) == set(map(tuple, plain))
+
+
+def test_configurations_are_put_together():
+    from cumulo.plans.planner import load_config
+
+    held = {
+        "conf/base.yaml": {"a": {"b": 1, "c": "${size}"}, "size": 3}, "conf/more/own.yaml": {"include_configs": ["../base.yaml"], "_kind": "fine", "name": "run-{_kind}", "list": ["{_kind}"], "a": {"b": 2}},
+        "loop.yaml": {"include_configs": ["loop.yaml"]},
+    }
+    config = load_config(held.__getitem__, "conf/more/own.yaml", ["size=7", "a.d.e=text", "flag=True"])
+    assert config["a"] == {"b": 2, "c": 7, "d": {"e": "text"}} and config["name"] == "run-fine" and config["list"] == ["fine"] and config["flag"] is True
+    with pytest.raises(ValueError):
+        load_config(held.__getitem__, "loop.yaml")
+
+
+def test_small_contracts(spark):
+    from cumulo.functions import vec
+
+    assert mixing.fields("normal")[-3:] == ["nx", "ny", "nz"] and mixing.fields(None) == ["shape_id", "point_id", "x", "y", "z"]
+    runs = spark.createDataFrame([("me/proj/abc:last",), ("me/proj/abc",)], "p string").select(mixing.run_parts(F.col("p")).alias("r")).select("r.*")
+    assert sorted(map(tuple, runs.collect()), key=str) == [("me", "proj", "abc", "last"), ("me", "proj", "abc", None)]
+    mixed = mixing.mix_sources(spark.createDataFrame([("a", 1)], "source string, item long"), {})
+    with pytest.raises(ValueError):
+        mixing.mix_sources(mixed, {})
+    points = cloud(spark, [("a", 0, (0, 0, 0))])
+    with pytest.raises(ValueError):
+        sdf.checked(points.drop("x"), points)
+    with pytest.raises(ValueError):
+        sdf.checked(points, points.withColumn("nx", F.lit("1")))
+    assert spark.range(1).select(vec.fmod(F.lit(-5.5), F.lit(2.0)).alias("v")).first().v == -1.5
+    assert metrics.measure(points, ["point_stats"])["point_stats"].count() == 1
+    assert [r.item for r in mixing.ordered(spark.createDataFrame([("b",), ("a",)], "item string"), shuffled=False).orderBy("idx").collect()] == ["a", "b"]
