@@ -178,19 +178,29 @@ def write_media(docs: DataFrame) -> DataFrame:
     return map_rows(docs, ["doc_id", "text"], "doc_id long, n_bytes long, media binary", make)
 
 
-def read_media(media: DataFrame) -> DataFrame:
-    """Digests and features of the payloads read back from rows of write_media(). A damaged file raises an error."""
+def read_media(media: DataFrame, keep_damaged: bool = False) -> DataFrame:
+    """Digests and features of the payloads read back from rows of write_media().
+
+    A damaged file raises an error; with keep_damaged, its row stays, with nulls and what is wrong in the column error.
+    """
 
     def make():
         def step(cols):
-            out = [cols[0], cols[1], *([] for _ in range(6))]
+            out = [cols[0], cols[1], *([] for _ in range(7 if keep_damaged else 6))]
             for stored in cols[2]:
-                payload, features = read(stored)
-                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), ";".join(f"{k}={v}" for k, v in features.items()))
+                try:
+                    payload, features = read(stored)
+                except (ValueError, IndexError, struct.error) as wrong:
+                    if not keep_damaged:
+                        raise
+                    for column, value in zip(out[2:], (None, None, None, len(stored), hashlib.sha256(stored).hexdigest(), None, str(wrong)), strict=True):
+                        column.append(value)
+                    continue
+                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), ";".join(f"{k}={v}" for k, v in features.items()), *([None] if keep_damaged else []))
                 for column, value in zip(out[2:], row, strict=True):
                     column.append(value)
             return out
 
         return step
 
-    return map_rows(media, ["doc_id", "n_bytes", "media"], "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", make)
+    return map_rows(media, ["doc_id", "n_bytes", "media"], "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + (", error string" if keep_damaged else ""), make)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import checkpointed, opened, shared_dir
+from .common import join_hot
 
 #: Payloads of fewer bytes are always stored.
 LEAST_REVISIT = 0
@@ -41,15 +42,14 @@ def plan_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     Of pages with equal payloads of at least `least` bytes, that with the largest page_id is stored,
     and the others refer to it. Rows that repeat the largest page_id are all stored; a null page_id
     is smaller than any other, and where all are null each is stored. A null html is an empty payload.
-    Only digests that repeat are joined back; a payload that very many pages share makes a skewed
-    key there, which the adaptive plan splits.
+    Only digests that repeat are joined back, and pages of a payload that very many share aren't moved for it.
     """
     rows = pages.select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("_sha1", F.sha1("payload"))
     shared = rows.where(F.length("payload") >= least).groupBy("_sha1").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
-    shared = shared.where((F.col("_n") > 1) & F.col("_last").isNotNull()).select("_sha1", "_last")
+    shared = shared.where((F.col("_n") > 1) & F.col("_last").isNotNull()).select("_sha1", "_last", "_n")
     refers = F.when(F.col("_last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last")), F.col("_last"))
-    return rows.join(shared, "_sha1", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    return join_hot(rows, shared, "_sha1", "_n", pages.count(), "left").select("page_id", "url", "payload", refers.alias("refers_to"))
 
 
 def _record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:

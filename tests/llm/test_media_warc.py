@@ -66,6 +66,37 @@ def test_media_column(spark, odd_docs, no_docs):
     assert ogg.read_media(ogg.write_media(no_docs)).count() == 0
 
 
+def test_features_from_the_texts_alone(spark, odd_docs):
+    """What the feature says, worked out without any media file."""
+    texts = {r.doc_id: r.text for r in odd_docs.collect()}
+    for r in ogg.read_media(ogg.write_media(odd_docs)).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        samples = [b - 128 for b in raw + b" " * (-len(raw) % 192 if raw else 192)]
+        blocks = [samples[i : i + 1920] for i in range(0, len(samples), 1920)]
+        # Blocks go to two streams in turn; the longer one's samples give the time, a page holds packets of 255 lacing values.
+        told = dict(kv.split("=") for kv in r.feature.split(";"))
+        assert int(told["streams"]) == 2 and int(told["packets"]) == len(blocks) and int(told["longest_ms"]) == sum(map(len, blocks[::2])) * 1000 // 8000
+        assert int(told["sum"]) == sum(samples) and int(told["energy"]) == sum(s * s for s in samples)
+        assert int(told["turns"]) == sum(b < a for a, b in zip(samples, samples[1:], strict=False)) and int(told["pages"]) >= 2 + min(2, len(blocks))
+
+
+def test_damaged_rows_can_be_kept(spark):
+    media = ogg.write_media(spark.createDataFrame([(1, "fine"), (2, "bad")], "doc_id long, text string"))
+    broken = media.selectExpr("doc_id", "n_bytes", "case when doc_id = 2 then substring(media, 1, 40) else media end as media")
+    rows = {r.doc_id: r for r in ogg.read_media(broken, keep_damaged=True).collect()}
+    assert rows[1].error is None and rows[1].payload_bytes == 192 and rows[2].error and rows[2].feature is None and rows[2].media_bytes == 40
+    with pytest.raises(Exception):
+        ogg.read_media(broken).collect()
+
+
+def test_a_payload_that_very_many_pages_share(spark, monkeypatch):
+    from cumulo.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 5)
+    rows = [(i, "u", "" if i % 2 else f"<p>{i % 7}</p>", None) for i in range(60)]
+    assert sorted(map(tuple, warc.round_trip(pages_of(spark, rows)).collect()), key=str) == brute(rows)
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, payload string")
 
