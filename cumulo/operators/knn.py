@@ -45,12 +45,25 @@ def direct(queries: DataFrame, refs: DataFrame, k: int, metric: str = "l2") -> D
     return _nearest(queries.join(refs, "shape_id").withColumn("d2", distance2(metric)), k)
 
 
+PLACE = ("shape_id", *(f"r{a}" for a in AXES))
+
+
+def _apart(refs: DataFrame, most: int) -> DataFrame:
+    """refs without those beyond the first `most`, by ref_id, at one place: they are never among the `most` nearest of any query.
+
+    So a place that very many references share costs each query no more than `most` pairs.
+    """
+    order = Window.partitionBy(*PLACE).orderBy("ref_id")
+    return refs.withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= most).drop("_turn")
+
+
 def grid(queries: DataFrame, refs: DataFrame, k: int, size: float, metric: str = "l2", rounds: int = 40) -> DataFrame:
     """knn() by cells of `size` and up. Each round's settled queries are written out, and only the others go on."""
     extent = refs.select(*(f"r{a}" for a in AXES)).unionByName(queries.select(*(F.col(f"q{a}").alias(f"r{a}") for a in AXES)))
     row = extent.agg(*(F.max(f"r{a}") - F.min(f"r{a}") for a in AXES)).first()
     widest = max((v for v in row if v is not None), default=0.0)
     settled, left = None, queries
+    refs = checkpointed(_apart(refs, k))
     for _ in range(rounds):
         last = size >= widest
         celled = refs
@@ -93,24 +106,26 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, size: float | None = None,
 
 def radius(queries: DataFrame, refs: DataFrame, r: float, most: int) -> DataFrame:
     """At most `most` nearest references strictly within r of each query, with d2, rank and hits, the number of all within r."""
-    celled, near = refs, queries
+    places = refs.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("_here"), F.min("ref_id").alias("_first"))
+    celled, near = _apart(refs, most).join(places, list(PLACE)), queries
     for a, c in zip(AXES, CELLS, strict=True):
         celled = celled.withColumn(c, F.floor(F.col(f"r{a}") / r))
         at = F.floor(F.col(f"q{a}") / r)
         near = near.withColumn(c, F.explode(F.sequence(at - 1, at + 1)))
     pairs = near.join(celled, ["shape_id", *CELLS]).drop(*CELLS).withColumn("d2", distance2()).where(F.col("d2") < r * r)
     whole = Window.partitionBy("shape_id", "query_id")
-    return _nearest(pairs.withColumn("hits", F.count(F.lit(1)).over(whole)), most)
+    hits = F.sum(F.when(F.col("ref_id") == F.col("_first"), F.col("_here")).otherwise(0)).over(whole)
+    return _nearest(pairs.withColumn("hits", hits).drop("_here", "_first"), most)
 
 
 def radius_count(queries: DataFrame, refs: DataFrame, r: float, most: int) -> DataFrame:
     """hits: references strictly within r of each query, at most `most`; queries without any have 0."""
-    celled, near = refs, queries
+    celled, near = refs.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("_here")), queries  # a place is met once, however many are there
     for a, c in zip(AXES, CELLS, strict=True):
         celled = celled.withColumn(c, F.floor(F.col(f"r{a}") / r))
         at = F.floor(F.col(f"q{a}") / r)
         near = near.withColumn(c, F.explode(F.sequence(at - 1, at + 1)))
-    hits = near.join(celled, ["shape_id", *CELLS]).where(distance2() < r * r).groupBy("shape_id", "query_id").agg(F.count(F.lit(1)).alias("hits"))
+    hits = near.join(celled, ["shape_id", *CELLS]).where(distance2() < r * r).groupBy("shape_id", "query_id").agg(F.sum("_here").alias("hits"))
     return queries.select("shape_id", "query_id").join(hits, ["shape_id", "query_id"], "left").select("shape_id", "query_id", F.least(F.coalesce("hits", F.lit(0)), F.lit(most)).cast("long").alias("hits"))
 
 

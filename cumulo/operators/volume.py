@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -30,6 +31,17 @@ class Lattice:
         return [self.low[axis] + step * i for i in range(self.n[axis])]
 
 
+def centres(cells: DataFrame, size: float, low: Sequence[float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """cells (i, j, k, ...) with x, y, z, the middle of each cell of a grid that starts at `low`."""
+    return cells.withColumns({a: (F.col(n) + 0.5) * size + float(v) for a, n, v in zip(AXES, INDEX, low, strict=True)})
+
+
+def with_cells(rows: DataFrame, *levels: DataFrame) -> DataFrame:
+    """rows of shapes that have a cell (shape_id) at one level at least; those whose grids are empty at every level are dropped."""
+    held = functools.reduce(lambda x, y: x.unionByName(y), (level.select("shape_id") for level in levels)).distinct()
+    return rows.join(held, "shape_id", "left_semi")
+
+
 def classify(queries: DataFrame, volume: DataFrame, lattice: Lattice, band: float = 1.0) -> DataFrame:
     """kind: 2 outside the box (its faces are inside) or where the nearest cell is unknown, 0 within band of the surface, else 1."""
     inside, rows = F.lit(True), queries

@@ -26,20 +26,21 @@ def _times(a, b) -> list[list[float]]:
     return [[sum(a[i][k] * b[k][j] for k in range(4)) for j in range(4)] for i in range(4)]
 
 
+# Names of operators and of their arguments, so that configurations that there are load.
 #: Operators that are a fixed similarity, as matrices.
-FIXED = {"FixedScale": lambda factor: _scale(factor), "Similarity": lambda matrix: matrix}
+FIXED = {"FixedScale": lambda scale: _scale(scale), "Similarity": lambda matrix: matrix}
 #: All others, by the name that configurations use.
 REGISTRY: dict[str, Callable[..., Callable]] = {
-    "FixedBBoxCrop": lambda low, high: lambda df: crop.crop_box(df, low, high),
+    "FixedBBoxCrop": lambda bbox_min, bbox_max: lambda df: crop.crop_box(df, bbox_min, bbox_max),
     "BBoxCrop": lambda min_l, max_l, low_ratio, seed=0: lambda df: crop.crop_random(df, min_l, max_l, low_ratio, seed),
     "BoundScale": lambda min_a, max_a: lambda df: affine.bound_scale(df, min_a, max_a),
     "Centralize": lambda noise=0.0, seed=0: lambda df: affine.centralize(df, noise, seed),
     "FixedAxisRotation": lambda axis, deg_min, deg_max, seed=0: lambda df: affine.rotate_axis(df, axis, deg_min, deg_max, seed),
     "PointcloudNoise": lambda stddev, seed=0: lambda df: sampling.jitter(df, stddev, seed),
-    "PointcloudOutliers": lambda ratio, seed=0: lambda df: sampling.outliers(df, ratio, seed),
-    "SubsamplePointcloud": lambda most, least=None, seed=0: lambda df: sampling.bound_size(df, most, least, seed).drop("copy"),
-    "DensityRescale": lambda size, low, high, seed=0: lambda df: sampling.density_rescale(df, size, low, high, seed),
-    "DensitySubsample": lambda size, low, high, seed=0: lambda df: sampling.density_subsample(df, size, low, high, seed),
+    "PointcloudOutliers": lambda ratio, spatial_ratio=1.0, seed=0: lambda df: sampling.outliers(df, ratio, seed),
+    "SubsamplePointcloud": lambda N, n_min=None, seed=0: lambda df: sampling.bound_size(df, N, N if n_min is None else n_min, seed).drop("copy"),
+    "UniformDensityFixedSampleScale": lambda voxel_size, min_density, max_density, seed=0: lambda df: sampling.density_rescale(df, voxel_size, min_density, max_density, seed),
+    "UniformDensityFixedScaleSample": lambda voxel_size, min_density, max_density, seed=0: lambda df: sampling.density_subsample(df, voxel_size, min_density, max_density, seed),
 }
 _NOTHING = {("PointcloudNoise", "stddev"), ("PointcloudOutliers", "ratio")}
 

@@ -265,7 +265,7 @@ def similarity_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(affine.similarity_4x4(there, affine.inverse_4x4(POSE)).select("shape_id", "point_id", "x", "y", "z"))
 
 
-_CHAIN = [{"name": "FixedScale", "args": {"factor": 2.0}}, {"name": "FixedScale", "args": {"factor": 0.5}}, {"name": "FixedBBoxCrop", "args": {"low": [-0.1, -0.1, -0.1], "high": [0.1, 0.1, 0.1]}}, {"name": "FixedScale", "args": {"factor": 10.0}}]
+_CHAIN = [{"name": "FixedScale", "args": {"scale": 2.0}}, {"name": "FixedScale", "args": {"scale": 0.5}}, {"name": "FixedBBoxCrop", "args": {"bbox_min": [-0.1, -0.1, -0.1], "bbox_max": [0.1, 0.1, 0.1]}}, {"name": "FixedScale", "args": {"scale": 10.0}}]
 
 
 @_query(_with("small_cloud", body=f"SELECT shape_id, point_id, {', '.join(_r(f'{a} * 10', a) for a in _AXES)} FROM small_cloud WHERE {' AND '.join(f'{a} > -0.1 AND {a} < 0.1' for a in _AXES)}"))
@@ -784,6 +784,17 @@ def normals_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(normals.estimate(cloud, 16))
 
 
+@_query(_with("big_cloud", body=f"SELECT DISTINCT shape_id, {', '.join(f'floor({a} / 0.25)::BIGINT AS {n}' for a, n in zip('xyz', 'ijk', strict=True))}, {', '.join(_r(f'(floor({a} / 0.25) + 0.5) * 0.25 + 1.0', a) for a in 'xyz')} FROM big_cloud"))
+def voxel_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(volume.centres(sampling.voxels(views.big_cloud(spark, sf_dir), 0.25), 0.25, (1.0, 1.0, 1.0)))
+
+
+@_query(_with("small_cloud", body="SELECT shape_id, point_id FROM small_cloud WHERE shape_id IN (SELECT shape_id FROM small_cloud WHERE x > 0.45 OR y > 0.45)"))
+def shapes_with_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cloud = views.small_cloud(spark, sf_dir)
+    return volume.with_cells(cloud.select("shape_id", "point_id"), cloud.where("x > 0.45"), cloud.where("y > 0.45"))
+
+
 _SCENE_DENSITY = {
     "sizes2": "SELECT shape_id, count(*) AS n FROM big_cloud GROUP BY shape_id", "cells": _CELLS(0.1, "big_cloud"),
     "dense": "SELECT shape_id, n, n / c AS density FROM sizes2 JOIN (SELECT shape_id, count(*) AS c FROM cells GROUP BY 1) USING (shape_id)",

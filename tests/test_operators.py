@@ -121,7 +121,7 @@ def test_normals_of_a_plane(spark):
 
 
 def test_planner(spark):
-    chain = [{"name": "FixedScale", "args": {"factor": 2.0}}, {"name": "PointcloudNoise", "args": {"stddev": 0}}, {"name": "FixedScale", "args": {"factor": 3.0}}]
+    chain = [{"name": "FixedScale", "args": {"scale": 2.0}}, {"name": "PointcloudNoise", "args": {"stddev": 0}}, {"name": "FixedScale", "args": {"scale": 3.0}}]
     assert [n for n, _ in plan(chain)] == ["Similarity"] and plan(chain)[0][1]["matrix"][0][0] == 6
     assert compose(chain)(cloud(spark, [("a", 0, (1, 1, 1))])).first().x == 6
     with pytest.raises(ValueError):
@@ -237,3 +237,24 @@ def test_small_contracts(spark):
     assert spark.range(1).select(vec.fmod(F.lit(-5.5), F.lit(2.0)).alias("v")).first().v == -1.5
     assert metrics.measure(points, ["point_stats"])["point_stats"].count() == 1
     assert [r.item for r in mixing.ordered(spark.createDataFrame([("b",), ("a",)], "item string"), shuffled=False).orderBy("idx").collect()] == ["a", "b"]
+
+
+def test_places_that_very_many_share(spark):
+    rows = [("a", i, (0.5, 0.5, 0.5)) for i in range(300)] + [("a", 300 + i, (i / 40, 0.2, 0.1)) for i in range(40)]
+    points = cloud(spark, rows)
+    q, r = knn.as_queries(points), knn.as_refs(points)
+    assert knn._apart(r, 5).count() == 45
+    pick = lambda df: sorted(map(tuple, df.select("query_id", "rank", "ref_id").collect()))
+    assert pick(knn.grid(q, r, 5, 0.1)) == pick(knn.direct(q, r, 5))
+    near = {x.query_id: x.hits for x in knn.radius(q, r, 0.3, 4).select("query_id", "hits").distinct().collect()}
+    assert near == {i: sum(math.dist(p, o) < 0.3 for _, _, o in rows) for _, i, p in rows}
+    assert {x.query_id: x.hits for x in knn.radius_count(q, r, 0.3, 10**6).collect()} == near
+
+
+def test_existing_configurations_load(spark):
+    chain = [
+        {"name": "FixedBBoxCrop", "args": {"bbox_min": [-2, -2, -2], "bbox_max": [2, 2, 2]}}, {"name": "SubsamplePointcloud", "args": {"N": 5}}, {"name": "UniformDensityFixedSampleScale", "args": {"voxel_size": 0.1, "min_density": 1.0, "max_density": 5.0}},
+        {"name": "UniformDensityFixedScaleSample", "args": {"voxel_size": 0.1, "min_density": 1.0, "max_density": 5.0}}, {"name": "PointcloudOutliers", "args": {"ratio": 0.0, "spatial_ratio": 1.0}},
+    ]
+    points = scatter(spark, 20, 3)
+    assert compose(chain)(points).columns == points.columns and 0 < compose(chain[:2])(points).count() <= 10
