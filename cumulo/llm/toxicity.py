@@ -69,11 +69,11 @@ def _bags(texts: list[str]):
         for buckets, owners in grams(list(counts)):
             sums += np.bincount(buckets, weight[owners], 1 << BITS)
         unique = np.flatnonzero(sums)
-        rows.append(np.full(len(unique), i))
-        cols.append(unique)
-        shares.append(sums[unique] / max(1.0, sums.sum()))
+        rows.append(np.full(len(unique), i, np.int32))
+        cols.append(unique.astype(np.int32))
+        shares.append((sums[unique] / max(1.0, sums.sum())).astype(np.float32))
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(shares)
 
 
@@ -92,18 +92,24 @@ def fit(sample: list[tuple[str, int]], steps: int = 120, sparsity: float = 0.007
     keep = np.bincount(cols, minlength=1 << BITS)[cols] >= min(least_docs, max(2, n // 20))
     rows, cols, shares = rows[keep], cols[keep], shares[keep]
     order = np.argsort(cols, kind="stable")
-    rows, cols, shares = rows[order], cols[order], shares[order]
-    used, first, where = np.unique(cols, return_index=True, return_inverse=True)
+    rows, shares = rows[order], shares[order]
+    del order
+    times = np.bincount(cols, minlength=1 << BITS)
+    used = np.flatnonzero(times)
+    first = np.cumsum(times[used]) - times[used]
+    where = np.repeat(np.arange(len(used), dtype=np.int32), times[used])
+    del cols
     # Embeddings are learned in units of an n-gram's usual share, which for frequent ones is large.
     unit = 1 / np.sqrt(np.bincount(where, shares**2, len(used)) / n + 1e-12)
-    value = shares * unit[where]
+    value = shares * unit.astype(np.float32)[where]
+    del shares
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
     rng = np.random.default_rng(seed)
     layer = rng.normal(size=(WIDTH, 2))
     layer /= np.linalg.norm(layer[:, 1] - layer[:, 0])
 
     def spread(grad):
-        return np.stack([np.add.reduceat(value * np.take(grad[:, k].copy(), rows), first) if len(first) else np.zeros(0) for k in range(grad.shape[1])], axis=1)
+        return np.stack([np.add.reduceat(value * np.take(grad[:, k].astype(np.float32), rows), first, dtype=np.float64) if len(first) else np.zeros(0) for k in range(grad.shape[1])], axis=1)
 
     def means(embed):
         at = np.flatnonzero(np.take(embed.any(axis=1), where))  # most embeddings are zero
