@@ -396,7 +396,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = join_hot(both, least, "u", "n", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = checkpointed(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = join_hot(large, least, "u", "n", large.count()).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_hot(large, least, "u", "n", state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
@@ -420,7 +420,7 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     components = connected_components(links)
     more = between_classes(texts, components, percent)
     if more is not None:
-        components = connected_components(links.unionByName(more))
+        components = connected_components(components.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     named = checkpointed(components.join(nodes.select("node", "doc_id"), "node"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
     named = join_hot(named.drop("doc_id"), least, "label", "size", named.count())
