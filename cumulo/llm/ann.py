@@ -95,16 +95,15 @@ def fitted_probes(base: DataFrame, tables: int = TABLES) -> dict[int, int]:
 
     The nearest in a sample are farther off than the nearest in all, and so need no fewer probes.
     """
-    total = base.count()
-    place = F.xxhash64("id", "vec")
-    thin = base.where(F.pmod(place, F.lit(1_000_000)) * F.lit(total) < 2_000_000 * SAMPLE_ROWS)
-    most = thin.agg(F.max("dim")).first()[0]
+    total, most = base.agg(F.count(F.lit(1)), F.max("dim")).first()
     if not most:
         return {}
+    place = F.xxhash64("id", "vec")
+    thin = base.where(F.pmod(place, F.lit(1_000_000)) * F.lit(total) < 2_000_000 * SAMPLE_ROWS)
     rows = thin.orderBy(place, "id").limit(min(SAMPLE_ROWS, max(LEAST_ROWS, SAMPLE_FLOATS // most))).collect()
     by_dim: dict[int, list] = {}
-    for row in rows:
-        by_dim.setdefault(row["dim"], []).append(row["vec"])
+    for vector in dict.fromkeys(tuple(row["vec"]) for row in rows):  # equal vectors count once
+        by_dim.setdefault(len(vector), []).append(vector)
     out = {}
     for dim, vectors in by_dim.items():
         if len(vectors) < LEAST_ROWS:
@@ -155,8 +154,9 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = NEAREST, tables: int =
     candidate for each different vector. A query has fewer than k rows only where there are fewer
     candidates. `probes` is the number of buckets a table; without it, it is fitted.
     """
+    most = probes or fitted_probes(base, tables)
     base, queries = base.dropDuplicates(["id", "vec"]), queries.dropDuplicates(["id", "vec"])
-    found = checkpointed(_probed(base, queries, k, tables, probes or fitted_probes(base, tables)))
+    found = checkpointed(_probed(base, queries, k, tables, most))
     whole = found.where(F.col("rank") == k).select("query_id")
     short = queries.join(whole.withColumnRenamed("query_id", "id"), "id", "left_anti")
     if short.isEmpty():
@@ -176,7 +176,7 @@ def _parts(keyed: DataFrame, tables: int) -> DataFrame:
 
 def _probed(base: DataFrame, queries: DataFrame, k: int, tables: int, probes: dict[int, int] | int) -> DataFrame:
     """nearest() among what the probed buckets hold."""
-    keyed = _keys(base, 1, tables).withColumn("bucket", F.explode("buckets"))
+    keyed = checkpointed(_keys(base, 1, tables)).withColumn("bucket", F.explode("buckets"))  # read twice
     parts = checkpointed(_parts(keyed.select("dim", "bucket"), tables))
     if parts.count() <= BROADCAST_BUCKETS:
         parts = F.broadcast(parts)
