@@ -23,6 +23,8 @@ PER_LANGUAGE, SAMPLE_CHARS, LANGUAGES = 300, 8_000_000, 1000
 RUN_CHARS = 24
 #: Words of more letters are summed over in blocks, SEGMENT letters at a time.
 BLOCK, SEGMENT = 512, 131_072
+#: Words that are summed over at once.
+GROUP = 4096
 START = "▁"
 FOLDS, OUT = 3, 1
 #: Posterior below which a filter rejects a document.
@@ -73,11 +75,13 @@ def pieces(path: str) -> Pieces:
 
 
 def _groups(words: list[str]):
-    """Indexes of words, in groups of like length."""
+    """Indexes of words, in groups of like length and of GROUP words at most, so that memory doesn't follow their number."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     kind = np.where(lengths < 64, np.ceil(np.log2(np.maximum(lengths, 4))), lengths)
     for k in np.unique(kind):
-        yield np.flatnonzero(kind == k)
+        alike = np.flatnonzero(kind == k)
+        for start in range(0, len(alike), GROUP):
+            yield alike[start : start + GROUP]
 
 
 def _step(window: list[np.ndarray], index: list[np.ndarray], end: int, table: np.ndarray) -> np.ndarray:
