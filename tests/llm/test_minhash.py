@@ -64,7 +64,6 @@ def test_brute_force(spark, seed):
 def test_hub_whose_copies_do_not_link_directly(spark, monkeypatch):
     monkeypatch.setattr(M, "BUCKET_TILE", 7)
     monkeypatch.setattr(M, "TILE_SHINGLES", 900)
-    monkeypatch.setattr(M, "PARTNERS", 6)
     rng = random.Random(9)
     words = [f"w{i}" for i in range(150)]
     docs = {100: " ".join(words)}
@@ -164,31 +163,9 @@ def test_hot_keys_do_not_move(spark, monkeypatch):
     check(spark, texts(3, n=8))
 
 
-def test_classes_are_joined_by_brute_force():
-    rng = np.random.default_rng(8)
-    for _ in range(50):
-        n = int(rng.integers(1, 25))
-        near = rng.random((n, n)) < 0.08
-        near |= near.T
-        classes = rng.integers(0, 8, n)
-        label = np.arange(n)
-        pairs = [(a, b) for a in range(n) for b in range(n) if a != b and (near[a, b] or classes[a] == classes[b])]
-        found = [(a, b) for a, b in M.class_forest(classes, lambda row, rows, near=near: near[row, rows])]
-        assert all(near[a, b] and classes[a] != classes[b] for a, b in found)
-        found += [(a, b) for a in range(n) for b in range(n) if classes[a] == classes[b]]
-        seen = label.copy()
-        for _ in range(n):
-            for a, b in pairs:
-                label[a] = label[b] = min(label[a], label[b])
-            for a, b in found:
-                seen[a] = seen[b] = min(seen[a], seen[b])
-        assert (label == seen).all()
-
-
 def test_chain_of_near_copies(spark, monkeypatch):
-    """Each text is near the next alone, and ids are in no order: classes have to be joined across tiles."""
+    """Each text is near the next alone, and ids are in no order: links have to be found across tiles."""
     monkeypatch.setattr(M, "TILE_SHINGLES", 700)
-    monkeypatch.setattr(M, "PARTNERS", 3)
     rng = random.Random(12)
     words = [f"w{i}" for i in range(200)]
     order, docs = rng.sample(range(60), 60), {}
