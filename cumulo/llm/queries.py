@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, minhash, ogg, packing, quality, secret_scan, toxicity, warc
+from . import ann, bpe, codebook, langid, minhash, near_vectors, ogg, packing, phrases, quality, secret_scan, toxicity, warc
 from .common import read_table
 
 
@@ -50,9 +50,31 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(read_table(spark, sf_dir, "documents"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebook.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.link(read_table(spark, sf_dir, "embeddings"))
+
+
+#: The queries, by the numbers of their operators.
+ALL = (
+    op1_bpe, op2_secrets, op3_toxicity, op4_minhash, op5_langid, op6_packing, op7_warc, op8_ogg, op9_ann, op10_quality,
+    op11_phrases, op12_codes, op13_near_vectors,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_toxicity, op4_minhash, op5_langid, op6_packing, op7_warc, op8_ogg, op9_ann, op10_quality)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": secret_scan.oracle_sql(), "op7_warc": warc.oracle_sql()}
+    return {
+        "op2_secrets": secret_scan.oracle_sql(), "op7_warc": warc.oracle_sql(), "op11_phrases": phrases.oracle_sql(),
+        "op12_codes": codebook.oracle_sql(), "op13_near_vectors": near_vectors.oracle_sql(),
+    }
