@@ -31,9 +31,13 @@ COSINE = 0.95
 #: Components of a block, and the most that its grid is laid over: as many as bring a cell of isotropic vectors down to a tile.
 BLOCK, MOST_AXES, THINNING = 8, 8, 2.5
 #: Vectors of a tile, and of the square of pairs that is worked on at once.
-TILE, SQUARE = 8192, 1024
+TILE, SQUARE = 8192, 512
+#: The share of a square's pairs in range from which on they are compared as matrices.
+DENSE = 0.05
 #: Squared distances are wrong by far less than this; what lies nearer to a bound is compared again, exactly and in one fixed order.
 SLACK = 1e-9
+#: The same for single precision, in which a block's pairs are looked for first.
+ROUGH = 1e-5
 SEED = 13
 
 
@@ -103,6 +107,11 @@ class Group:
         self.vectors, self.visits, self.copies = vectors, visits, copies.astype(np.float64)
         self.unit = rotated(vectors)
         self.links, self.tree = np.zeros(len(vectors)), np.arange(len(vectors))
+        # The products of a row of `left` and one of `right` are the squared distances in the cell's block, in single precision.
+        part = self.blocks.block(self.unit, self.b)
+        square, ones = (part * part).sum(axis=1, keepdims=True), np.ones((len(part), 1))
+        self.left = np.concatenate([-2 * part, square, ones], axis=1).astype(np.float32)
+        self.right = np.concatenate([part, ones, square], axis=1).astype(np.float32)
 
     def _cosines(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
         """In double precision from the vectors as they are."""
@@ -113,39 +122,53 @@ class Group:
             out[s : s + 65_536] = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
         return out
 
+    def _few(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Which pairs of rows are linked and count here: in range in this block, in none before."""
+        fits = (self.visits[one] & self.visits[other]) == 0
+        for b in (self.b, *range(self.b)):
+            at = np.flatnonzero(fits)
+            fits[at] = self.blocks.within(self.unit[one[at]], self.unit[other[at]], b) == (b == self.b)
+        at = np.flatnonzero(fits)
+        fits[at] = self._cosines(one[at], other[at]) >= self.cosine
+        return fits
+
+    def _many(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """_few() of all pairs of rows of one and other, as a matrix. Only what is near a bound is compared pair by pair."""
+        x, y, share = self.unit[one], self.unit[other], self.blocks.share
+        own = (self.visits[one][:, None] & self.visits[other][None]) == 0
+        doubt = np.zeros_like(own)
+        for b in (self.b, *range(self.b)):
+            d = _squared(self.blocks.block(x, b), self.blocks.block(y, b))
+            own &= d <= share + SLACK if b == self.b else d > share - SLACK
+            doubt |= np.abs(d - share) <= SLACK
+        dots = x @ y.T
+        doubt |= np.abs(dots - self.cosine) <= SLACK
+        linked = own & ~doubt & (dots >= self.cosine)
+        i, j = np.nonzero(own & doubt)
+        linked[i, j] = self._few(one[i], other[j])
+        return linked
+
     def compare(self, one: np.ndarray, other: np.ndarray, same: bool) -> None:
         """Links of rows `one` with rows `other`; same: they are the same rows, and a pair is met twice."""
-        x, y, blocks = self.unit[one], self.unit[other], self.blocks
-        d = _squared(blocks.block(x, self.b), blocks.block(y, self.b))
-        own = d <= blocks.share + SLACK
+        near = self.left[one] @ self.right[other].T <= self.blocks.share + ROUGH
+        i, j = np.divmod(np.flatnonzero(near), len(other))
+        if len(i) > DENSE * near.size:
+            i, j = np.nonzero(self._many(one, other))
+            known = True
+        else:
+            known = False
         if same:
-            own &= np.tri(len(one), dtype=bool).T
-            np.fill_diagonal(own, False)
-        if not own.any():
+            i, j = i[i < j], j[i < j]
+        i, j = one[i], other[j]
+        if not known:
+            fits = self._few(i, j)
+            i, j = i[fits], j[fits]
+        if not len(i):
             return
-        doubt = np.abs(d - blocks.share) <= SLACK
-        own &= (self.visits[one][:, None] & self.visits[other][None]) == 0
-        for b in range(self.b):  # pairs that an earlier block has in range are counted there
-            if not own.any():
-                return
-            d = _squared(blocks.block(x, b), blocks.block(y, b))
-            own &= d > blocks.share - SLACK
-            doubt |= np.abs(d - blocks.share) <= SLACK
-        linked = own & ~doubt
-        dots = x @ y.T
-        close = np.abs(dots - self.cosine) <= SLACK
-        linked &= (dots >= self.cosine) & ~close
-        i, j = np.nonzero(own & (doubt | close))
-        if len(i):
-            fits = blocks.within(x[i], y[j], self.b)
-            for b in range(self.b):
-                fits &= ~blocks.within(x[i], y[j], b)
-            fits &= self._cosines(one[i], other[j]) >= self.cosine
-            linked[i[fits], j[fits]] = True
-        self.links[one] += linked @ self.copies[other]
-        self.links[other] += linked.T @ self.copies[one]
-        for row in np.flatnonzero(linked.any(axis=1)).tolist():
-            trees = np.unique(self.tree[np.append(other[linked[row]], one[row])])
+        self.links += np.bincount(i, self.copies[j], len(self.links)) + np.bincount(j, self.copies[i], len(self.links))
+        starts = np.flatnonzero(np.append(True, i[1:] != i[:-1])).tolist()
+        for s, e in zip(starts, [*starts[1:], len(i)], strict=True):
+            trees = np.unique(self.tree[np.append(j[s:e], i[s])])
             if len(trees) > 1:
                 self.tree[np.isin(self.tree, trees)] = trees[0]
 
@@ -153,8 +176,8 @@ class Group:
         rows = [np.flatnonzero(tile == t) for t in (i, j)]
         squares = [[r[s : s + SQUARE] for s in range(0, len(r), SQUARE)] for r in rows]
         for n, one in enumerate(squares[0]):
-            for other in squares[1][n if i == j else 0 :]:
-                self.compare(one, other, i == j and other is squares[1][n])
+            for m, other in enumerate(squares[1][n if i == j else 0 :]):
+                self.compare(one, other, i == j and m == 0)
 
 
 def _nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
