@@ -47,7 +47,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
         part = part.dropDuplicates(["doc_id"]).orderBy(order_key(F.col("doc_id")), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * per_class rows of two numbers: a proven bound for the broadcast.
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = first_rows(texts, "_class", per_class, max_chars // 2).collect()
     return [(row["text"], row["_class"]) for row in sorted(rows, key=lambda r: (r["_turn"], r["_class"]))]
 
@@ -55,13 +55,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
 def first_rows(texts: DataFrame, group: str, most: int, chars: int) -> DataFrame:
     """Of each group the rows (doc_id, text) first in order_key(), `most` rows and `chars` characters at most; _turn is a row's place.
 
-    The row that uses up the characters is cut there; empty texts take no part.
+    The row that uses up the characters is cut there; null and empty texts take no part. Of an id's texts that with the
+    least hash counts, once. Rows are chosen by lengths alone: no more of any text moves than is taken, and a group has
+    as many rows to rank as it has ids. texts is read twice.
     """
-    order = Window.partitionBy(group).orderBy(order_key(F.col("doc_id")), "doc_id", F.xxhash64("text"), "text")
-    rows = texts.where(F.length("text") > 0).withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= most)
-    before = F.sum(F.length("text")).over(Window.partitionBy(group).orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_left", chars - F.coalesce(before, F.lit(0).cast("long"))).where("_left > 0")
-    return rows.withColumn("text", F.col("text").substr(F.lit(1), F.least(F.col("_left"), F.length("text")).cast("int"))).drop("_left")
+    texts = texts.where(F.length("text") > 0)
+    lengths = texts.groupBy(group, "doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("_mark"), F.length("text").alias("_length"))).alias("_text"))
+    order = Window.partitionBy(group).orderBy(order_key(F.col("doc_id")), "doc_id")
+    ranked = lengths.select(group, "doc_id", "_text.*").withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= most)
+    before = F.sum("_length").over(Window.partitionBy(group).orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1))
+    taken = ranked.withColumn("_left", chars - F.coalesce(before, F.lit(0).cast("long"))).where("_left > 0").drop("_length")
+    # `most` rows of numbers a group.
+    rows = texts.withColumn("_mark", F.xxhash64("text")).join(F.broadcast(taken), [group, "doc_id", "_mark"])
+    cut = F.col("text").substr(F.lit(1), F.least(F.col("_left"), F.length("text")).cast("int"))
+    return rows.select(group, "doc_id", "_turn", cut.alias("text")).dropDuplicates([group, "doc_id"])
 
 
 #: Keys that hold more than 1 / HOT_KEYS of the rows of a join are hot; there are fewer of them than this.
@@ -127,13 +134,17 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, n)
 
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of what may be letters: numeric signs such as fractions and Roman numerals are among them.
+_ALNUM = re.compile(r"[^\W\d_]+")
 _WORD = re.compile(r"[^\W_](?:.*[^\W_])?", re.DOTALL)
 
 
 def letter_runs(token: str) -> list[str]:
-    """The runs of letters of a white-space token."""
-    return _LETTERS.findall(token)
+    """The runs of letters of a token; numeric signs, such as fractions, are none."""
+    runs = _ALNUM.findall(token)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [part for run in runs for part in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def words_and_runs(token: str) -> list[str]:

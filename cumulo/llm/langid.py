@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TokenMemo, first_rows, fold, held_out, keep_rows, map_rows, order_key, padded
+from .common import TokenMemo, first_rows, fold, held_out, keep_rows, letter_runs, map_rows, order_key, padded
 
 #: Documents a language, characters in all, and languages, the most frequent first, that the probabilities are learned
 #: from. Languages share the characters equally.
@@ -23,8 +23,8 @@ PER_LANGUAGE, SAMPLE_CHARS, LANGUAGES = 300, 8_000_000, 1000
 RUN_CHARS = 24
 #: Words of more letters are summed over in blocks, SEGMENT letters at a time.
 BLOCK, SEGMENT = 512, 131_072
-#: Words that are summed over at once.
-GROUP = 4096
+#: Words that are summed over at once. This and SEGMENT hold for up to FEW languages, and are divided by how many times more there are.
+GROUP, FEW = 4096, 16
 START = "▁"
 FOLDS, OUT = 3, 1
 #: Posterior below which a filter rejects a document.
@@ -74,14 +74,19 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _groups(words: list[str]):
-    """Indexes of words, in groups of like length and of GROUP words at most, so that memory doesn't follow their number."""
+def _share(size: int, langs: int) -> int:
+    """size, or less where languages are many, for the same memory."""
+    return max(1, size * FEW // max(FEW, langs))
+
+
+def _groups(words: list[str], most: int = GROUP):
+    """Indexes of words, in groups of like length and of `most` words at most, so that memory doesn't follow their number."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     kind = np.where(lengths < 64, np.ceil(np.log2(np.maximum(lengths, 4))), lengths)
     for k in np.unique(kind):
         alike = np.flatnonzero(kind == k)
-        for start in range(0, len(alike), GROUP):
-            yield alike[start : start + GROUP]
+        for start in range(0, len(alike), most):
+            yield alike[start : start + most]
 
 
 def _step(window: list[np.ndarray], index: list[np.ndarray], end: int, table: np.ndarray) -> np.ndarray:
@@ -105,7 +110,7 @@ def _scaled(window: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 def log_likelihoods(words: list[str], found: Pieces, table: np.ndarray) -> np.ndarray:
     """Log of the sum over all segmentations of each word, for each language (columns of table)."""
     out = np.zeros((len(words), table.shape[1]))
-    for group in _groups(words):
+    for group in _groups(words, _share(GROUP, table.shape[1])):
         if len(words[group[0]]) > 2 * BLOCK:
             for i in group:
                 out[i] = _long_word(words[i], found, table)
@@ -137,7 +142,7 @@ def _long_word(word: str, found: Pieces, table: np.ndarray) -> np.ndarray:
     state[0] = 1  # the latest sum first
     while left := len(codes) - deep - at:
         size = min(left, BLOCK)
-        rows = min(left, SEGMENT) // size
+        rows = max(1, min(left, _share(SEGMENT, langs)) // size)
         index = found.index(np.lib.stride_tricks.sliding_window_view(codes[at : at + rows * size + deep], size + deep)[::size])
         window = [np.zeros((rows, deep, langs)) for _ in range(deep)]
         for k in range(deep):
@@ -182,13 +187,12 @@ def _expected(words: list[str], weights: np.ndarray, found: Pieces, p: np.ndarra
 
 def fit(sample: list[tuple[str, str]], path: str, rounds: int = 4) -> tuple[list[str], np.ndarray]:
     """Languages, in order, and their piece probabilities in columns, from (text, lang) pairs."""
-    import re
     from collections import Counter
 
     found = pieces(path)
     by_lang: dict[str, Counter] = {}
     for text, lang in sample:
-        by_lang.setdefault(lang, Counter()).update(w[i : i + RUN_CHARS] for w in re.findall(r"[^\W\d_]+", text.lower()) for i in range(0, len(w), RUN_CHARS))
+        by_lang.setdefault(lang, Counter()).update(w[i : i + RUN_CHARS] for w in letter_runs(text.lower()) for i in range(0, len(w), RUN_CHARS))
     langs = sorted(lang for lang, words in by_lang.items() if words)
     columns = []
     for lang in langs:
@@ -222,7 +226,7 @@ def draw_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: in
     # per_language * LANGUAGES small rows at most: a proven bound for the broadcast.
     chosen = chosen.dropDuplicates(["doc_id"])
     share = max(1, max_chars // max(1, sizes.count()))
-    texts = docs.select("doc_id", F.substring("text", 1, share).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = first_rows(texts, "_lang", per_language, share).collect()
     return [(r["text"], r["_lang"]) for r in sorted(rows, key=lambda r: (r["_turn"], r["_lang"]))]
 

@@ -7,6 +7,7 @@ from itertools import product
 import numpy as np
 import pytest
 from cumulo.llm import common, langid, quality, toxicity
+from tests.llm.conftest import TEXTS
 
 SF = "/root/testdata/sf0.01"
 
@@ -191,6 +192,8 @@ def test_language_held_out(spark):
 def test_language_of_odd_texts(spark, odd_docs, no_docs):
     rows = {r.doc_id: r for r in langid.identify(odd_docs).collect()}
     assert [rows[i].lang_pred for i in range(4)] == ["und"] * 4 and rows[0].score == 0 and all(0 <= r.score <= 1 for r in rows.values())
+    signs = [i for i, t in enumerate(TEXTS) if t and not any(c.isalpha() for c in t)]
+    assert len(signs) >= 5 and all((rows[i].lang_pred, rows[i].score) == ("und", 0.0) for i in signs)
     assert langid.identify(no_docs).count() == 0
     assert {r.lang_pred for r in langid.identify(odd_docs.withColumn("lang", common.F.lit(None).cast("string"))).collect()} == {"und"}
 
@@ -213,6 +216,36 @@ def test_language_sample_is_shared_equally(spark):
     assert all(sum(map(len, texts)) <= 800 for texts in seen.values()) and sum(map(len, seen["long"])) >= 112
 
 
+def test_letters_are_letters_alone():
+    assert common.letter_runs("a1b½cⅧd_e²f") == list("abcdef") and common.letter_runs("½²①Ⅷ١٢") == [] and common.letter_runs("naïve中文") == ["naïve中文"]
+
+
+def test_an_id_repeated_very_often_is_one_row(spark):
+    """Its texts, of two kinds, count once in the sample, and no task gets them all."""
+    hot = spark.range(100_000).selectExpr("cast(7 as long) as doc_id", "concat('text ', id % 2) as text", "'en' as lang")
+    docs = hot.unionByName(spark.range(20).selectExpr("100 + id as doc_id", "concat('other ', id) as text", "'en' as lang"))
+    labels = docs.select("doc_id", (common.F.col("doc_id") % 2).cast("int").alias("toxic"))
+    sample = common.labelled_sample(docs, labels, "toxic", 3, 1, 1000, 10**6)
+    assert sum(t.startswith("text") for t, _ in sample) == 1 and len(sample) == len(set(sample)) > 10
+    langs = langid.draw_sample(docs, 300, 10**6)
+    assert sum(t.startswith("text") for t, _ in langs) == 1 and len(langs) == len(sample)
+
+
+def test_many_languages_in_bounded_memory():
+    import tracemalloc
+
+    found = langid.pieces(langid.default_vocabulary())
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}".replace("word", "international") for i in range(6000)]
+    few, many = np.full((found.n + 2, 4), 1e-4), np.full((found.n + 2, 200), 1e-4)
+    for table in (few, many):
+        table[found.n], table[found.n + 1] = langid.UNKNOWN, 0
+    tracemalloc.start()
+    out = langid.log_likelihoods(words, found, many)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most - out.nbytes < 200e6 and np.allclose(out[:, :4], langid.log_likelihoods(words, found, few))
+
+
 def test_long_letter_runs_are_learned():
     langs, _ = langid.fit([("a" * 60, "one"), ("b" * 60, "two")], langid.default_vocabulary(), 1)
     assert langs == ["one", "two"]
