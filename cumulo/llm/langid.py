@@ -216,7 +216,7 @@ def draw_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: in
     Each language has an equal share of the characters, whatever the others have: its texts, whole and of
     any length, in turn until the share is used; the last of them is cut there.
     """
-    known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != OUT)).select("doc_id", "lang")
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != OUT)).select("doc_id", "lang").distinct()
     key = order_key(F.col("doc_id"))
     # Thinned by each language's count first, so that the ranking sees a few times per_language rows of each.
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_size")).orderBy(F.desc("_size"), "lang").limit(LANGUAGES)
