@@ -1,21 +1,26 @@
 """Exact nearest neighbours within shapes.
 
-Two ways with one result. While the shapes' sizes, which are counted first, allow it, queries and
-references of a shape are compared directly. Beyond that, references are keyed by the cells of a grid:
-a query looks at the 27 cells around it, and is settled once its k-th distance is below the cell size;
-the others go on with cells of twice the size. Ties go to the smaller ref_id.
+While the shapes' sizes, which are counted first, allow it, queries and references of a shape are compared
+directly. Beyond that, both sides are cut into the nodes of a tree that follows their density: a node of more
+than a leaf's points is cut into 64 by its own bounds, so a far point, shapes far apart or points on a surface
+only cost another level. Leaves of queries then go down the tree of references together: of the nodes that a
+leaf may need, those whose farthest corners hold k references bound the k-th distance, and nodes that begin
+beyond it are left out. grid() has cells of a given size instead. Ties go to the smaller ref_id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import checkpointed
 from .crop import AXES
+from .ranks import with_group
 
 #: Largest number of pairs of one shape that are compared directly.
 DIRECT_PAIRS = 4_000_000
+#: Points of a leaf of the tree, k at least, and parts that a node is cut into on each axis.
+LEAF, CUT = 16, 4
 CELLS = ("_i", "_j", "_k")
 
 
@@ -88,20 +93,117 @@ def grid(queries: DataFrame, refs: DataFrame, k: int, size: float, metric: str =
     raise RuntimeError("the grid did not come to cover the points")
 
 
+def finite(points: DataFrame, prefix: str) -> DataFrame:
+    """points without those that have a null, NaN or infinite coordinate: such points have no distance to any other."""
+    for a in AXES:
+        points = points.where(F.abs(F.col(f"{prefix}{a}")) < float("inf"))
+    return points
+
+
+NODE = ("side", "shape_id", "path")
+_BOX = [f"{end}_{a}" for end in ("min", "max") for a in AXES]
+
+
+def _tree(points: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Points (side, shape_id, x, y, z, ...) with the path of their leaf, and all nodes: side, shape_id, path, n, leaf and bounds.
+
+    A path has one character a level. A node of more than `most` points is cut by its own bounds, whose ends fall into
+    different parts, so each round gets further unless more than `most` points lie at one place, which then is a leaf.
+    """
+    left, placed, nodes = points.withColumn("path", F.lit("")), None, None
+    while True:
+        boxes = left.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n"), *(f(a).alias(f"{end}_{a}") for end, f in (("min", F.min), ("max", F.max)) for a in AXES))
+        wide = F.lit(False)
+        for a in AXES:
+            wide = wide | (F.col(f"max_{a}") > F.col(f"min_{a}"))
+        boxes = checkpointed(boxes.withColumn("leaf", (F.col("n") <= most) | ~wide))
+        nodes = boxes if nodes is None else nodes.unionByName(boxes)
+        part = F.lit(0)
+        for a in AXES:
+            # Halves, so that no extent overflows.
+            share = F.try_divide(F.col(a) / 2 - F.col(f"min_{a}") / 2, F.col(f"max_{a}") / 2 - F.col(f"min_{a}") / 2)
+            part = part * CUT + F.least(F.lit(CUT - 1), F.floor(F.coalesce(share, F.lit(0.0)) * CUT)).cast("int")
+        told = with_group(left, boxes, *NODE).withColumn("path", F.when(F.col("leaf"), F.col("path")).otherwise(F.concat("path", F.char(part + 48))))
+        told = checkpointed(told.select(*left.columns, "leaf"))
+        done = told.where("leaf").drop("leaf")
+        placed = done if placed is None else placed.unionByName(done)
+        left = told.where(~F.col("leaf")).drop("leaf")
+        if left.isEmpty():
+            return placed, nodes
+
+
+def _sum(parts: list[Column], metric: str) -> Column:
+    parts = parts if metric == "l1" else [p * p for p in parts]
+    return parts[0] + parts[1] + parts[2]
+
+
+def _least_distance(low, high, metric: str) -> Column:
+    """From a box or point low(a)..high(a) to the box min_*..max_*, in the units of distance2(); never more than that of two points in them."""
+    return _sum([F.greatest(F.lit(0.0), F.col(f"min_{a}") - high(a), low(a) - F.col(f"max_{a}")) for a in AXES], metric)
+
+
+def _reached(front: DataFrame, k: int, metric: str) -> DataFrame:
+    """Pairs of a leaf of queries (q_path, q_min_*, q_max_*) and a node of references that can hold one of the k nearest of its queries."""
+    far = _sum([F.greatest(F.col(f"q_max_{a}") - F.col(f"min_{a}"), F.col(f"max_{a}") - F.col(f"q_min_{a}")) for a in AXES], metric)
+    near = _least_distance(lambda a: F.col(f"q_min_{a}"), lambda a: F.col(f"q_max_{a}"), metric)
+    leaf = Window.partitionBy("shape_id", "q_path")
+    held = F.sum("n").over(leaf.orderBy("_far", "path").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    front = front.withColumns({"_far": far, "_near": near}).withColumn("_held", held)
+    bound = F.min(F.when(F.col("_held") >= k, F.col("_far"))).over(leaf)
+    front = front.withColumn("bound", F.least(F.col("bound"), F.coalesce(bound, F.lit(float("inf")))))
+    return front.where(F.col("_near") <= F.col("bound")).drop("_far", "_near", "_held")
+
+
+def candidates(queries: DataFrame, refs: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """Pairs of queries and references with d2, the k nearest of each query among them, whatever the points' density."""
+    q = queries.select(F.lit("q").alias("side"), "shape_id", *(F.col(f"q{a}").alias(a) for a in AXES), F.struct("*").alias("query"), F.lit(None).cast(_struct(refs)).alias("ref"))
+    r = _apart(refs, k)
+    r = r.select(F.lit("r").alias("side"), "shape_id", *(F.col(f"r{a}").alias(a) for a in AXES), F.lit(None).cast(_struct(queries)).alias("query"), F.struct("*").alias("ref"))
+    placed, nodes = _tree(q.unionByName(r), max(LEAF, k))
+    asked = nodes.where("leaf and side = 'q'").select("shape_id", F.col("path").alias("q_path"), *(F.col(c).alias(f"q_{c}") for c in _BOX))
+    tree = nodes.where("side = 'r'").select("shape_id", "path", "n", "leaf", *_BOX)
+    kids = tree.where("path <> ''").withColumn("_parent", F.expr("substring(path, 1, length(path) - 1)"))
+    front = with_group(asked, tree.where("path = ''"), "shape_id").withColumn("bound", F.lit(float("inf")))
+    settled, level = None, 0
+    while True:
+        front = checkpointed(_reached(front, k, metric))
+        # Pairs with leaves of other levels stay for the last step; the nodes that are cut go on as their parts, with the bound so far.
+        done, cut = front.where("leaf"), front.where(~F.col("leaf"))
+        if cut.isEmpty():
+            break
+        level += 1
+        parts = kids.where(F.length("path") == level).withColumnRenamed("_parent", "_of")
+        cut = cut.select("shape_id", F.col("path").alias("_of"), "q_path", "bound", *(f"q_{c}" for c in _BOX))
+        front = done.unionByName(with_group(cut, parts, "shape_id", "_of").select(*done.columns))
+    pairs = placed.where("side = 'q'").select("shape_id", F.col("path").alias("q_path"), "query").join(front.select("shape_id", "q_path", "path", "bound", *_BOX), ["shape_id", "q_path"])
+    at = lambda a: F.col(f"query.q{a}")
+    pairs = pairs.where(_least_distance(at, at, metric) <= F.col("bound")).select("shape_id", "path", "query")
+    pairs = pairs.join(placed.where("side = 'r'").select("shape_id", "path", "ref"), ["shape_id", "path"])
+    more = [c for c in refs.columns if c != "shape_id"]
+    return pairs.select("query.*", *(F.col(f"ref.{c}").alias(c) for c in more)).withColumn("d2", distance2(metric))
+
+
+def _struct(df: DataFrame) -> str:
+    return df.schema.simpleString()
+
+
+def adaptive(queries: DataFrame, refs: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """knn() by trees that follow the density of both sides."""
+    return _nearest(candidates(queries, refs, k, metric), k)
+
+
 def knn(queries: DataFrame, refs: DataFrame, k: int, size: float | None = None, metric: str = "l2") -> DataFrame:
     """Rows of queries (as_queries) with their k nearest of refs (as_refs): d2 and rank from 1 besides all columns of both.
 
-    Fewer rows where a shape has fewer references. Shapes of more than DIRECT_PAIRS pairs go over the
-    grid, whose first cells are `size` wide (by default such that the 27 cells around a query hold some 3 k references).
+    Fewer rows where a shape has fewer references; points with a coordinate that is null, NaN or infinite take no part.
+    Shapes of more than DIRECT_PAIRS pairs go through adaptive(), or over a grid of cells of `size` where that is given.
     """
+    queries, refs = finite(queries, "q"), finite(refs, "r")
     counts = queries.groupBy("shape_id").agg(F.count(F.lit(1)).alias("_q")).join(refs.groupBy("shape_id").agg(F.count(F.lit(1)).alias("_r")), "shape_id")
-    most, largest = counts.agg(F.max(F.col("_q") * F.col("_r")), F.max("_r")).first()
+    most = counts.agg(F.max(F.col("_q") * F.col("_r"))).first()[0]
     if (most or 0) <= DIRECT_PAIRS:
         return direct(queries, refs, k, metric)
-    if size is None:
-        span = refs.agg(*(F.max(f"r{a}") - F.min(f"r{a}") for a in AXES)).first()
-        size = max(max(span) * (k / (9.0 * largest)) ** (1 / 3), 1e-9)
-    return grid(queries, refs, k, size, metric)
+    return adaptive(queries, refs, k, metric) if size is None else grid(queries, refs, k, size, metric)
 
 
 def radius(queries: DataFrame, refs: DataFrame, r: float, most: int) -> DataFrame:

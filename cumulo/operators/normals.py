@@ -13,8 +13,11 @@ from .knn import as_queries, as_refs, knn
 
 
 def covariances(points: DataFrame, k: int) -> DataFrame:
-    """shape_id, point_id and the six covariances of each point's k nearest, sums that Spark aggregates."""
-    found = knn(as_queries(points), as_refs(points), k)
+    """shape_id, point_id and the six covariances of each point's k nearest, sums that Spark aggregates.
+
+    Of differences from the point itself, so that a cloud far from the origin keeps all its digits.
+    """
+    found = knn(as_queries(points), as_refs(points), k).withColumns({f"r{a}": F.col(f"r{a}") - F.col(f"q{a}") for a in "xyz"})
     pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
     mean = lambda c: F.avg(c)
     return found.groupBy("shape_id", F.col("query_id").alias("point_id")).agg(*((mean(F.col(f"r{a}") * F.col(f"r{b}")) - mean(F.col(f"r{a}")) * mean(F.col(f"r{b}"))).alias(f"c{a}{b}") for a, b in pairs))

@@ -258,3 +258,43 @@ def test_existing_configurations_load(spark):
     ]
     points = scatter(spark, 20, 3)
     assert compose(chain)(points).columns == points.columns and 0 < compose(chain[:2])(points).count() <= 10
+
+
+def layouts(n: int = 400):
+    """Clouds of one size whose density differs: a cube, one with a far point, a plane, two clumps far apart, a line of halving steps, and many points at few places."""
+    rng = np.random.default_rng(4)
+    cube = rng.random((n, 3))
+    out = {"cube": cube, "far": np.r_[cube, [[1e9, -1e9, 1e9]]], "plane": np.c_[cube[:, :2], np.zeros(n)], "apart": np.r_[cube[: n // 2], cube[n // 2 :] * 1e-3 + 1e4]}
+    out["halves"] = np.stack([2.0 ** -np.arange(24)] * 3, axis=1)
+    out["places"] = np.floor(cube * 3)
+    return [(shape, i, *map(float, p)) for shape, x in out.items() for i, p in enumerate(x)]
+
+
+@pytest.mark.parametrize("metric", ["l2", "l1"])
+def test_neighbours_follow_the_density(spark, metric):
+    """The same as comparing all pairs, wherever the points are, with as many pairs a query as in a cube."""
+    points = spark.createDataFrame(layouts(), "shape_id string, point_id long, x double, y double, z double")
+    q, r = knn.as_queries(points.where("point_id % 3 > 0")), knn.as_refs(points)
+    pick = lambda df: {tuple(x) for x in df.select("shape_id", "query_id", "rank", "ref_id", "d2").collect()}
+    pairs = knn.checkpointed(knn.candidates(q, r, 5, metric))
+    assert pick(knn._nearest(pairs, 5)) == pick(knn.direct(q, r, 5, metric))
+    counts = {x.shape_id: x.n for x in pairs.groupBy("shape_id", "query_id").count().groupBy("shape_id").agg({"count": "avg"}).withColumnRenamed("avg(count)", "n").collect()}
+    assert all(counts[s] <= 1.5 * counts["cube"] for s in ("far", "plane", "apart")) and counts["halves"] <= 60
+
+
+def test_points_without_a_place_have_no_neighbours(spark, monkeypatch):
+    rows = [("a", i, float(i), 0.0, 0.0) for i in range(30)] + [("a", 40, float("nan"), 0.0, 0.0), ("a", 41, None, 0.0, 0.0), ("a", 42, float("inf"), 0.0, 0.0), ("b", 1, float("nan"), 1.0, 1.0)]
+    points = spark.createDataFrame(rows, "shape_id string, point_id long, x double, y double, z double")
+    for most in (10**6, 0):
+        monkeypatch.setattr(knn, "DIRECT_PAIRS", most)
+        found = knn.knn(knn.as_queries(points), knn.as_refs(points), 3).collect()
+        assert len(found) == 90 and max(r.query_id for r in found) == max(r.ref_id for r in found) == 29
+
+
+def test_normals_far_from_the_origin(spark):
+    """A thin patch at coordinates as map grids have them gives the normals that it has at the origin."""
+    rng = np.random.default_rng(6)
+    x = np.c_[rng.random((150, 2)), 0.01 * rng.random(150)]
+    frame = lambda shift: spark.createDataFrame([("a", i, *map(float, p + shift)) for i, p in enumerate(x)], "shape_id string, point_id long, x double, y double, z double")
+    near, far = ({r.point_id: np.array([r.nx, r.ny, r.nz]) for r in normals.estimate(frame(s), 16).collect()} for s in (0.0, 4e6))
+    assert len(near) == 150 and min(abs(near[i] @ far[i]) for i in near) > 1 - 1e-9
