@@ -94,4 +94,4 @@ def radius_filter(points: DataFrame, radius: float) -> DataFrame:
 def empty_shapes(points: DataFrame, shapes: DataFrame, least: int = 64) -> DataFrame:
     """shape_id, n of those of `shapes` with fewer than `least` points, 0 included."""
     counts = points.groupBy("shape_id").agg(F.count(F.lit(1)).alias("n"))
-    return shapes.select("shape_id").distinct().join(counts, "shape_id", "left").select("shape_id", F.coalesce("n", F.lit(0)).cast("long").alias("n")).where(F.col("n") < least)
+    return with_group(shapes.select("shape_id").distinct(), counts, "shape_id", how="left").select("shape_id", F.coalesce("n", F.lit(0)).cast("long").alias("n")).where(F.col("n") < least)

@@ -568,6 +568,49 @@ def volume_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volume.classify(points, views.volume(spark, sf_dir), LATTICE, 0.02).select("shape_id", "point_id", "kind")
 
 
+# Lattices of two kinds: those of shape A and of the others; the outer cells on the first axis are unknown.
+_LATTICE_LOW, _LATTICE_HIGH, _LATTICE_CELLS = "(CASE WHEN q.shape_id = 'A' THEN 0.0 ELSE -0.25 END)", "(CASE WHEN q.shape_id = 'A' THEN 1.0 ELSE 1.5 END)", "(CASE WHEN q.shape_id = 'A' THEN 16 ELSE 20 END)"
+_LATTICE_AT = lambda a: f"greatest(0, least({_LATTICE_CELLS} - 1, round_even((q.{a} - {_LATTICE_LOW}) / ({_LATTICE_HIGH} - {_LATTICE_LOW}) * ({_LATTICE_CELLS} - 1), 0)))::INT"
+_LATTICE_BETWEEN = " AND ".join(f"{a} BETWEEN {_LATTICE_LOW} AND {_LATTICE_HIGH}" for a in "xyz")
+
+
+def _lattices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.col("shape_id") == "A"
+    sides = {f"{side}_{a}": F.when(first, own).otherwise(others) for side, own, others in (("min", 0.0, -0.25), ("max", 1.0, 1.5)) for a in "xyz"}
+    return views.big_cloud(spark, sf_dir).select("shape_id").distinct().withColumns(sides | {f"cells_{a}": F.when(first, 16).otherwise(20) for a in "xyz"})
+
+
+def _geometry_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Geometry files of lattices of two kinds under the shared folder."""
+    from .sources import files, storage
+
+    folder = storage.shared_dir(spark, "geometry")
+    files.write_npz(views.big_cloud(spark, sf_dir).select("shape_id", "point_id", "x", "y", "z"), folder, views.volume(spark, sf_dir).where("i between 2 and 13"), _lattices(spark, sf_dir))
+    return files.list_files(folder, ".npz")
+
+
+@_query(_with("volume", body=f"""SELECT q.shape_id, q.point_id, CASE WHEN NOT ({_LATTICE_BETWEEN}) OR val IS NULL THEN 2 WHEN abs(val) < 0.02 THEN 0 ELSE 1 END AS kind
+    FROM (SELECT shape_id, point_id, x, y * 1.5 - 0.25 AS y, z FROM big_cloud) q LEFT JOIN volume v ON q.shape_id = v.shape_id AND v.i BETWEEN 2 AND 13 AND v.i = {_LATTICE_AT('x')} AND v.j = {_LATTICE_AT('y')} AND v.k = {_LATTICE_AT('z')}"""))
+def volume_classify_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points classified by the volumes of geometry files, each on its own lattice."""
+    from .sources import files
+
+    paths = _geometry_files(spark, sf_dir)
+    points = views.big_cloud(spark, sf_dir).select("shape_id", "point_id", "x", (F.col("y") * 1.5 - 0.25).alias("y"), "z")
+    return volume.classify(points, files.read_volumes(spark, paths), files.read_lattices(spark, paths), 0.02).select("shape_id", "point_id", "kind")
+
+
+@_query(_with("volume", body=f"""SELECT q.shape_id, {_LATTICE_LOW}::DOUBLE AS min_x, {_LATTICE_HIGH}::DOUBLE AS max_z, {_LATTICE_CELLS} AS cells_x, {_LATTICE_CELLS} AS cells_y, {_LATTICE_CELLS} AS cells_z,
+    count(v.val) AS n, min(v.i)::INT AS first, max(v.i)::INT AS last, {_r('sum(v.val)', 'total')} FROM (SELECT DISTINCT shape_id FROM big_cloud) q LEFT JOIN volume v ON q.shape_id = v.shape_id AND v.i BETWEEN 2 AND 13 GROUP BY ALL"""))
+def lattice_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lattices of geometry files whose outer cells are unknown, with what their cells amount to."""
+    from .sources import files
+
+    paths = _geometry_files(spark, sf_dir)
+    cells = files.read_volumes(spark, paths).groupBy("shape_id").agg(F.count("val").alias("n"), F.min("i").alias("first"), F.max("i").alias("last"), F.sum("val").alias("total"))
+    return _out(files.read_lattices(spark, paths).join(cells, "shape_id").select("shape_id", "min_x", "max_z", "cells_x", "cells_y", "cells_z", "n", "first", "last", "total"))
+
+
 @_query(_with("volume", body=f"SELECT shape_id, i - 3 AS i, j - 4 AS j, k - 5 AS k, {_r('val', 'val')} FROM volume WHERE i BETWEEN 3 AND 9 AND j BETWEEN 4 AND 11 AND k BETWEEN 5 AND 14"))
 def volume_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(volume.crop(views.volume(spark, sf_dir), LATTICE, (0.21, 0.3, 0.35), (0.59, 0.7, 0.93))[0])

@@ -11,6 +11,7 @@ from __future__ import annotations
 import io
 import re
 import struct
+import zipfile
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -109,36 +110,79 @@ def ply_bytes(columns: dict[str, np.ndarray], faces: np.ndarray | None = None) -
 
 
 def las_columns(data: bytes, wanted: set[str]) -> dict[str, np.ndarray]:
-    """Coordinates of a LAS file: scaled and shifted integers at the start of each record."""
+    """Coordinates of a LAS file: scaled and shifted integers at the start of each record.
+
+    The number of records has 64 bits from version 1.4 on, whose files may leave the older field at 0. Compressed
+    records, and a file that ends before its records do, are errors.
+    """
     if data[:4] != b"LASF":
         raise ValueError("not a LAS file")
+    if data[104] & 0xC0:
+        raise ValueError("compressed LAS records can't be read")
     at, = struct.unpack_from("<I", data, 96)
     size, n = struct.unpack_from("<HI", data, 105)
+    if (data[24], data[25]) >= (1, 4):
+        n, = struct.unpack_from("<Q", data, 247)
+    if len(data) < at + n * size:
+        raise ValueError(f"a LAS file of {n} records ends early")
     scale, shift = struct.unpack_from("<3d", data, 131), struct.unpack_from("<3d", data, 155)
     raw = np.frombuffer(data, np.uint8, n * size, at).reshape(n, size)[:, :12].copy().view("<i4").reshape(n, 3)
     return {a: raw[:, i] * scale[i] + shift[i] for i, a in enumerate("xyz") if a in wanted}
 
 
+def _lattice(shape, low, high) -> dict[str, float]:
+    """The columns that a lattice has: its bounds, and its cells on each axis."""
+    out = {f"{side}_{a}": float(v) for side, corner in (("min", low), ("max", high)) for a, v in zip("xyz", corner, strict=True)}
+    return out | {f"cells_{a}": int(n) for a, n in zip("xyz", shape, strict=True)}
+
+
 def volume_columns(data: bytes, wanted: set[str]) -> dict[str, np.ndarray]:
-    """Cells of the volume of a geometry file, with its bounds; cells that hold no number are unknown and left out."""
+    """Cells of the volume of a geometry file, with its lattice; cells that hold no number are unknown and left out."""
     with np.load(io.BytesIO(data), allow_pickle=False) as file:
+        if "volume" not in file:
+            return {c: np.zeros(0) for c in wanted & {"val", *"ijk", *_LATTICE}}
         cells, low, high = file["volume"].astype(np.float64), file["volume_min"], file["volume_max"]
     at = np.nonzero(~np.isnan(cells))
     out = {"val": cells[at]} | {name: index.astype(np.int32) for name, index in zip("ijk", at, strict=True)}
-    out |= {f"{side}_{a}": np.full(len(at[0]), float(v)) for side, corner in (("min", low), ("max", high)) for a, v in zip("xyz", corner, strict=True)}
+    out |= {c: np.full(len(at[0]), v, np.int32 if isinstance(v, int) else np.float64) for c, v in _lattice(cells.shape, low, high).items()}
     return {c: v for c, v in out.items() if c in wanted}
 
 
+def lattice_columns(data: bytes, wanted: set[str]) -> dict[str, np.ndarray]:
+    """The lattice of a geometry file's volume, without its cells; a file without a volume gives no row."""
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        if "volume.npy" not in archive.namelist():
+            return {c: np.zeros(0) for c in wanted & set(_LATTICE)}
+        with archive.open("volume.npy") as file:
+            version = np.lib.format.read_magic(file)
+            shape = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(file)[0]
+        low, high = (np.lib.format.read_array(archive.open(f"volume_{side}.npy"), allow_pickle=False) for side in ("min", "max"))
+    return {c: np.array([v], np.int32 if isinstance(v, int) else np.float64) for c, v in _lattice(shape, low, high).items() if c in wanted}
+
+
 def npz_bytes(columns: dict[str, np.ndarray]) -> bytes:
-    """A compressed npz file of the columns' arrays: points by name, and the volume of rows that have i, j, k and val."""
-    here = ~np.isnan(columns["x"])
+    """A compressed npz file of the columns' arrays: points by name, and the volume of rows that have a lattice, and i, j, k and val.
+
+    Cells that no row names are unknown. Rows with a lattice must agree on it; the grid has its size, or ends with the last
+    cell where rows have bounds only.
+    """
+    here = ~np.isnan(columns["x"]) if "x" in columns else np.zeros(len(next(iter(columns.values()))), bool)
     arrays = {name: np.stack([columns[c][here] for c in parts], axis=1) for name, parts in WRITTEN.items() if all(c in columns for c in parts)}
-    if "val" in columns and not here.all():
-        cell = ~here
-        at = [columns[c][cell].astype(np.int64) for c in "ijk"]
-        grid = np.full([int(a.max()) + 1 for a in at], np.nan)
-        grid[tuple(at)] = columns["val"][cell]
-        arrays |= {"volume": grid, **{f"volume_{side}": np.array([columns[f"{side}_{a}"][cell][0] for a in "xyz"]) for side in ("min", "max")}}
+    volume = ~np.isnan(columns["min_x"]) if "min_x" in columns else np.zeros(len(here), bool)
+    if volume.any():
+        cell = ~np.isnan(columns["i"]) if "i" in columns else np.zeros(len(here), bool)
+        at = [columns[c][cell].astype(np.int64) for c in "ijk"] if cell.any() else [np.zeros(0, np.int64)] * 3
+        shape = [int(a.max(initial=0)) + 1 for a in at]
+        told = volume & ~np.isnan(columns["cells_x"]) if "cells_x" in columns else np.zeros(len(here), bool)
+        if told.any():
+            sizes = np.unique(np.stack([columns[f"cells_{a}"][told] for a in "xyz"], axis=1), axis=0).astype(int)
+            if len(sizes) > 1 or (sizes[0] < shape).any() and cell.any():
+                raise ValueError(f"cells {shape} and lattices {sizes.tolist()} don't agree")
+            shape = sizes[0].tolist()
+        grid = np.full(shape, np.nan)
+        if cell.any():
+            grid[tuple(at)] = columns["val"][cell]
+        arrays |= {"volume": grid, **{f"volume_{side}": np.array([columns[f"{side}_{a}"][volume][0] for a in "xyz"]) for side in ("min", "max")}}
     out = io.BytesIO()
     np.savez_compressed(out, **arrays)
     return out.getvalue()
@@ -161,9 +205,11 @@ def obj_columns(data: bytes, wanted: set[str]) -> dict[str, np.ndarray]:
 
 DECODERS = {"npz": npz_columns, "ply": ply_columns, "las": las_columns}
 #: Sources that aren't points: their reader and schema. Rows are numbered by point_id and face_id.
-VOLUME_SCHEMA = "shape_id string, i int, j int, k int, val double, " + ", ".join(f"{side}_{a} double" for side in ("min", "max") for a in "xyz")
+_LATTICE = [*(f"{side}_{a}" for side in ("min", "max") for a in "xyz"), *(f"cells_{a}" for a in "xyz")]
+LATTICE_SCHEMA = "shape_id string, " + ", ".join(f"{c} {'int' if c.startswith('cells') else 'double'}" for c in _LATTICE)
+VOLUME_SCHEMA = "shape_id string, i int, j int, k int, val double, " + LATTICE_SCHEMA.removeprefix("shape_id string, ")
 MESH_SCHEMA = "shape_id string, face_id long, " + ", ".join(f"{c}{a} double" for c in "abc" for a in "xyz")
-OTHERS = {"volume_npz": (volume_columns, VOLUME_SCHEMA), "mesh_obj": (obj_columns, MESH_SCHEMA)}
+OTHERS = {"volume_npz": (volume_columns, VOLUME_SCHEMA), "lattice_npz": (lattice_columns, LATTICE_SCHEMA), "mesh_obj": (obj_columns, MESH_SCHEMA)}
 ENCODERS = {"ply": ply_bytes, "npz": npz_bytes}
 
 
@@ -269,10 +315,15 @@ def _load(spark: SparkSession, source: str, schema: str, paths: list[str], names
 
 
 def read_volumes(spark: SparkSession, paths: list[str], names: list[str] | None = None) -> DataFrame:
-    """Cells of the volumes of geometry files, with the volume's bounds in each row."""
+    """Cells of the volumes of geometry files, with the volume's lattice in each row: min_*, max_*, and cells_* of an axis."""
     return _load(spark, "volume_npz", VOLUME_SCHEMA, paths, names)
 
 
+def read_lattices(spark: SparkSession, paths: list[str], names: list[str] | None = None) -> DataFrame:
+    """shape_id, min_*, max_*, cells_* of each geometry file with a volume, as volume.classify() takes them. No cell is read."""
+    return _load(spark, "lattice_npz", LATTICE_SCHEMA, paths, names)
+
+
 def read_meshes(spark: SparkSession, paths: list[str], names: list[str] | None = None) -> DataFrame:
     """Triangles of OBJ files, as mesh.sample() takes them."""
     return _load(spark, "mesh_obj", MESH_SCHEMA, paths, names)
@@ -289,10 +340,18 @@ def with_colours(points: DataFrame, colours: DataFrame) -> DataFrame:
     return points.drop("r", "g", "b").join(colours.select("shape_id", "point_id", "r", "g", "b"), ["shape_id", "point_id"], "left").select(*points.columns)
 
 
-def write_npz(points: DataFrame, folder: str, volume: DataFrame | None = None) -> None:
-    """An npz file for each shape: its points and, of `volume` (as from read_volumes()), its cells and bounds."""
+def write_npz(points: DataFrame, folder: str, volume: DataFrame | None = None, lattices: DataFrame | None = None) -> None:
+    """An npz file for each shape: its points and, of `volume` (as from read_volumes()), its cells.
+
+    `lattices` (as from read_lattices()) are written where given: cells then need i, j, k and val only, and a volume keeps
+    its size whatever cells are unknown, all of them too.
+    """
     register(points.sparkSession)
-    rows = points if volume is None else points.unionByName(volume, allowMissingColumns=True)
+    rows = points
+    if volume is not None:
+        rows = rows.unionByName(volume if lattices is None else volume.select("shape_id", "i", "j", "k", "val"), allowMissingColumns=True)
+    if lattices is not None:
+        rows = rows.unionByName(lattices, allowMissingColumns=True)
     rows.repartition("shape_id").sortWithinPartitions("shape_id", "point_id").write.format("points_npz").mode("append").save(folder)
 
 

@@ -140,3 +140,43 @@ def test_occupancy_by_columns(spark):
     points = spark.range(14).selectExpr("id as point_id", "cast(id as double) as x")
     rows = files.occupancy_samples(spark, points, packed).orderBy("point_id").collect()
     assert [r.point_id for r in rows if r.occ] == [0, 2, 11] and len(rows) == 14
+
+
+def test_las_of_version_1_4(spark, tmp_path):
+    """The 64-bit count of records is read; the older one is 0 in such files."""
+    head = bytearray(375)
+    head[:4], head[24], head[25], head[104] = b"LASF", 1, 4, 6
+    struct.pack_into("<I", head, 96, 375)
+    struct.pack_into("<HI", head, 105, 30, 0)
+    struct.pack_into("<6d", head, 131, 0.5, 0.5, 0.5, 10, 20, 30)
+    struct.pack_into("<Q", head, 247, 5)
+    body = b"".join(struct.pack("<3i", 2 * i, i, -i) + bytes(18) for i in range(5))
+    (tmp_path / "new.las").write_bytes(bytes(head) + body)
+    rows = files.read_points(spark, "las", [f"file://{tmp_path}/new.las"]).orderBy("point_id").collect()
+    assert [(r.x, r.y, r.z) for r in rows] == [(10 + i, 20 + i / 2, 30 - i / 2) for i in range(5)]
+    with pytest.raises(ValueError, match="ends early"):
+        files.las_columns(bytes(head) + body[:-1], {"x"})
+    head[104] = 0x86
+    with pytest.raises(ValueError, match="compressed"):
+        files.las_columns(bytes(head) + body, {"x"})
+
+
+def test_lattices_survive_unknown_cells(spark, tmp_path):
+    """Of a 4 x 4 x 4 volume with two known cells, and of one without any."""
+    lattices = spark.createDataFrame([("a", 0.0, 0.0, 0.0, 3.0, 3.0, 3.0, 4, 4, 4), ("b", -1.0, 0.0, 0.0, 1.0, 1.0, 1.0, 2, 3, 5)], files.LATTICE_SCHEMA)
+    cells = spark.createDataFrame([("a", 1, 1, 0, 0.5), ("a", 1, 0, 0, -0.5)], "shape_id string, i int, j int, k int, val double")
+    points = spark.createDataFrame([("a", 0, 1.0, 2.0, 3.0), ("c", 0, 1.0, 2.0, 3.0)], "shape_id string, point_id long, x double, y double, z double")
+    files.write_npz(points, f"file://{tmp_path}/out", cells, lattices)
+    with np.load(tmp_path / "out" / "a.npz") as a, np.load(tmp_path / "out" / "b.npz") as b, np.load(tmp_path / "out" / "c.npz") as c:
+        assert a["volume"].shape == (4, 4, 4) and np.isfinite(a["volume"]).sum() == 2 and a["volume"][1, 1, 0] == 0.5 and a["xyz"].tolist() == [[1, 2, 3]]
+        assert b["volume"].shape == (2, 3, 5) and np.isnan(b["volume"]).all() and b["volume_min"].tolist() == [-1, 0, 0] and "volume" not in c
+    paths = [f"file://{tmp_path}/out/{n}.npz" for n in "abc"]
+    assert sorted(map(tuple, files.read_lattices(spark, paths).collect())) == sorted(map(tuple, lattices.collect()))
+    back = files.read_volumes(spark, paths[:1])
+    assert sorted((r.i, r.j, r.k, r.val, r.cells_x, r.max_x) for r in back.collect()) == [(1, 0, 0, -0.5, 4, 3.0), (1, 1, 0, 0.5, 4, 3.0)]
+    files.write_npz(points, f"file://{tmp_path}/again", back)
+    with np.load(tmp_path / "again" / "a.npz") as a:
+        assert a["volume"].shape == (4, 4, 4)
+    wrong = lattices.withColumn("cells_x", lattices.cells_x - 3).where("shape_id = 'a'")
+    with pytest.raises(Exception, match="don't agree"):
+        files.write_npz(points, f"file://{tmp_path}/wrong", cells, wrong)

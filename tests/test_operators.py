@@ -298,3 +298,23 @@ def test_normals_far_from_the_origin(spark):
     frame = lambda shift: spark.createDataFrame([("a", i, *map(float, p + shift)) for i, p in enumerate(x)], "shape_id string, point_id long, x double, y double, z double")
     near, far = ({r.point_id: np.array([r.nx, r.ny, r.nz]) for r in normals.estimate(frame(s), 16).collect()} for s in (0.0, 4e6))
     assert len(near) == 150 and min(abs(near[i] @ far[i]) for i in near) > 1 - 1e-9
+
+
+def test_each_shape_on_its_own_lattice(spark):
+    """Classified and cropped as one shape after the other with its own lattice; a shape without one is outside."""
+    own = {"a": volume.Lattice((0, 0, 0), (1, 1, 1), (3, 3, 3)), "b": volume.Lattice((-1, -1, -1), (2, 1, 1), (7, 5, 4))}
+    rows = [("a", *map(float, (*v.low, *v.high)), *v.n) if s == "a" else ("b", *map(float, (*v.low, *v.high)), *v.n) for s, v in own.items()]
+    lattices = spark.createDataFrame(rows, "shape_id string, " + ", ".join(f"{c} {'int' if c.startswith('cells') else 'double'}" for c in volume.LATTICE))
+    rng = random.Random(3)
+    cells = spark.createDataFrame([(s, i, j, k, rng.random() - 0.5) for s, v in own.items() for i in range(v.n[0]) for j in range(v.n[1]) for k in range(v.n[2]) if rng.random() < 0.7], "shape_id string, i int, j int, k int, val double")
+    asked = spark.createDataFrame([(s, i, *(rng.uniform(-1.5, 2.5) for _ in "xyz")) for s in "abc" for i in range(80)], "shape_id string, point_id long, x double, y double, z double")
+    found = {(r.shape_id, r.point_id): r.kind for r in volume.classify(asked, cells, lattices, 0.1).collect()}
+    small, left = volume.crop_each(cells, lattices, (0.4, 0.1, 0.6), (0.6, 0.2, 0.9))
+    sizes = {r.shape_id: r for r in left.collect()}
+    for s, v in own.items():
+        one = lambda df, s=s: df.where(F.col("shape_id") == s)
+        assert {r.point_id: r.kind for r in volume.classify(one(asked), one(cells), v, 0.1).collect()} == {i: k for (g, i), k in found.items() if g == s}
+        plain, lattice = volume.crop(one(cells), v, (0.4, 0.1, 0.6), (0.6, 0.2, 0.9))
+        assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, one(small).collect()))
+        assert [sizes[s][c] for c in volume.LATTICE] == [*lattice.low, *lattice.high, *lattice.n]
+    assert {k for (g, _), k in found.items() if g == "c"} == {2}
