@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import vec
 from .functions.vec import Vec
 from .operators import affine, crop, knn, mesh, metrics, mixing, normals, report, sampling, sdf, volume
+from .plans import records
 from .sources import views
 
 #: Common table expressions of the views, by name, each with those that it needs.
@@ -568,6 +569,46 @@ def volume_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volume.classify(points, views.volume(spark, sf_dir), LATTICE, 0.02).select("shape_id", "point_id", "kind")
 
 
+def _record_sql(role: str) -> str:
+    """Points of a role under the chain of record_chain: centred by pred's bounds, doubled, and turned about z."""
+    mid = lambda a: f"(({a}0 + {a}1) / 2.0 + ({a}1 - {a}0) * 0.1 * ({_u(3, f'centre.{a}', 'shape_id')} * 2.0 - 1.0))"
+    at = ", ".join(f"({p}{a} - {mid(a)}) * 2.0 AS {p}{a}" for p in ("", "s") for a in "xyz")
+    angle = f"((-30.0 + 60.0 * {_u(5, 'rotate.z', 'shape_id')}) * {math.pi / 180.0!r})"
+    turned = ", ".join(f"{_r(f'cos(t) * {p}x - sin(t) * {p}y', p + 'x')}, {_r(f'sin(t) * {p}x + cos(t) * {p}y', p + 'y')}" for p in ("", "s", "n"))
+    return f"SELECT '{role}' AS role, shape_id, point_id, {turned}, {_r('z', 'z')}, {_r('sz', 'sz')} FROM (SELECT shape_id, point_id, nx, ny, {at}, {angle} AS t FROM {role} JOIN frame USING (shape_id))"
+
+
+@_query(_with("pred", "gt", frame="SELECT shape_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM pred GROUP BY shape_id", body=f"{_record_sql('pred')} UNION ALL {_record_sql('gt')}"))
+def record_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain over records of two roles: what is drawn and measured on the input moves the true points too."""
+    chain = [{"name": "Centralize", "args": {"noise": 0.1, "seed": 3}}, {"name": "FixedScale", "args": {"scale": 2.0}}, {"name": "FixedAxisRotation", "args": {"axis": "z", "deg_min": -30.0, "deg_max": 30.0, "seed": 5}}]
+    record = records.compose(chain)(records.Record(views.pred(spark, sf_dir), gt=views.gt(spark, sf_dir)))
+    both = [df.select(F.lit(role).alias("role"), "shape_id", "point_id", *(p + a for p in ("", "s", "n") for a in "xy"), "z", "sz") for role, df in (("pred", record.input), ("gt", record.gt))]
+    return _out(both[0].unionByName(both[1]))
+
+
+_RECORD_LOW, _RECORD_HIGH = (-0.31, -0.2, -0.45), (0.27, 0.33, 0.41)
+_TICKED = ", ".join(
+    f"list_transform(range(16), lambda i: (0.0 - m{a}) * f + (((1.0 - m{a}) * f - (0.0 - m{a}) * f) / 15) * i) AS t{a}" for a in "xyz")
+_CUT = ", ".join(
+    f"greatest(0, len(list_filter(t{a}, lambda t: t <= {low})) - 1)::INT AS first_{a}, least(len(list_filter(t{a}, lambda t: t < {high})), 15)::INT AS last_{a}" for a, low, high in zip("xyz", _RECORD_LOW, _RECORD_HIGH, strict=True))
+
+
+@_query(_with("volume", body=f"""SELECT shape_id, {', '.join(f"{_r(f't{a}[first_{a} + 1]', f'min_{a}')}, {_r(f't{a}[last_{a} + 1]', f'max_{a}')}, last_{a} - first_{a} + 1 AS cells_{a}" for a in 'xyz')},
+    (SELECT count(*) FROM big_cloud p WHERE p.shape_id = c.shape_id AND {' AND '.join(f"(p.{a} - m{a}) * f > {low} AND (p.{a} - m{a}) * f < {high}" for a, low, high in zip('xyz', _RECORD_LOW, _RECORD_HIGH, strict=True))}) AS points,
+    (SELECT count(*) FROM volume v WHERE v.shape_id = c.shape_id AND v.i BETWEEN first_x AND last_x AND v.j BETWEEN first_y AND last_y AND v.k BETWEEN first_z AND last_z) AS cells FROM c""",
+    m="SELECT shape_id, (min(x) + max(x)) / 2.0 AS mx, (min(y) + max(y)) / 2.0 AS my, (min(z) + max(z)) / 2.0 AS mz, greatest((max(x) - min(x)) / 2.0, (max(y) - min(y)) / 2.0, (max(z) - min(z)) / 2.0) AS h FROM big_cloud GROUP BY shape_id",
+    s="SELECT *, greatest(0.6, least(h, 0.9)) / h AS f FROM m", t=f"SELECT *, {_TICKED} FROM s", c=f"SELECT *, {_CUT} FROM t"))
+def record_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain over records with a volume: scaled with the input's bounds and cut to the ticks that cover a box."""
+    cloud = views.big_cloud(spark, sf_dir).select("shape_id", "point_id", "x", "y", "z")
+    lattices = cloud.select("shape_id").distinct().withColumns(volume.lattice_of(LATTICE))
+    chain = [{"name": "BoundScale", "args": {"min_a": 0.6, "max_a": 0.9}}, {"name": "FixedBBoxCrop", "args": {"bbox_min": _RECORD_LOW, "bbox_max": _RECORD_HIGH}}]
+    record = records.compose(chain)(records.Record(cloud, volume=views.volume(spark, sf_dir), lattices=lattices))
+    counts = [df.groupBy("shape_id").agg(F.count(F.lit(1)).alias(name)) for df, name in ((record.input, "points"), (record.volume, "cells"))]
+    return _out(record.lattices.join(counts[0], "shape_id").join(counts[1], "shape_id").select("shape_id", *volume.LATTICE, "points", "cells"))
+
+
 # Lattices of two kinds: those of shape A and of the others; the outer cells on the first axis are unknown.
 _LATTICE_LOW, _LATTICE_HIGH, _LATTICE_CELLS = "(CASE WHEN q.shape_id = 'A' THEN 0.0 ELSE -0.25 END)", "(CASE WHEN q.shape_id = 'A' THEN 1.0 ELSE 1.5 END)", "(CASE WHEN q.shape_id = 'A' THEN 16 ELSE 20 END)"
 _LATTICE_AT = lambda a: f"greatest(0, least({_LATTICE_CELLS} - 1, round_even((q.{a} - {_LATTICE_LOW}) / ({_LATTICE_HIGH} - {_LATTICE_LOW}) * ({_LATTICE_CELLS} - 1), 0)))::INT"

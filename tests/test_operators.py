@@ -318,3 +318,25 @@ def test_each_shape_on_its_own_lattice(spark):
         assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, one(small).collect()))
         assert [sizes[s][c] for c in volume.LATTICE] == [*lattice.low, *lattice.high, *lattice.n]
     assert {k for (g, _), k in found.items() if g == "c"} == {2}
+
+
+def test_records_move_together(spark):
+    """All roles get what is drawn from the input, whatever their own bounds; boxes are carried to true points; geometry isn't turned."""
+    from cumulo.plans import records
+
+    one, other = scatter(spark, 60, 8), affine.scale_fixed(scatter(spark, 80, 9), 3.0)
+    lattices = spark.createDataFrame([(s, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 5, 5, 5) for s in "ab"], "shape_id string, " + ", ".join(f"{c} {'int' if c.startswith('cells') else 'double'}" for c in volume.LATTICE))
+    cells = spark.createDataFrame([(s, i, i, i, 0.5) for s in "ab" for i in range(5)], "shape_id string, i int, j int, k int, val double")
+    key = lambda df: {(r.shape_id, r.point_id): tuple(round(v, 9) for v in (r.x, r.y, r.sz)) for r in df.collect()}
+    scaled = records.compose([{"name": "BoundScale", "args": {"min_a": 1.0, "max_a": 2.0}}, {"name": "PointcloudNoise", "args": {"stddev": 0.0}}])(records.Record(one, gt=other, occ=one, volume=cells, lattices=lattices))
+    assert key(scaled.gt) == key(affine.bound_scale(other, 1.0, 2.0, frame=one)) and key(scaled.input) == key(affine.bound_scale(one, 1.0, 2.0)) == key(scaled.occ)
+    box = scaled.lattices.where("shape_id = 'a'").first()
+    wide = crop.bounds(one).where("shape_id = 'a'").first()
+    assert box.max_x - box.min_x == pytest.approx(2 / max(wide.max_x - wide.min_x, wide.max_y - wide.min_y, wide.max_z - wide.min_z)) and box.cells_x == 5
+    cut = records.compose([{"name": "BBoxCrop", "args": {"min_l": 0.4, "max_l": 0.6, "low_ratio": 0.9, "seed": 2}}])(records.Record(one, gt=one, occ=other))
+    assert key(cut.input) == key(crop.crop_random(one, 0.4, 0.6, 0.9, 2)) == key(cut.gt) and 0 < len(key(cut.input)) < 120 and cut.occ is other
+    small = records.crop_box(records.Record(one, geometry=other, volume=cells, lattices=lattices), (0.3, 0.3, 0.3), (0.6, 0.6, 0.6))
+    assert small.lattices.first().cells_x == 3 and small.volume.count() == 6 and key(small.geometry) == key(crop.crop_box(other, (0.3,) * 3, (0.6,) * 3))
+    for wrong in (lambda: records.rotate_axis(records.Record(one, geometry=other), "z", 0, 9), lambda: records.crop_box(records.Record(one, gt=other), (0,) * 3, (1,) * 3), lambda: records.Record(one, volume=cells), lambda: records.compose([{"name": "None"}])):
+        with pytest.raises(ValueError):
+            wrong()
