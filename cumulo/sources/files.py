@@ -1,8 +1,8 @@
 """Files of point clouds as Spark data sources, and sinks.
 
-`npz` and `ply` read one file a partition, or any number of them; files are opened through pyarrow's
-file systems, so that any store with a URI will do, and only columns that the schema asks for are taken
-apart. Readers give rows of (shape_id, role, point_id, x, y, z, nx, ny, nz, sx, sy, sz, r, g, b); a
+Files are opened through pyarrow's file systems, so that any store with a URI will do, and only columns
+that the schema asks for are taken apart. A partition is a file, or of ply and LAS files, whose records
+have one size, a range of SPLIT_BYTES at most, read in batches of BATCH records. Readers give rows of (shape_id, role, point_id, x, y, z, nx, ny, nz, sx, sy, sz, r, g, b); a
 file's missing columns are null.
 """
 
@@ -11,8 +11,12 @@ from __future__ import annotations
 import io
 import re
 import struct
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from urllib.parse import quote
 
 import numpy as np
@@ -23,8 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..operators.mixing import unpack_bits
-from .storage import arrow_uri, opened
+from ..operators.mixing import substitute_missing, unpack_bits
+from ..operators.ranks import with_group
+from .storage import arrow_uri, checkpointed, opened
 
 POINT_SCHEMA = "shape_id string, role string, point_id long, " + ", ".join(f"{p}{a} double" for p in ("", "n", "s") for a in "xyz") + ", r double, g double, b double"
 #: Arrays of an npz file, and the columns that they become. Fixed names.
@@ -37,6 +42,13 @@ PROPERTIES = {"sensor_x": "sx", "sensor_y": "sy", "sensor_z": "sz", "red": "r",
 PLY_TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8", "int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4", "float32": "f4", "float64": "f8"}
 
 
+#: Bytes of records in a partition of a file that can be split, and records in a batch.
+SPLIT_BYTES = 64 << 20
+BATCH = 1 << 16
+#: Bytes of a header that are read at a time, and at most.
+HEAD_BYTES, MOST_HEAD_BYTES = 1 << 16, 1 << 24
+
+
 def read_bytes(uri: str) -> bytes:
     fs, path = opened(uri)
     with fs.open_input_file(path) as file:
@@ -70,33 +82,68 @@ def npz_columns(data: bytes, wanted: set[str]) -> dict[str, np.ndarray]:
     return out
 
 
-def ply_columns(data: bytes, wanted: set[str]) -> dict[str, np.ndarray]:
-    """Columns of a ply file's vertices, ASCII or binary of either order. Colours of whole bytes become 0 to 1."""
-    head, _, body = data.partition(b"end_header")
-    body = body[body.index(b"\n") + 1 :]
-    lines = [line.split() for line in head.decode().splitlines()]
+@dataclass(frozen=True)
+class Layout:
+    """Records of one size: where they start, how many there are, their type, and what makes columns of them."""
+
+    start: int
+    count: int
+    kind: np.dtype
+    columns: Callable[[np.ndarray, set[str]], dict[str, np.ndarray]]
+
+
+def _ply_head(head: bytes) -> tuple[str, int, list[tuple[str, str]], int]:
+    """The order of a ply file, the number of its vertices, their properties and types, and where they start."""
+    text, mark, rest = head.partition(b"end_header")
+    if not mark or b"\n" not in rest:
+        raise ValueError("a ply file without the end of its header")
+    lines = [line.split() for line in text.decode().splitlines()]
     order = next(line[1] for line in lines if line[:1] == ["format"])
     first = next(i for i, line in enumerate(lines) if line[:2] == ["element", "vertex"])
     if any(line[:1] == ["element"] for line in lines[:first]):
         raise ValueError("vertices must come first")
-    n, fields = int(lines[first][2]), []
+    fields = []
     for line in lines[first + 1 :]:
         if line[:1] == ["element"]:
             break
         if line[:1] == ["property"]:
             fields.append((line[-1], PLY_TYPES[line[1]]))
-    if order == "ascii":
-        table = np.array([row.split()[: len(fields)] for row in body.decode().splitlines()[:n]], np.float64).reshape(n, len(fields))
-        values = {name: table[:, i] for i, (name, _) in enumerate(fields)}
-    else:
-        mark = "<" if order == "binary_little_endian" else ">"
-        rows = np.frombuffer(body, np.dtype([(name, mark + kind) for name, kind in fields]), n)
-        values = {name: rows[name].astype(np.float64) for name, _ in fields}
+    return order, int(lines[first][2]), fields, len(text) + len(mark) + rest.index(b"\n") + 1
+
+
+def _ply_named(values: dict[str, np.ndarray], fields: list[tuple[str, str]], wanted: set[str]) -> dict[str, np.ndarray]:
+    """Vertices under the names of columns; colours of whole bytes become 0 to 1."""
     whole = {name for name, kind in fields if kind == "u1" and name in ("red", "green", "blue")}
     out = {PROPERTIES.get(name, name): v / 255.0 if name in whole else v for name, v in values.items()}
     return {c: v for c, v in out.items() if c in wanted}
 
 
+def ply_layout(head: bytes) -> Layout | None:
+    """The vertices of a binary ply file; an ASCII one, whose lines have any length, has none."""
+    order, n, fields, start = _ply_head(head)
+    if order == "ascii":
+        return None
+    mark = "<" if order == "binary_little_endian" else ">"
+    kind = np.dtype([(name, mark + t) for name, t in fields])
+    return Layout(start, n, kind, lambda rows, wanted: _ply_named({name: rows[name].astype(np.float64) for name, _ in fields if PROPERTIES.get(name, name) in wanted}, fields, wanted))
+
+
+def _all_columns(data: bytes, layout: Layout, wanted: set[str]) -> dict[str, np.ndarray]:
+    if len(data) < layout.start + layout.count * layout.kind.itemsize:
+        raise ValueError(f"a file of {layout.count} records ends early")
+    return layout.columns(np.frombuffer(data, layout.kind, layout.count, layout.start), wanted)
+
+
+def ply_columns(data: bytes, wanted: set[str]) -> dict[str, np.ndarray]:
+    """Columns of a ply file's vertices, ASCII or binary of either order."""
+    layout = ply_layout(data)
+    if layout is not None:
+        return _all_columns(data, layout, wanted)
+    _, n, fields, start = _ply_head(data)
+    table = np.array([row.split()[: len(fields)] for row in data[start:].decode().splitlines()[:n]], np.float64).reshape(n, len(fields))
+    return _ply_named({name: table[:, i] for i, (name, _) in enumerate(fields)}, fields, wanted)
+
+
 def ply_bytes(columns: dict[str, np.ndarray], faces: np.ndarray | None = None) -> bytes:
     """A binary ply file of doubles, with triangles if given."""
     n = len(next(iter(columns.values()))) if columns else 0
@@ -109,25 +156,27 @@ def ply_bytes(columns: dict[str, np.ndarray], faces: np.ndarray | None = None) -
     return ("\n".join([*head, "end_header"]) + "\n").encode() + body
 
 
-def las_columns(data: bytes, wanted: set[str]) -> dict[str, np.ndarray]:
-    """Coordinates of a LAS file: scaled and shifted integers at the start of each record.
+def las_layout(head: bytes) -> Layout:
+    """The records of a LAS file, which start with scaled and shifted integers.
 
-    The number of records has 64 bits from version 1.4 on, whose files may leave the older field at 0. Compressed
-    records, and a file that ends before its records do, are errors.
+    Their number has 64 bits from version 1.4 on, whose files may leave the older field at 0. Compressed records are an error.
     """
-    if data[:4] != b"LASF":
+    if head[:4] != b"LASF":
         raise ValueError("not a LAS file")
-    if data[104] & 0xC0:
+    if head[104] & 0xC0:
         raise ValueError("compressed LAS records can't be read")
-    at, = struct.unpack_from("<I", data, 96)
-    size, n = struct.unpack_from("<HI", data, 105)
-    if (data[24], data[25]) >= (1, 4):
-        n, = struct.unpack_from("<Q", data, 247)
-    if len(data) < at + n * size:
-        raise ValueError(f"a LAS file of {n} records ends early")
-    scale, shift = struct.unpack_from("<3d", data, 131), struct.unpack_from("<3d", data, 155)
-    raw = np.frombuffer(data, np.uint8, n * size, at).reshape(n, size)[:, :12].copy().view("<i4").reshape(n, 3)
-    return {a: raw[:, i] * scale[i] + shift[i] for i, a in enumerate("xyz") if a in wanted}
+    start, = struct.unpack_from("<I", head, 96)
+    size, n = struct.unpack_from("<HI", head, 105)
+    if (head[24], head[25]) >= (1, 4):
+        n, = struct.unpack_from("<Q", head, 247)
+    scale, shift = struct.unpack_from("<3d", head, 131), struct.unpack_from("<3d", head, 155)
+    kind = np.dtype({"names": list("xyz"), "formats": ["<i4"] * 3, "offsets": [0, 4, 8], "itemsize": size})
+    return Layout(start, n, kind, lambda rows, wanted: {a: rows[a] * scale[i] + shift[i] for i, a in enumerate("xyz") if a in wanted})
+
+
+def las_columns(data: bytes, wanted: set[str]) -> dict[str, np.ndarray]:
+    """Coordinates of a LAS file; one that ends before its records do is an error."""
+    return _all_columns(data, las_layout(data), wanted)
 
 
 def _lattice(shape, low, high) -> dict[str, float]:
@@ -188,6 +237,50 @@ def npz_bytes(columns: dict[str, np.ndarray]) -> bytes:
     return out.getvalue()
 
 
+def npy_bytes(columns: dict[str, np.ndarray]) -> bytes:
+    """An npy file of one array, with a column for each in their order."""
+    out = io.BytesIO()
+    np.save(out, np.stack(list(columns.values()), axis=1), allow_pickle=False)
+    return out.getvalue()
+
+
+def mesh_bytes(columns: dict[str, np.ndarray]) -> bytes:
+    """A binary ply file of triangles with their corners ax..cz; corners in one place are one vertex."""
+    corners = np.stack([columns[f"{c}{a}"] for c in "abc" for a in "xyz"], axis=1).reshape(-1, 3)
+    vertices, at = np.unique(corners, axis=0, return_inverse=True)
+    return ply_bytes({a: vertices[:, i] for i, a in enumerate("xyz")}, at.reshape(-1, 3))
+
+
+def ply_mesh_columns(data: bytes, wanted: set[str]) -> dict[str, np.ndarray]:
+    """Corners of the faces of a binary ply file whose faces come next to its vertices; faces of more corners become fans."""
+    layout = ply_layout(data)
+    if layout is None:
+        raise ValueError("faces of ASCII ply files can't be read")
+    lines = [line.split() for line in data.partition(b"end_header")[0].decode().splitlines()]
+    at = next((i for i, line in enumerate(lines) if line[:2] == ["element", "face"]), None)
+    if at is None:
+        return {f"{c}{a}": np.zeros(0) for c in "abc" for a in "xyz" if f"{c}{a}" in wanted}
+    if len(lines) > at + 2 and lines[at + 2][:1] == ["property"] or lines[at + 1][:2] != ["property", "list"]:
+        raise ValueError("faces must have a list of vertices, and nothing else")
+    mark = ">" if layout.kind[0].str.startswith(">") else "<"
+    size, index = (np.dtype(mark + PLY_TYPES[t]) for t in lines[at + 1][2:4])
+    start, n = layout.start + layout.count * layout.kind.itemsize, int(lines[at][2])
+    three = np.dtype([("n", size), ("v", index, (3,))])
+    faces = np.zeros((0, 3), np.int64)
+    if n and len(data) >= start + n * three.itemsize and (rows := np.frombuffer(data, three, n, start))["n"].max() == 3 == rows["n"].min():
+        faces = rows["v"].astype(np.int64)
+    elif n:
+        fans = []
+        for _ in range(n):
+            corners = int(np.frombuffer(data, size, 1, start)[0])
+            face = np.frombuffer(data, index, corners, start + size.itemsize)
+            fans += [(face[0], b, c) for b, c in zip(face[1:], face[2:], strict=False)]
+            start += size.itemsize + corners * index.itemsize
+        faces = np.array(fans, np.int64).reshape(-1, 3)
+    places = _all_columns(data, layout, set("xyz"))
+    return {f"{c}{a}": places[a][faces[:, i]] for i, c in enumerate("abc") for a in "xyz" if f"{c}{a}" in wanted}
+
+
 def obj_columns(data: bytes, wanted: set[str]) -> dict[str, np.ndarray]:
     """Corners of the faces of an OBJ file; faces of more corners become fans, and corners count back from the end if negative."""
     vertices, faces = [], []
@@ -203,53 +296,204 @@ def obj_columns(data: bytes, wanted: set[str]) -> dict[str, np.ndarray]:
     return {f"{c}{a}": at[:, i, k] for i, c in enumerate("abc") for k, a in enumerate("xyz") if f"{c}{a}" in wanted}
 
 
+#: Formats whose records can be read from any one on.
+LAYOUTS = {"ply": ply_layout, "las": las_layout}
 DECODERS = {"npz": npz_columns, "ply": ply_columns, "las": las_columns}
 #: Sources that aren't points: their reader and schema. Rows are numbered by point_id and face_id.
 _LATTICE = [*(f"{side}_{a}" for side in ("min", "max") for a in "xyz"), *(f"cells_{a}" for a in "xyz")]
 LATTICE_SCHEMA = "shape_id string, " + ", ".join(f"{c} {'int' if c.startswith('cells') else 'double'}" for c in _LATTICE)
 VOLUME_SCHEMA = "shape_id string, i int, j int, k int, val double, " + LATTICE_SCHEMA.removeprefix("shape_id string, ")
 MESH_SCHEMA = "shape_id string, face_id long, " + ", ".join(f"{c}{a} double" for c in "abc" for a in "xyz")
-OTHERS = {"volume_npz": (volume_columns, VOLUME_SCHEMA), "lattice_npz": (lattice_columns, LATTICE_SCHEMA), "mesh_obj": (obj_columns, MESH_SCHEMA)}
-ENCODERS = {"ply": ply_bytes, "npz": npz_bytes}
+OTHERS = {"volume_npz": (volume_columns, VOLUME_SCHEMA), "lattice_npz": (lattice_columns, LATTICE_SCHEMA), "mesh_obj": (obj_columns, MESH_SCHEMA), "mesh_ply": (ply_mesh_columns, MESH_SCHEMA)}
+ENCODERS = {"ply": ply_bytes, "npz": npz_bytes, "npy": npy_bytes, "mesh": mesh_bytes}
+#: File name endings of kinds whose names are others.
+SUFFIXES = {"mesh": "ply"}
+#: Files that the driver moves at once.
+MOVERS = 16
+
+
+def _head(file, size: int) -> bytes:
+    """The start of a file: HEAD_BYTES, or of a ply file to the end of its header."""
+    data = file.read(HEAD_BYTES)
+    while data[:3] == b"ply" and b"\n" not in data.partition(b"end_header")[2] and len(data) < min(size, MOST_HEAD_BYTES):
+        data += file.read(HEAD_BYTES)
+    return data
+
+
+def _sizes(paths: list[str]) -> list[int]:
+    """Bytes of each file, asked for together where they are in one store; -1 where there is none."""
+    stores: dict[str, list[tuple[int, str]]] = defaultdict(list)
+    systems = {}
+    for i, uri in enumerate(paths):
+        fs, at = opened(uri)
+        store = re.match(r"(?:\w+://[^/]*)?", arrow_uri(uri))[0]
+        systems.setdefault(store, fs)
+        stores[store].append((i, at))
+    out = [-1] * len(paths)
+    for store, files in stores.items():
+        for (i, _), info in zip(files, systems[store].get_file_info([at for _, at in files]), strict=True):
+            out[i] = info.size if info.is_file else -1
+    return out
+
+
+def _ranges(path: str, size: int, layout_of: Callable[[bytes], Layout | None], most: int) -> list[tuple[int, int | None]]:
+    """(first, count) of records, for partitions of `most` bytes of records; one of the whole where there is no layout.
+
+    A file whose header can't be read is left to its task, which says so.
+    """
+    try:
+        fs, at = opened(path)
+        with fs.open_input_file(at) as file:
+            layout = layout_of(_head(file, size))
+    except (OSError, ValueError, LookupError, StopIteration, struct.error):
+        layout = None
+    if layout is None or layout.count == 0:
+        return [(0, None)]
+    step = max(1, most // max(layout.kind.itemsize, 1))
+    return [(first, min(step, layout.count - first)) for first in range(0, layout.count, step)]
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, schema: StructType, options, decode):
-        self.schema, self.options, self.decode = schema, options, decode
+    """Options: paths and names by line, role, shape, splitbytes, and onerror: `fail`, `missing` or `any`.
+
+    With the last two, a file that is missing or (`any`) can't be read gives a row of its shape_id and `error`, beside what
+    was read of it before. Files are opened when a job is planned only if they are larger than splitbytes.
+    """
+
+    def __init__(self, schema: StructType, options, decode, layout=None):
+        self.schema, self.options, self.decode, self.layout = schema, options, decode, layout
 
     def partitions(self):
         paths = [p.strip() for p in self.options.get("paths", self.options.get("path", "")).split("\n") if p.strip()]
         names = self.options.get("names", "").split("\n") if self.options.get("names") else map(stem, paths)
-        return [InputPartition(pair) for pair in sorted(zip(paths, names, strict=True))] or [InputPartition(None)]
+        files = sorted(zip(paths, names, strict=True))
+        if self.layout is None:
+            return [InputPartition((*f, 0, None)) for f in files] or [InputPartition(None)]
+        most = int(self.options.get("splitbytes", SPLIT_BYTES))
+        parts = []
+        for (path, name), size in zip(files, _sizes([f[0] for f in files]), strict=True):
+            parts += [InputPartition((path, name, *r)) for r in (_ranges(path, size, self.layout, most) if size > most else [(0, None)])]
+        return parts or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition.value is None:
             return
+        path, shape, first, count = partition.value
+        try:
+            for at, columns in self._pieces(path, first, count):
+                yield self._batch(shape, columns, at)
+        except Exception as error:
+            told = self.options.get("onerror", "fail")
+            if told != "any" and not (told == "missing" and isinstance(error, FileNotFoundError)):
+                raise
+            yield self._batch(shape, {}, 0, f"{type(error).__name__}: {error}")
+
+    def _pieces(self, path: str, first: int, count: int | None) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+        """Columns with the number of their first row."""
+        wanted = set(self.schema.fieldNames())
+        fs, at = opened(path)
+        with fs.open_input_file(at) as file:
+            head = b"" if self.layout is None else _head(file, file.size())
+            layout = None if self.layout is None else self.layout(head)
+            if layout is None:
+                file.seek(0)
+                yield 0, self.decode(file.read(), wanted)
+                return
+            size, end = layout.kind.itemsize, layout.count if count is None else first + count
+            file.seek(layout.start + first * size)
+            while first < end:
+                n = min(BATCH, end - first)
+                data = file.read(n * size)
+                if len(data) < n * size:
+                    raise ValueError(f"a file of {layout.count} records ends early")
+                yield first, layout.columns(np.frombuffer(data, layout.kind, n), wanted)
+                first += n
+
+    def _batch(self, shape: str, columns: dict[str, np.ndarray], first: int, error: str | None = None) -> pa.RecordBatch:
         names = self.schema.fieldNames()
-        path, shape = partition.value
-        columns = self.decode(read_bytes(path), set(names))
-        n = len(next(iter(columns.values()), []))
-        number = pa.array(np.arange(n, dtype=np.int64))
-        fixed = {"shape_id": pa.array([self.options.get("shape") or shape] * n, pa.string()), "role": pa.array([self.options.get("role", "input")] * n, pa.string()), "point_id": number, "face_id": number}
+        n = 1 if error else len(next(iter(columns.values()), []))
+        number = pa.nulls(1, pa.int64()) if error else pa.array(np.arange(first, first + n, dtype=np.int64))
+        text = lambda value: pa.array([value] * n, pa.string())
+        fixed = {"shape_id": text(self.options.get("shape") or shape), "role": text(self.options.get("role", "input")), "error": text(error), "point_id": number, "face_id": number}
         arrays = [fixed[c] if c in fixed else pa.array(columns[c]) if c in columns else pa.nulls(n, pa.float64()) for c in names]
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+class _Checker(_Reader):
+    """A row for each file: shape_id, n and error, which is null where all its records can be read.
+
+    Of a file with a layout, its header and size are read; others are decoded, but no row of them leaves its task.
+    """
+
+    def partitions(self):
+        layout, self.layout = self.layout, None
+        parts = super().partitions()
+        self.layout = layout
+        return parts
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if partition.value is None:
+            return
+        path, shape = partition.value[:2]
+        told, n, error = self.options.get("onerror", "fail"), None, None
+        try:
+            n = self._count(path)
+        except Exception as e:
+            if told != "any" and not (told == "missing" and isinstance(e, FileNotFoundError)):
+                raise
+            error = f"{type(e).__name__}: {e}"
+        made = {"shape_id": pa.array([shape], pa.string()), "n": pa.array([n], pa.int64()), "error": pa.array([error], pa.string())}
+        yield pa.RecordBatch.from_arrays([made[c] for c in self.schema.fieldNames()], names=self.schema.fieldNames())
+
+    def _count(self, path: str) -> int:
+        fs, at = opened(path)
+        with fs.open_input_file(at) as file:
+            layout = None if self.layout is None else self.layout(_head(file, file.size()))
+            if layout is not None:
+                if file.size() < layout.start + layout.count * layout.kind.itemsize:
+                    raise ValueError(f"a file of {layout.count} records ends early")
+                return layout.count
+            file.seek(0)
+            columns = self.decode(file.read(), {c.split()[0] for c in POINT_SCHEMA.split(", ")})
+        return len(next(iter(columns.values()), []))
+
+
+@dataclass
+class _Attempt(WriterCommitMessage):
+    """Files that a task has written, as (where they are, where they belong)."""
+
+    files: list[tuple[str, str]]
 
 
 class _Writer(DataSourceArrowWriter):
-    """One file for each task's rows of a shape: rows must be partitioned and sorted by shape_id."""
+    """A file for the rows of each shape, which must be partitioned and sorted by shape_id.
+
+    A task writes under a folder of its own attempt. Once all tasks are done, the driver moves the files of those that count
+    to their names, and drops the rest: a task that is killed or run twice leaves no file, cut off or whole. A shape that
+    two tasks wrote is an error, and then none of the job's files appears. With the option `folders`, slashes in a
+    shape's name are folders.
+    """
 
     def __init__(self, schema: StructType, options, kind: str):
         self.kind = kind
-        self.folder, self.names = options["path"].rstrip("/"), [f.name for f in schema if f.name not in ("shape_id", "role", "point_id")]
+        self.folder, self.names = options["path"].rstrip("/"), [f.name for f in schema if f.name not in ("shape_id", "role", "point_id", "face_id")]
+        self.nested = options.get("folders", "false") == "true"
+        self.attempts = f"{self.folder}/_attempts/{uuid.uuid4().hex}"
+
+    def _name(self, shape: str) -> str:
+        return "/".join(map(file_name, shape.split("/") if self.nested else [shape])) + f".{SUFFIXES.get(self.kind, self.kind)}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        held, shape = [], None
+        held, shape, written = [], None, []
+        folder = f"{self.attempts}/{uuid.uuid4().hex}"
 
         def put():
             if held:
                 table = pa.Table.from_batches(held)
                 columns = {c: table.column(c).to_numpy().astype(np.float64) for c in self.names}
-                write_bytes(f"{self.folder}/{file_name(str(shape))}.{self.kind}", ENCODERS[self.kind](columns))
+                name = self._name(str(shape))
+                write_bytes(f"{folder}/{name}", ENCODERS[self.kind](columns))
+                written.append((f"{folder}/{name}", f"{self.folder}/{name}"))
 
         for batch in batches:
             ids = batch.column("shape_id").to_pylist()
@@ -263,7 +507,30 @@ class _Writer(DataSourceArrowWriter):
                     held.append(batch.slice(start, end - start))
                     start = end
         put()
-        return WriterCommitMessage()
+        return _Attempt(written)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        files = [f for m in messages if m is not None for f in m.files]
+        targets = [target for _, target in files]
+        if len(set(targets)) < len(targets):
+            twice = sorted({t for t in targets if targets.count(t) > 1})[:3]
+            self.abort(messages)
+            raise ValueError(f"written by several tasks: {twice}")
+
+        def move(file: tuple[str, str]) -> None:
+            (fs, source), (_, target) = map(opened, file)
+            fs.create_dir(target.rpartition("/")[0], recursive=True)
+            fs.move(source, target)
+
+        with ThreadPoolExecutor(MOVERS) as pool:
+            list(pool.map(move, files))
+        self.abort(messages)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        """Drops what attempts have left. Another job's attempts, which may be running, stay."""
+        fs, at = opened(self.attempts)
+        if fs.get_file_info(at).type == filesystems.FileType.Directory:
+            fs.delete_dir(at)
 
 
 def _source(kind: str) -> type[DataSource]:
@@ -276,7 +543,7 @@ def _source(kind: str) -> type[DataSource]:
             return POINT_SCHEMA
 
         def reader(self, schema: StructType) -> DataSourceReader:
-            return _Reader(schema, self.options, DECODERS[kind])
+            return _Reader(schema, self.options, DECODERS[kind], LAYOUTS.get(kind))
 
         def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
             if kind not in ENCODERS:
@@ -286,6 +553,20 @@ def _source(kind: str) -> type[DataSource]:
     return Points
 
 
+class Arrays(DataSource):
+    """A sink only."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "points_npy"
+
+    def schema(self) -> str:
+        return POINT_SCHEMA
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(schema, self.options, "npy")
+
+
 def _other(name_: str) -> type[DataSource]:
     class Rows(DataSource):
         @classmethod
@@ -298,19 +579,41 @@ def _other(name_: str) -> type[DataSource]:
         def reader(self, schema: StructType) -> DataSourceReader:
             return _Reader(schema, self.options, OTHERS[name_][0])
 
+        def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+            if name_ != "mesh_ply":
+                raise ValueError(f"{name_} can't be written")
+            return _Writer(schema, self.options, "mesh")
+
     return Rows
 
 
+def _check(kind: str) -> type[DataSource]:
+    class Status(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return f"status_{kind}"
+
+        def schema(self) -> str:
+            return "shape_id string, n long, error string"
+
+        def reader(self, schema: StructType) -> DataSourceReader:
+            return _Checker(schema, self.options, DECODERS[kind], LAYOUTS.get(kind))
+
+    return Status
+
+
 def register(spark: SparkSession) -> None:
     for kind in DECODERS:
         spark.dataSource.register(_source(kind))
+        spark.dataSource.register(_check(kind))
     for name in OTHERS:
         spark.dataSource.register(_other(name))
+    spark.dataSource.register(Arrays)
 
 
-def _load(spark: SparkSession, source: str, schema: str, paths: list[str], names: list[str] | None, role: str = "input") -> DataFrame:
+def _load(spark: SparkSession, source: str, schema: str, paths: list[str], names: list[str] | None, role: str = "input", **options) -> DataFrame:
     register(spark)
-    reader = spark.read.format(source).schema(schema).option("paths", "\n".join(paths)).option("role", role)
+    reader = spark.read.format(source).schema(schema).option("paths", "\n".join(paths)).option("role", role).options(**options)
     return (reader.option("names", "\n".join(names)) if names else reader).load()
 
 
@@ -324,15 +627,44 @@ def read_lattices(spark: SparkSession, paths: list[str], names: list[str] | None
     return _load(spark, "lattice_npz", LATTICE_SCHEMA, paths, names)
 
 
-def read_meshes(spark: SparkSession, paths: list[str], names: list[str] | None = None) -> DataFrame:
-    """Triangles of OBJ files, as mesh.sample() takes them."""
-    return _load(spark, "mesh_obj", MESH_SCHEMA, paths, names)
+def read_meshes(spark: SparkSession, paths: list[str], names: list[str] | None = None, kind: str = "obj") -> DataFrame:
+    """Triangles of OBJ or binary ply files, as mesh.sample() takes them."""
+    return _load(spark, f"mesh_{kind}", MESH_SCHEMA, paths, names)
+
 
+def read_points(spark: SparkSession, kind: str, paths: list[str], role: str = "input", columns: list[str] | None = None, names: list[str] | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Points of the files at `paths`; shapes are called `names`, or as the files are. Only `columns`, all by default, are taken.
 
-def read_points(spark: SparkSession, kind: str, paths: list[str], role: str = "input", columns: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
-    """Points of the files at `paths`, one task a file; shapes are called `names`, or as the files are. Only `columns`, all by default, are taken."""
+    A task reads a file, or of a ply or LAS file of more than split_bytes a range of as many bytes of records, numbered from
+    the range's start. A file that is missing, ends early or can't be read is an error; fetch() goes on without it.
+    """
     schema = POINT_SCHEMA if columns is None else ", ".join(c for c in POINT_SCHEMA.split(", ") if c.split()[0] in columns)
-    return _load(spark, f"points_{kind}", schema, paths, names, role)
+    return _load(spark, f"points_{kind}", schema, paths, names, role, splitbytes=split_bytes)
+
+
+def statuses(spark: SparkSession, kind: str, paths: list[str], names: list[str] | None = None, skip_on_error: bool = False) -> DataFrame:
+    """shape_id, n, error of each file: error is null where all n points can be read, and n where it isn't.
+
+    Missing files always get an error's row; others that can't be read get one with skip_on_error, and fail the job without.
+    """
+    return _load(spark, f"status_{kind}", "shape_id string, n long, error string", paths, names, onerror="any" if skip_on_error else "missing")
+
+
+def fetch(spark: SparkSession, kind: str, paths: list[str], names: list[str] | None = None, skip_on_error: bool = False, seed: int = 0, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Points of each file with `read`, the name of the file that they come from: another one where it is lost.
+
+    Lost are missing files, and with skip_on_error all that can't be read, which fail the job otherwise. Another file is drawn
+    by a hash of the name from all that can be read, of which one that has become unreadable since is an error. Where none can
+    be read, there are no points. Names must differ. Files are checked in a first pass; points are read once.
+    """
+    told = checkpointed(statuses(spark, kind, paths, names, skip_on_error))
+    items = told.select(F.lit("all").alias("grp"), F.col("shape_id").alias("item"), "error")
+    drawn = substitute_missing(items.select("grp", "item"), items.where("error is not null"), seed).select("item", F.col("read").alias("shape_id"))
+    rows = _load(spark, f"points_{kind}", POINT_SCHEMA + ", error string", paths, names, onerror="any" if skip_on_error else "missing", splitbytes=split_bytes)
+    # What is raised names the item, so that it is worked out after the join, for files that were drawn.
+    told = F.raise_error(F.concat_ws(": ", "item", "shape_id", "error")).cast("boolean")
+    kept = with_group(rows, drawn, "shape_id").where(F.when(F.col("error").isNull(), True).otherwise(told))
+    return kept.select(F.col("item").alias("shape_id"), F.col("shape_id").alias("read"), *(c.split()[0] for c in POINT_SCHEMA.split(", ")[1:]))
 
 
 def with_colours(points: DataFrame, colours: DataFrame) -> DataFrame:
@@ -352,13 +684,34 @@ def write_npz(points: DataFrame, folder: str, volume: DataFrame | None = None, l
         rows = rows.unionByName(volume if lattices is None else volume.select("shape_id", "i", "j", "k", "val"), allowMissingColumns=True)
     if lattices is not None:
         rows = rows.unionByName(lattices, allowMissingColumns=True)
-    rows.repartition("shape_id").sortWithinPartitions("shape_id", "point_id").write.format("points_npz").mode("append").save(folder)
+    _write(rows, "points_npz", folder, "point_id")
+
+
+def _write(rows: DataFrame, source: str, folder: str, order: str, **options) -> None:
+    """A shape's rows meet in one task, as its file needs them together."""
+    register(rows.sparkSession)
+    rows.repartition("shape_id").sortWithinPartitions("shape_id", order).write.format(source).mode("append").options(**options).save(folder)
 
 
 def write_ply(points: DataFrame, folder: str) -> None:
-    """A ply file for each shape. A shape's points meet in one task, as its file needs them together."""
-    register(points.sparkSession)
-    points.repartition("shape_id").sortWithinPartitions("shape_id", "point_id").write.format("points_ply").mode("append").save(folder)
+    """A ply file for each shape."""
+    _write(points, "points_ply", folder, "point_id")
+
+
+def write_meshes(triangles: DataFrame, folder: str) -> None:
+    """A ply file of vertices and faces for each shape's triangles (shape_id, face_id, ax..cz)."""
+    _write(triangles, "mesh_ply", folder, "face_id")
+
+
+#: What is written of each type of artifact, and the column that orders its rows. Fixed names.
+ARTIFACTS = {"points": ("points_ply", "point_id"), "mesh": ("mesh_ply", "face_id"), "array": ("points_npy", "point_id")}
+
+
+def write_artifacts(rows: DataFrame, folder: str, type_: str) -> None:
+    """A file <folder>/<key>/<batch_idx, six digits> for the rows of each key and batch_idx: ply of points or of a mesh, or npy of an array."""
+    source, order = ARTIFACTS[type_]
+    named = rows.withColumn("shape_id", F.format_string("%s/%06d", F.col("key"), F.col("batch_idx").cast("long"))).drop("key", "batch_idx")
+    _write(named, source, folder, order, folders="true")
 
 
 def read_manifest(spark: SparkSession, folder: str, split: str) -> DataFrame:
@@ -411,10 +764,10 @@ def record_folder(base: str, dataset: str, name: str) -> str:
     return f"{base.rstrip('/')}/{dataset}/{name}"
 
 
-def list_files(folder: str, suffix: str) -> list[str]:
-    """URIs of the files in a folder, by name."""
+def list_files(folder: str, suffix: str, nested: bool = False) -> list[str]:
+    """URIs of the files in a folder, and if `nested` in those within it, by name. What unfinished jobs have written is left out."""
     folder = arrow_uri(folder)
     fs, path = opened(folder)
     scheme = folder[: folder.index(path)] if path in folder else ""
-    found = fs.get_file_info(filesystems.FileSelector(path, allow_not_found=True))
-    return sorted(f"{scheme}{f.path}" for f in found if f.path.endswith(suffix))
+    found = fs.get_file_info(filesystems.FileSelector(path, allow_not_found=True, recursive=nested))
+    return sorted(f"{scheme}{f.path}" for f in found if f.path.endswith(suffix) and "/_attempts/" not in f.path[len(path.rstrip("/")) :])

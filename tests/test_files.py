@@ -180,3 +180,126 @@ def test_lattices_survive_unknown_cells(spark, tmp_path):
     wrong = lattices.withColumn("cells_x", lattices.cells_x - 3).where("shape_id = 'a'")
     with pytest.raises(Exception, match="don't agree"):
         files.write_npz(points, f"file://{tmp_path}/wrong", cells, wrong)
+
+
+def las_file(n: int) -> bytes:
+    head = bytearray(375)
+    head[:4], head[24], head[25], head[104] = b"LASF", 1, 4, 6
+    struct.pack_into("<I", head, 96, 375)
+    struct.pack_into("<HI", head, 105, 30, 0)
+    struct.pack_into("<6d", head, 131, 0.5, 0.5, 0.5, 10, 20, 30)
+    struct.pack_into("<Q", head, 247, n)
+    body = np.zeros(n, np.dtype([("p", "<i4", (3,)), ("rest", "V18")]))
+    body["p"] = np.arange(n)[:, None]
+    return bytes(head) + body.tobytes()
+
+
+def test_large_files_are_read_by_ranges(spark, tmp_path):
+    """Of bytes of records; numbers go on from range to range, and a header of any length is no record."""
+    x = np.arange(1000.0)
+    ply = files.ply_bytes({"x": x, "y": -x, "z": x / 2}).replace(b"format", b"comment " + b"-" * 100_000 + b"\nformat", 1)
+    (tmp_path / "a.ply").write_bytes(ply)
+    (tmp_path / "b.ply").write_bytes(files.ply_bytes({"x": x[:3], "y": x[:3], "z": x[:3]}))
+    (tmp_path / "c.las").write_bytes(las_file(1000))
+    rows = files.read_points(spark, "ply", [f"file://{tmp_path}/{n}.ply" for n in "ab"], columns=["shape_id", "point_id", "x", "z"], split_bytes=2400)
+    assert rows.rdd.getNumPartitions() == 11
+    assert sorted((r.shape_id, r.point_id, r.x) for r in rows.collect()) == sorted([("a", i, float(i)) for i in range(1000)] + [("b", i, float(i)) for i in range(3)])
+    rows = files.read_points(spark, "las", [f"file://{tmp_path}/c.las"], split_bytes=3000)
+    assert rows.rdd.getNumPartitions() == 10 and sorted((r.point_id, r.x) for r in rows.collect()) == [(i, 10 + i / 2) for i in range(1000)]
+    (tmp_path / "a.ply").write_bytes(ply[:-1])
+    with pytest.raises(Exception, match="ends early"):
+        files.read_points(spark, "ply", [f"file://{tmp_path}/a.ply"], split_bytes=2400).count()
+
+
+def test_batches_hold_a_bounded_number_of_records(tmp_path, monkeypatch):
+    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+    monkeypatch.setattr(files, "BATCH", 100)
+    (tmp_path / "c.las").write_bytes(las_file(1050))
+    schema = StructType([StructField("point_id", LongType()), StructField("x", DoubleType())])
+    reader = files._Reader(schema, {"paths": f"file://{tmp_path}/c.las"}, files.las_columns, files.las_layout)
+    (part,) = reader.partitions()
+    batches = list(reader.read(part))
+    assert [b.num_rows for b in batches] == [100] * 10 + [50] and [b.column(0)[0].as_py() for b in batches] == list(range(0, 1050, 100))
+
+
+def test_files_that_cannot_be_read_are_replaced(spark, tmp_path):
+    """A cut-off file and a missing one among ten: the missing one always, the other where that is wanted."""
+    for i in range(9):
+        data = files.ply_bytes({a: np.full(40, float(i)) for a in "xyz"})
+        (tmp_path / f"f{i}.ply").write_bytes(data[:-1] if i == 4 else data)
+    paths = [f"file://{tmp_path}/f{i}.ply" for i in range(10)]
+    with pytest.raises(Exception, match="ends early"):
+        files.fetch(spark, "ply", paths).count()
+    for split in (files.SPLIT_BYTES, 240):
+        rows = files.fetch(spark, "ply", paths, skip_on_error=True, split_bytes=split).groupBy("shape_id", "read").agg({"*": "count", "x": "avg"}).collect()
+        assert sorted(r.shape_id for r in rows) == [f"f{i}" for i in range(10)] and all(r["count(1)"] == 40 and r["avg(x)"] == int(r.read[1:]) for r in rows)
+        assert all((r.read == r.shape_id) == (r.shape_id not in ("f4", "f9")) and r.read not in ("f4", "f9") for r in rows)
+    whole = [p for p in paths if "f4" not in p]
+    assert files.fetch(spark, "ply", whole).select("shape_id").distinct().count() == 9
+    assert files.fetch(spark, "ply", whole, seed=1).where("shape_id <> read").select("read").distinct().count() == 1
+    assert files.fetch(spark, "ply", [paths[9]]).count() == 0
+    told = {r.shape_id: (r.n, r.error) for r in files.statuses(spark, "ply", paths, skip_on_error=True).collect()}
+    assert told["f0"] == (40, None) and "ends early" in told["f4"][1] and told["f9"][1].startswith("FileNotFoundError")
+    (tmp_path / "bad.npz").write_bytes(b"PK nothing")
+    np.savez(tmp_path / "good.npz", points=np.ones((5, 3)))
+    npz = [f"file://{tmp_path}/{n}.npz" for n in ("bad", "good")]
+    assert {(r.shape_id, r.read) for r in files.fetch(spark, "npz", npz, skip_on_error=True).collect()} == {("bad", "good"), ("good", "good")}
+    with pytest.raises(Exception):
+        files.fetch(spark, "npz", npz).count()
+
+
+def test_sinks_commit_or_leave_nothing(spark, tmp_path):
+    cloud = spark.range(40).selectExpr("cast(id % 4 as string) shape_id", "id point_id", "cast(id as double) x", "0.0D y", "0.0D z")
+    broken = cloud.selectExpr("shape_id", "point_id", "x", "y", "if(point_id = 39, cast(raise_error('stop') as double), z) z")
+    out = tmp_path / "out"
+    with pytest.raises(Exception, match="stop"):
+        files.write_ply(broken, f"file://{out}")
+    assert not [p for p in out.rglob("*") if p.is_file()]
+    files.write_ply(cloud, f"file://{out}")
+    assert sorted(p.name for p in out.rglob("*.ply")) == ["0.ply", "1.ply", "2.ply", "3.ply"] and not list((out / "_attempts").iterdir())
+    with pytest.raises(Exception, match="several tasks"):
+        cloud.where("shape_id = '0'").repartition(3).write.format("points_ply").mode("append").save(f"file://{tmp_path}/twice")
+    assert not list((tmp_path / "twice").rglob("*.ply"))
+
+
+def test_attempts_that_fail_midway(tmp_path):
+    """What an attempt has written counts only if its message is committed; others' files go."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL("shape_id string, x double")
+    writer = files._Writer(schema, {"path": f"file://{tmp_path}"}, "ply")
+    batch = lambda shape, n: pa.RecordBatch.from_pydict({"shape_id": [shape] * n, "x": [1.0] * n})
+
+    def dies():
+        yield batch("a", 3)
+        yield batch("b", 3)
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        writer.write(dies())
+    assert len(list(tmp_path.rglob("a.ply"))) == 1 and not (tmp_path / "a.ply").exists()
+    writer.write(iter([batch("a", 9)]))
+    good = writer.write(iter([batch("a", 3), batch("b", 4)]))
+    writer.commit([good, None])
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*.ply")) == ["a.ply", "b.ply"]
+    assert len(files.ply_columns((tmp_path / "a.ply").read_bytes(), {"x"})["x"]) == 3
+
+
+def test_meshes_and_artifacts_round_trip(spark, tmp_path):
+    corners = [("a", 0, *map(float, (0, 0, 0, 1, 0, 0, 0, 1, 0))), ("a", 1, *map(float, (1, 0, 0, 1, 1, 0, 0, 1, 0))), ("b", 0, *map(float, range(9)))]
+    triangles = spark.createDataFrame(corners, files.MESH_SCHEMA)
+    files.write_meshes(triangles, f"file://{tmp_path}/mesh")
+    assert sorted(map(tuple, files.read_meshes(spark, files.list_files(f"file://{tmp_path}/mesh", ".ply"), kind="ply").collect())) == corners
+    assert b"element vertex 4" in (tmp_path / "mesh" / "a.ply").read_bytes()
+    files.write_artifacts(triangles.selectExpr("concat('mesh ', shape_id) key", "12 batch_idx", "* except (shape_id)"), f"file://{tmp_path}/all", "mesh")
+    arrays = spark.range(3).selectExpr("'grid' key", "id batch_idx", "id point_id", "cast(id as double) u", "-1.0D v")
+    files.write_artifacts(arrays, f"file://{tmp_path}/all", "array")
+    assert [p.removeprefix(f"file://{tmp_path}/all/") for p in files.list_files(f"file://{tmp_path}/all", "", nested=True) if "." in p.rpartition("/")[2]] == ["grid/000000.npy", "grid/000001.npy", "grid/000002.npy", "mesh~20a/000012.ply", "mesh~20b/000012.ply"]
+    assert np.load(tmp_path / "all" / "grid" / "000002.npy").tolist() == [[2, -1]]
+    quad = files.ply_bytes({a: np.arange(4.0) for a in "xyz"}) .replace(b"end_header", b"element face 2\nproperty list uchar int vertex_indices\nend_header")
+    quad += struct.pack("<B4i", 4, 0, 1, 2, 3) + struct.pack("<B3i", 3, 3, 2, 1)
+    out = files.ply_mesh_columns(quad, {"ax", "bx", "cx"})
+    assert list(zip(out["ax"], out["bx"], out["cx"])) == [(0, 1, 2), (0, 2, 3), (3, 2, 1)]
+    assert len(files.ply_mesh_columns(files.ply_bytes({a: np.arange(4.0) for a in "xyz"}), {"ax"})["ax"]) == 0
