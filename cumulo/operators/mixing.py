@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,9 +44,22 @@ def mix_sources(items: DataFrame, shares: dict[str, float]) -> DataFrame:
 
 def mix_epoch(items: DataFrame, shares: dict[str, float], epoch: int) -> DataFrame:
     """idx, source, item: what an epoch shows. A source's window of logical items rolls on by its length each epoch, around its end."""
+    return mix_epochs(items, shares, [epoch]).select("idx", "source", "item")
+
+
+def mix_epochs(items: DataFrame, shares: dict[str, float], epochs: Sequence[int], seed: int = 0, validation: bool = False) -> DataFrame:
+    """epoch, idx, source, item, reads, draw of several epochs, whose items are placed once.
+
+    reads counts the epochs before that showed the item. draw, of (item, reads, seed), is the seed for what is drawn for
+    that read: other epochs draw anew, and one that is run again draws the same. Validation draws the same at every read.
+    """
     rows = with_group(by_value(items, ["source"], ["item"], "_at"), mix_sources(items, shares), "source")
-    turn = F.pmod(F.col("_at") - 1 - F.lit(epoch) * F.col("logical"), F.col("physical"))
-    return rows.where(turn < F.col("logical")).select((F.col("first") + turn).alias("idx"), "source", "item")
+    rows = rows.withColumn("epoch", F.explode(F.array(*(F.lit(e) for e in epochs)))).withColumn("_shown", F.col("epoch") * F.col("logical"))
+    turn = F.pmod(F.col("_at") - 1 - F.col("_shown"), F.col("physical"))
+    # Windows lie end to end around the items, so a place was shown once for each round that they have begun beyond it.
+    reads = F.greatest(F.lit(0), F.floor((F.col("_shown") - F.col("_at") + F.col("physical")) / F.col("physical")))
+    shown = rows.where(turn < F.col("logical")).select("epoch", (F.col("first") + turn).alias("idx"), "source", "item", reads.alias("reads"))
+    return shown.withColumn("draw", F.lit(str(seed)) if validation else rng.digest(seed, "read", "item", "reads"))
 
 
 def focus(grammar: str, column: str = "batch_idx") -> Column:

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import vec
+from .functions import rng, vec
 from .functions.vec import Vec
-from .operators import affine, crop, knn, mesh, metrics, mixing, normals, report, sampling, sdf, volume
+from .operators import affine, crop, knn, mesh, metrics, mixing, normals, ranks, report, sampling, sdf, volume
 from .plans import records
 from .sources import views
 
@@ -54,8 +54,9 @@ def _r(sql: str, name: str = "") -> str:
     return f"round({sql}, 6) + 0.0 AS {name or sql}"
 
 
-def _u(seed: int, op: str, *keys: str) -> str:
-    return f"(('0x' || substr(md5(concat_ws('|', {', '.join([f"'{seed}'", f"'{op}'", *keys])})), 1, 8))::BIGINT / 4294967296.0)"
+def _u(seed: int | str, op: str, *keys: str) -> str:
+    """A draw; a seed may be a column's name."""
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join([seed if isinstance(seed, str) else f"'{seed}'", f"'{op}'", *keys])})), 1, 8))::BIGINT / 4294967296.0)"
 
 
 def _md5(seed: int, op: str, *keys: str) -> str:
@@ -182,20 +183,32 @@ def crop_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(crop.crop_boxes(views.big_cloud(spark, sf_dir).select("shape_id", "point_id", "x", "y", "z"), boxes))
 
 
-def _random_boxes_sql(min_l: float, max_l: float, low_ratio: float) -> dict[str, str]:
+_SIZED = "SELECT n_nationkey AS box_id, " + ", ".join(f"{_u(0, f'box.{a}', 'n_nationkey')} AS c{a}" for a in "xyz") + ", pow(10.0, n_nationkey % 8 - 3) / 2.0 AS h FROM nation"
+
+
+@_query(_with("big_cloud", sized=_SIZED, body=f"SELECT box_id::INT AS box_id, count(*) AS n, {_r('sum(x)', 'total')} FROM big_cloud JOIN sized ON x > cx - h AND x < cx + h AND y > cy - h AND y < cy + h AND z > cz - h AND z < cz + h GROUP BY box_id"))
+def crop_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in boxes whose sides go from a thousandth to ten thousand, counted a box."""
+    boxes = views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("box_id"), *(rng.uniform(0, f"box.{a}", "n_nationkey").alias(f"c{a}") for a in "xyz"), (F.pow(F.lit(10.0), F.col("n_nationkey") % 8 - 3) / 2.0).alias("h"))
+    boxes = boxes.select("box_id", *((F.col(f"c{a}") - F.col("h")).alias(f"min_{a}") for a in "xyz"), *((F.col(f"c{a}") + F.col("h")).alias(f"max_{a}") for a in "xyz"))
+    return _out(crop.crop_boxes(views.big_cloud(spark, sf_dir).select("x", "y", "z"), boxes).groupBy("box_id").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total")))
+
+
+def _random_boxes_sql(min_l: float, max_l: float, low_ratio: float, cloud: str = "big_cloud", seed: int | str = 0) -> dict[str, str]:
+    keys = f"shape_id, {seed}" if isinstance(seed, str) else "shape_id"
     axis = []
     for a in _AXES:
         low, high = f"({a}0 - ({a}1 - {a}0) * 0.1)", f"({a}1 + ({a}1 - {a}0) * 0.1)"
-        side = f"least({min_l} + ({max_l} - {min_l}) * {_u(0, f'crop.side.{a}', 'shape_id', 't')}, {high} - {low})"
-        centre = f"({low} + ({high} - {low}) * {_u(0, f'crop.centre.{a}', 'shape_id', 't')})"
+        side = f"least({min_l} + ({max_l} - {min_l}) * {_u(seed, f'crop.side.{a}', 'shape_id', 't')}, {high} - {low})"
+        centre = f"({low} + ({high} - {low}) * {_u(seed, f'crop.centre.{a}', 'shape_id', 't')})"
         axis.append(f"{side} AS side_{a}, least(greatest({centre} - {side} / 2.0, {low}), {high} - {side}) AS low_{a}")
     inside = " AND ".join(f"{a} > low_{a} AND {a} < low_{a} + side_{a}" for a in _AXES)
     return {
-        "bounds3": "SELECT shape_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM big_cloud GROUP BY shape_id",
-        "proposals": f"SELECT shape_id, t AS proposal, {', '.join(axis)} FROM bounds3, range(20) AS g(t)",
-        "ratios": f"SELECT shape_id, proposal, count(*) FILTER (WHERE {inside}) / count(*) AS ratio FROM big_cloud JOIN proposals USING (shape_id) GROUP BY ALL",
-        "taken": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shape_id ORDER BY (ratio < {low_ratio})::INT, CASE WHEN ratio < {low_ratio} THEN -ratio ELSE 0 END, proposal) AS turn FROM ratios) WHERE turn = 1""",
-        "cropped": f"SELECT shape_id, point_id, x, y, z FROM big_cloud JOIN (SELECT * FROM taken JOIN proposals USING (shape_id, proposal)) USING (shape_id) WHERE {inside}",
+        "bounds3": f"SELECT {keys}, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM {cloud} GROUP BY ALL",
+        "proposals": f"SELECT {keys}, t AS proposal, {', '.join(axis)} FROM bounds3, range(20) AS g(t)",
+        "ratios": f"SELECT {keys}, proposal, count(*) FILTER (WHERE {inside}) / count(*) AS ratio FROM {cloud} JOIN proposals USING ({keys}) GROUP BY ALL",
+        "taken": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY (ratio < {low_ratio})::INT, CASE WHEN ratio < {low_ratio} THEN -ratio ELSE 0 END, proposal) AS turn FROM ratios) WHERE turn = 1""",
+        "cropped": f"SELECT {cloud}.* FROM {cloud} JOIN (SELECT * FROM taken JOIN proposals USING ({keys}, proposal)) USING ({keys}) WHERE {inside}",
     }
 
 
@@ -420,6 +433,41 @@ def mix_epoch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_epoch(views.mix(spark, sf_dir), SHARES, 3)
 
 
+_EPOCHS_SQL = f"""SELECT epoch, (first + turn)::BIGINT AS idx, source, item, reads, CASE WHEN val THEN '0' ELSE md5(concat_ws('|', '0', 'read', item, reads)) END AS draw, val
+    FROM (SELECT *, (((at_row - epoch * logical) % physical) + physical) % physical AS turn, (SELECT count(*) FROM range(5) AS h(past) WHERE past < epoch AND (((at_row - past * logical) % physical) + physical) % physical < logical) AS reads
+        FROM p JOIN m USING (source), range(5) AS g(epoch), (VALUES (true), (false)) AS v(val)) WHERE turn < logical"""
+
+
+@_query(f"""WITH m AS ({_MIX}), p AS (SELECT o_orderstatus AS source, o_orderkey AS item, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS at_row FROM orders), e AS ({_EPOCHS_SQL})
+    SELECT epoch::INT AS epoch, idx, source, item, reads, draw, val FROM e WHERE epoch >= 2""")
+def epoch_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeds for what epochs draw, by item and how often it has been read; of validation too."""
+    items = views.mix(spark, sf_dir)
+    both = [mixing.mix_epochs(items, SHARES, range(2, 5), validation=v).withColumn("val", F.lit(v)) for v in (False, True)]
+    return both[0].unionByName(both[1])
+
+
+#: A mixture of the scenes that shows two of the three an epoch.
+SCENES = {"scan": 0.67}
+
+
+@_query(_with("big_cloud",
+    m="SELECT 'scan' AS source, count(*) AS physical, floor(count(*) * 0.67)::BIGINT AS logical, 0 AS first FROM (SELECT DISTINCT shape_id FROM big_cloud)",
+    p="SELECT 'scan' AS source, shape_id AS item, row_number() OVER (ORDER BY shape_id) - 1 AS at_row FROM (SELECT DISTINCT shape_id FROM big_cloud)",
+    shown=_EPOCHS_SQL,
+    drawn="SELECT b.shape_id, x, y, z, epoch, reads, draw, val FROM big_cloud b JOIN shown ON item = b.shape_id WHERE epoch < 3",
+    **_random_boxes_sql(0.2, 0.5, 0.2, "drawn", "draw"),
+    body=f"SELECT epoch::INT AS epoch, shape_id, reads, val, count(*) AS n, {_r('sum(x)', 'total')} FROM cropped GROUP BY ALL"))
+def crop_by_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random crops of scenes that three epochs read: others at each read, but the same in validation."""
+    points = views.big_cloud(spark, sf_dir).select("shape_id", "x", "y", "z")
+    items = points.select(F.lit("scan").alias("source"), F.col("shape_id").alias("item")).distinct()
+    both = [mixing.mix_epochs(items, SCENES, range(3), validation=v).withColumn("val", F.lit(v)) for v in (False, True)]
+    shown = both[0].unionByName(both[1]).select(F.col("item").alias("shape_id"), "epoch", "reads", "draw", "val")
+    cut = crop.crop_random(ranks.with_group(points, shown, "shape_id"), 0.2, 0.5, 0.2, "draw")
+    return _out(cut.groupBy("epoch", "shape_id", "reads", "val").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total")))
+
+
 @_query("SELECT event_id AS batch_idx, event_type AS name FROM events WHERE event_id > 400 OR event_id IN (1, 5, 7)")
 def focus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = views.metric_log(spark, sf_dir).select(F.col("step").alias("batch_idx"), "name")
@@ -825,6 +873,55 @@ def npz_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(files.read_points(spark, "npz", paths, names=[names[files.stem(p)] for p in paths]).select("shape_id", "x", "y", "z", "nx", "ny", "nz", "sx", "sy", "sz", "r", "g", "b"))
 
 
+def _names(rows: DataFrame) -> dict[str, str]:
+    """Shapes by the name of their file, of which the list of files has one each as well."""
+    from .sources import files
+
+    return {files.file_name(r[0]): r[0] for r in rows.select("shape_id").where("shape_id is not null").distinct().collect()}
+
+
+@_query(_with("small_cloud", body=f"SELECT shape_id, row_number() OVER (PARTITION BY shape_id ORDER BY point_id) - 1 AS point_id, {', '.join(_r(c, c) for c in ('x', 'nz', 'b'))} FROM small_cloud"))
+def ply_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes written as ply files and read back by ranges of some 20 records, which number their points in the file."""
+    from .sources import files, storage
+
+    cloud, folder = views.small_cloud(spark, sf_dir), storage.shared_dir(spark, "ply")
+    files.write_ply(cloud, folder)
+    names, paths = _names(cloud), files.list_files(folder, ".ply")
+    return _out(files.read_points(spark, "ply", paths, names=[names[files.stem(p)] for p in paths], split_bytes=2000).select("shape_id", "point_id", "x", "nz", "b"))
+
+
+@_query(_with("small_cloud",
+    m="SELECT shape_id AS item, right(shape_id, 1) IN ('3', '7') AS lost FROM (SELECT DISTINCT shape_id FROM small_cloud)",
+    t="SELECT item, row_number() OVER (ORDER BY item) AS rank, count(*) OVER () AS n FROM m WHERE NOT lost",
+    d="SELECT item, item AS read FROM t UNION ALL SELECT m.item, t.item FROM m JOIN t ON t.rank = floor(" + _u(0, "substitute", "'all'", "m.item") + " * t.n)::BIGINT + 1 WHERE lost",
+    body=f"SELECT d.item AS shape_id, read, count(*) AS n, {_r('sum(c.x)', 'total')} FROM d JOIN small_cloud c ON c.shape_id = d.read GROUP BY ALL"))
+def fetch_substitutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes fetched from files of which those of labels that end in 3 are cut off and in 7 missing: others take their places."""
+    from .sources import files, storage
+
+    cloud, folder = views.small_cloud(spark, sf_dir), storage.shared_dir(spark, "fetch")
+    files.write_ply(cloud.where("right(shape_id, 1) <> '7'"), folder)
+    names = _names(cloud)
+    for name, shape in names.items():
+        if shape.endswith("3"):
+            files.write_bytes(f"{folder}/{name}.ply", files.read_bytes(f"{folder}/{name}.ply")[:-8])
+    rows = files.fetch(spark, "ply", [f"{folder}/{n}.ply" for n in names], list(names.values()), skip_on_error=True)
+    return _out(rows.groupBy("shape_id", "read").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total")))
+
+
+@_query(_with("small_cloud", triangles=_TRIANGLES, body=f"SELECT (face_id % 3)::INT AS batch, {', '.join(_r(f'{p}{a}', f'{c}{a}') for p, c in zip('pqr', 'abc', strict=True) for a in _AXES)} FROM triangles"))
+def mesh_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meshes written as artifacts mesh/<batch>.ply of vertices and faces, and read back."""
+    from .sources import files, storage
+
+    folder = storage.shared_dir(spark, "artifacts")
+    rows = _triangles(spark, sf_dir).drop("shape_id").withColumns({"key": F.lit("mesh"), "batch_idx": F.col("face_id") % 3})
+    files.write_artifacts(rows, folder, "mesh")
+    back = files.read_meshes(spark, files.list_files(folder, ".ply", nested=True), kind="ply")
+    return _out(back.select(F.col("shape_id").cast("int").alias("batch"), *(f"{c}{a}" for c in "abc" for a in "xyz")))
+
+
 @_query(_with("volume", body=f"SELECT shape_id, i::INT AS i, j::INT AS j, k::INT AS k, {_r('val')}, 0.0::DOUBLE AS min_x, 1.0::DOUBLE AS max_z FROM volume"))
 def geometry_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volumes written beside points in geometry files under the shared folder, and read back."""

@@ -340,3 +340,43 @@ def test_records_move_together(spark):
     for wrong in (lambda: records.rotate_axis(records.Record(one, geometry=other), "z", 0, 9), lambda: records.crop_box(records.Record(one, gt=other), (0,) * 3, (1,) * 3), lambda: records.Record(one, volume=cells), lambda: records.compose([{"name": "None"}])):
         with pytest.raises(ValueError):
             wrong()
+
+
+def test_boxes_of_any_size(spark):
+    """Sides from 1 to 10^4, flat, far, empty and unlimited ones: brute force's points, and few cells a box."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    at = rng.random((400, 3)) * 10_000
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)] + [(400, math.nan, 1.0, 1.0), (401, None, 1.0, 1.0)], "point_id long, x double, y double, z double")
+    boxes = []
+    for i in range(40):
+        half = np.array([10.0 ** (i % 5)] * 3) / 2
+        middle = at[i] + half * 0.5
+        if i % 4 == 3:
+            half[i % 3] = 5000
+        boxes.append((i, *map(float, middle - half), *map(float, middle + half)))
+    inf = math.inf
+    boxes += [(40, -inf, -inf, -inf, inf, inf, inf), (41, 5.0, 0.0, 0.0, 5.0, 1e4, 1e4), (42, 9.0, 0.0, 0.0, 1.0, 1e4, 1e4), (43, math.nan, 0.0, 0.0, 1e4, 1e4, 1e4), (44, None, 0.0, 0.0, 1e4, 1e4, 1e4), (45, 0.0, 0.0, 0.0, math.nan, 1e4, 1e4), (46, 5e3, -inf, 0.0, inf, inf, inf), (47, 1e17, 0.0, 0.0, 1e17 + 64, 1.0, 1.0), (0, 0.0, 0.0, 0.0, 1e4, 1e4, 1e4)]
+    table = spark.createDataFrame(boxes, "box_id int, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double")
+    want = sorted((b[0], i) for b in boxes if None not in b for i, p in enumerate(at) if all(b[1 + k] < p[k] < b[4 + k] for k in range(3)))
+    found = crop.crop_boxes(points, table)
+    assert sorted((r.box_id, r.point_id) for r in found.collect()) == want and found.columns == ["box_id", "point_id", "x", "y", "z"]
+    assert crop.crop_boxes(points, table.limit(0)).count() == 0 and crop.crop_boxes(points.limit(0), table).count() == 0
+    far = points.selectExpr("point_id", "x + 1e17 x", "y", "z")
+    assert crop.crop_boxes(far, table.where("box_id = 47")).count() == 0
+
+
+def test_draws_by_read(spark):
+    """An item's draw changes with each epoch that reads it, and with nothing else; in validation it doesn't."""
+    items = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 9)], "source string, item int")
+    rows = mixing.mix_epochs(items, {"a": 0.6}, range(4)).collect()
+    seen = {}
+    for r in sorted(rows, key=lambda r: r.epoch):
+        assert r.reads == seen.get((r.source, r.item), 0)
+        seen[r.source, r.item] = r.reads + 1
+    assert len(rows) == 16 and len({r.draw for r in rows}) == 16 and seen["b", 9] == 4
+    again = mixing.mix_epochs(items, {"a": 0.6}, [3]).collect()
+    assert {(r.item, r.draw) for r in again} == {(r.item, r.draw) for r in rows if r.epoch == 3}
+    assert {r.draw for r in mixing.mix_epochs(items, {}, range(2), 7, validation=True).collect()} == {"7"}
+    assert sorted(map(tuple, mixing.mix_epoch(items, {"a": 0.6}, 3).collect())) == sorted((r.idx, r.source, r.item) for r in again)
