@@ -6,10 +6,15 @@ than a leaf's points is cut into 64 by its own bounds, so a far point, shapes fa
 only cost another level. Leaves of queries then go down the tree of references together: of the nodes that a
 leaf may need, those whose farthest corners hold k references bound the k-th distance, and nodes that begin
 beyond it are left out. grid() has cells of a given size instead. Ties go to the smaller ref_id.
+
+Hits within a radius go down the same tree: a node that lies within the radius altogether adds its count, and only
+points of leaves that the sphere's surface runs through are compared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,15 +109,15 @@ NODE = ("side", "shape_id", "path")
 _BOX = [f"{end}_{a}" for end in ("min", "max") for a in AXES]
 
 
-def _tree(points: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Points (side, shape_id, x, y, z, ...) with the path of their leaf, and all nodes: side, shape_id, path, n, leaf and bounds.
+def _tree(points: DataFrame, most: int, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """Points (side, shape_id, x, y, z, ...) with the path of their leaf, and all nodes: side, shape_id, path, n, leaf, bounds and `more` aggregates.
 
     A path has one character a level. A node of more than `most` points is cut by its own bounds, whose ends fall into
     different parts, so each round gets further unless more than `most` points lie at one place, which then is a leaf.
     """
     left, placed, nodes = points.withColumn("path", F.lit("")), None, None
     while True:
-        boxes = left.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n"), *(f(a).alias(f"{end}_{a}") for end, f in (("min", F.min), ("max", F.max)) for a in AXES))
+        boxes = left.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n"), *(f(a).alias(f"{end}_{a}") for end, f in (("min", F.min), ("max", F.max)) for a in AXES), *more)
         wide = F.lit(False)
         for a in AXES:
             wide = wide | (F.col(f"max_{a}") > F.col(f"min_{a}"))
@@ -142,10 +147,18 @@ def _least_distance(low, high, metric: str) -> Column:
     return _sum([F.greatest(F.lit(0.0), F.col(f"min_{a}") - high(a), low(a) - F.col(f"max_{a}")) for a in AXES], metric)
 
 
+def _most_distance(low, high, metric: str) -> Column:
+    """As _least_distance(), to the farthest corner; never less than the distance of two points in them."""
+    return _sum([F.greatest(high(a) - F.col(f"min_{a}"), F.col(f"max_{a}") - low(a)) for a in AXES], metric)
+
+
+#: Ends of the boxes of leaves of queries, for the two distances.
+LEAF_BOX = (lambda a: F.col(f"q_min_{a}"), lambda a: F.col(f"q_max_{a}"))
+
+
 def _reached(front: DataFrame, k: int, metric: str) -> DataFrame:
     """Pairs of a leaf of queries (q_path, q_min_*, q_max_*) and a node of references that can hold one of the k nearest of its queries."""
-    far = _sum([F.greatest(F.col(f"q_max_{a}") - F.col(f"min_{a}"), F.col(f"max_{a}") - F.col(f"q_min_{a}")) for a in AXES], metric)
-    near = _least_distance(lambda a: F.col(f"q_min_{a}"), lambda a: F.col(f"q_max_{a}"), metric)
+    far, near = _most_distance(*LEAF_BOX, metric), _least_distance(*LEAF_BOX, metric)
     leaf = Window.partitionBy("shape_id", "q_path")
     held = F.sum("n").over(leaf.orderBy("_far", "path").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     front = front.withColumns({"_far": far, "_near": near}).withColumn("_held", held)
@@ -154,17 +167,38 @@ def _reached(front: DataFrame, k: int, metric: str) -> DataFrame:
     return front.where(F.col("_near") <= F.col("bound")).drop("_far", "_near", "_held")
 
 
-def candidates(queries: DataFrame, refs: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """Pairs of queries and references with d2, the k nearest of each query among them, whatever the points' density."""
+def _sides(queries: DataFrame, refs: DataFrame) -> DataFrame:
+    """Both as points of one table: side, shape_id, x, y, z, and the row as query or ref."""
     q = queries.select(F.lit("q").alias("side"), "shape_id", *(F.col(f"q{a}").alias(a) for a in AXES), F.struct("*").alias("query"), F.lit(None).cast(_struct(refs)).alias("ref"))
-    r = _apart(refs, k)
-    r = r.select(F.lit("r").alias("side"), "shape_id", *(F.col(f"r{a}").alias(a) for a in AXES), F.lit(None).cast(_struct(queries)).alias("query"), F.struct("*").alias("ref"))
-    placed, nodes = _tree(q.unionByName(r), max(LEAF, k))
+    return q.unionByName(refs.select(F.lit("r").alias("side"), "shape_id", *(F.col(f"r{a}").alias(a) for a in AXES), F.lit(None).cast(_struct(queries)).alias("query"), F.struct("*").alias("ref")))
+
+
+def _fronts(nodes: DataFrame, *more: str) -> tuple[DataFrame, Callable[[DataFrame, int], DataFrame]]:
+    """Leaves of queries beside the root of their shape's references, and a step from pairs with nodes that are cut to pairs with their parts.
+
+    `more` are columns of nodes that pairs have, too; all other columns of the pairs are carried along.
+    """
     asked = nodes.where("leaf and side = 'q'").select("shape_id", F.col("path").alias("q_path"), *(F.col(c).alias(f"q_{c}") for c in _BOX))
-    tree = nodes.where("side = 'r'").select("shape_id", "path", "n", "leaf", *_BOX)
-    kids = tree.where("path <> ''").withColumn("_parent", F.expr("substring(path, 1, length(path) - 1)"))
-    front = with_group(asked, tree.where("path = ''"), "shape_id").withColumn("bound", F.lit(float("inf")))
-    settled, level = None, 0
+    told = ("path", "n", "leaf", *more, *_BOX)
+    tree = nodes.where("side = 'r'").select("shape_id", *told)
+    kids = tree.where("path <> ''").withColumn("_of", F.expr("substring(path, 1, length(path) - 1)"))
+
+    def down(cut: DataFrame, level: int) -> DataFrame:
+        above = cut.select(F.col("path").alias("_of"), *(c for c in cut.columns if c not in told))
+        return with_group(above, kids.where(F.length("path") == level), "shape_id", "_of").select(*cut.columns)
+
+    return with_group(asked, tree.where("path = ''"), "shape_id"), down
+
+
+def _at(a: str) -> Column:
+    return F.col(f"query.q{a}")
+
+
+def candidates(queries: DataFrame, refs: DataFrame, k: int, metric: str = "l2", bound: float = float("inf")) -> DataFrame:
+    """Pairs of queries and references with d2, the k nearest of each query up to `bound` among them, whatever the points' density."""
+    placed, nodes = _tree(_sides(queries, _apart(refs, k)), max(LEAF, k))
+    front, down = _fronts(nodes)
+    front, level = front.withColumn("bound", F.lit(float(bound))), 0
     while True:
         front = checkpointed(_reached(front, k, metric))
         # Pairs with leaves of other levels stay for the last step; the nodes that are cut go on as their parts, with the bound so far.
@@ -172,17 +206,56 @@ def candidates(queries: DataFrame, refs: DataFrame, k: int, metric: str = "l2")
         if cut.isEmpty():
             break
         level += 1
-        parts = kids.where(F.length("path") == level).withColumnRenamed("_parent", "_of")
-        cut = cut.select("shape_id", F.col("path").alias("_of"), "q_path", "bound", *(f"q_{c}" for c in _BOX))
-        front = done.unionByName(with_group(cut, parts, "shape_id", "_of").select(*done.columns))
+        front = done.unionByName(down(cut, level))
     pairs = placed.where("side = 'q'").select("shape_id", F.col("path").alias("q_path"), "query").join(front.select("shape_id", "q_path", "path", "bound", *_BOX), ["shape_id", "q_path"])
-    at = lambda a: F.col(f"query.q{a}")
-    pairs = pairs.where(_least_distance(at, at, metric) <= F.col("bound")).select("shape_id", "path", "query")
+    pairs = pairs.where(_least_distance(_at, _at, metric) <= F.col("bound")).select("shape_id", "path", "query")
     pairs = pairs.join(placed.where("side = 'r'").select("shape_id", "path", "ref"), ["shape_id", "path"])
     more = [c for c in refs.columns if c != "shape_id"]
     return pairs.select("query.*", *(F.col(f"ref.{c}").alias(c) for c in more)).withColumn("d2", distance2(metric))
 
 
+def _places(refs: DataFrame) -> DataFrame:
+    """A row a place, with the number of references that are there."""
+    return refs.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("_here"))
+
+
+def within(queries: DataFrame, refs: DataFrame, r: float, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Hits of queries strictly within r, in two tables: sure (shape_id, query_id, hits), of nodes that lie within it altogether, and pairs
+    of queries and places (_here references, d2) for which that had to be looked at.
+
+    Pairs a query grow as the surface of the sphere, in leaves, does: with the cloud's density to the power of two thirds at most.
+    Leaves of queries that are known to have `most` hits don't go on.
+    """
+    placed, nodes = _tree(_sides(queries, _places(refs)), LEAF, F.sum("ref._here").alias("held"))
+    front, down = _fronts(nodes, "held")
+    front, leaf = front.withColumn("known", F.lit(0).cast("long")), Window.partitionBy("shape_id", "q_path")
+    whole, border, level = None, None, 0
+    while True:
+        front = front.withColumns({"_near": _least_distance(*LEAF_BOX, "l2"), "_inside": _most_distance(*LEAF_BOX, "l2") < r * r}).where(F.col("_near") < r * r)
+        front = front.withColumn("known", F.col("known") + F.coalesce(F.sum(F.when(F.col("_inside"), F.col("held"))).over(leaf), F.lit(0)))
+        front = checkpointed(front.drop("_near"))
+        inside, rest = front.where("_inside").select("shape_id", "q_path", "held"), front.where(~F.col("_inside")).drop("_inside")
+        if most is not None:
+            rest = rest.where(F.col("known") < most)
+        done, cut = rest.where("leaf"), rest.where(~F.col("leaf"))
+        whole, border = (inside, done) if whole is None else (whole.unionByName(inside), border.unionByName(done))
+        if cut.isEmpty():
+            break
+        level += 1
+        front = down(cut, level)
+    whole = checkpointed(whole.groupBy("shape_id", "q_path").agg(F.sum("held").alias("hits")))
+    border = border.select("shape_id", "q_path", "path", "held", *_BOX)
+    if most is not None:
+        border = border.join(whole.where(F.col("hits") >= most).select("shape_id", "q_path"), ["shape_id", "q_path"], "left_anti")
+    asked = placed.where("side = 'q'").select("shape_id", F.col("path").alias("q_path"), "query")
+    # A query's own place may have a leaf inside that its leaf's box has not.
+    met = asked.join(border, ["shape_id", "q_path"]).where(_least_distance(_at, _at, "l2") < r * r).withColumn("_inside", _most_distance(_at, _at, "l2") < r * r)
+    met = checkpointed(met.select("shape_id", "path", "query", "held", "_inside"))
+    sure = asked.join(whole, ["shape_id", "q_path"]).select("shape_id", "query.query_id", "hits").unionByName(met.where("_inside").select("shape_id", "query.query_id", F.col("held").alias("hits")))
+    pairs = met.where(~F.col("_inside")).join(placed.where("side = 'r'").select("shape_id", "path", "ref"), ["shape_id", "path"])
+    return sure, pairs.select("query.*", *(F.col(f"ref.{c}").alias(c) for c in (*PLACE[1:], "_here"))).withColumn("d2", distance2())
+
+
 def _struct(df: DataFrame) -> str:
     return df.schema.simpleString()
 
@@ -192,6 +265,12 @@ def adaptive(queries: DataFrame, refs: DataFrame, k: int, metric: str = "l2") ->
     return _nearest(candidates(queries, refs, k, metric), k)
 
 
+def _largest(queries: DataFrame, refs: DataFrame) -> int:
+    """The most pairs of queries and references that a shape has."""
+    counts = queries.groupBy("shape_id").agg(F.count(F.lit(1)).alias("_q")).join(refs.groupBy("shape_id").agg(F.count(F.lit(1)).alias("_r")), "shape_id")
+    return counts.agg(F.max(F.col("_q") * F.col("_r"))).first()[0] or 0
+
+
 def knn(queries: DataFrame, refs: DataFrame, k: int, size: float | None = None, metric: str = "l2") -> DataFrame:
     """Rows of queries (as_queries) with their k nearest of refs (as_refs): d2 and rank from 1 besides all columns of both.
 
@@ -199,36 +278,53 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, size: float | None = None,
     Shapes of more than DIRECT_PAIRS pairs go through adaptive(), or over a grid of cells of `size` where that is given.
     """
     queries, refs = finite(queries, "q"), finite(refs, "r")
-    counts = queries.groupBy("shape_id").agg(F.count(F.lit(1)).alias("_q")).join(refs.groupBy("shape_id").agg(F.count(F.lit(1)).alias("_r")), "shape_id")
-    most = counts.agg(F.max(F.col("_q") * F.col("_r"))).first()[0]
-    if (most or 0) <= DIRECT_PAIRS:
+    if _largest(queries, refs) <= DIRECT_PAIRS:
         return direct(queries, refs, k, metric)
     return adaptive(queries, refs, k, metric) if size is None else grid(queries, refs, k, size, metric)
 
 
-def radius(queries: DataFrame, refs: DataFrame, r: float, most: int) -> DataFrame:
-    """At most `most` nearest references strictly within r of each query, with d2, rank and hits, the number of all within r."""
-    places = refs.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("_here"), F.min("ref_id").alias("_first"))
-    celled, near = _apart(refs, most).join(places, list(PLACE)), queries
+def _hits(sure: DataFrame, pairs: DataFrame, r: float) -> DataFrame:
+    """shape_id, query_id, hits of queries with any, from the tables of within()."""
+    seen = pairs.where(F.col("d2") < r * r).select("shape_id", "query_id", F.col("_here").alias("hits"))
+    return sure.unionByName(seen).groupBy("shape_id", "query_id").agg(F.sum("hits").alias("hits"))
+
+
+def _by_cells(queries: DataFrame, refs: DataFrame, r: float) -> DataFrame:
+    """Pairs strictly within r, by cells of that size: for shapes of bounded size."""
+    celled, near = refs, queries
     for a, c in zip(AXES, CELLS, strict=True):
         celled = celled.withColumn(c, F.floor(F.col(f"r{a}") / r))
         at = F.floor(F.col(f"q{a}") / r)
         near = near.withColumn(c, F.explode(F.sequence(at - 1, at + 1)))
-    pairs = near.join(celled, ["shape_id", *CELLS]).drop(*CELLS).withColumn("d2", distance2()).where(F.col("d2") < r * r)
+    return near.join(celled, ["shape_id", *CELLS]).drop(*CELLS).withColumn("d2", distance2()).where(F.col("d2") < r * r)
+
+
+def radius(queries: DataFrame, refs: DataFrame, r: float, most: int) -> DataFrame:
+    """At most `most` nearest references strictly within r of each query, with d2, rank and hits, the number of all within r.
+
+    Points without a place take no part. Shapes of more than DIRECT_PAIRS pairs go through trees, in which hits are counted by whole nodes.
+    """
+    queries, refs = finite(queries, "q"), finite(refs, "r")
+    if _largest(queries, refs) > DIRECT_PAIRS:
+        found = _nearest(candidates(queries, refs, most, bound=r * r).where(F.col("d2") < r * r), most)
+        return found.join(_hits(*within(queries, refs, r), r), ["shape_id", "query_id"])
+    places = refs.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("_here"), F.min("ref_id").alias("_first"))
+    pairs = _by_cells(queries, _apart(refs, most).join(places, list(PLACE)), r)
     whole = Window.partitionBy("shape_id", "query_id")
     hits = F.sum(F.when(F.col("ref_id") == F.col("_first"), F.col("_here")).otherwise(0)).over(whole)
     return _nearest(pairs.withColumn("hits", hits).drop("_here", "_first"), most)
 
 
 def radius_count(queries: DataFrame, refs: DataFrame, r: float, most: int) -> DataFrame:
-    """hits: references strictly within r of each query, at most `most`; queries without any have 0."""
-    celled, near = refs.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("_here")), queries  # a place is met once, however many are there
-    for a, c in zip(AXES, CELLS, strict=True):
-        celled = celled.withColumn(c, F.floor(F.col(f"r{a}") / r))
-        at = F.floor(F.col(f"q{a}") / r)
-        near = near.withColumn(c, F.explode(F.sequence(at - 1, at + 1)))
-    hits = near.join(celled, ["shape_id", *CELLS]).where(distance2() < r * r).groupBy("shape_id", "query_id").agg(F.sum("_here").alias("hits"))
-    return queries.select("shape_id", "query_id").join(hits, ["shape_id", "query_id"], "left").select("shape_id", "query_id", F.least(F.coalesce("hits", F.lit(0)), F.lit(most)).cast("long").alias("hits"))
+    """hits: references strictly within r of each query, at most `most`; queries without any, or without a place, have 0."""
+    asked, refs = finite(queries, "q"), finite(refs, "r")
+    if _largest(asked, refs) > DIRECT_PAIRS:
+        sure, pairs = within(asked, refs, r, most)
+    else:
+        pairs = _by_cells(asked, _places(refs), r)
+        sure = pairs.where(F.lit(False)).select("shape_id", "query_id", F.col("_here").alias("hits"))
+    hits = F.least(F.coalesce("hits", F.lit(0)), F.lit(most)).cast("long").alias("hits")
+    return queries.select("shape_id", "query_id").join(_hits(sure, pairs, r), ["shape_id", "query_id"], "left").select("shape_id", "query_id", hits)
 
 
 def spacing(points: DataFrame, k: int) -> DataFrame:

@@ -291,6 +291,30 @@ def test_points_without_a_place_have_no_neighbours(spark, monkeypatch):
         assert len(found) == 90 and max(r.query_id for r in found) == max(r.ref_id for r in found) == 29
 
 
+def test_hits_are_counted_by_whole_nodes(spark, monkeypatch):
+    """The same hits as all pairs give, by both ways; comparisons a hit fall as the cloud gets denser."""
+    rows = [x for x in layouts(300) if x[0] in ("cube", "far", "plane", "places")] + [("cube", 1000, float("nan"), 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "shape_id string, point_id long, x double, y double, z double")
+    q, r = knn.as_queries(points.where("point_id % 3 > 0")), knn.as_refs(points)
+    pairs = knn.direct(knn.finite(q, "q"), knn.finite(r, "r"), 10**6).where("d2 < 0.16")
+    true = {(x.shape_id, x.query_id): x.n for x in pairs.groupBy("shape_id", "query_id").agg(F.count("*").alias("n")).collect()}
+    asked = {(x.shape_id, x.query_id) for x in q.collect()}
+    for most in (10**6, 0):
+        monkeypatch.setattr(knn, "DIRECT_PAIRS", most)
+        for top in (25, 10**6):
+            assert {(x.shape_id, x.query_id): x.hits for x in knn.radius_count(q, r, 0.4, top).collect()} == {k: min(true.get(k, 0), top) for k in asked}
+        found = knn.radius(q, r, 0.4, 3).collect()
+        assert {(x.shape_id, x.query_id): x.hits for x in found} == true
+        assert {(x.shape_id, x.query_id, x["rank"], x.ref_id) for x in found} == {(x.shape_id, x.query_id, x["rank"], x.ref_id) for x in pairs.where("rank <= 3").collect()}
+    shares, gen = [], np.random.default_rng(3)
+    for n in (500, 4000):
+        dense = spark.createDataFrame([("a", i, *map(float, p)) for i, p in enumerate(gen.random((n, 3)))], "shape_id string, point_id long, x double, y double, z double")
+        sure, looked = knn.within(knn.as_queries(dense.where("point_id < 200")), knn.as_refs(dense), 0.4)
+        hits = sum(x.hits for x in knn._hits(sure, looked, 0.4).collect())
+        shares.append(looked.count() / hits)
+    assert shares[1] < 0.75 * shares[0]
+
+
 def test_normals_far_from_the_origin(spark):
     """A thin patch at coordinates as map grids have them gives the normals that it has at the origin."""
     rng = np.random.default_rng(6)
