@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import rng, vec
 from .functions.vec import Vec
 from .operators import affine, crop, knn, mesh, metrics, mixing, normals, ranks, report, sampling, sdf, volume
-from .plans import records
+from .plans import chunks, records
 from .sources import views
 
 #: Common table expressions of the views, by name, each with those that it needs.
@@ -523,6 +523,27 @@ def radius_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.radius_count(knn.as_queries(views.pred(spark, sf_dir)), knn.as_refs(views.gt(spark, sf_dir)), 0.15, 6)
 
 
+@_query(_with("big_cloud", cells=_CELLS(0.1, "big_cloud"), spots="SELECT shape_id, i * 10000 + j * 100 + k AS query_id, (i + 0.5::DOUBLE) * 0.1::DOUBLE AS x, (j + 0.5::DOUBLE) * 0.1::DOUBLE AS y, (k + 0.5::DOUBLE) * 0.1::DOUBLE AS z FROM cells",
+    hit="SELECT q.shape_id, q.query_id, count(*) AS n FROM spots q JOIN big_cloud r ON q.shape_id = r.shape_id WHERE (q.x - r.x) * (q.x - r.x) + (q.y - r.y) * (q.y - r.y) + (q.z - r.z) * (q.z - r.z) < 0.3 * 0.3 GROUP BY ALL",
+    body="SELECT shape_id, query_id, least(coalesce(n, 0), 1000000) AS hits FROM spots LEFT JOIN hit USING (shape_id, query_id)"))
+def radius_count_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many points of a scene lie around the middle of each of its cells: large shapes, counted by whole nodes."""
+    cloud = views.big_cloud(spark, sf_dir).select("shape_id", "point_id", "x", "y", "z")
+    spots = volume.centres(sampling.voxels(cloud, 0.1), 0.1).withColumn("point_id", (F.col("i") * 10000 + F.col("j") * 100 + F.col("k")).cast("long"))
+    return knn.radius_count(knn.as_queries(spots), knn.as_refs(cloud), 0.3, 1_000_000)
+
+
+_ROOM = "least(" + ", ".join(f"q{a} - (floor(q{a} / 0.25) * 0.25 - 0.2), floor(q{a} / 0.25) * 0.25 + 0.45 - q{a}" for a in "xyz") + ")"
+
+
+@_query(_with("small_cloud", near=_knn(4), body=f"""SELECT shape_id, point_id, whole, CASE WHEN whole THEN {_r('mean')[:-8]} END AS spacing FROM (SELECT n.shape_id, query_id AS point_id, avg(sqrt(d2)) AS mean, count(*) = 4 AND sqrt(max(d2)) < any_value({_ROOM}) AS whole
+    FROM near n JOIN (SELECT shape_id, point_id AS query_id, x AS qx, y AS qy, z AS qz FROM small_cloud) USING (shape_id, query_id) GROUP BY ALL)"""))
+def spacing_by_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spacing found by overlapping chunks, where these hold all the nearest of a point; the SQL looks at whole shapes."""
+    found = chunks.neighbourhoods(views.small_cloud(spark, sf_dir), 4, 0.25, 0.2)
+    return _out(found.select("shape_id", "point_id", "whole", F.when(F.col("whole"), F.col("spacing")).alias("spacing")))
+
+
 @_query(_with("pred", "gt", body=f"""SELECT shape_id, query_id, ref_id, {_r('d', 'l1')} FROM (SELECT q.shape_id, q.point_id AS query_id, r.point_id AS ref_id, abs(q.x - r.x) + abs(q.y - r.y) + abs(q.z - r.z) AS d,
     row_number() OVER (PARTITION BY q.shape_id, q.point_id ORDER BY d, r.point_id) AS n FROM pred q JOIN gt r USING (shape_id)) WHERE n <= 3"""))
 def knn_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -786,13 +807,13 @@ def learning_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_with("small_cloud", body=f"""SELECT point_id, {_r('x * nx + y * ny + z * nz', 'dot')}, {_r('sqrt(x * x + y * y + z * z)', 'norm')}, {_r('y * nz - z * ny', 'cross_x')}, {_r('x / sqrt(x * x + y * y + z * z)', 'unit_x')},
     {_r('x - nx * ((nx * x + ny * y + nz * z) * 2)', 'reflect_x')}, {_r('-x', 'minus')}, {_r('x + nx', 'plus')}, {_r('x - nx', 'less')}, {_r('x * nx', 'times')}, {_r('x / nx', 'over')}, {_r('least(x, nx)', 'low')}, {_r('greatest(x, nx)', 'high')}, {_r('x + 0.25 * (y - x)', 'mixed')},
     {_r('greatest(-0.05, least(x, 0.05))', 'clamped')}, {_r('x * 10 - floor(x * 10)', 'part')}, (CASE WHEN x > 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS sign, {_r('abs(x)', 'size')},
-    {_r('greatest(0.0, least((x + 0.1) / 0.2, 1.0)) * greatest(0.0, least((x + 0.1) / 0.2, 1.0)) * (3 - 2 * greatest(0.0, least((x + 0.1) / 0.2, 1.0)))', 'smooth')}, floor(x)::BIGINT AS below FROM small_cloud"""))
+    {_r('greatest(0.0, least((x + 0.1) / 0.2, 1.0)) * greatest(0.0, least((x + 0.1) / 0.2, 1.0)) * (3 - 2 * greatest(0.0, least((x + 0.1) / 0.2, 1.0)))', 'smooth')}, floor(x)::BIGINT AS below, {_r('(x * 10) % 0.3::DOUBLE', 'rest')} FROM small_cloud"""))
 def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, n = Vec.of(), Vec.of("n")
     out = {
         "dot": p.dot(n), "norm": p.norm(), "cross_x": p.cross(n).x, "unit_x": p.unit().x, "reflect_x": p.reflect(n).x, "minus": (-p).x, "plus": (p + n).x, "less": (p - n).x, "times": (p * n).x, "over": (p / n).x,
         "low": p.least(n).x, "high": p.greatest(n).x, "mixed": vec.lerp("x", "y", 0.25), "clamped": vec.clamp("x", -0.05, 0.05), "part": vec.frac(F.col("x") * 10.0), "sign": vec.sign("x"), "size": p.map(F.abs).x,
-        "smooth": vec.smoothstep(-0.1, 0.1, "x"), "below": p.map(F.floor).x,
+        "smooth": vec.smoothstep(-0.1, 0.1, "x"), "below": p.map(F.floor).x, "rest": vec.fmod(F.col("x") * 10.0, F.lit(0.3)),
     }
     return _out(views.small_cloud(spark, sf_dir).select("point_id", *(c.alias(k) for k, c in out.items())))
 
@@ -934,6 +955,27 @@ def geometry_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(files.read_volumes(spark, files.list_files(folder, ".npz")).select("shape_id", "i", "j", "k", "val", "min_x", "max_z"))
 
 
+_TOLD = "SELECT event_id // 100 AS step, event_type AS name, value, event_id // 100 % 4 AS part FROM events"
+
+
+def _last_of(name: str) -> str:
+    """A metric of the frame in SQL: as the last run that has the step knows it."""
+    runs = [("part = 3", "('view')"), ("part IN (1, 2)", "('signup', 'error')"), ("part = 0", "('click', 'error')")]
+    return _r("CASE " + " ".join(f"WHEN {which} THEN avg(value) FILTER (WHERE name = '{name}' AND name IN {known})" for which, known in runs) + " END", name)
+
+
+@_query(f"WITH told AS ({_TOLD}) SELECT step, {', '.join(map(_last_of, ('click', 'error', 'signup', 'view')))} FROM told GROUP BY step, part")
+def loss_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs with different metrics appended to one frame; the second repeats some steps of the first."""
+    from .sources import frames, storage
+
+    folder = storage.shared_dir(spark, "frame")
+    log = views.metric_log(spark, sf_dir).withColumn("step", F.floor(F.col("step") / 100))
+    for parts, names in (((0, 1), ("click", "error")), ((1, 2), ("signup", "error")), ((3,), ("view",))):
+        frames.append_run(log.where((F.col("step") % 4).isin(*parts) & F.col("name").isin(*names)), folder)
+    return _out(frames.read_frame(spark, folder))
+
+
 @_query("SELECT event_id::VARCHAR AS \"batch-idx\", coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END, '-') AS name, '-' AS absent FROM events")
 def results_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The results of result_rows written as csv files under the shared folder, and read back."""
@@ -950,12 +992,13 @@ def item_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.ordered(views.manifest(spark, sf_dir).select("item"), shuffled=True).select(F.col("idx").cast("long").alias("idx"), "item")
 
 
-@_query("SELECT event_type AS name, count(*) AS n, CASE WHEN arg_min(event_id % 2, event_id) = 0 THEN 'NOT-NUMERIC' ELSE 'number' END AS shown FROM events WHERE event_id % 5 <> 0 GROUP BY 1")
+@_query(f"SELECT name, n, CASE WHEN word THEN 'NOT-NUMERIC' ELSE 'number' END AS shown, CASE WHEN NOT word THEN {_r('mean')[:-8]} END AS mean FROM (SELECT event_type AS name, count(*) AS n, arg_min(event_id % 7, event_id) = 0 AS word, avg(value) FILTER (WHERE event_id % 7 <> 0) AS mean FROM events WHERE event_id % 5 <> 0 GROUP BY 1)")
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics whose first value is a word have no mean; what the mean of the others is, log_summary has."""
-    log = views.metric_log(spark, sf_dir).select("step", "name", F.when(F.col("step") % 5 == 0, None).when(F.col("step") % 2 == 0, "word").otherwise(F.col("value").cast("string")).alias("value"))
+    """Means of metrics, but for those whose first value is a word; later words don't count."""
+    log = views.metric_log(spark, sf_dir).select("step", "name", F.when(F.col("step") % 5 == 0, None).when(F.col("step") % 7 == 0, "word").otherwise(F.col("value").cast("string")).alias("value"))
     told = report.summary_lines(log)
-    return told.select("name", "n", F.when(F.col("shown") == "NOT-NUMERIC", F.col("shown")).otherwise("number").alias("shown"))
+    word = F.col("shown") == "NOT-NUMERIC"
+    return _out(told.select("name", "n", F.when(word, F.col("shown")).otherwise("number").alias("shown"), F.expr("try_cast(shown as double)").alias("mean")))
 
 
 @_query(_with("small_cloud", body=f"SELECT shape_id, point_id, {_r('0.6', 'nx')}, {_r('0.0', 'ny')}, {_r('0.8', 'nz')} FROM small_cloud"))

@@ -4,9 +4,10 @@ import struct
 
 import numpy as np
 import pytest
-from cumulo.sources import files, views
+from cumulo.sources import files, frames, views
 from cumulo.streaming.metric_stream import read_log, windowed_means
 from datadir import DATA
+from pyspark.sql import functions as F
 
 
 def test_npz(spark, tmp_path):
@@ -303,3 +304,27 @@ def test_meshes_and_artifacts_round_trip(spark, tmp_path):
     out = files.ply_mesh_columns(quad, {"ax", "bx", "cx"})
     assert list(zip(out["ax"], out["bx"], out["cx"])) == [(0, 1, 2), (0, 2, 3), (3, 2, 1)]
     assert len(files.ply_mesh_columns(files.ply_bytes({a: np.arange(4.0) for a in "xyz"}), {"ax"})["ax"]) == 0
+
+
+def test_a_frame_that_grows(spark, tmp_path):
+    """Appended runs with other metrics: one header that only grows at its end, later runs over earlier ones, unfinished runs left out."""
+    folder = f"file://{tmp_path}/frame"
+    log = lambda rows: spark.createDataFrame(rows, "step long, name string, value double")
+    assert frames.header(spark, folder) == []
+    with pytest.raises(ValueError):
+        frames.read_frame(spark, folder)
+    assert frames.append_run(log([(1, "Loss", 1.0), (1, "b.c", 2.0), (2, "Loss", 3.0), (2, "Loss", 5.0), (2, None, 7.0)]), folder) == ["step", "Loss", "b.c"]
+    assert frames.append_run(log([(2, "a", 6.0), (3, "a", 7.0)]), folder) == ["step", "Loss", "b.c", "a"]
+    broken = tmp_path / "frame" / "run=000002"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"cut")
+    assert frames.append_run(log([(3, "Loss", 8.0), (4, "d e", 9.0)]), folder) == ["step", "Loss", "b.c", "a", "d e"] == frames.header(spark, folder)
+    assert (tmp_path / "frame" / "run=000003").exists()
+    rows = frames.read_frame(spark, folder)
+    assert rows.columns == ["step", "Loss", "b.c", "a", "d e"]
+    assert sorted(map(tuple, rows.collect())) == [(1, 1.0, 2.0, None, None), (2, None, None, 6.0, None), (3, 8.0, None, None, None), (4, None, None, None, 9.0)]
+    assert frames.append_run(log([]), folder) == ["step", "Loss", "b.c", "a", "d e"] and frames.read_frame(spark, folder).count() == 4
+    with pytest.raises(ValueError):
+        frames.append_run(log([(1, "step", 1.0)]), folder)
+    with pytest.raises(ValueError):
+        frames.append_run(log([(1, "Loss", 1.0)]).withColumn("step", F.col("step").cast("string")), folder)

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from cumulo.operators import affine, crop, knn, metrics, mixing, normals, report, sampling, sdf, volume
+from cumulo.plans import chunks
 from cumulo.plans.planner import compose, interpolate, merge_configs, plan
 from pyspark.sql import functions as F
 
@@ -404,3 +405,34 @@ def test_draws_by_read(spark):
     assert {(r.item, r.draw) for r in again} == {(r.item, r.draw) for r in rows if r.epoch == 3}
     assert {r.draw for r in mixing.mix_epochs(items, {}, range(2), 7, validation=True).collect()} == {"7"}
     assert sorted(map(tuple, mixing.mix_epoch(items, {"a": 0.6}, 3).collect())) == sorted((r.idx, r.source, r.item) for r in again)
+
+
+def test_chunks_give_what_the_whole_scene_gives(spark):
+    """Normals and spacing by overlapping chunks are the whole scene's wherever they say so, and rows are neither lost nor doubled."""
+    gen = np.random.default_rng(8)
+    rows = [("a#1", i, *map(float, p)) for i, p in enumerate(np.r_[gen.random((300, 3)) * 2 - 1, np.floor(gen.random((40, 3)) * 4) / 2 - 1])]
+    rows += [("b", 1, 5.0, 5.0, 5.0), ("b", 2, float("nan"), 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "shape_id string, point_id long, x double, y double, z double").withColumns({c: F.lit(v) for c, v in (("nx", 0.0), ("ny", 0.0), ("nz", 1.0), ("sx", 0.0), ("sy", 0.0), ("sz", 9.0))})
+    told = {(r.shape_id, r.point_id): r for r in chunks.neighbourhoods(points, 8, 0.5, 0.4).collect()}
+    assert set(told) == {r[:2] for r in rows[:-1]} and len(told) == len(rows) - 1
+    x = np.array([r[2:] for r in rows[:340]])
+    d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), axis=1)[:, :8]
+    low = np.floor(x / 0.5) * 0.5
+    room = np.minimum(x - (low - 0.4), low + 0.9 - x).min(axis=1)
+    for i in range(340):
+        row = told["a#1", i]
+        assert row.whole == (d[i, 7] < room[i]) and (not row.whole or abs(row.spacing - d[i].mean()) < 1e-12)
+    assert 40 < sum(r.whole for r in told.values()) < 341 and not told["b", 1].whole
+    pick = lambda df: {(r.shape_id, r.point_id): np.array([r.nx, r.ny, r.nz]) for r in df.collect()}
+    whole = pick(normals.oriented(points.where("not isnan(x)"), 8))
+    parts = chunks.oriented_by_chunks(points, 0.5, 0.4, 8)
+    sure = pick(parts.where("whole"))
+    assert len(sure) > 40 and all(np.allclose(v, whole[k]) for k, v in sure.items())
+    assert parts.columns == [*points.columns, "whole"] or set(parts.columns) == {*points.columns, "whole"}
+    # A function that hands on neither in_core nor all of its rows, with a halo wider than a core.
+    kept = chunks.by_chunks(points, lambda c: c.where("point_id % 2 = 0").select("shape_id", "point_id", (F.col("x") * 2).alias("twice")), 0.3, 0.5)
+    assert sorted(map(tuple, kept.collect())) == sorted((s, i, 2 * v) for s, i, v, *_ in rows[:-1] if i % 2 == 0)
+    assert chunks.by_chunks(points.where("false"), lambda c: c, 1.0, 0.0).count() == 0
+    for size, halo in ((0.0, 1.0), (1.0, -1.0)):
+        with pytest.raises(ValueError):
+            chunks.split(points, size, halo)
