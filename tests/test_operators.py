@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from cumulo.operators import affine, crop, knn, metrics, mixing, normals, report, sampling, sdf, volume
+from cumulo.operators import affine, blocks, crop, knn, metrics, mixing, normals, report, sampling, sdf, volume
 from cumulo.plans import chunks
 from cumulo.plans.planner import compose, interpolate, merge_configs, plan
 from pyspark.sql import functions as F
@@ -283,6 +283,30 @@ def test_neighbours_follow_the_density(spark, metric):
     assert all(counts[s] <= 1.5 * counts["cube"] for s in ("far", "plane", "apart")) and counts["halves"] <= 60
 
 
+@pytest.mark.parametrize("metric", ["l2", "l1"])
+def test_blocks_give_the_nearest(spark, monkeypatch, metric):
+    """The same as comparing all pairs, though only queries that need several blocks meet again, and one of those at a place is asked."""
+    points = spark.createDataFrame(layouts(), "shape_id string, point_id long, x double, y double, z double")
+    q, r = knn.as_queries(points.where("point_id % 3 > 0")), knn.as_refs(points.where("shape_id <> 'plane' or point_id < 3"))
+    q = q.unionByName(q.where("shape_id = 'cube'").withColumn("query_id", F.col("query_id") + 10**6))
+    pick = lambda df: {tuple(x) for x in df.select("shape_id", "query_id", "rank", "ref_id", "d2").collect()}
+    whole, asked = blocks.nearest, []
+    monkeypatch.setattr(blocks, "nearest", lambda queries, *more: asked.append(queries.groupBy("shape_id", "qx", "qy", "qz").count().agg({"count": "max"}).first()[0]) or whole(queries, *more))
+    monkeypatch.setattr(blocks, "BLOCK", 40)
+    monkeypatch.setattr(blocks, "ASKED", 30)
+    near = pick(knn.direct(q, r, 5, metric))
+    assert pick(knn.adaptive(q, r, 5, metric)) == near
+    assert pick(knn.adaptive(q, r, 5, metric, 0.01).where("d2 < 0.01")) == {x for x in near if x[4] < 0.01}
+    assert asked == [1, 1]
+
+
+def test_very_many_small_shapes_are_not_compared_directly(spark, monkeypatch):
+    q = scatter(spark, 20, 6, shapes=[f"s{i}" for i in range(30)])
+    monkeypatch.setattr(knn, "ALL_PAIRS", 30 * 400 - 1)
+    monkeypatch.setattr(knn, "direct", None)
+    assert {tuple(x) for x in knn.knn(knn.as_queries(q), knn.as_refs(q), 3).select("shape_id", "query_id", "ref_id").collect()} == brute(q, q, 3)
+
+
 def test_points_without_a_place_have_no_neighbours(spark, monkeypatch):
     rows = [("a", i, float(i), 0.0, 0.0) for i in range(30)] + [("a", 40, float("nan"), 0.0, 0.0), ("a", 41, None, 0.0, 0.0), ("a", 42, float("inf"), 0.0, 0.0), ("b", 1, float("nan"), 1.0, 1.0)]
     points = spark.createDataFrame(rows, "shape_id string, point_id long, x double, y double, z double")
