@@ -116,14 +116,22 @@ def run_name(overrides: Column) -> Column:
     """
     initials = lambda part: F.array_join(F.transform(F.filter(F.split(part, "_"), lambda w: w != ""), lambda w: F.substring(w, 1, 1)), "")
 
-    def short(key):
-        parts = F.transform(F.split(key, r"\."), initials)
+    def bound(value: Column, made) -> Column:
+        """made(value), which is worked out once however often made() names it."""
+        return F.get(F.transform(F.array(value), made), F.lit(0))
+
+    def short(parts):
         return F.concat(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 2, F.lit(0))), ""), F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), "."))
 
     value = lambda v: F.when(F.lower(v) == "true", "1").when(F.lower(v) == "false", "0").otherwise(v)
-    told = F.transform(overrides, lambda o: F.struct(short(F.split(o, "=")[0]).alias("key"), value(F.split(o, "=")[1]).alias("value")))
-    keys = F.array_sort(F.array_distinct(F.transform(told, lambda t: t["key"])))
-    return F.array_join(F.transform(keys, lambda k: F.concat(k, F.element_at(F.filter(told, lambda t: t["key"] == k), -1)["value"])), "-")
+    key = lambda name: bound(F.transform(F.split(name, r"\."), initials), short)
+    told = F.transform(F.transform(overrides, lambda o: F.split(o, "=")), lambda o: F.struct(key(o[0]).alias("key"), value(o[1]).alias("value")))
+
+    def joined(told):
+        keys = F.array_sort(F.array_distinct(F.transform(told, lambda t: t["key"])))
+        return F.array_join(F.transform(keys, lambda k: F.concat(k, F.element_at(F.filter(told, lambda t: t["key"] == k), -1)["value"])), "-")
+
+    return bound(told, joined)
 
 
 def unpack_bits(packed: Column, n: int) -> Column:

@@ -460,3 +460,9 @@ def test_chunks_give_what_the_whole_scene_gives(spark):
     for size, halo in ((0.0, 1.0), (1.0, -1.0)):
         with pytest.raises(ValueError):
             chunks.split(points, size, halo)
+
+
+def test_parts_of_names_are_worked_out_once(spark):
+    made = spark.createDataFrame([(["a_b.c_d=True", "x.y.z=1=2", "ab.cd=false", "e=", "x.y.z=7"],), ([],)], "told array<string>").select(mixing.run_name(F.col("told")).alias("name"))
+    assert [r.name for r in made.collect()] == ["a.c0-ab.cd1-e-xy.z7", ""]
+    assert made._jdf.queryExecution().analyzed().toString().count("split(") <= 4
