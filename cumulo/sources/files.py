@@ -11,6 +11,7 @@ from __future__ import annotations
 import io
 import re
 import struct
+import tempfile
 import uuid
 import zipfile
 from collections import defaultdict
@@ -185,9 +186,13 @@ def _lattice(shape, low, high) -> dict[str, float]:
     return out | {f"cells_{a}": int(n) for a, n in zip("xyz", shape, strict=True)}
 
 
-def volume_columns(data: bytes, wanted: set[str]) -> dict[str, np.ndarray]:
-    """Cells of the volume of a geometry file, with its lattice; cells that hold no number are unknown and left out."""
-    with np.load(io.BytesIO(data), allow_pickle=False) as file:
+def _seekable(data):
+    return io.BytesIO(data) if isinstance(data, bytes) else data
+
+
+def volume_columns(data, wanted: set[str]) -> dict[str, np.ndarray]:
+    """Cells of the volume of a geometry file (bytes, or opened), with its lattice; cells that hold no number are unknown and left out."""
+    with np.load(_seekable(data), allow_pickle=False) as file:
         if "volume" not in file:
             return {c: np.zeros(0) for c in wanted & {"val", *"ijk", *_LATTICE}}
         cells, low, high = file["volume"].astype(np.float64), file["volume_min"], file["volume_max"]
@@ -197,9 +202,9 @@ def volume_columns(data: bytes, wanted: set[str]) -> dict[str, np.ndarray]:
     return {c: v for c, v in out.items() if c in wanted}
 
 
-def lattice_columns(data: bytes, wanted: set[str]) -> dict[str, np.ndarray]:
+def lattice_columns(data, wanted: set[str]) -> dict[str, np.ndarray]:
     """The lattice of a geometry file's volume, without its cells; a file without a volume gives no row."""
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+    with zipfile.ZipFile(_seekable(data)) as archive:
         if "volume.npy" not in archive.namelist():
             return {c: np.zeros(0) for c in wanted & set(_LATTICE)}
         with archive.open("volume.npy") as file:
@@ -209,31 +214,76 @@ def lattice_columns(data: bytes, wanted: set[str]) -> dict[str, np.ndarray]:
     return {c: np.array([v], np.int32 if isinstance(v, int) else np.float64) for c, v in _lattice(shape, low, high).items() if c in wanted}
 
 
-def npz_bytes(columns: dict[str, np.ndarray]) -> bytes:
-    """A compressed npz file of the columns' arrays: points by name, and the volume of rows that have a lattice, and i, j, k and val.
+def _volume_arrays(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The volume of rows that have a lattice, and i, j, k and val. Cells that no row names are unknown.
 
-    Cells that no row names are unknown. Rows with a lattice must agree on it; the grid has its size, or ends with the last
-    cell where rows have bounds only.
+    Rows with a lattice must agree on it; the grid has its size, or ends with the last cell where rows have bounds only.
     """
-    here = ~np.isnan(columns["x"]) if "x" in columns else np.zeros(len(next(iter(columns.values()))), bool)
-    arrays = {name: np.stack([columns[c][here] for c in parts], axis=1) for name, parts in WRITTEN.items() if all(c in columns for c in parts)}
-    volume = ~np.isnan(columns["min_x"]) if "min_x" in columns else np.zeros(len(here), bool)
-    if volume.any():
-        cell = ~np.isnan(columns["i"]) if "i" in columns else np.zeros(len(here), bool)
-        at = [columns[c][cell].astype(np.int64) for c in "ijk"] if cell.any() else [np.zeros(0, np.int64)] * 3
-        shape = [int(a.max(initial=0)) + 1 for a in at]
-        told = volume & ~np.isnan(columns["cells_x"]) if "cells_x" in columns else np.zeros(len(here), bool)
-        if told.any():
-            sizes = np.unique(np.stack([columns[f"cells_{a}"][told] for a in "xyz"], axis=1), axis=0).astype(int)
-            if len(sizes) > 1 or (sizes[0] < shape).any() and cell.any():
-                raise ValueError(f"cells {shape} and lattices {sizes.tolist()} don't agree")
-            shape = sizes[0].tolist()
-        grid = np.full(shape, np.nan)
-        if cell.any():
-            grid[tuple(at)] = columns["val"][cell]
-        arrays |= {"volume": grid, **{f"volume_{side}": np.array([columns[f"{side}_{a}"][volume][0] for a in "xyz"]) for side in ("min", "max")}}
-    out = io.BytesIO()
-    np.savez_compressed(out, **arrays)
+    none = np.zeros(len(next(iter(columns.values()), [])), bool)
+    volume = ~np.isnan(columns["min_x"]) if "min_x" in columns else none
+    if not volume.any():
+        return {}
+    cell = ~np.isnan(columns["i"]) if "i" in columns else none
+    at = [columns[c][cell].astype(np.int64) for c in "ijk"] if cell.any() else [np.zeros(0, np.int64)] * 3
+    shape = [int(a.max(initial=0)) + 1 for a in at]
+    told = volume & ~np.isnan(columns["cells_x"]) if "cells_x" in columns else none
+    if told.any():
+        sizes = np.unique(np.stack([columns[f"cells_{a}"][told] for a in "xyz"], axis=1), axis=0).astype(int)
+        if len(sizes) > 1 or (sizes[0] < shape).any() and cell.any():
+            raise ValueError(f"cells {shape} and lattices {sizes.tolist()} don't agree")
+        shape = sizes[0].tolist()
+    grid = np.full(shape, np.nan)
+    if cell.any():
+        grid[tuple(at)] = columns["val"][cell]
+    return {"volume": grid, **{f"volume_{side}": np.array([columns[f"{side}_{a}"][volume][0] for a in "xyz"]) for side in ("min", "max")}}
+
+
+class NpzFile:
+    """A compressed npz file of columns that are added bit by bit: points by name, and the volume of rows that have one.
+
+    Points wait in temporary files, so that memory holds a batch of them, and the volume.
+    """
+
+    def __init__(self, names: list[str]):
+        self.parts = {name: parts for name, parts in WRITTEN.items() if set(parts) <= set(names)}
+        self.waiting = {name: tempfile.TemporaryFile() for name in self.parts}
+        self.n, self.rest = 0, []
+
+    def add(self, columns: dict[str, np.ndarray]) -> None:
+        none = np.zeros(len(next(iter(columns.values()))), bool)
+        here = ~np.isnan(columns["x"]) if "x" in columns else none
+        for name, parts in self.parts.items():
+            self.waiting[name].write(np.stack([columns[c][here] for c in parts], axis=1).astype("<f8").tobytes())
+        self.n += int(here.sum())
+        told = [~np.isnan(columns[c]) for c in ("min_x", "i") if c in columns]
+        kept = np.logical_or.reduce(told) if told else none
+        if kept.any():
+            self.rest.append({c: v[kept] for c, v in columns.items() if c in ("val", *"ijk", *_LATTICE)})
+
+    def save(self, out) -> None:
+        volume = _volume_arrays({c: np.concatenate([r[c] for r in self.rest]) for c in self.rest[0]}) if self.rest else {}
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for name, file in self.waiting.items():
+                with archive.open(f"{name}.npy", "w", force_zip64=True) as member:
+                    np.lib.format.write_array_header_1_0(member, {"descr": "<f8", "fortran_order": False, "shape": (self.n, len(self.parts[name]))})
+                    file.seek(0)
+                    while data := file.read(1 << 22):
+                        member.write(data)
+            for name, array in volume.items():
+                with archive.open(f"{name}.npy", "w", force_zip64=True) as member:
+                    np.lib.format.write_array(member, array, allow_pickle=False)
+
+    def close(self) -> None:
+        for file in self.waiting.values():
+            file.close()
+
+
+def npz_bytes(columns: dict[str, np.ndarray]) -> bytes:
+    """The bytes of an NpzFile of these columns."""
+    out, file = io.BytesIO(), NpzFile(list(columns))
+    file.add(columns)
+    file.save(out)
+    file.close()
     return out.getvalue()
 
 
@@ -397,7 +447,8 @@ class _Reader(DataSourceReader):
             layout = None if self.layout is None else self.layout(head)
             if layout is None:
                 file.seek(0)
-                yield 0, self.decode(file.read(), wanted)
+                # Of these a small part is taken, which the file may have among very many points.
+                yield 0, self.decode(file if self.decode in (volume_columns, lattice_columns) else file.read(), wanted)
                 return
             size, end = layout.kind.itemsize, layout.count if count is None else first + count
             file.seek(layout.start + first * size)
@@ -488,7 +539,15 @@ class _Writer(DataSourceArrowWriter):
         folder = f"{self.attempts}/{uuid.uuid4().hex}"
 
         def put():
-            if held:
+            if held and self.kind == "npz":
+                name = self._name(str(shape))
+                fs, path = opened(f"{folder}/{name}")
+                fs.create_dir(path.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(path) as out:
+                    held[0].save(out)
+                held[0].close()
+                written.append((f"{folder}/{name}", f"{self.folder}/{name}"))
+            elif held:
                 table = pa.Table.from_batches(held)
                 columns = {c: table.column(c).to_numpy().astype(np.float64) for c in self.names}
                 name = self._name(str(shape))
@@ -504,7 +563,12 @@ class _Writer(DataSourceArrowWriter):
                         put()
                         held = []
                     shape = ids[start]
-                    held.append(batch.slice(start, end - start))
+                    if self.kind == "npz":
+                        held = held or [NpzFile(self.names)]
+                        part = batch.slice(start, end - start)
+                        held[0].add({c: part.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in self.names})
+                    else:
+                        held.append(batch.slice(start, end - start))
                     start = end
         put()
         return _Attempt(written)

@@ -1,13 +1,16 @@
 """Files written and read back."""
 
 import struct
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cumulo.sources import files, frames, views
 from cumulo.streaming.metric_stream import read_log, windowed_means
 from datadir import DATA
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def test_npz(spark, tmp_path):
@@ -328,3 +331,33 @@ def test_a_frame_that_grows(spark, tmp_path):
         frames.append_run(log([(1, "step", 1.0)]), folder)
     with pytest.raises(ValueError):
         frames.append_run(log([(1, "Loss", 1.0)]).withColumn("step", F.col("step").cast("string")), folder)
+
+
+def test_npz_files_are_written_and_opened_by_parts(spark, tmp_path):
+    """A writer holds a batch of a shape's points, and a volume is read without the points beside it."""
+    schema = StructType.fromDDL("shape_id string, x double, y double, z double, i int, j int, k int, val double, " + files.LATTICE_SCHEMA.removeprefix("shape_id string, "))
+    n, lattice = 40_000, {"min_x": 0.0, "min_y": 0.0, "min_z": 0.0, "max_x": 1.0, "max_y": 1.0, "max_z": 1.0, "cells_x": 2, "cells_y": 3, "cells_z": 4}
+
+    def batches():
+        gen = np.random.default_rng(3)
+        for _ in range(50):
+            columns = {"shape_id": pa.array(["a"] * n), **{c: pa.array(gen.random(n)) for c in "xyz"}}
+            yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, pa.int32() if f.dataType.typeName() == "integer" else pa.float64())) for f in schema], names=schema.fieldNames())
+        cell = {"shape_id": "a", "i": 1, "j": 2, "k": 3, "val": 0.5, **lattice}
+        yield pa.RecordBatch.from_pylist([{c: cell.get(c) for c in schema.fieldNames()}], pa.schema([(f.name, pa.string() if f.name == "shape_id" else pa.int32() if f.dataType.typeName() == "integer" else pa.float64()) for f in schema]))
+
+    writer = files._Writer(schema, {"path": str(tmp_path)}, "npz")
+    tracemalloc.start()
+    writer.commit([writer.write(batches())])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 25e6
+    with np.load(tmp_path / "a.npz") as file:
+        assert file["xyz"].shape == (50 * n, 3) and np.array_equal(file["xyz"][:n, 0], np.random.default_rng(3).random(n)) and file["volume"][1, 2, 3] == 0.5 and np.isnan(file["volume"]).sum() == 23
+    for decode, schema_ in ((files.volume_columns, files.VOLUME_SCHEMA), (files.lattice_columns, files.LATTICE_SCHEMA)):
+        reader = files._Reader(StructType.fromDDL(schema_), {"paths": str(tmp_path / "a.npz")}, decode)
+        tracemalloc.start()
+        rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(rows) == 1 and rows[0]["cells_z"] == 4 and most < 5e6
