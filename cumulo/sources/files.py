@@ -46,6 +46,8 @@ PLY_TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int":
 #: Bytes of records in a partition of a file that can be split, and records in a batch.
 SPLIT_BYTES = 64 << 20
 BATCH = 1 << 16
+#: Ranges of all files together that are read by a task each, as long as they have SPLIT_BYTES at most: smaller ones are joined.
+RANGES = 256
 #: Bytes of a header that are read at a time, and at most.
 HEAD_BYTES, MOST_HEAD_BYTES = 1 << 16, 1 << 24
 
@@ -420,8 +422,10 @@ class _Reader(DataSourceReader):
         if self.layout is None:
             return [InputPartition((*f, 0, None)) for f in files] or [InputPartition(None)]
         most = int(self.options.get("splitbytes", SPLIT_BYTES))
-        parts = []
-        for (path, name), size in zip(files, _sizes([f[0] for f in files]), strict=True):
+        parts, sizes = [], _sizes([f[0] for f in files])
+        # A task costs more than reading a small range does.
+        most = max(most, min(SPLIT_BYTES, sum(sizes) // RANGES))
+        for (path, name), size in zip(files, sizes, strict=True):
             parts += [InputPartition((path, name, *r)) for r in (_ranges(path, size, self.layout, most) if size > most else [(0, None)])]
         return parts or [InputPartition(None)]
 
@@ -700,7 +704,7 @@ def read_points(spark: SparkSession, kind: str, paths: list[str], role: str = "i
     """Points of the files at `paths`; shapes are called `names`, or as the files are. Only `columns`, all by default, are taken.
 
     A task reads a file, or of a ply or LAS file of more than split_bytes a range of as many bytes of records, numbered from
-    the range's start. A file that is missing, ends early or can't be read is an error; fetch() goes on without it.
+    the range's start; ranges are longer where that makes more than RANGES of all files. A file that is missing, ends early or can't be read is an error; fetch() goes on without it.
     """
     schema = POINT_SCHEMA if columns is None else ", ".join(c for c in POINT_SCHEMA.split(", ") if c.split()[0] in columns)
     return _load(spark, f"points_{kind}", schema, paths, names, role, splitbytes=split_bytes)

@@ -361,3 +361,12 @@ def test_npz_files_are_written_and_opened_by_parts(spark, tmp_path):
         most = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert len(rows) == 1 and rows[0]["cells_z"] == 4 and most < 5e6
+
+
+def test_very_many_small_ranges_are_joined(spark, tmp_path):
+    """Tasks of a scan don't grow with files that are small altogether, whatever split_bytes; numbers stay those in the file."""
+    x = np.arange(10_000.0)
+    (tmp_path / "a.ply").write_bytes(files.ply_bytes({"x": x, "y": -x, "z": x / 2}))
+    rows = files.read_points(spark, "ply", [f"file://{tmp_path}/a.ply"], columns=["shape_id", "point_id", "x"], split_bytes=24)
+    assert rows.rdd.getNumPartitions() <= 300
+    assert sorted((r.point_id, r.x) for r in rows.collect()) == [(i, float(i)) for i in range(10_000)]
