@@ -300,6 +300,17 @@ def test_blocks_give_the_nearest(spark, monkeypatch, metric):
     assert asked == [1, 1]
 
 
+@pytest.mark.parametrize("size", [0.3, 1e-4])
+def test_crowded_cells_are_left_to_blocks(spark, monkeypatch, size):
+    q, r = scatter(spark, 40, 1), scatter(spark, 60, 2)
+    monkeypatch.setattr(knn, "DIRECT_PAIRS", 0)
+    monkeypatch.setattr(knn, "AROUND", 4)
+    whole, asked = knn.adaptive, []
+    monkeypatch.setattr(knn, "adaptive", lambda queries, *more: asked.append(queries.count()) or whole(queries, *more))
+    assert {tuple(x) for x in knn.grid(knn.as_queries(q), knn.as_refs(r), 5, size).select("shape_id", "query_id", "ref_id").collect()} == brute(q, r, 5)
+    assert len(asked) == 1
+
+
 def test_very_many_small_shapes_are_not_compared_directly(spark, monkeypatch):
     q = scatter(spark, 20, 6, shapes=[f"s{i}" for i in range(30)])
     monkeypatch.setattr(knn, "ALL_PAIRS", 30 * 400 - 1)
