@@ -351,6 +351,23 @@ def test_hits_are_counted_by_whole_nodes(spark, monkeypatch):
     assert shares[1] < 0.75 * shares[0]
 
 
+def test_more_points_take_no_more_rounds(spark, monkeypatch):
+    """How often the points of a scene are written out follows from the queries, and no more spheres than CROSSED are compared with a point."""
+    written, real, gen = [], knn.checkpointed, np.random.default_rng(5)
+    monkeypatch.setattr(knn, "checkpointed", lambda df: written.append(1) or real(df))
+    rounds = []
+    for n in (2000, 30_000):
+        points = gen.random((n, 3))
+        dense = spark.createDataFrame([("a", i, *map(float, p)) for i, p in enumerate(points)], "shape_id string, point_id long, x double, y double, z double")
+        written.clear()
+        sure, looked = knn.within(knn.as_queries(dense.where("point_id < 50")), knn.as_refs(dense), 0.3)
+        rounds.append(len(written))
+        hits = {x.query_id: x.hits for x in knn._hits(sure, looked, 0.3).collect()}
+        assert hits == {i: int((((points[i] - points) ** 2).sum(axis=1) < 0.09).sum()) for i in range(50)}
+        assert looked.count() <= knn.CROSSED * n
+    assert rounds[0] == rounds[1]
+
+
 def test_normals_far_from_the_origin(spark):
     """A thin patch at coordinates as map grids have them gives the normals that it has at the origin."""
     rng = np.random.default_rng(6)
