@@ -1,7 +1,7 @@
 """Near-duplicate vectors by a pigeonhole join over subspaces.
 
 Unit vectors with cosine c are sqrt(2 - 2c) apart. They are rotated, which keeps distances, and split into
-blocks of BLOCK components; of a pair within the whole squared distance some block is within its
+blocks of BLOCK components or more; of a pair within the whole squared distance some block is within its
 proportional share. So each block is joined by range on its own: blocks fall into cells of a grid twice as
 wide as the block's radius, and vectors near a cell's lower side also visit the cell below, so that each pair
 in range meets in one cell. What any block finds is verified on the whole vectors. A pair counts in the first
@@ -9,6 +9,8 @@ block that has it in range, which any task can tell from the two vectors, so pai
 gives the number of links of each of its vectors, and a spanning forest of them.
 
 Equal vectors are one node from the start. Cells are cut into tiles, and each pair of tiles is compared by itself.
+How many components a block has, and how many axes its grid, is chosen by what the pairs and copies of a sample cost
+(plan()): each axis copies rows, which pays only where vectors are apart on it. The result is the same for any choice.
 """
 
 from __future__ import annotations
@@ -28,10 +30,14 @@ from .common import join_hot
 from .minhash import _bounds, _runs, connected_components, tiled
 
 COSINE = 0.95
-#: Components of a block, and the most that its grid is laid over: as many as bring a cell of isotropic vectors down to a tile.
-BLOCK, MOST_AXES, THINNING = 8, 8, 2.5
-#: Vectors of a tile, and of the square of pairs that is worked on at once.
-TILE, SQUARE = 8192, 512
+#: Components of a block, at least, and the most that its grid is laid over.
+BLOCK, MOST_AXES = 8, 6
+#: Vectors of a tile in a small and a large table, which has TILES of the smaller ones at least, and of the square of pairs that is worked on at once.
+TILE, LARGE_TILE, TILES, SQUARE = 8192, 32_768, 8, 512
+#: Different vectors, and numbers of theirs, that plan() looks at. It has no part in any result.
+SAMPLE_ROWS, SAMPLE_FLOATS = 2048, 1_000_000
+#: Nanoseconds for looking at a pair, for each component of its block, and for a copy of a row.
+PAIR_NS, COMPONENT_NS, COPY_NS = 0.5, 0.07, 12_000.0
 #: The share of a square's pairs in range from which on they are compared as matrices.
 DENSE = 0.05
 #: Squared distances are wrong by far less than this; what lies nearer to a bound is compared again, exactly and in one fixed order.
@@ -55,9 +61,9 @@ def rotated(vectors: np.ndarray) -> np.ndarray:
 class Blocks:
     """The blocks of vectors of one length, each with its share of the whole squared distance."""
 
-    def __init__(self, dim: int, cosine: float, axes: int):
+    def __init__(self, dim: int, cosine: float, axes: int, block: int = BLOCK):
         width = padded_width(dim)
-        self.count = max(1, width // BLOCK)
+        self.count = max(1, width // block)
         self.size = width // self.count
         self.share = (2 - 2 * cosine + SLACK) / self.count
         self.radius = math.sqrt(self.share) * (1 + SLACK)
@@ -101,8 +107,8 @@ def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class Group:
     """The vectors of one cell, or of two tiles of it: links counted for each, and which hang together."""
 
-    def __init__(self, vectors: np.ndarray, visits: np.ndarray, copies: np.ndarray, key: int, cosine: float, axes: int):
-        self.blocks = Blocks(vectors.shape[1], cosine, axes)
+    def __init__(self, vectors: np.ndarray, visits: np.ndarray, copies: np.ndarray, key: int, cosine: float, axes: int, block: int = BLOCK):
+        self.blocks = Blocks(vectors.shape[1], cosine, axes, block)
         self.b, self.cosine = key & 0xFFFF, cosine
         self.vectors, self.visits, self.copies = vectors, visits, copies.astype(np.float64)
         self.unit = rotated(vectors)
@@ -198,9 +204,36 @@ def _nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.select("id", "digest"), checkpointed(nodes.select(F.monotonically_increasing_id().alias("node"), "*"))
 
 
-def _compared(nodes: DataFrame, total: int, cosine: float) -> DataFrame:
+def plan(sample: list[np.ndarray], total: int, tile: int, cosine: float) -> tuple[int, int]:
+    """(components of a block, axes of its grid) that cost least for `total` vectors like the sample's, which has a matrix for each length."""
+    sample = [rotated(x) for x in sample]
+    seen, widest = sum(len(x) for x in sample), max((x.shape[1] for x in sample), default=BLOCK)
+    more, best = max(1.0, total / max(seen, 1)), (math.inf, BLOCK, 0)
+    # Two blocks at least, where there are components for them.
+    for block in (BLOCK << n for n in range(max(1, (widest // BLOCK).bit_length() - 1))):
+        for axes in range(min(MOST_AXES, block) + 1):
+            cost = 0.0
+            for x in sample:
+                blocks = Blocks(x.shape[1], cosine, axes, block)
+                n = np.unique(np.concatenate([keys for _, keys, _ in blocks.cells(x)]), return_counts=True)[1].astype(float)
+                cost += (PAIR_NS + COMPONENT_NS * blocks.size) * more * more * (n * (n - 1) / 2).sum() + COPY_NS * more * (n * np.maximum(1, n * more / tile)).sum()
+            best = min(best, (cost, block, axes))
+    return best[1:]
+
+
+def _sample(nodes: DataFrame, longest: int) -> list[np.ndarray]:
+    """Vectors of the nodes that come first by digest, a matrix for each length."""
+    rows = nodes.orderBy("digest").limit(max(1, min(SAMPLE_ROWS, SAMPLE_FLOATS // max(longest, 1)))).select("dim", "vec").collect()
+    by: dict[int, list] = {}
+    for dim, vec in rows:
+        by.setdefault(dim, []).append(vec)
+    return [np.array(by[dim], np.float64) for dim in sorted(by)]
+
+
+def _compared(nodes: DataFrame, total: int, longest: int, cosine: float) -> DataFrame:
     """(a, b, n): with b, an edge of a spanning forest of some cell's links; without, n more linked rows of node a."""
-    axes = min(MOST_AXES, max(1, math.ceil(math.log(max(total, TILE) / TILE, THINNING))))
+    size = max(TILE, min(LARGE_TILE, total // TILES))
+    block, axes = plan(_sample(nodes, longest), total, size, cosine)
 
     def place(batches):
         for batch in batches:
@@ -208,11 +241,11 @@ def _compared(nodes: DataFrame, total: int, cosine: float) -> DataFrame:
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
                 x = rotated(_matrix(batch.column("vec").take(pa.array(at)), dim))
-                for rows, keys, visits in Blocks(dim, cosine, axes).cells(x):
+                for rows, keys, visits in Blocks(dim, cosine, axes, block).cells(x):
                     yield pa.RecordBatch.from_arrays([pa.array(node[at[rows]]), pa.array(keys), pa.array(visits)], names=["node", "key", "visits"])
 
     keyed = checkpointed(nodes.select("node", "vec", "dim").mapInArrow(place, "node long, key long, visits long"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("tiles", F.ceil(F.col("size") / TILE))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("tiles", F.ceil(F.col("size") / size))
     members = tiled(join_hot(keyed, sizes, "key", "size", keyed.count()), F.col("tiles"), "node")
     members = members.join(nodes.select("node", "vec", "dim", "copies"), "node").select("dim", "key", "i", "j", "tile", "node", "visits", "copies", "vec")
     groups = ["dim", "key", "i", "j"]
@@ -228,7 +261,7 @@ def _compared(nodes: DataFrame, total: int, cosine: float) -> DataFrame:
                 if e - s < 2:
                     continue
                 dim, key, i, j = (table.column(c)[s].as_py() for c in groups)
-                group = Group(_matrix(table.column("vec").slice(s, e - s).combine_chunks(), dim), visits[s:e], copies[s:e], key, cosine, axes)
+                group = Group(_matrix(table.column("vec").slice(s, e - s).combine_chunks(), dim), visits[s:e], copies[s:e], key, cosine, axes, block)
                 group.run(tile[s:e], i, j)
                 own, joined, found = node[s:e], np.flatnonzero(group.tree != np.arange(e - s)), np.flatnonzero(group.links)
                 a = np.concatenate([own[group.tree[joined]], own[found]])
@@ -247,8 +280,8 @@ def link(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     other. A row with a null id is linked with nothing, and has a null component_id and kept. Other columns are not read.
     """
     rows, nodes = _nodes(usable(embeddings, "vec_id", "embedding"))
-    total = nodes.agg(F.count(F.lit(1)), F.sum("copies")).first()
-    found = checkpointed(_compared(nodes, total[0], cosine))
+    total = nodes.agg(F.count(F.lit(1)), F.sum("copies"), F.max("dim")).first()
+    found = checkpointed(_compared(nodes, total[0], total[2] or 0, cosine))
     links = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     components = checkpointed(connected_components(found.where(F.col("b").isNotNull()).select("a", "b")).join(nodes.select("node", "least"), "node"))
     least = components.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size"))

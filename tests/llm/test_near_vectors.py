@@ -71,6 +71,37 @@ def test_cells_tiles_and_squares_of_any_size(spark, monkeypatch):
     assert linked(spark, rows) == whole
 
 
+def test_axes_only_where_they_pay(spark):
+    """Vectors that point in all directions alike are copied once a block; those that differ along a few rotated components have a grid."""
+    rng = np.random.default_rng(13)
+    alike = rng.normal(size=(2000, 64))
+    block, axes = near_vectors.plan([alike], 51_282, 8192, 0.95)
+    assert sum(len(at) for at, _, _ in near_vectors.Blocks(64, 0.95, axes, block).cells(near_vectors.rotated(alike))) <= 2 * len(alike)
+    # Of few dimensions a block is the whole vector, and cells are far smaller than the sphere.
+    assert near_vectors.plan([rng.normal(size=(2000, 3))], 1_000_000, 8192, 0.9999)[1] > 0
+    rows = list(enumerate(around(rng, 64, 40, 3, 0.2) + around(rng, 5, 30, 3, 0.1)))
+    assert linked(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("block", [8, 16, 32, 64])
+def test_blocks_of_any_size(block):
+    rng = np.random.default_rng(block)
+    x = np.array(around(rng, 64, 20, 6, 0.22))
+    near = {(a, b) for a in range(len(x)) for b in range(a) if x[a] @ x[b] / np.linalg.norm(x[a]) / np.linalg.norm(x[b]) >= 0.95}
+    for axes in (0, 1, 3):
+        links = np.zeros(len(x))
+        cells = {}
+        for at, keys, visits in near_vectors.Blocks(64, 0.95, axes, block).cells(near_vectors.rotated(x)):
+            for i, k, v in zip(at.tolist(), keys.tolist(), visits.tolist(), strict=True):
+                cells.setdefault(k, []).append((i, v))
+        for key, held in cells.items():
+            own, visits = np.array(held).T
+            group = near_vectors.Group(x[own], visits, np.ones(len(own)), key, 0.95, axes, block)
+            group.run(np.zeros(len(own), np.int64), 0, 0)
+            links[own] += group.links
+        assert links.tolist() == [sum(i in pair for pair in near) for i in range(len(x))] and near
+
+
 def test_pairs_of_tiles_count_each_pair_once():
     rng = np.random.default_rng(9)
     x = np.array(around(rng, 8, 1, 90, 0.2))
