@@ -360,7 +360,8 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     least = named.groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
     named = join_hot(named.drop("doc_id"), least, "label", "size", named.count())
     sets = nodes.select("node", "digest", "doc_id", "copies").join(named, "node", "left")
-    sets = sets.select("digest", "copies", F.coalesce("label", "node").alias("component"), F.coalesce("least", "doc_id").alias("component_id"))
+    # Written out, because the last join reads them twice: plans that hold each other's joins again and again fill the driver.
+    sets = checkpointed(sets.select("digest", "copies", F.coalesce("label", "node").alias("component"), F.coalesce("least", "doc_id").alias("component_id")))
     rows = described.select("doc_id", "mark", "n_shingles", "digest")
     with_words = join_hot(rows.where(F.col("digest").isNotNull()), sets, "digest", "copies", told.count(), "left").drop("digest")
     without = rows.where(F.col("digest").isNull()).select("doc_id", "mark", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
@@ -386,8 +387,9 @@ def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     all stay. No column of docs, whatever its name, is touched.
     """
     linked = _linked(docs, percent).where(F.col("doc_id").isNotNull())
-    first = linked.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("_row")).select("_row.*")
-    stay = first.unionByName(linked.where(F.col("component").isNull()).select("doc_id", "mark").distinct())
+    # A row without words is a component of its own. linked is read once, so that its joins are planned once.
+    alone = [F.when(F.col("component").isNull(), F.col(c)).alias(f"_{c}") for c in ("doc_id", "mark")]
+    stay = linked.groupBy("component", *alone).agg(F.min(F.struct("doc_id", "mark")).alias("_row")).select("_row.*")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"))
     # All columns that can be hashed choose among rows of one id and text.
     hashed = F.xxhash64(*(F.col("row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()))

@@ -174,3 +174,11 @@ def test_chain_of_near_copies(spark, monkeypatch):
         for k in range(10):
             words[(at * 10 + k) % 200] = f"c{at}_{k}"
     check(spark, docs)
+
+
+def test_last_plan_is_small(spark):
+    """Joins are not planned again for each time their rows are read: the last query of all keeps the driver's memory small."""
+    docs = spark.createDataFrame(list(texts(5, n=6).items()), "doc_id long, text string")
+    for last in (M.link(docs), M.representatives(docs)):
+        plan = last._jdf.queryExecution().executedPlan().toString()
+        assert 0 < plan.count("Exchange ") <= 10, plan
