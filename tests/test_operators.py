@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from cumulo.operators import affine, blocks, crop, knn, metrics, mixing, normals, report, sampling, sdf, volume
+from cumulo.operators import affine, arrays, blocks, crop, knn, metrics, mixing, normals, report, sampling, sdf, volume
 from cumulo.plans import chunks
 from cumulo.plans.planner import compose, interpolate, merge_configs, plan
 from pyspark.sql import functions as F
@@ -300,6 +300,39 @@ def test_blocks_give_the_nearest(spark, monkeypatch, metric):
     assert asked == [1, 1]
 
 
+@pytest.mark.parametrize("metric", ["l2", "l1"])
+def test_arrays_of_points_give_the_nearest(metric):
+    draw = np.random.default_rng(3)
+    for n, m, k in ((1, 1, 3), (90, 5, 8), (150, 260, 8), (300, 300, 1), (40, 300, 20)):
+        for q, r in ((draw.random((n, 3)), draw.random((m, 3))), (np.floor(draw.random((n, 3)) * 4), np.floor(draw.random((m, 3)) * 4)), (draw.random((n, 3)) * [1, 0, 1e200], draw.random((m, 3)))):
+            numbers, bound = draw.permutation(m), np.where(draw.random(n) < 0.5, np.inf, 0.05)
+            near = []
+            with np.errstate(over="ignore"):
+                for i in range(n):
+                    d = arrays.distances([q[i, j] - r[:, j] for j in range(3)], metric)
+                    order = np.lexsort((numbers, d))[:k]
+                    near += [(i, numbers[j], d[j]) for j in order if d[j] <= bound[i]]
+            assert list(zip(*arrays.nearest(q, r, numbers, k, metric, bound)[:3], strict=True)) == near
+
+
+@pytest.mark.parametrize("metric", ["l2", "l1"])
+def test_a_cloud_is_moved_once_for_both_sides(spark, monkeypatch, metric):
+    """The same as comparing all pairs, also where more than a block's points are at one place; only queries near the sides of blocks are written out."""
+    rows = [*layouts(), *(("crowd", i, *((0.5, 0.5, 0.5) if i < 150 else (i / 300, 0.4, -i / 900))) for i in range(300)), ("few", 1, 0.0, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "shape_id string, point_id long, x double, y double, z double").repartition(3)
+    monkeypatch.setattr(blocks, "BLOCK", 100)
+    monkeypatch.setattr(blocks, "ASKED", 30)
+    monkeypatch.setattr(knn, "DIRECT_PAIRS", 0)
+    kept, written = blocks.stored, []
+    monkeypatch.setattr(blocks, "stored", lambda df: written.append(kept(df)) or written[-1])
+    found = knn.among(points, 5, metric)
+    assert found.columns == ["shape_id", "query_id", "ref_id", "d2", "rank"]
+    near = knn.direct(knn.as_queries(points), knn.as_refs(points), 5, metric).select(*found.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, near.collect()))
+    asks = next(df for df in written if "_bound" in df.columns).where("shape_id = 'crowd' and _path is not null")
+    assert 0 < asks.select("query_id").distinct().count() < 100
+
+
 @pytest.mark.parametrize("size", [0.3, 1e-4])
 def test_crowded_cells_are_left_to_blocks(spark, monkeypatch, size):
     q, r = scatter(spark, 40, 1), scatter(spark, 60, 2)
